@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofline.llm import mixing, secrets, shards
 from proofline.llm import quality as quality_rules
 
 QUERIES: dict = {}
@@ -43,3 +44,62 @@ r AS (SELECT d.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS wo
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_left >= 50 AND n_left >= 0.5 * n_words AS kept, n_left FROM r
 """
+
+
+@query
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("secret_spans", lambda s: s["strong"])
+    counts = [F.expr(f"cast(size(filter(secret_spans, s -> s.kind = '{k[0]}')) as bigint)").alias(f"n_{k[0]}") for k in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(secrets.span_text(base).cast("binary"), 256).alias("base_sha256"), secrets.span_text(F.col("secret_spans")).alias("spans"))
+
+
+@query
+def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "text", "lang", "source", "n_chars", F.round("mix_rate", 6).alias("mix_rate"), "mix_copies", "mix_copy", "mix_key")
+
+
+SQL["op1_mixing_sources"] = """
+WITH RECURSIVE sizes AS (SELECT source, sum(length(coalesce(text, '')) + 1) AS size FROM documents GROUP BY source),
+rates AS (SELECT source, (SELECT sum(size) FROM sizes) * sqrt(size) / (SELECT sum(sqrt(size)) FROM sizes) / size AS rate FROM sizes),
+cdf AS (SELECT source, rate, 0 AS k, -rate AS p, exp(-rate) AS c FROM rates
+  UNION ALL SELECT source, rate, k + 1, p + ln(rate / (k + 1)), c + exp(p + ln(rate / (k + 1))) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 40)),
+sums AS (SELECT source, any_value(rate) AS rate, list(c ORDER BY k) AS cs FROM cdf GROUP BY source),
+drawn AS (SELECT d.*, rate, len(list_filter(cs, lambda c: c <= u)) AS n
+  FROM (SELECT *, CAST(('0x' || substr(md5('17:' || doc_id), 1, 13)) AS BIGINT) / pow(2, 52) AS u FROM documents) d JOIN sums USING (source))
+SELECT doc_id, text, lang, source, n_chars, round(rate, 6) AS mix_rate, n AS mix_copies, copy AS mix_copy, substr(md5('17:' || doc_id || ':' || copy), 1, 16) AS mix_key
+FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM drawn)
+"""
+
+
+@query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shards.shard(table(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _duck_parts() -> str:
+    rows = []
+    for kind, rank, pattern, group, least, part, strong in secrets.KINDS:
+        p = pattern.replace("'", "''")
+        rows.append(
+            f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, '{part}' AS part, {strong} AS strong, e - length(m) AS s, e FROM (SELECT doc_id, m, v, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e "
+            f"FROM (SELECT doc_id, unnest(string_split_regex(text, '{p}')) AS g, unnest(regexp_extract_all(text, '{p}')) AS m, unnest(regexp_extract_all(text, '{p}', {group})) AS v, unnest(range(len(string_split_regex(text, '{p}')))) AS i FROM d) WHERE m IS NOT NULL) WHERE length(v) >= {least}"
+            + (" AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')" if kind == "bearer" else "")
+        )
+    return " UNION ALL ".join(rows)
+
+
+SQL["op6_secret_scans"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+parts AS ({_duck_parts()}),
+met AS (SELECT a.*, b.part AS b_part, b.strong AS b_strong, a.s < b.e AND b.s < a.e AS over FROM parts a JOIN parts b ON a.doc_id = b.doc_id AND (a.s, a.rank) <> (b.s, b.rank)
+  AND NOT a.strong AND greatest(a.s, b.s) - CASE WHEN (a.s, a.rank) < (b.s, b.rank) THEN a.e ELSE b.e END <= {secrets.SCOPE}),
+near AS (SELECT doc_id, kind, rank, s, e FROM met GROUP BY doc_id, kind, rank, part, s, e
+  HAVING NOT bool_or(b_strong AND over AND part <> 'endpoint') AND (bool_or(b_strong AND part <> b_part) OR count(DISTINCT CASE WHEN b_part <> part THEN b_part END) = 2)),
+spans AS (SELECT doc_id, kind, rank, s, e, true AS base FROM parts WHERE strong UNION ALL SELECT *, false FROM near),
+told AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (base) AS base,
+  {", ".join(f"count(*) FILTER (kind = '{k[0]}') AS n_{k[0]}" for k in secrets.KINDS)} FROM spans GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k[0]}, 0) AS n_{k[0]}" for k in secrets.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (doc_id)
+"""
