@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import mixing, secrets, shards
+from proofline.llm import automata, mixing, secrets, shards, suffixes
 from proofline.llm import quality as quality_rules
 
 QUERIES: dict = {}
@@ -103,3 +103,37 @@ told AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s,
   {", ".join(f"count(*) FILTER (kind = '{k[0]}') AS n_{k[0]}" for k in secrets.KINDS)} FROM spans GROUP BY doc_id)
 SELECT doc_id, {", ".join(f"coalesce(n_{k[0]}, 0) AS n_{k[0]}" for k in secrets.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (doc_id)
 """
+
+
+def _spans_told(found: DataFrame) -> DataFrame:
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["begin"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), spans.alias("removed_spans"))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans_told(automata.without_copied_spans(table(spark, sf_dir, "documents")))
+
+
+@query
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans_told(suffixes.without_repeated_passages(table(spark, sf_dir, "documents")))
+
+
+def _duck_copied(length: int) -> str:
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + {length - 1}], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {length - 2})) AS i FROM d WHERE len(ws) >= {length})),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM w),
+g AS (SELECT DISTINCT doc_id, i + k AS p FROM f, (SELECT unnest(range({length})) AS k) WHERE first < doc_id),
+gone AS (SELECT doc_id, list(p) AS ps FROM g GROUP BY doc_id),
+islands AS (SELECT doc_id, min(p) - 1 AS b, max(p) AS e FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g) GROUP BY doc_id, k),
+told AS (SELECT doc_id, string_agg(b || ':' || e, ',' ORDER BY b) AS spans FROM islands GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d) x ANTI JOIN g ON x.doc_id = g.doc_id AND x.i = g.p GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(spans, '') AS removed_spans
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+SQL["op4_substring_dedup"] = _duck_copied(13)
+SQL["op3_suffix_array_dedup"] = _duck_copied(50)
