@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import automata, minhash, mixing, secrets, shards, suffixes
+from proofline.llm import automata, decontaminate, minhash, mixing, secrets, shards, suffixes
 from proofline.llm import quality as quality_rules
 
 QUERIES: dict = {}
@@ -155,3 +155,25 @@ r AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT node, b FROM r J
 m AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN m ON doc_id = node
 """
+
+
+@query
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    told = F.array_join(F.transform("leaks", lambda x: F.concat_ws(":", x["item_id"].cast("string"), x["start"].cast("string"), x["n_words"].cast("string"))), ",")
+    return found.select("doc_id", F.coalesce(F.size("leaks"), F.lit(0)).cast("long").alias("n_leaks"), F.coalesce(told, F.lit("")).alias("leaks"), F.coalesce(F.round(F.array_max(F.transform("leaks", lambda x: x["weight_similarity"])), 6), F.lit(0.0)).alias("best_similarity"), "clean")
+
+
+SQL["op5_benchmark_decontamination"] = r"""
+WITH i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ig AS (SELECT item_id, len(ws) AS n, p, array_to_string(ws[p : p + 4], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS p FROM i WHERE len(ws) > 0)),
+dg AS (SELECT doc_id, len(ws) AS n, p, array_to_string(ws[p : p + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS p FROM d WHERE len(ws) > 0)),
+w AS (SELECT DISTINCT dg.doc_id, dg.p - ig.p AS start, ig.n AS size FROM dg JOIN ig USING (g) WHERE dg.p >= ig.p AND dg.p - ig.p + ig.n <= dg.n),
+wg AS (SELECT w.doc_id, start, size, g, count(*) AS c FROM w JOIN dg ON w.doc_id = dg.doc_id AND p > start AND p <= start + greatest(size - 4, 1) GROUP BY ALL),
+ic AS (SELECT item_id, n, g, count(*) AS c FROM ig GROUP BY ALL),
+m AS (SELECT doc_id, start, size, item_id, sum(least(wg.c, ic.c)) AS b FROM wg JOIN ic ON wg.g = ic.g AND size = n GROUP BY ALL),
+l AS (SELECT *, b / (2 * greatest(size - 4, 1) - b) AS s FROM m WHERE b >= 0.8 * (2 * greatest(size - 4, 1) - b)),
+t AS (SELECT doc_id, count(*) AS n_leaks, string_agg(item_id || ':' || start || ':' || size, ',' ORDER BY start, item_id) AS leaks, max(s) AS best FROM l GROUP BY doc_id)
+SELECT doc_id, coalesce(n_leaks, 0) AS n_leaks, coalesce(leaks, '') AS leaks, coalesce(round(CAST(best AS DOUBLE), 6), 0.0) AS best_similarity, n_leaks IS NULL AS clean FROM d LEFT JOIN t USING (doc_id)
+"""
