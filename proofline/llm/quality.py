@@ -54,9 +54,9 @@ def common_lines(docs: DataFrame, host: str = "source", share: float = LINE_SHAR
 
 
 def _lines(docs: DataFrame, host: str) -> DataFrame:
-    """One row for each distinct normalised line of a text: _host, _text (hash), _line, words and times it occurs are in _n."""
+    """(_host, _text, _line, _words): host, hash of the text, normalised line and its words, for every line with a word."""
     split = docs.select(F.col(host).alias("_host"), F.xxhash64("text").alias("_text"), F.explode(F.split("text", "\n")).alias("_raw"))
-    return split.filter(F.btrim("_raw", F.lit(BLANKS)) != "").select("_host", "_text", line_key(F.col("_raw")).alias("_line"))
+    return split.filter(F.btrim("_raw", F.lit(BLANKS)) != "").select("_host", "_text", line_key(F.col("_raw")).alias("_line"), F.size(words(F.col("_raw"))).alias("_words"))
 
 
 def quality(docs: DataFrame, host: str = "source", share: float = LINE_SHARE, least: int = LINE_DOCS, left: float = LEFT_SHARE) -> DataFrame:
@@ -68,13 +68,15 @@ def quality(docs: DataFrame, host: str = "source", share: float = LINE_SHARE, le
     """
     ours = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "kept", "clean_text"]
     docs = docs.drop(*ours)
-    lines, common = _lines(docs, host).distinct(), common_lines(docs, host, share, least)
+    lines, common = _lines(docs, host), common_lines(docs, host, share, least)
     bad = lines.join(common, lines._host.eqNullSafe(common._host) & (lines._line == common._line), "left_semi")
-    bad = bad.groupBy(F.col("_host").alias("_bad_host"), F.col("_text").alias("_bad_text")).agg(F.collect_set("_line").alias("_bad"))
+    bad = bad.groupBy(F.col("_host").alias("_bad_host"), F.col("_text").alias("_bad_text")).agg(F.collect_set("_line").alias("_bad"), F.sum("_words").alias("_lost"))
+    copies = docs.groupBy(F.col(host).alias("_host"), F.xxhash64("text").alias("_text")).agg(F.count("*").alias("_copies"))
+    bad = bad.join(copies, F.col("_bad_host").eqNullSafe(F.col("_host")) & (F.col("_bad_text") == F.col("_text"))).drop("_host", "_text")
     ruled = text_rules(docs).withColumn("_key", F.xxhash64("text"))
     joined = ruled.join(bad, F.col(host).eqNullSafe(F.col("_bad_host")) & (F.col("_key") == F.col("_bad_text")), "left")
     rest = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_bad", line_key(x))), "\n")
     joined = joined.withColumn("clean_text", F.when(F.col("_bad").isNull(), F.col("text")).otherwise(rest))
-    joined = joined.withColumn("n_left", F.when(F.col("_bad").isNull(), F.col("n_words")).otherwise(F.size(words(F.col("clean_text"))).cast("long")))
+    joined = joined.withColumn("n_left", F.col("n_words") - F.coalesce((F.col("_lost") / F.col("_copies")).cast("long"), F.lit(0)))
     kept = ~F.col("base_failed") & (F.col("n_left") >= LEAST_WORDS) & (F.col("n_left") >= left * F.col("n_words"))
-    return joined.withColumn("kept", kept).drop("_key", "_bad_host", "_bad_text", "_bad")
+    return joined.withColumn("kept", kept).drop("_key", "_bad_host", "_bad_text", "_bad", "_lost", "_copies")
