@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import automata, decontaminate, minhash, mixing, secrets, shards, suffixes
+from proofline.llm import automata, decontaminate, minhash, mixing, recurrent, secrets, shards, suffixes
 from proofline.llm import quality as quality_rules
 
 QUERIES: dict = {}
@@ -177,3 +177,8 @@ l AS (SELECT *, b / (2 * greatest(size - 4, 1) - b) AS s FROM m WHERE b >= 0.8 *
 t AS (SELECT doc_id, count(*) AS n_leaks, string_agg(item_id || ':' || start || ':' || size, ',' ORDER BY start, item_id) AS leaks, max(s) AS best FROM l GROUP BY doc_id)
 SELECT doc_id, coalesce(n_leaks, 0) AS n_leaks, coalesce(leaks, '') AS leaks, coalesce(round(CAST(best AS DOUBLE), 6), 0.0) AS best_similarity, n_leaks IS NULL AS clean FROM d LEFT JOIN t USING (doc_id)
 """
+
+
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent.score(table(spark, sf_dir, "documents"))
