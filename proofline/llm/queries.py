@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import automata, decontaminate, minhash, mixing, recurrent, secrets, shards, suffixes
+from proofline.llm import automata, decontaminate, minhash, mixing, recurrent, secrets, shards, suffixes, tokens
 from proofline.llm import quality as quality_rules
 
 QUERIES: dict = {}
@@ -182,3 +182,8 @@ SELECT doc_id, coalesce(n_leaks, 0) AS n_leaks, coalesce(leaks, '') AS leaks, co
 @query
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
