@@ -1,2 +1,59 @@
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+"""A corpus from raw documents in five stages; each works on all that the one before it kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from proofline.llm import decontaminate, minhash, mixing, quality, shards
+from proofline.llm.shared import written
+
+#: SQL has no way to write the permutation and its checksums; tests/llm holds the stages against brute force instead.
+ORACLE_SQL = None
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, without the lines that are common on their host; n_chars follows the text."""
+    columns = docs.columns
+    kept = quality.quality(docs).filter("kept").withColumn("text", F.col("clean_text"))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near-duplicates, once; documents with a null doc_id stay."""
+    kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.judged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("clean").select(*docs.columns)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target weight asks, in one random order."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the shard and the slot that each goes to."""
+    placed = shards.shard(docs, carry=tuple(c for c in docs.columns if c != "doc_id"))
+    return placed.select(*docs.columns, "shard", "slot")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing_sources", mixing_sources),
+    ("sharding", sharding),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each but the last written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import isqrt
 
 import numpy as np
@@ -68,21 +67,24 @@ def numbered(rows: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
     return joined.withColumn("row_number", F.col("_start") + F.col("_id").bitwiseAND(2**33 - 1)).drop("_id", "_range", "_r", "_start"), total
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, text_crc32, row_number, shard, slot) of every row of docs.
+def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, text_crc32, row_number, shard, slot) of every row of docs, and the columns carry of docs.
 
     Rows are numbered by doc_id (null first), then size and checksum; shard and slot follow from the number, the number
     of rows and the seed alone. Shards differ by one row at most, and their slots run from 0 without a gap. Null text:
-    size 1 and a null checksum. Empty docs: no rows.
+    size 1 and a null checksum. Repeated rows get places of their own; empty docs give no rows. Carried columns with
+    one of the names above are left out.
     """
     text = F.col("text")
-    rows = docs.select(F.col("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    ours = ["doc_id", "size", "text_crc32", "row_number", "shard", "slot"]
+    more = [c for c in carry if c not in ours]
+    rows = docs.select(F.col("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *more)
     rows, n = numbered(rows, ["doc_id", "size", "text_crc32"])
     place = placed(n, shards, seed)
 
-    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["shard"], batch["slot"] = place(batch["row_number"].to_numpy())
-            yield batch
+    @F.pandas_udf("shard int, slot long")
+    def dealt(rows: pd.Series) -> pd.DataFrame:
+        shard, slot = place(rows.to_numpy())
+        return pd.DataFrame({"shard": shard, "slot": slot})
 
-    return rows.mapInPandas(dealt, "doc_id long, size long, text_crc32 long, row_number long, shard int, slot long")
+    return rows.withColumn("_place", dealt("row_number")).select("doc_id", "size", "text_crc32", "row_number", "_place.shard", "_place.slot", *more)
