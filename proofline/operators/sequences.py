@@ -294,7 +294,7 @@ def adjacent_similarity(df: DataFrame, project: str, order: str, features: str)
 def sample_curve(df: DataFrame, frames: int) -> DataFrame:
     """(project_id, pos, frame, x, y): smoothstep between (x0, y0) and (x1, y1)."""
     rows = df.withColumn("frame", F.expr(f"explode(sequence(0, {frames - 1}))")).withColumn("_u", F.expr(f"frame / {frames - 1}D")).withColumn("_u", F.expr("_u * _u * (3 - 2 * _u)"))
-    return rows.selectExpr(P, O, "frame", "round(x0 + (x1 - x0) * _u, 4) as x", "round(y0 + (y1 - y0) * _u, 4) as y")
+    return rows.selectExpr(P, O, "frame", "round(x0 + (x1 - x0) * _u, 6) as x", "round(y0 + (y1 - y0) * _u, 6) as y")
 
 
 def stable_choice(df: DataFrame, seed: str, text: str, options: list[str]) -> DataFrame:

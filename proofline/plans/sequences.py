@@ -283,9 +283,9 @@ def win36_removable(t):
     return O.removable(t.lineitem, "l_orderkey", 3, ["l_quantity", "l_extendedprice", "l_linenumber"]).select("l_orderkey", "l_linenumber")
 
 
-@query(lagged("SELECT project_id, pos, frame, round(x0 + (x1 - x0) * u * u * (3 - 2 * u), 4) AS x, round(y0 + (y1 - y0) * u * u * (3 - 2 * u), 4) AS y FROM (SELECT project_id, pos, frame, frame / 4 AS u, dur AS x0, asset::DOUBLE AS x1, asset / 2 AS y0, dur / 2 AS y1 FROM (SELECT *, unnest(range(5)) AS frame FROM sh))"))
+@query(lagged("SELECT project_id, pos, frame, round(x0 + (x1 - x0) * u * u * (3 - 2 * u), 6) AS x, round(y0 + (y1 - y0) * u * u * (3 - 2 * u), 6) AS y FROM (SELECT project_id, pos, frame, frame / 5 AS u, dur AS x0, asset::DOUBLE AS x1, asset / 2 AS y0, dur / 2 AS y1 FROM (SELECT *, unnest(range(6)) AS frame FROM sh))"))
 def jsn17_sample_curve(t):
-    return O.sample_curve(shots(t).selectExpr("project_id", "pos", "dur as x0", "cast(asset as double) as x1", "asset / 2 as y0", "dur / 2 as y1"), 5)
+    return O.sample_curve(shots(t).selectExpr("project_id", "pos", "dur as x0", "cast(asset as double) as x1", "asset / 2 as y0", "dur / 2 as y1"), 6)
 
 
 @query(lagged("SELECT project_id, pos, ['pan', 'zoom', 'hold', 'cut'][CAST(('0x' || substr(sha256('seed:' || pos || ':' || mode), 1, 8))::BIGINT % 4 AS INT) + 1] AS choice FROM sh"))
@@ -293,8 +293,8 @@ def jsn18_stable_choice(t):
     return O.stable_choice(shots(t), "seed", "mode", ["pan", "zoom", "hold", "cut"]).select("project_id", "pos", "choice")
 
 
-@query("""WITH e AS (SELECT user_id AS project_id, epoch_us(ts) AS at FROM events WHERE event_type = 'error'), c AS (SELECT DISTINCT user_id AS project_id, epoch_us(ts) AS cut FROM events WHERE event_type = 'click'),
-n AS (SELECT e.project_id, at, arg_min(cut, (abs(at - cut), cut)) AS cut FROM (SELECT DISTINCT * FROM e) e LEFT JOIN c USING (project_id) GROUP BY ALL) SELECT e.project_id, e.at, n.cut, abs(e.at - n.cut) AS distance FROM e JOIN n ON e.project_id = n.project_id AND e.at = n.at""")
+@query("""WITH e AS (SELECT user_id AS project_id, epoch_us(ts) AS "at" FROM events WHERE event_type = 'error'), c AS (SELECT DISTINCT user_id AS project_id, epoch_us(ts) AS cut FROM events WHERE event_type = 'click'),
+n AS (SELECT e.project_id, "at", arg_min(cut, (abs("at" - cut), cut)) AS cut FROM (SELECT DISTINCT * FROM e) e LEFT JOIN c USING (project_id) GROUP BY ALL) SELECT e.project_id, e."at", n.cut, abs(e."at" - n.cut) AS distance FROM e JOIN n ON e.project_id = n.project_id AND e."at" = n."at" """)
 def joi11_nearest_boundary(t):
     at = t.events.selectExpr("user_id as project_id", "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz)) as at", "event_type")
     return O.nearest_boundary(at.filter("event_type = 'error'"), at.filter("event_type = 'click'"))
