@@ -1,0 +1,308 @@
+"""Operators of the llm subpackage against brute force, on small fixtures with nulls, empties, ties and repeats."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+
+from proofline.llm import automata, decontaminate, minhash, mixing, quality, recurrent, secrets, shards, suffixes, tokens
+from proofline.llm.arrays import runs, split, windows
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def corpus(n=60, seed=3):
+    """Texts that share passages, copies with edits, and odd rows."""
+    rng = random.Random(seed)
+    vocabulary = ["w%d" % i for i in range(400)]
+    passages = [" ".join(rng.choices(vocabulary, k=rng.choice([14, 60, 80]))) for _ in range(6)]
+    texts = []
+    for i in range(n):
+        own = [" ".join(rng.choices(vocabulary, k=rng.randint(5, 60))) for _ in range(3)]
+        if i % 3 == 0:
+            own.insert(rng.randint(0, 3), rng.choice(passages))
+        texts.append("\n".join(own))
+    for i in (1, 4, 7):
+        edited = texts[i].split()
+        edited[len(edited) // 2] = "edited"
+        texts += [texts[i], " ".join(edited)]
+    texts += [None, "", "  \n ", "one", "One two", "one two", "é ü ß " * 30, "same " * 40]
+    return [(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+def copied(rows, length):
+    """Per document the words covered by windows that start in a document with a smaller id."""
+    first = {}
+    for i, t, *_ in rows:
+        ws = words_of(t)
+        for k in range(len(ws) - length + 1):
+            first.setdefault(tuple(ws[k : k + length]), i)
+    out = {}
+    for i, t, *_ in rows:
+        ws, gone = words_of(t), set()
+        for k in range(len(ws) - length + 1):
+            if first[tuple(ws[k : k + length])] < i:
+                gone |= set(range(k, k + length))
+        out[i] = (len(ws), len(gone), " ".join(w for k, w in enumerate(ws) if k not in gone))
+    return out
+
+
+@pytest.mark.parametrize("dedup, length", [(automata.without_copied_spans, 13), (suffixes.without_repeated_passages, 50)])
+def test_copied_spans(docs, rows, dedup, length):
+    expected = copied(rows, length)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in dedup(docs).collect()}
+    assert got == expected
+    assert any(n for _, n, _ in expected.values())
+
+
+def test_copied_spans_null_ids_and_repeats(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), (1, text), (None, text), (2, "x " + text)]
+    got = sorted((r.doc_id or 99, r.n_removed) for r in automata.without_copied_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0), (1, 0), (2, 30), (99, 30)]
+
+
+def test_automaton_statistics():
+    rng = random.Random(1)
+    for _ in range(30):
+        refs = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(3, 12))] for _ in range(4)]
+        automaton = automata.SuffixAutomaton()
+        for doc, ref in enumerate(refs):
+            automaton.add(ref, doc)
+        automaton.finish()
+        text = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(20)]
+        for end, (matched, least) in enumerate(automaton.statistics(text, 3)):
+            holds = lambda n: [d for d, r in enumerate(refs) if any(r[k : k + n] == text[end + 1 - n : end + 1] for k in range(len(r) - n + 1))]  # noqa: E731, B023
+            longest = max([n for n in range(1, end + 2) if holds(n)], default=0)
+            assert matched == longest
+            assert least == (min(holds(3)) if longest >= 3 else automata.LAST)
+
+
+def near(rows):
+    sets = {}
+    for i, t, *_ in rows:
+        ws = words_of("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {tuple(ws[k : k + 4]) for k in range(len(ws) - 3)} if len(ws) >= 4 else {tuple(ws)} if ws else set()
+    label = {i: i for i in sets}
+    changed = True
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            if {label[a], label[b]} != {low}:
+                label[a] = label[b] = low
+                changed = True
+    return {i: (len(s), label[i], label[i] == i) for i, s in sets.items()}
+
+
+def test_near_duplicates(docs, rows):
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == near(rows)
+
+
+def test_near_duplicates_chain(spark):
+    """Links from one text to the next, where the ends are not linked."""
+    base = [f"t{i}" for i in range(200)]
+    rows = [(9 - k, " ".join(base[3 * k : 3 * k + 120])) for k in range(9)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c, _) in near(rows).items()}
+    odd = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (7, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(odd).collect())
+    assert got == [(0, 0, True), (5, 5, True), (5, 5, True), (7, 7, True)]
+
+
+def test_hot_keys_in_blocks(docs, rows, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == {i: c for i, (_, c, _) in near(rows).items()}
+
+
+def test_quality_rules(spark):
+    good = lambda k: "\n".join([" ".join("abcdefgh"[k] + "uvwxyz"[i % 6] + "klmnopqrst"[i // 6] for i in range(60)), "All rights reserved 12"])
+    rows = [(i, good(i), "h", "x") for i in range(6)] + [(10, None, "h", "x"), (11, "", None, "x"), (12, "a b c " * 40, "h", "x"), (13, "#x $y\n#x $y\n\n", "h", "x"), (0, good(0), "h", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, kept string")
+    got = {r.doc_id: r for r in quality.quality(df, share=0.5, least=2).collect()}
+    assert df.count() == quality.quality(df).count()
+    assert all(got[i].kept and got[i].clean_text == good(i).split("\n")[0] and got[i].n_left == 60 for i in range(6))
+    assert (got[12].n_repeat_words, got[12].base_failed, got[12].n_words) == (120, True, 120)
+    assert (got[13].n_symbols, got[13].n_dup_lines, got[13].word_chars, got[13].n_repeat_words) == (4, 1, 8, 0)
+    assert (got[10].n_words, got[10].kept, got[11].n_words) == (0, False, 0)
+
+
+def test_secrets(spark):
+    access, token = "AKIA" + "ABCDEFGH1234", "Zx9" * 8
+    rows = [
+        (1, f"é {access} then {token} end"), (2, f"{token} alone"), (3, f"{access}" + " " * 400 + token), (4, 'PassWord = "abcdefgh" token=short'), (5, None), (6, ""),
+        (7, "user: bob99 at https://x.example/a with " + token), (8, "token: pass token=secret: abcdefghij"), (1, f"é {access} then {token} end"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    told = secrets.secrets(df).select("doc_id", secrets.span_text(secrets.F.col("secret_spans")).alias("s")).collect()
+    got = {r.doc_id: r.s for r in told}
+    assert len(told) == len(rows)
+    assert got[1] == "access:2:18,bearer:24:48" and got[2] == "" and got[3] == "access:0:16"
+    assert got[4] == "assign:0:20" and got[5] == got[6] == ""
+    assert got[7] == "account:0:11,endpoint:15:34,bearer:40:64"
+    for i, text in rows:
+        if text:
+            base = [f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", text, re.I) if len(m[2]) >= 8]
+            assert [s for s in got[i].split(",") if s.startswith("assign")] == base
+
+
+def test_mixing(docs, rows, spark):
+    mixed = mixing.mix(docs).collect()
+    counts = Counter(r.doc_id for r in mixed)
+    rate = {r.doc_id: r.mix_rate for r in mixed}
+    for i in counts:
+        u, k, p = int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:13], 16) / 2**52, 0, math.exp(-rate[i])
+        total = p
+        while total <= u:
+            k += 1
+            p *= rate[i] / k
+            total += p
+        assert counts[i] == k
+    many = spark.createDataFrame([(i, "x" * 9, "a" if i % 3 else "b") for i in range(3000)], "doc_id long, text string, source string")
+    weights = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "source string, weight double")
+    share = Counter(r.source for r in mixing.mix(many, weights).collect())
+    assert abs(share["b"] / 3000 - 0.75) < 0.05 and abs(share["a"] / 3000 - 0.25) < 0.05
+    large = mixing.mix(many.filter("doc_id = 1"), epochs=900.0).count()
+    assert 700 < large < 1100
+    empty = docs.filter("false")
+    assert mixing.mix(empty).count() == 0 and mixing.mix(docs.withColumn("mix_key", mixing.F.lit(1))).columns.count("mix_key") == 1
+
+
+def test_sharding(docs, rows, spark):
+    placed = shards.shard(docs).collect()
+    by = Counter(r.shard for r in placed)
+    assert max(by.values()) - min(by.values()) <= 1 and len(placed) == len(rows)
+    for s in by:
+        assert sorted(r.slot for r in placed if r.shard == s) == list(range(by[s]))
+    text = {i: t for i, t, *_ in rows}
+    assert all(r.size == len((text[r.doc_id] or "").encode()) + 1 and r.text_crc32 == (None if text[r.doc_id] is None else zlib.crc32(text[r.doc_id].encode())) for r in placed)
+    again = {(r.doc_id, r.shard, r.slot) for r in shards.shard(docs.repartition(7)).collect()}
+    assert again == {(r.doc_id, r.shard, r.slot) for r in placed}
+    odd = spark.createDataFrame([(None, "a", 1), (None, None, 2), (3, "b", 3), (3, "b", 3)], "doc_id long, text string, shard int")
+    assert sorted((r.shard, r.slot) for r in shards.shard(odd, 3, carry=("shard",)).collect()) == [(0, 0), (0, 1), (1, 0), (2, 0)]
+    assert shards.shard(odd.filter("false")).count() == 0
+    for n in (1, 2, 7, 100, 1000):
+        assert sorted(shards.permuted(range(n), n)) == list(range(n))
+
+
+def test_token_counts(docs, rows):
+    encoding = tokens.encoder(tokens.vocabulary_path())
+    expected = {i: len(encoding.encode_ordinary(t or "")) for i, t, *_ in rows}
+    for block in (7, 100_000):
+        got = tokens.token_counts(docs, block=block).collect()
+        assert {r.doc_id: r.n_tokens for r in got} == expected and len(got) == len(rows)
+    assert tokens.token_counts(docs.filter("false")).count() == 0
+
+
+def test_separator_scan_without_last_separator(spark):
+    import numpy as np
+
+    content = np.array([5, 6, 0, 0, 7, 0, 8, 9, 1], "<u2").tobytes()
+    files = spark.createDataFrame([(0, bytearray(content)), (1, bytearray(b"")), (2, bytearray(content[:12]))], "file int, content binary")
+    for block in (1, 2, 4, 100):
+        got = sorted((r.file, r.doc_no, r.first_token, r.n_tokens) for r in tokens.scan(files, block).collect())
+        assert got == [(0, 0, 0, 2), (0, 1, 3, 0), (0, 2, 4, 1), (0, 3, 6, 3), (2, 0, 0, 2), (2, 1, 3, 0), (2, 2, 4, 1)]
+
+
+def test_decontamination(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((20, 36, 3, 50))] + [(9, None)]
+    edited = items[3][1].split()
+    edited[0] = "other"
+    docs = [(1, "x y z " + items[0][1].upper() + " end"), (2, " ".join(edited)), (3, " ".join(items[1][1].split()[:20])), (4, None), (5, ""), (6, "p " + items[2][1]), (7, " ".join(word() for _ in range(90)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("leaks", decontaminate.F.lit(0))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: sorted((x.item_id, x.start) for x in r.leaks or []) for r in decontaminate.judged(df, bench).collect()}
+
+    def brute(text):
+        out, ws = [], words_of((text or "").lower())
+        grams = lambda x: Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4)) if len(x) >= 5 else Counter([tuple(x)] if x else [])
+        for k, item in items:
+            iw = words_of((item or "").lower())
+            for s in range(len(ws) - len(iw) + 1) if iw else []:
+                a, b = grams(ws[s : s + len(iw)]), grams(iw)
+                if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                    out.append((k, s))
+        return out
+
+    for i, text in docs:
+        assert set(got[i]) <= set(brute(text)) and bool(got[i]) == bool(brute(text))
+    assert (0, 3) in got[1] and got[2] == [(3, 0)] and not got[3] and not got[7]
+    assert decontaminate.judged(df, bench.filter("false")).filter("clean").count() == len(docs)
+
+
+def test_recurrent_scores(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(w for _ in range(rng.randint(2, 12)) for w in ("The", rng.choice(["cat", "dog", "owl"]), rng.choice(["sat", "ran"]), "."))) for i in range(900)] + [(1000, None), (1001, ""), (None, "the cat")]
+    got = recurrent.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    train = Counter()
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
+    tokens_of = lambda t: [w.lower() for w in words_of(t)] + [None]
+    for i, t in rows:
+        if not held(i):
+            train.update(tokens_of(t))
+    n, v = sum(train.values()), len(train)
+    text = dict(rows)
+    for r in got:
+        own = tokens_of(text[r.doc_id])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(own), sum(train[w] > 0 for w in own), n)
+        assert r.base_score == pytest.approx(sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own), abs=1e-6)
+    out = [r for r in got if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    assert recurrent.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_recurrent_gradient():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    share = np.full(recurrent.CLASSES, 1 / recurrent.CLASSES)
+    x, y = (rng.integers(0, recurrent.CLASSES, (4, 3)) for _ in range(2))
+    live = np.ones(x.shape, bool)
+    model = recurrent.Gru.new(share)
+    flat = model.flat().astype(np.float64)
+
+    def loss(flat):
+        m, h, total = recurrent.Gru.of(flat), np.zeros((3, recurrent.HIDDEN), np.float32), 0.0
+        for a, b in zip(x, y):
+            h = m.step(a, h)[0]
+            total -= m.log_softmax(h)[np.arange(3), b].astype(np.float64).sum()
+        return total
+
+    model.learn(x, y, live, np.zeros((3, recurrent.HIDDEN), np.float32), 1.0)
+    slope = (flat - model.flat()) * x.size
+    for at in rng.integers(0, len(flat), 40):
+        step = np.zeros(len(flat))
+        step[at] = 1e-2
+        assert slope[at] == pytest.approx((loss(flat + step) - loss(flat - step)) / 2e-2, abs=2e-3)
+
+
+def test_windows_agree_with_words():
+    texts = [b"a b c d", b"", b"  x\ty\nz a b c d ", "é b c d".encode()]
+    words = split(texts)
+    assert [words.joined([(b, e)]) for b, e in zip(words.first[:-1], words.first[1:])] == [b"a b c d", b"", b"x y z a b c d", "é b c d".encode()]
+    hashed = windows(words.hash, 4)
+    assert hashed[0] == hashed[7] and hashed[0] != hashed[11]
+    assert list(map(list, runs(words.hash == words.hash[0]))) == [[0, 7], [1, 8]]
