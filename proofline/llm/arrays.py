@@ -52,15 +52,9 @@ class Words:
         """Whether the n words from each word on are of one text."""
         return np.arange(len(self.hash)) + n <= np.repeat(self.first[1:], np.diff(self.first))
 
-    def joined(self, words: np.ndarray) -> bytes:
-        """The given words (rising), joined by one space."""
-        if not len(words):
-            return b""
-        length = self.end[words] - self.start[words] + 1
-        at = np.repeat(self.start[words] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-        out = self.buffer[np.minimum(at, len(self.buffer) - 1)].copy()
-        out[np.cumsum(length) - 1] = 32
-        return out[:-1].tobytes()
+    def joined(self, spans: list[tuple[int, int]]) -> bytes:
+        """The words of the spans (begin, end), joined by one space."""
+        return b" ".join(w for b, e in spans if e > b for w in self.buffer[self.start[b] : self.end[e - 1]].tobytes().split())
 
 
 def split(texts: list[bytes], lower: bool = False) -> Words:
@@ -96,6 +90,12 @@ def sliding(x: np.ndarray, n: int, least: bool) -> np.ndarray:
     return out
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values of x, sorted."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))

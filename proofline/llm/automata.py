@@ -23,36 +23,35 @@ class SuffixAutomaton:
         self.link, self.length, self.least = [-1], [0], [LAST]
         self.last, self.words = 0, {}
 
-    def _state(self, following: dict[int, int], link: int, length: int, doc: int) -> int:
-        self.next.append(following)
-        self.link.append(link)
-        self.length.append(length)
-        self.least.append(doc)
-        return len(self.next) - 1
-
-    def _extend(self, word: int, doc: int) -> None:
-        new = self._state({}, 0, self.length[self.last] + 1, doc)
-        at = self.last
-        while at >= 0 and word not in self.next[at]:
-            self.next[at][word] = new
-            at = self.link[at]
-        if at >= 0:
-            old = self.next[at][word]
-            if self.length[old] == self.length[at] + 1:
-                self.link[new] = old
-            else:
-                copy = self._state(dict(self.next[old]), self.link[old], self.length[at] + 1, self.least[old])
-                while at >= 0 and self.next[at].get(word) == old:
-                    self.next[at][word] = copy
-                    at = self.link[at]
-                self.link[old] = self.link[new] = copy
-        self.last = new
-
     def add(self, passage: list[bytes], doc: int) -> None:
         """Passages are parted by a word of their own, so that no match runs from one to the next."""
-        for word in passage:
-            self._extend(self.words.setdefault(word, len(self.words)), doc)
-        self._extend(-len(self.next), LAST)
+        following, link, length, least, last, codes = self.next, self.link, self.length, self.least, self.last, self.words
+        for word in [*[codes.setdefault(w, len(codes)) for w in passage], -len(following)]:
+            new = len(following)
+            following.append({})
+            link.append(0)
+            length.append(length[last] + 1)
+            least.append(doc if word >= 0 else LAST)
+            at, last = last, new
+            while at >= 0 and word not in following[at]:
+                following[at][word] = new
+                at = link[at]
+            if at < 0:
+                continue
+            old = following[at][word]
+            if length[old] == length[at] + 1:
+                link[new] = old
+                continue
+            copy = len(following)
+            following.append(following[old].copy())
+            link.append(link[old])
+            length.append(length[at] + 1)
+            least.append(least[old])
+            while at >= 0 and following[at].get(word) == old:
+                following[at][word] = copy
+                at = link[at]
+            link[old] = link[new] = copy
+        self.last = last
 
     def finish(self) -> None:
         for state in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
@@ -113,7 +112,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Dat
                 ends = np.append(begins[1:], len(here))
                 passages: dict[tuple, list[int]] = {}
                 for b, e in zip(here[begins], here[ends - 1]):
-                    passage = words.joined(np.arange(at[b], at[e] + length))
+                    passage = words.joined([(at[b], at[e] + length)])
                     passages.setdefault((passage, int(shard[b]), int(salts[b])), []).append(b)
                 for (passage, part, n), at_windows in passages.items():
                     for salt in range(n) if ref else [g % n]:
@@ -165,12 +164,16 @@ def cut(groups: DataFrame, spans: DataFrame) -> DataFrame:
         out: dict[str, list] = defaultdict(list)
         for d, row in enumerate(table["row"].to_pylist()):
             first, n = words.first[d], int(words.first[d + 1] - words.first[d])
-            own = np.array(of_row.get(row, []), np.int64).reshape(-1, 2)
-            gone = covered(n, own[:, 0], own[:, 1])
+            gone, text = [], b" ".join(texts[d].split())
+            if row in of_row:
+                own = np.array(of_row[row], np.int64)
+                gone = [(int(b), int(e)) for b, e in zip(*runs(covered(n, own[:, 0], own[:, 1])))]
+                edges = [0, *(x for span in gone for x in span), n]
+                text = words.joined([(first + b, first + e) for b, e in zip(edges[::2], edges[1::2])])
             out["n_words"].append(n)
-            out["n_removed"].append(int(gone.sum()))
-            out["kept_text"].append(words.joined(first + np.flatnonzero(~gone)).decode("utf-8"))
-            out["removed"].append([{"begin": int(b), "end": int(e)} for b, e in zip(*runs(gone))] if len(own) else [])
+            out["n_removed"].append(sum(e - b for b, e in gone))
+            out["kept_text"].append(text.decode("utf-8"))
+            out["removed"].append([{"begin": b, "end": e} for b, e in gone])
         kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.string(), "removed": pa.list_(pa.struct({"begin": pa.int64(), "end": pa.int64()}))}
         return pa.table({"doc_id": table["doc_id"]} | {k: pa.array(out[k], t) for k, t in kinds.items()})
 

@@ -100,9 +100,17 @@ def repeated_anchors(groups: DataFrame, buckets: int, scheme: Scheme) -> DataFra
         asked = [np.frombuffer(k, np.uint32) for k in table["keys"].to_pylist()]
         many = [np.unpackbits(np.frombuffer(m, np.uint8))[: len(k)].astype(bool) for m, k in zip(table["many"].to_pylist(), asked)]
         every = np.concatenate(asked)
-        unique, count = np.unique(every, return_counts=True)
-        twice = np.union1d(unique[count > 1], every[np.concatenate(many)])
-        keys = [_blob(k[np.isin(k, twice)]) for k in asked]
+        order = np.argsort(every)
+        ranked = every[order]
+        more = np.zeros(len(every), bool)
+        same = ranked[1:] == ranked[:-1]
+        more[1:] = same
+        more[:-1] |= same
+        hit = np.empty(len(every), bool)
+        hit[order] = more
+        hit |= np.concatenate(many)
+        ends = np.cumsum([len(k) for k in asked])
+        keys = [_blob(k[hit[e - len(k) : e]]) for k, e in zip(asked, ends)]
         return pa.table({"g": table["g"], "bucket": table["bucket"], "keys": pa.array(keys, pa.binary())}).filter(pa.array([bool(k) for k in keys], pa.bool_()))
 
     asked = groups.groupBy("g").applyInArrow(ask, "g int, bucket int, keys binary, many binary")
