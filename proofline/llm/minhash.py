@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from proofline.llm.arrays import Words, bucket_of, cuts, mixed, split, windows
+from proofline.llm.arrays import Words, cuts, distinct, mixed, split, windows
 from proofline.llm.repeats import LAST, dealt, texts_of
 from proofline.llm.shared import connected, written
 
@@ -20,6 +20,10 @@ from proofline.llm.shared import connected, written
 PLACES, CHUNKS = 128, 23
 RADIUS = 2 * CHUNKS - 1
 SHINGLE, PERCENT = 4, 80
+#: Bits of the sketch of a shingle set: each is the parity of the shingles that fall on it.
+BITS = 1_024
+#: Entries of a key that are compared with each other at a time.
+BLOCK = 4_096
 
 _rng = np.random.default_rng(20_240_607)
 _FACTORS = _rng.integers(0, 2**64, PLACES, dtype=np.uint64) | np.uint64(1)
@@ -69,6 +73,11 @@ def chunk_keys(signature: np.ndarray) -> np.ndarray:
     return mixed(whole[:, _CHUNK_OF] - parts + _TAGS)
 
 
+def sketch(shingle_set: np.ndarray) -> bytes:
+    """Parities of a set. Where two sketches differ, the sets differ by a shingle at least, so the sketches differ in no more bits than the sets in shingles."""
+    return np.packbits(np.bincount((mixed(shingle_set) >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
 def _first_texts(texts: list[bytes], ids: list[int]) -> tuple[list[int], list[int]]:
     """Rows that are the first with their text (texts in order of id; null ids are left out), and for every row that first row's id."""
     first: dict[bytes, int] = {}
@@ -77,10 +86,10 @@ def _first_texts(texts: list[bytes], ids: list[int]) -> tuple[list[int], list[in
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, id, n_shingles, same, signature, keys, text) of every row of docs.
+    """(doc_id, id, n_shingles, same, signature, sketch, keys, text) of every row of docs.
 
     same is the first document of the group with the same text in lower case. Rows that are that document and share a
-    chunk key with another have signature, the shared keys and text; the others have none of these.
+    chunk key with another have signature, sketch, the shared keys and text; the others have none of these.
     """
     groups, buckets = dealt(docs)
 
@@ -112,27 +121,28 @@ def signed(docs: DataFrame) -> DataFrame:
         lowered = [t.lower() for t in texts]
         firsts, same = _first_texts(lowered, ids)
         hashes, first = shingles(split(lowered, lower=True))
-        n = [len(np.unique(hashes[b:e])) for b, e in zip(first[:-1], first[1:])]
+        sets = [distinct(hashes[b:e]) for b, e in zip(first[:-1], first[1:])]
+        n = [len(x) for x in sets]
         keep = np.array([i for i in firsts if n[i]], np.int64)
         hashes, first = shingles(split([texts[i] for i in keep], lower=True))
         signature = signatures(hashes, first)
         keys = chunk_keys(signature) if len(keep) else np.zeros((0, PLACES), np.uint64)
-        unique = np.unique(keys)
+        unique = distinct(keys.ravel())
         shared, cut = np.zeros(len(unique), bool), cuts(unique, buckets)
         for b, mask in zip(answers["bucket"].to_pylist(), answers["mask"].to_pylist()):
             shared[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(mask, np.uint8))[: cut[b + 1] - cut[b]]
         hit = shared[np.searchsorted(unique, keys)] if len(keep) else np.zeros((0, PLACES), bool)
-        rows: list = [(None, None, None)] * len(ids)
+        rows: list = [(None, None, None, None)] * len(ids)
         for k in np.flatnonzero(hit.any(axis=1)):
-            rows[keep[k]] = (signature[k].tobytes(), keys[k][hit[k]].view(np.int64), lowered[keep[k]])
+            rows[keep[k]] = (signature[k].tobytes(), keys[k][hit[k]].view(np.int64), lowered[keep[k]], sketch(sets[keep[k]]))
         return pa.table({
             "doc_id": table["doc_id"], "id": table["id"], "n_shingles": pa.array(n, pa.int64()), "same": pa.array(same, pa.int64()),
-            "signature": pa.array([r[0] for r in rows], pa.binary()), "keys": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "text": pa.array([r[2] for r in rows], pa.binary()),
+            "signature": pa.array([r[0] for r in rows], pa.binary()), "sketch": pa.array([r[3] for r in rows], pa.binary()), "keys": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "text": pa.array([r[2] for r in rows], pa.binary()),
         })
 
     answers = groups.groupBy("g").applyInArrow(ask, "g int, bucket int, keys binary, many binary").groupBy("bucket").applyInArrow(answer, "g int, bucket int, mask binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(tell, f"doc_id {kind}, id long, n_shingles long, same long, signature binary, keys array<long>, text binary")
+    return groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(tell, f"doc_id {kind}, id long, n_shingles long, same long, signature binary, sketch binary, keys array<long>, text binary")
 
 
 def near_signatures(pairs: DataFrame, signatures: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -148,6 +158,77 @@ def near_signatures(pairs: DataFrame, signatures: DataFrame, radius: int = RADIU
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(measure, "a long, b long, apart int")
 
 
+def _first_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of signatures that share a key, the first that they share."""
+    differ = a != b
+    errors = np.add.reduceat(differ, _CHUNK_STARTS, axis=1, dtype=np.int32)
+    chunk = np.argmax(errors <= 1, axis=1)
+    rows = np.arange(len(a))
+    place = np.where(errors[rows, chunk] == 0, _CHUNK_STARTS[chunk], np.argmax(differ & (_CHUNK_OF == chunk[:, None]), axis=1))
+    return chunk_keys(a)[rows, place].view(np.int64)
+
+
+def pairs_across(entries: DataFrame, signatures: DataFrame, nearest: bool, radius: int = RADIUS) -> DataFrame:
+    """(a, b, apart, part_a, part_b): all pairs of entries (key, id, part, n_shingles) with one key, other parts and sizes that allow a link.
+
+    Only pairs within radius whose sketches allow a link leave a task, each at the first key that it shares; with nearest, a task tells only the
+    nearest pair of each document and part. A key's entries are dealt to blocks of
+    BLOCK, and a task compares two blocks, so that no key has to fit into a task.
+    """
+    buckets = 16 * int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mixed_keys = entries.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), F.count("*").alias("_n")).filter("_low < _high")
+    entries = entries.join(mixed_keys.select("key", F.ceil(F.col("_n") / BLOCK).alias("_blocks")), "key").join(signatures.select("id", "signature", "sketch"), "id")
+    entries = entries.withColumn("block", F.pmod(F.xxhash64("id"), "_blocks")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    entries = entries.withColumns({"i": F.least("block", "_other"), "j": F.greatest("block", "_other")})
+    entries = entries.select(F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)).cast("int").alias("bucket"), "key", "i", "j", "block", "id", "part", "n_shingles", "signature", "sketch")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        columns = {c: table[c].to_numpy() for c in ("key", "i", "j", "block", "id", "part", "n_shingles")}
+        order = np.lexsort([columns[c] for c in ("block", "j", "i", "key")])
+        k, i, j, block, ids, parts, n = (columns[c][order] for c in columns)
+        signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(-1, PLACES)[order]
+        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(-1, BITS // 64)[order]
+        edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
+        found: list[np.ndarray] = []
+        for begin, end in zip(edge[:-1], edge[1:]):
+            if parts[begin] == parts[begin:end].max() == parts[begin:end].min():
+                continue
+            split_at = end if i[begin] == j[begin] else begin + int(np.searchsorted(block[begin:end], j[begin]))
+            right = slice(begin, end) if i[begin] == j[begin] else slice(split_at, end)
+            for row in range(begin, split_at, 512):
+                rows = slice(row, min(row + 512, split_at))
+                low, high = np.minimum(n[rows, None], n[None, right]), np.maximum(n[rows, None], n[None, right])
+                far = (parts[rows, None] != parts[None, right]) & (100 * low >= PERCENT * high)
+                if i[begin] == j[begin]:
+                    far &= ids[rows, None] < ids[None, right]
+                x, y = np.nonzero(far)
+                x, y = x + row, y + right.start
+                for cut in range(0, len(x), 65_536):
+                    u, v = x[cut : cut + 65_536], y[cut : cut + 65_536]
+                    apart = (signature[u] != signature[v]).sum(axis=1)
+                    near = apart <= radius
+                    u, v, apart = u[near], v[near], apart[near]
+                    differ = np.bitwise_count(sketches[u] ^ sketches[v]).sum(axis=1, dtype=np.int64)
+                    near = differ * (100 + PERCENT) <= (n[u] + n[v]) * (100 - PERCENT)
+                    u, v, apart = u[near], v[near], apart[near]
+                    if len(u):
+                        first = _first_keys(signature[u], signature[v]) == k[begin]
+                        u, v, apart = u[first], v[first], apart[first]
+                        u, v = np.where(ids[u] < ids[v], [u, v], [v, u])
+                        found.append(np.column_stack([ids[u], ids[v], apart, parts[u], parts[v]]))
+        out = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
+        if nearest and len(out):
+            firsts = np.zeros(len(out), bool)
+            for of, to in ((0, 4), (1, 3)):
+                order = np.lexsort((out[:, 1 - of], out[:, 2], out[:, to], out[:, of]))
+                new = (np.diff(out[order][:, [of, to]], axis=0, prepend=-1) != 0).any(axis=1)
+                firsts[order[new]] = True
+            out = out[firsts]
+        return pa.table({c: pa.array(out[:, k], pa.int64()) for k, c in enumerate(("a", "b", "apart", "part_a", "part_b"))})
+
+    return entries.groupBy("bucket").applyInArrow(compare, "a long, b long, apart long, part_a long, part_b long")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets share percent of their union or more."""
 
@@ -159,7 +240,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
                 texts: dict[bytes, int] = {}
                 at = [[texts.setdefault(t, len(texts)) for t in part[c].to_pylist()] for c in ("ta", "tb")]
                 hashes, first = shingles(split(list(texts), lower=True))
-                sets = [np.unique(hashes[b:e]) for b, e in zip(first[:-1], first[1:])]
+                sets = [distinct(hashes[b:e]) for b, e in zip(first[:-1], first[1:])]
                 for i, j in zip(*at):
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     good.append(100 * both >= percent * (len(sets[i]) + len(sets[j]) - both))
@@ -175,8 +256,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts are lower-cased (A-Z) and linked if their sets of four-word shingles share 80 percent of their union; the
     component is named by its smallest doc_id. Candidates are all pairs whose signatures differ in RADIUS places at
     most. First every document is compared with the nearest first holder of its chunk keys; what is linked so needs
-    no further pair inside. Then all candidates between different components are compared, the nearest between a
-    document and a component first. Texts without words link with nothing; so do rows with a null doc_id, whose
+    no further pair inside. Then the nearest candidates between a document and another component are compared, and at
+    last all candidates between the components that are left. Texts without words link with nothing; so do rows with a null doc_id, whose
     component is null and which are kept; rows that share a doc_id share its component. Empty docs: no rows.
     """
     told = written(signed(docs), "signed")
@@ -193,21 +274,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def label_of(df: DataFrame, column: str, name: str, labels: DataFrame) -> DataFrame:
         return df.join(labels.select(F.col("node").alias(column), F.col("label").alias("_l")), column, "left").withColumn(name, F.coalesce("_l", column)).drop("_l")
 
-    marked = label_of(entries, "id", "part", labels)
-    mixed_keys = marked.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).filter("_low < _high").select("key")
-    open_entries = marked.join(mixed_keys, "key", "left_semi")
-    left, right = (open_entries.select("key", F.col("id").alias(c), F.col("part").alias(f"part_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
-    across = left.join(right, "key").filter(f"a < b and part_a <> part_b and 100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-    across = written(near_signatures(across.select("a", "b").distinct(), held), "across")
-    if not across.isEmpty():
-        parted = label_of(label_of(across, "a", "part_a", labels), "b", "part_b", labels)
-        rank = [F.row_number().over(Window.partitionBy(x, f"part_{y}").orderBy("apart", y)) for x, y in (("a", "b"), ("b", "a"))]
-        ranked = written(parted.withColumn("first", (rank[0] == 1) | (rank[1] == 1)), "ranked")
-        links = written(links.union(confirmed(ranked.filter("first"), held)), "links")
-        labels = connected(links)
-        rest = label_of(label_of(ranked.filter("not first").select("a", "b"), "a", "part_a", labels), "b", "part_b", labels).filter("part_a <> part_b")
-        links = written(links.union(confirmed(rest, held)), "links")
-        labels = connected(links)
+    for nearest in (True, False):
+        across = pairs_across(label_of(entries, "id", "part", labels), held, nearest)
+        if nearest:
+            rank = [F.row_number().over(Window.partitionBy(x, f"part_{y}").orderBy("apart", y)) for x, y in (("a", "b"), ("b", "a"))]
+            across = across.withColumn("_r", F.least(*rank)).filter("_r = 1")
+        more = written(confirmed(across, held), "more")
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = connected(links)
     out = told.select("doc_id", "id", "n_shingles").join(labels, F.col("id") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
