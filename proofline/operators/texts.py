@@ -172,3 +172,8 @@ def draft_metadata(df: DataFrame, project: str, order: str, text: str, credit: s
     first = F.min_by(text, order)
     words = F.slice(F.array_distinct(F.regexp_extract_all(F.lower(first), F.lit("[a-z]{4,}"), F.lit(0))), 1, most)
     return df.groupBy(project).agg(F.substring(F.trim(F.regexp_replace(first, r"\s+", " ")), 1, title).alias("title"), F.substring(first, 1, lead).alias("lead"), F.array_join(F.array_sort(F.collect_set(credit)), "; ").alias("credits"), F.array_join(words, ",").alias("tags"))
+
+
+def weak_alignment(df: DataFrame, project: str, score: str, signature: str, least: float = 0.15) -> DataFrame:
+    """(project, audited, weak, unsigned): rows with a score under least, and rows without a signature."""
+    return df.groupBy(project).agg(F.count("*").alias("audited"), F.count_if(F.col(score) < least).alias("weak"), F.count_if(F.coalesce(F.col(signature), F.lit("")) == "").alias("unsigned"))
