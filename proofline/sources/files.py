@@ -15,16 +15,20 @@ from pyspark.sql import functions as F
 IMAGES = ["jpg", "jpeg", "png", "webp", "gif", "bmp"]
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again, so that later steps neither compute it again nor hang on one executor."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; a folder is made for local runs where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, so that later steps neither compute it again nor hang on one executor."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scan_media_folder(spark: SparkSession, root: str, suffixes: list[str] = IMAGES, sidecars: list[str] = ("json", "txt")) -> DataFrame:
