@@ -60,7 +60,7 @@ def uniform_word_times(segments: DataFrame, total: float) -> DataFrame:
     s = segments.filter("n_words > 0").withColumn("_all", F.expr(f"sum(n_words) over (partition by {P})"))
     s = s.withColumn("_b", F.expr(f"coalesce(sum(n_words) {over(P, 'seg', BEFORE)}, 0)"))
     s = s.withColumn(O, F.expr("explode(sequence(0, cast(n_words as int) - 1))"))
-    return s.selectExpr(P, "seg", O, f"round((_b + {O}) * {total} / _all, 6) as start_s", f"round((_b + {O} + 1) * {total} / _all, 6) as end_s")
+    return s.selectExpr(P, "seg", O, f"round((_b + {O}) * {total}D / _all, 6) as start_s", f"round((_b + {O} + 1) * {total}D / _all, 6) as end_s")
 
 
 def build_cues(words: DataFrame, least: float, media: float) -> DataFrame:

@@ -170,7 +170,7 @@ def agg21_overlap_agreement(t):
     return I.overlap_agreement(t.lineitem.selectExpr("l_partkey % 2000 as id", "l_orderkey % 50 as chunk", "l_suppkey % 2 as payload"), "id", "chunk", "payload")
 
 
-@query("SELECT user_id, event_type, count(*) AS requests, round(count(*) * 0.002, 6) AS cost FROM events GROUP BY ALL")
+@query("SELECT user_id, event_type, count(*) AS requests, round(count(*) * 0.002::DOUBLE, 6) AS cost FROM events GROUP BY ALL")
 def agg22_request_accounting(t):
     return I.request_accounting(t.events, "user_id", "event_type", 0.002)
 

@@ -12,7 +12,7 @@ SHOTS = "sh AS (SELECT user_id AS project_id, event_id, ts, CAST(row_number() OV
 LAID = SHOTS + ", laid AS (SELECT *, coalesce(sum(dur + {gap}) OVER (PARTITION BY project_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS start_s FROM sh), tl AS (SELECT *, start_s + dur AS end_s FROM laid)"
 DISPLAY = r"replace(upper(trim(regexp_replace(regexp_replace(word, '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g'))), 'ẞ', 'SS')"
 WORDS = r"""w0 AS (SELECT conv_id AS project_id, turn AS seg, unnest(ws) AS word, unnest(range(len(ws))) AS k FROM (SELECT conv_id, turn, regexp_extract_all(text, '\S+') AS ws FROM conversations)),
-w AS (SELECT project_id, seg, word, """ + DISPLAY + r""" AS display, CAST(row_number() OVER (PARTITION BY project_id ORDER BY seg, k) AS INT) AS pos FROM w0), tw AS (SELECT *, pos * 0.4 AS start_s, pos * 0.4 + CASE WHEN length(word) > 9 THEN 0.45 ELSE 0.3 END AS end_s FROM w)"""
+w AS (SELECT project_id, seg, word, """ + DISPLAY + r""" AS display, CAST(row_number() OVER (PARTITION BY project_id ORDER BY seg, k) AS INT) AS pos FROM w0), tw AS (SELECT *, pos * 0.4::DOUBLE AS start_s, pos * 0.4::DOUBLE + CASE WHEN length(word) > 9 THEN 0.45::DOUBLE ELSE 0.3 END AS end_s FROM w)"""
 
 
 def shots(t):
@@ -167,7 +167,7 @@ def agg10_mode_diversity(t):
     return O.mode_diversity(shots(t), "mode", "dur < 150")
 
 
-@query(f"WITH {CUES} SELECT project_id, round(avg(CASE WHEN len(regexp_extract_all(display, '\\S+')) = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS single_word, min(len(regexp_extract_all(display, '\\S+'))) AS least_words, max(len(regexp_extract_all(display, '\\S+'))) AS most_words, round(greatest(0.0, max(end_s) - 70.0), 6) AS overflow_s FROM cu GROUP BY project_id")
+@query(f"WITH {CUES} SELECT project_id, round(avg(CASE WHEN len(regexp_extract_all(display, '\\S+')) = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS single_word, min(len(regexp_extract_all(display, '\\S+'))) AS least_words, max(len(regexp_extract_all(display, '\\S+'))) AS most_words, round(greatest(0.0::DOUBLE, max(end_s) - 70.0), 6) AS overflow_s FROM cu GROUP BY project_id")
 def agg11_caption_stats(t):
     return O.caption_stats(cues(t), 70.0)
 

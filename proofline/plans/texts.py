@@ -88,7 +88,7 @@ def txt11_beat_kind(t):
 
 @query(r"""WITH w AS (SELECT conv_id, turn, i - 1 AS pos, ws[i] AS word FROM (SELECT conv_id, turn, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '\S+') AS ws FROM conversations))),
 l(w2, tag, r, impact) AS (VALUES ('the', 'scene', 2, false), ('the', 'action', 1, true), ('was', 'past', 3, false), ('des', 'scene', 2, true))
-SELECT conv_id, turn, pos, word, tag, impact, pos * 0.5 AS start_s, pos * 0.5 + 0.5 AS end_s FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, pos ORDER BY r, tag) AS n FROM w JOIN l ON lower(regexp_replace(word, '[^\p{L}\p{N}]', '', 'g')) = w2) WHERE n = 1""")
+SELECT conv_id, turn, pos, word, tag, impact, pos * 0.5::DOUBLE AS start_s, pos * 0.5::DOUBLE + 0.5 AS end_s FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, pos ORDER BY r, tag) AS n FROM w JOIN l ON lower(regexp_replace(word, '[^\p{L}\p{N}]', '', 'g')) = w2) WHERE n = 1""")
 def txt13_timed_event_words(t):
     words = t.conversations.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("pos", "word"))
     words = words.withColumns({"start_s": F.col("pos") * 0.5, "end_s": F.col("pos") * 0.5 + 0.5})

@@ -22,11 +22,11 @@ def duck():
 
 
 def plain(value):
-    if isinstance(value, float):
-        return round(value, 5) + 0.0
+    if isinstance(value, float) or type(value).__name__ == "Decimal":
+        return round(float(value), 5) + 0.0
     if isinstance(value, (list, tuple)):
         return tuple(map(plain, value))
-    return float(value) if type(value).__name__ == "Decimal" else value
+    return value
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
