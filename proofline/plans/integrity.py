@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from proofline.functions import text as T
 from proofline.operators import integrity as I
-from proofline.operators import sequences as S
 from proofline.plans.registry import query
 from proofline.plans.texts import RIGHTS, STATUS, with_rights
 
