@@ -7,7 +7,6 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from proofline.llm.arrays import covered, mixed, runs, split
 from proofline.llm.repeats import LAST, Scheme, answered, dealt, held, repeated_anchors, repeated_windows, texts_of
