@@ -21,6 +21,8 @@ RADIUS = 2 * CHUNKS - 1
 SHINGLE, PERCENT = 4, 80
 #: Bits of the sketch of a shingle set: each is the parity of the shingles that fall on it.
 BITS = 1_024
+#: Bytes of text whose arrays a task makes at a time.
+PART = 1 << 20
 #: Entries of a key that are compared with each other at a time.
 BLOCK = 4_096
 
@@ -77,6 +79,16 @@ def sketch(shingle_set: np.ndarray) -> bytes:
     return np.packbits(np.bincount((mixed(shingle_set) >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1).tobytes()
 
 
+def _parts(texts: list[bytes], size: int = PART) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """shingles() of the texts, about size bytes at a time, so that a group's arrays are never made at once."""
+    begin, held = 0, 0
+    for end, text in enumerate(texts, 1):
+        held += len(text)
+        if held >= size or end == len(texts):
+            yield shingles(split(texts[begin:end], lower=True))
+            begin, held = end, 0
+
+
 def _first_texts(texts: list[bytes], ids: list[int]) -> tuple[list[int], list[int]]:
     """Rows that are the first with their text (texts in order of id; null ids are left out), and for every row that first row's id."""
     first: dict[bytes, int] = {}
@@ -95,9 +107,8 @@ def signed(docs: DataFrame) -> DataFrame:
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         table, texts = texts_of(table)
         firsts, _ = _first_texts([t.lower() for t in texts], table["id"].to_pylist())
-        hashes, first = shingles(split([texts[i] for i in firsts], lower=True))
-        keys = np.sort(chunk_keys(signatures(hashes, first)[np.diff(first) > 0]).ravel())
-        keys, count = np.unique(keys, return_counts=True)
+        keys = [chunk_keys(signatures(hashes, first)[np.diff(first) > 0]).ravel() for hashes, first in _parts([texts[i] for i in firsts])]
+        keys, count = np.unique(np.sort(np.concatenate([np.zeros(0, np.uint64), *keys])), return_counts=True)
         cut = cuts(keys, buckets)
         full = np.flatnonzero(np.diff(cut))
         return pa.table({
@@ -119,12 +130,14 @@ def signed(docs: DataFrame) -> DataFrame:
         ids = table["id"].to_pylist()
         lowered = [t.lower() for t in texts]
         firsts, same = _first_texts(lowered, ids)
-        hashes, first = shingles(split(lowered, lower=True))
-        sets = [distinct(hashes[b:e]) for b, e in zip(first[:-1], first[1:])]
-        n = [len(x) for x in sets]
+        n, sketches, every = [], [], [np.zeros((0, PLACES), np.uint8)]
+        for hashes, first in _parts(lowered):
+            sets = [distinct(hashes[b:e]) for b, e in zip(first[:-1], first[1:])]
+            n += [len(x) for x in sets]
+            sketches += [sketch(x) for x in sets]
+            every.append(signatures(hashes, first))
         keep = np.array([i for i in firsts if n[i]], np.int64)
-        hashes, first = shingles(split([texts[i] for i in keep], lower=True))
-        signature = signatures(hashes, first)
+        signature = np.concatenate(every)[keep]
         keys = chunk_keys(signature) if len(keep) else np.zeros((0, PLACES), np.uint64)
         unique = distinct(keys.ravel())
         shared, cut = np.zeros(len(unique), bool), cuts(unique, buckets)
@@ -133,7 +146,7 @@ def signed(docs: DataFrame) -> DataFrame:
         hit = shared[np.searchsorted(unique, keys)] if len(keep) else np.zeros((0, PLACES), bool)
         rows: list = [(None, None, None, None)] * len(ids)
         for k in np.flatnonzero(hit.any(axis=1)):
-            rows[keep[k]] = (signature[k].tobytes(), keys[k][hit[k]].view(np.int64), lowered[keep[k]], sketch(sets[keep[k]]))
+            rows[keep[k]] = (signature[k].tobytes(), keys[k][hit[k]].view(np.int64), lowered[keep[k]], sketches[keep[k]])
         return pa.table({
             "doc_id": table["doc_id"], "id": table["id"], "n_shingles": pa.array(n, pa.int64()), "same": pa.array(same, pa.int64()),
             "signature": pa.array([r[0] for r in rows], pa.binary()), "sketch": pa.array([r[3] for r in rows], pa.binary()), "keys": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "text": pa.array([r[2] for r in rows], pa.binary()),
@@ -234,8 +247,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            for begin in range(0, batch.num_rows, 64):
+                part = batch.slice(begin, 64)
                 texts: dict[bytes, int] = {}
                 at = [[texts.setdefault(t, len(texts)) for t in part[c].to_pylist()] for c in ("ta", "tb")]
                 hashes, first = shingles(split(list(texts), lower=True))
