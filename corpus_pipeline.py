@@ -15,11 +15,12 @@ ORACLE_SQL = None
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without the lines that are common on their host; n_chars follows the text.
 
-    The verdicts are written before rows are taken out: Spark would else move the filter below the rules' columns, and
+    A line is common by count alone, in more than LINE_DOCS distinct texts of its host: people do not write the same line
+    so often, however many texts a host has, and a share would let a large host's boilerplate stay. The verdicts are written before rows are taken out: Spark would else move the filter below the rules' columns, and
     work out the arrays that they share once for each word.
     """
     columns = docs.columns
-    judged = written(quality.quality(docs).select(*[c for c in columns if c != "text"], "clean_text", "kept"), "judged")
+    judged = written(quality.quality(docs, share=0.0).select(*[c for c in columns if c != "text"], "clean_text", "kept"), "judged")
     kept = judged.filter("kept").withColumn("text", F.col("clean_text"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 
