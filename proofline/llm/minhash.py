@@ -18,6 +18,7 @@ from proofline.llm.shared import connected, written
 #: A signature has PLACES bytes. Of CHUNKS chunks one at least has at most one error if no more than RADIUS places differ.
 PLACES, CHUNKS = 128, 23
 RADIUS = 2 * CHUNKS - 1
+#: The query's shingle length; a link's least percentage of the union, below which RADIUS would lose pairs.
 SHINGLE, PERCENT = 4, 80
 #: Bits of the sketch of a shingle set: each is the parity of the shingles that fall on it.
 BITS = 1_024
@@ -79,13 +80,13 @@ def sketch(shingle_set: np.ndarray) -> bytes:
     return np.packbits(np.bincount((mixed(shingle_set) >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1).tobytes()
 
 
-def _parts(texts: list[bytes], size: int = PART) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _parts(texts: list[bytes], shingle: int, size: int = PART) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """shingles() of the texts, about size bytes at a time, so that a group's arrays are never made at once."""
     begin, held = 0, 0
     for end, text in enumerate(texts, 1):
         held += len(text)
         if held >= size or end == len(texts):
-            yield shingles(split(texts[begin:end], lower=True))
+            yield shingles(split(texts[begin:end], lower=True), shingle)
             begin, held = end, 0
 
 
@@ -96,8 +97,8 @@ def _first_texts(texts: list[bytes], ids: list[int]) -> tuple[list[int], list[in
     return [i for i, s in enumerate(same) if s == i and ids[i] != LAST], [ids[s] for s in same]
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, id, n_shingles, same, signature, sketch, keys, text) of every row of docs.
+def signed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, id, n_shingles, same, signature, sketch, keys, text) of every row of docs, by shingles of so many words.
 
     same is the first document of the group with the same text in lower case. Rows that are that document and share a
     chunk key with another have signature, sketch, the shared keys and text; the others have none of these.
@@ -107,7 +108,7 @@ def signed(docs: DataFrame) -> DataFrame:
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         table, texts = texts_of(table)
         firsts, _ = _first_texts([t.lower() for t in texts], table["id"].to_pylist())
-        keys = [chunk_keys(signatures(hashes, first)[np.diff(first) > 0]).ravel() for hashes, first in _parts([texts[i] for i in firsts])]
+        keys = [chunk_keys(signatures(hashes, first)[np.diff(first) > 0]).ravel() for hashes, first in _parts([texts[i] for i in firsts], shingle)]
         keys, count = np.unique(np.sort(np.concatenate([np.zeros(0, np.uint64), *keys])), return_counts=True)
         cut = cuts(keys, buckets)
         full = np.flatnonzero(np.diff(cut))
@@ -131,7 +132,7 @@ def signed(docs: DataFrame) -> DataFrame:
         lowered = [t.lower() for t in texts]
         firsts, same = _first_texts(lowered, ids)
         n, sketches, every = [], [], [np.zeros((0, PLACES), np.uint8)]
-        for hashes, first in _parts(lowered):
+        for hashes, first in _parts(lowered, shingle):
             sets = [distinct(hashes[b:e]) for b, e in zip(first[:-1], first[1:])]
             n += [len(x) for x in sets]
             sketches += [sketch(x) for x in sets]
@@ -180,7 +181,7 @@ def _first_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return chunk_keys(a)[rows, place].view(np.int64)
 
 
-def pairs_across(entries: DataFrame, signatures: DataFrame, nearest: bool, radius: int = RADIUS) -> DataFrame:
+def pairs_across(entries: DataFrame, signatures: DataFrame, nearest: bool, radius: int = RADIUS, percent: int = PERCENT) -> DataFrame:
     """(a, b, apart, part_a, part_b): all pairs of entries (key, id, part, n_shingles) with one key, other parts and sizes that allow a link.
 
     Only pairs within radius whose sketches allow a link leave a task, each at the first key that it shares; with nearest, a task tells only the
@@ -210,7 +211,7 @@ def pairs_across(entries: DataFrame, signatures: DataFrame, nearest: bool, radiu
             for row in range(begin, split_at, 512):
                 rows = slice(row, min(row + 512, split_at))
                 low, high = np.minimum(n[rows, None], n[None, right]), np.maximum(n[rows, None], n[None, right])
-                far = (parts[rows, None] != parts[None, right]) & (100 * low >= PERCENT * high)
+                far = (parts[rows, None] != parts[None, right]) & (100 * low >= percent * high)
                 if i[begin] == j[begin]:
                     far &= ids[rows, None] < ids[None, right]
                 x, y = np.nonzero(far)
@@ -221,7 +222,7 @@ def pairs_across(entries: DataFrame, signatures: DataFrame, nearest: bool, radiu
                     near = apart <= radius
                     u, v, apart = u[near], v[near], apart[near]
                     differ = np.bitwise_count(sketches[u] ^ sketches[v]).sum(axis=1, dtype=np.int64)
-                    near = differ * (100 + PERCENT) <= (n[u] + n[v]) * (100 - PERCENT)
+                    near = differ * (100 + percent) <= (n[u] + n[v]) * (100 - percent)
                     u, v, apart = u[near], v[near], apart[near]
                     if len(u):
                         first = _first_keys(signature[u], signature[v]) == k[begin]
@@ -241,7 +242,7 @@ def pairs_across(entries: DataFrame, signatures: DataFrame, nearest: bool, radiu
     return entries.groupBy("bucket").applyInArrow(compare, "a long, b long, apart long, part_a long, part_b long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets share percent of their union or more."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +252,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
                 part = batch.slice(begin, 64)
                 texts: dict[bytes, int] = {}
                 at = [[texts.setdefault(t, len(texts)) for t in part[c].to_pylist()] for c in ("ta", "tb")]
-                hashes, first = shingles(split(list(texts), lower=True))
+                hashes, first = shingles(split(list(texts), lower=True), shingle)
                 sets = [distinct(hashes[b:e]) for b, e in zip(first[:-1], first[1:])]
                 for i, j in zip(*at):
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -262,17 +263,19 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs.
 
-    Texts are lower-cased (A-Z) and linked if their sets of four-word shingles share 80 percent of their union; the
+    Texts are lower-cased (A-Z) and linked if their sets of shingles of so many words share percent of their union, which is PERCENT at least; the
     component is named by its smallest doc_id. Candidates are all pairs whose signatures differ in RADIUS places at
     most. First every document is compared with the nearest first holder of its chunk keys; what is linked so needs
     no further pair inside. Then the nearest candidates between a document and another component are compared, and at
     last all candidates between the components that are left. Texts without words link with nothing; so do rows with a null doc_id, whose
     component is null and which are kept; rows that share a doc_id share its component. Empty docs: no rows.
     """
-    told = written(signed(docs), "signed")
+    if percent < PERCENT:
+        raise ValueError(f"percent must be {PERCENT} at least")
+    told = written(signed(docs, shingle), "signed")
     held = told.filter("signature is not null").dropDuplicates(["id"])
     entries = held.select("id", "n_shingles", F.explode("keys").alias("key"))
     centres = entries.groupBy("key").agg(F.min("id").alias("a"))
@@ -280,18 +283,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = near_signatures(stars, held)
     nearest = stars.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
     same = told.filter("same <> id and n_shingles > 0").select(F.col("same").alias("a"), F.col("id").alias("b"))
-    links = written(confirmed(nearest, held).union(same), "links")
+    links = written(confirmed(nearest, held, percent, shingle).union(same), "links")
     labels = connected(links)
 
     def label_of(df: DataFrame, column: str, name: str, labels: DataFrame) -> DataFrame:
         return df.join(labels.select(F.col("node").alias(column), F.col("label").alias("_l")), column, "left").withColumn(name, F.coalesce("_l", column)).drop("_l")
 
     for nearest in (True, False):
-        across = pairs_across(label_of(entries, "id", "part", labels), held, nearest)
+        across = pairs_across(label_of(entries, "id", "part", labels), held, nearest, percent=percent)
         if nearest:
             rank = [F.row_number().over(Window.partitionBy(x, f"part_{y}").orderBy("apart", y)) for x, y in (("a", "b"), ("b", "a"))]
             across = across.withColumn("_r", F.least(*rank)).filter("_r = 1")
-        more = written(confirmed(across, held), "more")
+        more = written(confirmed(across, held, percent, shingle), "more")
         if not more.isEmpty():
             links = links.union(more)
             labels = connected(links)

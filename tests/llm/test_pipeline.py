@@ -81,3 +81,31 @@ def test_boilerplate_at_production_limits(spark):
     assert got == {i: t for i, t in left.items() if 2 * len(words_of(t)) >= len(words_of(dict((r[0], r[1]) for r in rows)[i]))}
     assert all(often not in got[k] for k in range(21)) and all(seldom in got[k] for k in range(30, 50)) and all(apart in got[200 + k] for k in range(21))
     assert not set(range(60, 81)) & set(got) and all(r.n_chars == len(r.text) for r in out)
+
+
+def linked(texts, n):
+    """Numbers of the texts that are the smallest of their group, by sets of n words and 80 percent of the union."""
+    sets = [{tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)} for ws in map(words_of, texts)]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    return [i for i, x in enumerate(label) if x == i]
+
+
+def test_near_duplicates_by_five_words(spark):
+    """Copies with more and more words changed: some are near by four words and not by five."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("bcdfgaeiou", k=6))
+    texts = []
+    for changed in range(1, 7):
+        first = [word() for _ in range(120)]
+        second = list(first)
+        for k in range(changed):
+            second[10 + 18 * k] = word()
+        texts += [" ".join(first), " ".join(second)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == linked(texts, 5) and got != linked(texts, 4)
