@@ -169,10 +169,11 @@ WITH i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQ
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 ig AS (SELECT item_id, len(ws) AS n, p, array_to_string(ws[p : p + 4], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS p FROM i WHERE len(ws) > 0)),
 dg AS (SELECT doc_id, len(ws) AS n, p, array_to_string(ws[p : p + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS p FROM d WHERE len(ws) > 0)),
-w AS (SELECT DISTINCT dg.doc_id, dg.p - ig.p AS start, ig.n AS size FROM dg JOIN ig USING (g) WHERE dg.p >= ig.p AND dg.p - ig.p + ig.n <= dg.n),
-wg AS (SELECT w.doc_id, start, size, g, count(*) AS c FROM w JOIN dg ON w.doc_id = dg.doc_id AND p > start AND p <= start + greatest(size - 4, 1) GROUP BY ALL),
-ic AS (SELECT item_id, n, g, count(*) AS c FROM ig GROUP BY ALL),
-m AS (SELECT doc_id, start, size, item_id, sum(least(wg.c, ic.c)) AS b FROM wg JOIN ic ON wg.g = ic.g AND size = n GROUP BY ALL),
+h AS (SELECT DISTINCT doc_id, item_id, ig.n AS size, dg.n AS words, dg.p, g FROM dg JOIN ig USING (g)),
+w AS (SELECT *, unnest(range(greatest(p - greatest(size - 4, 1), 0), least(p - 1, words - size) + 1)) AS start FROM h),
+wg AS (SELECT doc_id, item_id, start, size, g, count(*) AS c FROM w GROUP BY ALL),
+ic AS (SELECT item_id, g, count(*) AS c FROM ig GROUP BY ALL),
+m AS (SELECT doc_id, start, size, item_id, sum(least(wg.c, ic.c)) AS b FROM wg JOIN ic USING (item_id, g) GROUP BY ALL),
 l AS (SELECT *, b / (2 * greatest(size - 4, 1) - b) AS s FROM m WHERE b >= 0.8 * (2 * greatest(size - 4, 1) - b)),
 t AS (SELECT doc_id, count(*) AS n_leaks, string_agg(item_id || ':' || start || ':' || size, ',' ORDER BY start, item_id) AS leaks, max(s) AS best FROM l GROUP BY doc_id)
 SELECT doc_id, coalesce(n_leaks, 0) AS n_leaks, coalesce(leaks, '') AS leaks, coalesce(round(CAST(best AS DOUBLE), 6), 0.0) AS best_similarity, n_leaks IS NULL AS clean FROM d LEFT JOIN t USING (doc_id)

@@ -225,32 +225,60 @@ def test_separator_scan_without_last_separator(spark):
         assert got == [(0, 0, 0, 2), (0, 1, 3, 0), (0, 2, 4, 1), (0, 3, 6, 3), (2, 0, 0, 2), (2, 1, 3, 0), (2, 2, 4, 1)]
 
 
+def brute_leaks(text, items):
+    """(item_id, start) of every window whose weighted 5-word shingles share 0.8 of all with an item's."""
+    out, ws = [], words_of((text or "").lower())
+    grams = lambda x: Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4)) if len(x) >= 5 else Counter([tuple(x)] if x else [])
+    for k, item in items:
+        iw = words_of((item or "").lower())
+        for s in range(len(ws) - len(iw) + 1) if iw else []:
+            a, b = grams(ws[s : s + len(iw)]), grams(iw)
+            if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                out.append((k, s))
+    return sorted(out)
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
-    word = lambda: "".join(rng.choices("abcdefgh", k=5))
-    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((20, 36, 3, 50))] + [(9, None)]
-    edited = items[3][1].split()
+    run = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    items = [(k, run(n)) for k, n in enumerate((20, 36, 3, 50, 200))] + [(5, "so it goes " * 12), (9, None)]
+    edited, halves = items[3][1].split(), items[4][1].split()
     edited[0] = "other"
-    docs = [(1, "x y z " + items[0][1].upper() + " end"), (2, " ".join(edited)), (3, " ".join(items[1][1].split()[:20])), (4, None), (5, ""), (6, "p " + items[2][1]), (7, " ".join(word() for _ in range(90)))]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("leaks", decontaminate.F.lit(0))
+    swapped = " ".join(halves[100:] + halves[:100])  # no shingle stands where the item has it
+    docs = [
+        (1, "x y z " + items[0][1].upper() + " end"), (2, " ".join(edited)), (3, " ".join(items[1][1].split()[:20])), (4, None), (5, ""), (6, "p " + items[2][1]), (7, run(90)),
+        (8, swapped), (9, f"{run(30)} {swapped} {items[4][1]}"), (10, f"{run(45)} {items[1][1]} {items[3][1]}"), (11, "so it goes " * 20), (12, "x y z " + items[0][1].upper() + " end"), (None, items[3][1]),
+    ]
+    df = spark.createDataFrame(docs + docs[:1], "doc_id long, text string").withColumns({"leaks": decontaminate.F.lit(0), "_t": decontaminate.F.lit("t"), "item_id": decontaminate.F.lit(1)})
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: sorted((x.item_id, x.start) for x in r.leaks or []) for r in decontaminate.judged(df, bench).collect()}
-
-    def brute(text):
-        out, ws = [], words_of((text or "").lower())
-        grams = lambda x: Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4)) if len(x) >= 5 else Counter([tuple(x)] if x else [])
-        for k, item in items:
-            iw = words_of((item or "").lower())
-            for s in range(len(ws) - len(iw) + 1) if iw else []:
-                a, b = grams(ws[s : s + len(iw)]), grams(iw)
-                if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
-                    out.append((k, s))
-        return out
-
+    told = decontaminate.judged(df.drop("_t"), bench).collect()
+    got = {r.doc_id: sorted((x.item_id, x.start) for x in r.leaks or []) for r in told}
+    assert len(told) == len(docs) + 1
     for i, text in docs:
-        assert set(got[i]) <= set(brute(text)) and bool(got[i]) == bool(brute(text))
-    assert (0, 3) in got[1] and got[2] == [(3, 0)] and not got[3] and not got[7]
-    assert decontaminate.judged(df, bench.filter("false")).filter("clean").count() == len(docs)
+        assert got[i] == brute_leaks(text, items), i
+    assert (0, 3) in got[1] and (3, 0) in got[2] and not got[3] and not got[7]
+    assert (4, 0) in got[8] and len(got[9]) > 20 and (1, 45) in got[10] and (3, 81) in got[10]
+    assert decontaminate.judged(df.drop("_t"), bench.filter("false")).filter("clean").count() == len(docs) + 1
+    assert decontaminate.judged(df.drop("_t").filter("false"), bench).count() == 0
+
+
+def test_decontamination_of_edited_items(spark):
+    """Items with words changed, lost, added and parts moved, so that many windows lie around the similarity."""
+    rng = random.Random(8)
+    vocabulary = ["v%d" % i for i in range(300)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(6, 90)))) for k in range(40)]
+    docs = []
+    for i in range(120):
+        ws = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(ws))
+            kind = rng.randint(0, 3)
+            ws = [ws[:at] + ["new"] + ws[at + 1 :], ws[:at] + ws[at + 1 :], ws[:at] + ["more"] + ws[at:], ws[at:] + ws[:at]][kind] or ["x"]
+        docs.append((i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 30)) + ws + rng.choices(vocabulary, k=rng.randint(0, 30)))))
+    found = decontaminate.judged(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {r.doc_id: sorted((x.item_id, x.start) for x in r.leaks or []) for r in found}
+    expected = {i: brute_leaks(t, items) for i, t in docs}
+    assert got == expected and 40 < sum(map(bool, expected.values())) < 115
 
 
 def test_recurrent_scores(spark):
