@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from proofline.llm.arrays import Words, cuts, distinct, mixed, split, windows
-from proofline.llm.repeats import LAST, dealt, texts_of
+from proofline.llm.repeats import dealt, texts_of
 from proofline.llm.shared import connected, written
 
 #: A signature has PLACES bytes. Of CHUNKS chunks one at least has at most one error if no more than RADIUS places differ.
@@ -26,6 +26,10 @@ BITS = 1_024
 PART = 1 << 20
 #: Entries of a key that are compared with each other at a time.
 BLOCK = 4_096
+#: Pairs of one document that a task joins with its text; a document with more is copied to more tasks.
+DEGREE = 1_024
+#: Tasks that the rows of one component are dealt to when they are told its name.
+SALTS = 32
 
 _rng = np.random.default_rng(20_240_607)
 _FACTORS = _rng.integers(0, 2**64, PLACES, dtype=np.uint64) | np.uint64(1)
@@ -91,23 +95,23 @@ def _parts(texts: list[bytes], shingle: int, size: int = PART) -> Iterator[tuple
 
 
 def _first_texts(texts: list[bytes], ids: list[int]) -> tuple[list[int], list[int]]:
-    """Rows that are the first with their text (texts in order of id; null ids are left out), and for every row that first row's id."""
+    """Rows that are the first with their text, and for every row that first row's id."""
     first: dict[bytes, int] = {}
-    same = [first.setdefault(t, i) if ids[i] != LAST else i for i, t in enumerate(texts)]
-    return [i for i, s in enumerate(same) if s == i and ids[i] != LAST], [ids[s] for s in same]
+    same = [first.setdefault(t, i) for i, t in enumerate(texts)]
+    return [i for i, s in enumerate(same) if s == i], [ids[s] for s in same]
 
 
 def signed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, id, n_shingles, same, signature, sketch, keys, text) of every row of docs, by shingles of so many words.
 
-    same is the first document of the group with the same text in lower case. Rows that are that document and share a
+    id is a hash of doc_id and text, so that texts under one doc_id, or under none, are rows of their own; same is the first document of the group with the same text in lower case. Rows that are that document and share a
     chunk key with another have signature, sketch, the shared keys and text; the others have none of these.
     """
     groups, buckets = dealt(docs)
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         table, texts = texts_of(table)
-        firsts, _ = _first_texts([t.lower() for t in texts], table["id"].to_pylist())
+        firsts, _ = _first_texts([t.lower() for t in texts], table["row"].to_pylist())
         keys = [chunk_keys(signatures(hashes, first)[np.diff(first) > 0]).ravel() for hashes, first in _parts([texts[i] for i in firsts], shingle)]
         keys, count = np.unique(np.sort(np.concatenate([np.zeros(0, np.uint64), *keys])), return_counts=True)
         cut = cuts(keys, buckets)
@@ -128,7 +132,7 @@ def signed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def tell(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         table, texts = texts_of(table)
-        ids = table["id"].to_pylist()
+        ids = table["row"].to_pylist()
         lowered = [t.lower() for t in texts]
         firsts, same = _first_texts(lowered, ids)
         n, sketches, every = [], [], [np.zeros((0, PLACES), np.uint8)]
@@ -149,7 +153,7 @@ def signed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for k in np.flatnonzero(hit.any(axis=1)):
             rows[keep[k]] = (signature[k].tobytes(), keys[k][hit[k]].view(np.int64), lowered[keep[k]], sketches[keep[k]])
         return pa.table({
-            "doc_id": table["doc_id"], "id": table["id"], "n_shingles": pa.array(n, pa.int64()), "same": pa.array(same, pa.int64()),
+            "doc_id": table["doc_id"], "id": table["row"], "n_shingles": pa.array(n, pa.int64()), "same": pa.array(same, pa.int64()),
             "signature": pa.array([r[0] for r in rows], pa.binary()), "sketch": pa.array([r[3] for r in rows], pa.binary()), "keys": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "text": pa.array([r[2] for r in rows], pa.binary()),
         })
 
@@ -158,6 +162,18 @@ def signed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(tell, f"doc_id {kind}, id long, n_shingles long, same long, signature binary, sketch binary, keys array<long>, text binary")
 
 
+def beside(pairs: DataFrame, held: DataFrame, end: str, column: str, name: str) -> DataFrame:
+    """pairs with column of held for their end (a or b) as name; a document of many pairs is joined in several tasks."""
+    other = "b" if end == "a" else "a"
+    many = pairs.groupBy(end).agg(F.ceil(F.count("*") / DEGREE).alias("_parts")).filter("_parts > 1")
+    many = written(many, "many")
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    dealt_pairs = pairs.join(many, end, "left").withColumn("_part", F.pmod(F.xxhash64(other), parts)).drop("_parts")
+    told = held.select(F.col("id").alias(end), F.col(column).alias(name)).join(many, end, "left")
+    told = told.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return dealt_pairs.join(told, [end, "_part"]).drop("_part")
+
+
 def near_signatures(pairs: DataFrame, signatures: DataFrame, radius: int = RADIUS) -> DataFrame:
     """pairs (a, b) with apart, the places in which their signatures differ, where these are radius at most."""
 
@@ -167,8 +183,9 @@ def near_signatures(pairs: DataFrame, signatures: DataFrame, radius: int = RADIU
             out = pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array((a != b).sum(axis=1), pa.int32())], ["a", "b", "apart"])
             yield out.filter(pa.compute.less_equal(out["apart"], radius))
 
-    left, right = (signatures.select(F.col("id").alias(c), F.col("signature").alias(f"s{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(measure, "a long, b long, apart int")
+    pairs = written(pairs, "pairs")
+    both = beside(beside(pairs, signatures, "a", "signature", "sa"), signatures, "b", "signature", "sb")
+    return both.select("a", "b", "sa", "sb").mapInArrow(measure, "a long, b long, apart int")
 
 
 def _first_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -259,19 +276,24 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, shingl
                     good.append(100 * both >= percent * (len(sets[i]) + len(sets[j]) - both))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left, right = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+    pairs = written(pairs.select("a", "b"), "pairs")
+    both = beside(beside(pairs, texts, "a", "text", "ta"), texts, "b", "text", "tb")
+    return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs.
-
-    Texts are lower-cased (A-Z) and linked if their sets of shingles of so many words share percent of their union, which is PERCENT at least; the
-    component is named by its smallest doc_id. Candidates are all pairs whose signatures differ in RADIUS places at
-    most. First every document is compared with the nearest first holder of its chunk keys; what is linked so needs
-    no further pair inside. Then the nearest candidates between a document and another component are compared, and at
-    last all candidates between the components that are left. Texts without words link with nothing; so do rows with a null doc_id, whose
-    component is null and which are kept; rows that share a doc_id share its component. Empty docs: no rows.
+    """(doc_id, n_shingles, component_id, kept, id, first) of every row of docs.
+
+    Texts are lower-cased (A-Z) and linked if their sets of shingles of so many words share percent of their union,
+    which is PERCENT at least; the component is named by its smallest doc_id, and kept are the rows of that doc_id.
+    Candidates are all pairs whose signatures differ in RADIUS places at most. First every document is compared with
+    the nearest first holder of its chunk keys; what is linked so needs no further pair inside. Then the nearest
+    candidates between a document and another component are compared, and at last all candidates between the
+    components that are left. Texts without words link with nothing.
+
+    id is xxhash64(doc_id, text): texts under one doc_id are compared each, and so are texts without a doc_id. first
+    marks one id of each component, with the smallest doc_id, null last. A component without any doc_id has a null
+    component_id, and keeps its first. Equal rows get equal results. Empty docs: no rows.
     """
     if percent < PERCENT:
         raise ValueError(f"percent must be {PERCENT} at least")
@@ -298,6 +320,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         if not more.isEmpty():
             links = links.union(more)
             labels = connected(links)
-    out = told.select("doc_id", "id", "n_shingles").join(labels, F.col("id") == F.col("node"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    out = told.select("doc_id", "id", "n_shingles").join(labels, F.col("id") == F.col("node"), "left").drop("node")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id"))
+    heads = out.filter("label is not null").groupBy("label").agg(lead.alias("_h")).select("label", F.col("_h.doc_id").alias("_doc"), F.col("_h.id").alias("_first"))
+    heads = heads.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    named = out.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS).cast("long"))).join(heads, ["label", "_salt"], "left")
+    named = named.withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("_doc")))
+    named = named.withColumn("first", F.coalesce(F.col("id") == F.col("_first"), F.lit(True)))
+    kept = F.when(F.col("component_id").isNull(), F.col("first")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return named.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "id", "first")

@@ -141,7 +141,7 @@ SQL["op3_suffix_array_dedup"] = _duck_copied(50)
 
 @query
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("id", "first")
 
 
 SQL["op9_minhash_dedup"] = r"""

@@ -127,7 +127,22 @@ def test_near_duplicates_chain(spark):
     assert got == {i: c for i, (_, c, _) in near(rows).items()}
     odd = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (7, None)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(odd).collect())
-    assert got == [(0, 0, True), (5, 5, True), (5, 5, True), (7, 7, True)]
+    assert got == [(0, 5, False), (5, 5, True), (5, 5, True), (7, 7, True)]
+
+
+def test_near_duplicates_by_doc_id_and_text(spark, monkeypatch):
+    """One doc_id on unlike texts, near texts without a doc_id, and a centre with more pairs than a task takes."""
+    monkeypatch.setattr(minhash, "DEGREE", 3)
+    rng = random.Random(12)
+    text = lambda: " ".join("".join(rng.choices("bcdfgaeiou", k=6)) for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(3, a), (3, b), (7, b + " more"), (None, c), (None, c + " end"), (None, d), (9, None), (None, None)] + [(20 + k, a.replace(a.split()[k], "edited")) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": decontaminate.F.lit(1), "label": decontaminate.F.lit("x")})
+    got = {(r.doc_id, r.first, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    named = {x for x in got if x[0] is not None}
+    assert named == {(3, True, 3, True), (7, False, 3, False), (9, True, 9, True)} | {(20 + k, False, 3, False) for k in range(8)}
+    none = [r for r in minhash.near_duplicates(docs).collect() if r.doc_id is None]
+    assert sorted(r.kept for r in none) == [False, True, True, True] and all(r.component_id is None for r in none)
 
 
 def test_hot_keys_in_blocks(docs, rows, monkeypatch):

@@ -109,3 +109,14 @@ def test_near_duplicates_by_five_words(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
     got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert got == linked(texts, 5) and got != linked(texts, 4)
+
+
+def test_near_duplicates_lose_no_text(spark):
+    """Two unlike texts under one doc_id, and texts without a doc_id, stay; of near and equal rows one does."""
+    rng = random.Random(13)
+    text = lambda: " ".join("".join(rng.choices("bcdfgaeiou", k=6)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, b), (1, b), (2, a), (None, c), (None, c), (None, c + " end"), (None, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id or 0), (r.text or "")[:60]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got[:2] == [(0, ""), (0, c[:60])] and got[2:] == sorted([(1, a[:60]), (1, b[:60]), (4, "")])
