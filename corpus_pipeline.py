@@ -26,10 +26,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates by five-word shingles, once; documents with a null doc_id stay."""
-    kept = minhash.near_duplicates(docs, shingle=5).filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    """One document of each group of near-duplicates by five-word shingles, the one with the smallest doc_id.
+
+    Rows are told apart by doc_id and text: other texts under the same doc_id are documents of their own, and so are
+    texts without a doc_id. Of rows equal in both one stays.
+    """
+    first = minhash.near_duplicates(docs, shingle=5).filter("first").select(F.col("id").alias("_row")).distinct()
+    named = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    return named.join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
