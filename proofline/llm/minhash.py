@@ -299,9 +299,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         raise ValueError(f"percent must be {PERCENT} at least")
     told = written(signed(docs, shingle), "signed")
     held = told.filter("signature is not null").dropDuplicates(["id"])
-    entries = held.select("id", "n_shingles", F.explode("keys").alias("key"))
-    centres = entries.groupBy("key").agg(F.min("id").alias("a"))
-    stars = entries.join(centres, "key").filter("a < id").select("a", F.col("id").alias("b")).distinct()
+    keys = held.select("id", "doc_id", "n_shingles", F.explode("keys").alias("key"))
+    entries = keys.drop("doc_id")
+    centres = keys.groupBy("key").agg(F.min_by("id", F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("a"))
+    stars = entries.join(centres, "key").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
     stars = near_signatures(stars, held)
     nearest = stars.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
     same = told.filter("same <> id and n_shingles > 0").select(F.col("same").alias("a"), F.col("id").alias("b"))
