@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: a narration word is ASCII alphanumeric with at most one inner apostrophe.
-NARRATION_WORD = r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?"
+# A narration word is ASCII alphanumeric with at most one inner apostrophe, straight or curled; a sentence
+# ends behind its mark or with its line.
+NARRATION_WORD = r"[A-Za-z0-9]+(?:['’][A-Za-z0-9]+)?"
+SENTENCE_END = r"(?<=[.!?])\s+|\n+"
 
 
 def normalise_text(text: Column) -> Column:
@@ -18,23 +20,34 @@ def normalise_text(text: Column) -> Column:
     return text
 
 
+def strip(text: Column) -> Column:
+    """Without blanks and newlines at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def unwrap_paragraphs(text: Column) -> Column:
     """Lines of a paragraph joined by a blank; paragraphs stay apart by one empty line."""
-    paragraphs = F.transform(F.split(text, r"\n[ \t]*\n"), lambda p: F.trim(F.regexp_replace(p, r"\s*\n\s*", " ")))
+    paragraphs = F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), r"\n\s*\n"), lambda p: strip(F.regexp_replace(p, r"\s*\n\s*", " ")))
     return F.array_join(F.filter(paragraphs, lambda p: p != ""), "\n\n")
 
 
+def pieces(text: Column, least: int = 0) -> Column:
+    """The parts of a text between sentence ends that are longer than least characters, in order; wrapped lines are parts."""
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), lambda s: F.length(s) > least)
+
+
 def sentences(text: Column, least: int = 12) -> Column:
-    """Sentences longer than least characters, in order."""
-    pieces = F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s))
-    return F.filter(pieces, lambda s: F.length(s) > least)
+    """Sentences longer than least characters, in order; lines that a paragraph wraps over are joined first."""
+    return F.filter(F.transform(F.split(unwrap_paragraphs(text), SENTENCE_END), strip), lambda s: F.length(s) > least)
 
 
 def word_count(text: Column) -> Column:
+    """How many runs without blanks a text has."""
     return F.regexp_count(text, F.lit(r"\S+"))
 
 
 def narration_word_count(text: Column) -> Column:
+    """How many narration words a text has."""
     return F.regexp_count(text, F.lit(NARRATION_WORD))
 
 
@@ -95,20 +108,35 @@ def hits(text: Column, words: list[str]) -> Column:
     return F.size(F.array_intersect(F.array_distinct(tokens(text)), F.array(*map(F.lit, words))))
 
 
-def compress_clause(text: Column, openers: list[str], tails: list[str], fillers: list[str], n: int) -> Column:
-    """Without opener and subordinate tail, fillers only at the front, at most n words, first letter large."""
-    for word in openers:
-        text = F.regexp_replace(text, f"(?i)^{word},? +", "")
-    for word in tails:
-        text = F.regexp_replace(text, f"(?i),? +{word} .*$", "")
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w, i: (w != "") & ((i == 0) | ~F.lower(w).isin(*fillers)))
-    short = F.array_join(F.slice(words, 1, n), " ")
-    return F.concat(F.upper(F.substring(short, 1, 1)), F.expr("''") if n < 1 else short.substr(F.lit(2), F.length(short)))
+def shorten(text: Column, n: int) -> Column:
+    """The first n words and three dots; the text itself if it has no more."""
+    words = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    return F.when(F.size(words) <= n, strip(text)).otherwise(F.concat(F.regexp_replace(F.array_join(F.slice(words, 1, n), " "), "[,;:.]+$", ""), F.lit("...")))
+
+
+def compress_clause(sentence: Column, openers: list[str], tails: list[str], fillers: list[str], keeps: tuple[list[str], list[str]], n: int) -> Column:
+    """A sentence without opener and subordinate tail, as at most n words.
+
+    keeps has the marker words of a language whose function words stay, and those of one whose do not: with more of the
+    first a text is only shortened and ends with a full stop. Else punctuation and fillers go, but for a filler at the
+    front, and the first letter is large; if nothing is left, the whole sentence is shortened. Empty: empty.
+    """
+    text = F.regexp_replace(strip(sentence), rf"(?i)^(?:{'|'.join(openers)})(?:[,\s]+|([^\p{{L}}\p{{N}}_])|$)", "$1")
+    text = F.regexp_replace(text, rf"(?i)(^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(tails)})(?:[^\p{{L}}\p{{N}}_].*)?$", "$1")
+    text = F.regexp_replace(text, "[ .,;:]+$", "")
+    known = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)))
+    yes, no = (F.size(F.array_intersect(known, F.array(*map(F.lit, words)))) for words in keeps)
+    whole = F.when(text == "", "").otherwise(F.concat(F.regexp_replace(shorten(text, n), r"\.+$", ""), F.lit(".")))
+    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_'-]+|[.,!?]"), F.lit(0))
+    kept = F.slice(F.filter(words, lambda w, i: ~w.isin(".", ",", "!", "?") & ((i == 0) | ~F.lower(w).isin(*fillers))), 1, n)
+    line = F.array_join(kept, " ")
+    terse = F.when(F.size(kept) == 0, shorten(sentence, n)).otherwise(F.concat(F.upper(F.substring(line, 1, 1)), F.substr(line, F.lit(2))))
+    return F.when(strip(sentence) == "", "").when(yes > no, whole).otherwise(terse)
 
 
 def drop_reveals(text: Column, pattern: str, tease: str) -> Column:
     """The sentences that do not match pattern; tease if none stays."""
-    kept = F.filter(sentences(text, 0), lambda s: ~s.rlike(pattern))
+    kept = F.filter(pieces(text), lambda s: ~s.rlike(pattern))
     return F.when(F.size(kept) == 0, F.lit(tease)).otherwise(F.array_join(kept, " "))
 
 
@@ -120,10 +148,17 @@ def replace_terms(text: Column, mapping: list[tuple[str, str]]) -> Column:
 
 
 def source_family(path: Column) -> Column:
-    """Path with the slice suffix of its last part taken off; a stem with a double underscore loses only a page number."""
-    stem = F.regexp_replace(path, r"\.[A-Za-z0-9]+$", "")
-    last = F.element_at(F.split(stem, "/"), -1)
-    return F.when(F.contains(last, F.lit("__")), F.regexp_replace(stem, r"_p[0-9]+$", "")).otherwise(F.regexp_replace(stem, r"[_-]?(?:p|part|slice)?[0-9]+$", ""))
+    """Path without the extension and the page number of its last part; "unknown" for null or empty.
+
+    A number counts with a separator before it: "_12", "-12" or "_p12"; in a name with a double underscore only "_p12"
+    does. What would leave nothing stays.
+    """
+    parts = F.filter(F.split(F.btrim(F.translate(F.coalesce(path, F.lit("")), "\\", "/"), F.lit("/")), "/"), lambda p: ~p.isin("", "."))
+    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+    stem = F.regexp_replace(last, r"^(.+)\.[^.]+$", "$1")
+    number = F.when(F.contains(stem, F.lit("__")), F.regexp_replace(stem, r"(?i)[_-]p[0-9]+$", "")).otherwise(F.regexp_replace(stem, r"(?i)[_-]p?[0-9]+$", ""))
+    family = F.coalesce(F.nullif(F.regexp_replace(number, "[_-]+$", ""), F.lit("")), F.nullif(stem, F.lit("")), F.lit("unknown"))
+    return F.array_join(F.concat(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(family)), "/")
 
 
 def redact(text: Column, patterns: list[str], length: int = 300) -> Column:
@@ -146,6 +181,7 @@ def normalise_url(url: Column, longest: int = 200) -> Column:
 
 
 def strip_code_fence(text: Column) -> Column:
+    """Without the code fence that a text begins and ends with."""
     return F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", "")
 
 

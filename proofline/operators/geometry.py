@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofline.operators.sequences import islands
-from proofline.sources.files import scratch_table
 
 A = "asset_id"
 
@@ -113,10 +116,10 @@ def grid_row_stats(grid: DataFrame) -> DataFrame:
     return grid.groupBy(A, "y").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.var_pop("value"), 6).alias("variance"))
 
 
-def gutter_score(rows: DataFrame, flat: float, low: float, high: float) -> DataFrame:
-    """rows with score: evenness of a grid row times how near to black or white it is."""
-    extreme = f"greatest(0.0D, greatest(({low} - mean) / {low}, (mean - {high}) / (255 - {high})))"
-    return rows.withColumn("score", F.expr(f"round(greatest(0.0D, 1 - variance / {flat}) * least(1.0D, {extreme}), 6)"))
+def gutter_score(rows: DataFrame, flat: float = 40.0, bright: tuple[float, float] = (236, 215), dark: tuple[float, float] = (22, 45)) -> DataFrame:
+    """rows with score: evenness of a grid row times 1 if it is bright or dark, 0.55 if it is nearly so, else 0.15."""
+    extreme = f"case when mean >= {bright[0]} or mean <= {dark[0]} then 1.0D when mean >= {bright[1]} or mean <= {dark[1]} then 0.55D else 0.15D end"
+    return rows.withColumn("score", F.expr(f"round(1.0D / (1.0D + variance / {flat}D) * {extreme}, 9)"))
 
 
 def runs_of_rows(rows: DataFrame, label: str) -> DataFrame:
@@ -124,11 +127,17 @@ def runs_of_rows(rows: DataFrame, label: str) -> DataFrame:
     return islands(rows, label, "y", A).groupBy(A, F.col("island").alias("band")).agg(F.first(label).alias("label"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"))
 
 
-def best_cut(rows: DataFrame, ideals: list[int], radius: int, hit: float) -> DataFrame:
-    """(asset_id, ideal, y, score, hit): the row of most score less a distance penalty near each ideal, the earliest on ties."""
-    near = rows.withColumn("ideal", F.explode(F.array(*map(F.lit, ideals)))).filter(F.abs(F.col("y") - F.col("ideal")) <= radius)
-    near = near.withColumn("_v", F.round(F.col("score") - 0.05 * F.abs(F.col("y") - F.col("ideal")), 9))
-    return near.groupBy(A, "ideal").agg(F.max_by(F.struct("y", "score"), F.struct("_v", -F.col("y"))).alias("b")).select(A, "ideal", "b.*").withColumn("hit", F.col("score") >= hit)
+def best_cut(rows: DataFrame, ideals: list[int], radius: int, low: int, high: int, hit: float = 0.35) -> DataFrame:
+    """(asset_id, ideal, y, score, hit): near each ideal the row in [low, high) of most score less a penalty of 0.08 at radius.
+
+    The earliest of equals; hit goes by the score alone. Without a row in reach the ideal itself, with no score and no hit.
+    """
+    wanted = rows.select(A).distinct().withColumn("ideal", F.explode(F.array(*map(F.lit, ideals))))
+    near = rows.select(A, "y", "score", F.explode(F.array(*map(F.lit, ideals))).alias("ideal")).filter((F.abs(F.col("y") - F.col("ideal")) <= radius) & (F.col("y") >= low) & (F.col("y") < high))
+    near = near.withColumn("_v", F.round(F.col("score") - F.abs(F.col("y") - F.col("ideal")) / max(1, radius) * 0.08, 9))
+    best = near.groupBy(A, "ideal").agg(F.max_by(F.struct("y", "score"), F.struct("_v", -F.col("y"))).alias("b"))
+    found = wanted.join(best, [A, "ideal"], "left")
+    return found.select(A, "ideal", F.coalesce("b.y", "ideal").alias("y"), F.col("b.score").alias("score"), F.coalesce(F.col("b.score") >= hit, F.lit(False)).alias("hit"))
 
 
 def merge_cells(grid: DataFrame, owner: str) -> DataFrame:
@@ -138,31 +147,60 @@ def merge_cells(grid: DataFrame, owner: str) -> DataFrame:
     return tall.groupBy(A, "owner", "x0", "x1", "_g").agg(F.min("y").alias("y0"), (F.max("y") + 1).alias("y1")).drop("_g")
 
 
-def low_information_cells(grid: DataFrame, variance: float, edge: float, levels: int, need: int = 2) -> DataFrame:
-    """(asset_id, y, x, low): cells of whose 3 x 3 surroundings need measures or more are low: variance, mean step, distinct levels."""
-    g = grid.select(A, "y", "x", "value")
-    near = g.select(A, F.col("value").alias("_v"), F.col("y").alias("_y"), F.col("x").alias("_x")).withColumn("_d", F.explode(F.expr("flatten(transform(array(-1, 0, 1), a -> transform(array(-1, 0, 1), b -> struct(a, b))))")))
-    near = near.select(A, "_v", (F.col("_y") + F.col("_d.a")).alias("y"), (F.col("_x") + F.col("_d.b")).alias("x"))
-    m = g.join(near, [A, "y", "x"]).groupBy(A, "y", "x").agg(F.var_pop("_v").alias("a"), F.avg(F.abs(F.col("_v") - F.col("value"))).alias("b"), F.count_distinct(F.floor(F.col("_v") / 32)).alias("c"))
-    return m.select(A, "y", "x", ((F.col("a") < variance).cast("int") + (F.col("b") < edge).cast("int") + (F.col("c") <= levels).cast("int") >= need).alias("low"))
+#: Limits of variance, entropy, edge density and texture under which a cell tells little.
+LOW_LIMITS = (0.08, 0.20, 0.08, 0.08)
 
 
-def border_reach(grid: DataFrame, side: int, rounds: int | None = None) -> DataFrame:
-    """(asset_id, reached, share): low cells that a border reaches by steps to any of 8 neighbours.
+def low_information(df: DataFrame, pixels: str, width: int, height: int, limits: tuple[float, ...] = LOW_LIMITS, need: int = 3) -> DataFrame:
+    """(asset_id, low): a flag for each value of a pixel array, true if need of four measures are within limits.
 
-    The frontier moves a step a round for all assets at once, from a written table, until it is empty; side * side rounds
-    are the most there can be.
+    Of the 3 x 3 values around a cell: squared deviation and entropy over 8 levels; of its four neighbours: the share of
+    steps of 12 or more, and the change from one step to four steps away. Beyond the border the border's value counts.
+    All are worked out in the row of the asset.
     """
-    low = scratch_table(grid.filter("low").select(A, "y", "x"), "low")
-    seen = scratch_table(low.filter(f"y = 0 or x = 0 or y = {side - 1} or x = {side - 1}"), "seen")
-    frontier = seen
-    for _ in range(rounds or side * side):
-        steps = frontier.withColumn("_d", F.explode(F.expr("flatten(transform(array(-1, 0, 1), a -> transform(array(-1, 0, 1), b -> struct(a, b))))"))).select(A, (F.col("y") + F.col("_d.a")).alias("y"), (F.col("x") + F.col("_d.b")).alias("x")).distinct()
-        frontier = scratch_table(steps.join(low, [A, "y", "x"], "left_semi").join(seen, [A, "y", "x"], "left_anti"), "frontier")
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier)
-    return grid.select(A).distinct().join(seen.groupBy(A).agg(F.count("*").alias("_n")), A, "left").select(A, F.coalesce("_n", F.lit(0)).alias("reached"), F.round(F.coalesce("_n", F.lit(0)) / (side * side), 6).alias("share"))
+    at = lambda dx, dy: f"get(p, greatest(0, least({height - 1}, i div {width} + ({dy}))) * {width} + greatest(0, least({width - 1}, i % {width} + ({dx}))))"
+    sides = [(-1, 0), (1, 0), (0, -1), (0, 1)]
+    around = "array(" + ", ".join(f"cast({at(dx, dy)} as double)" for dy in (-1, 0, 1) for dx in (-1, 0, 1)) + ")"
+    edges = " + ".join(f"cast(abs({at(dx, dy)} - get(p, i)) >= 12 as int)" for dx, dy in sides)
+    texture = " + ".join(f"abs({at(4 * dx, 4 * dy)} - {at(dx, dy)})" for dx, dy in sides)
+    cells = f"transform(sequence(0, {width * height - 1}), i -> named_struct('w', {around}, 'e', ({edges}) / 4.0D, 't', least(1.0D, ({texture}) / 1020.0D)))"
+    total, squares = "aggregate(c.w, 0.0D, (s, v) -> s + v)", "aggregate(c.w, 0.0D, (s, v) -> s + v * v)"
+    spread = f"least(1.0D, ({squares} - {total} * {total} / 9.0D) / 16256.25D)"
+    counts = "transform(sequence(0, 7), b -> size(filter(c.w, v -> least(7, cast(floor(v / 32) as int)) = b)) / 9.0D)"
+    entropy = f"least(1.0D, aggregate({counts}, 0.0D, (s, p) -> s - if(p > 0, p * log2(p), 0.0D)) / 3.0D)"
+    passed = " + ".join(f"cast({m} <= {limit}D as int)" for m, limit in zip((spread, entropy, "c.e", "c.t"), limits))
+    measured = f"transform(_c, c -> {passed} >= {need})"
+    return df.select(A, F.expr(f"get(transform(array({pixels}), p -> {measured.replace('_c,', cells + ',', 1)}), 0)").alias("low"))
+
+
+def border_reach(df: DataFrame, width: int, height: int, flags: str = "low") -> DataFrame:
+    """(asset_id, reached, share): flagged cells that a border reaches by steps to any of 8 neighbours.
+
+    The grid of an asset is one array, so the flood runs inside its task, for the assets of a batch at once, until
+    nothing is added.
+    """
+
+    def flood(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            low = np.array(batch[flags].tolist(), dtype=bool).reshape(-1, height, width)
+            seen = np.zeros((len(low), height + 2, width + 2), bool)
+            inner = seen[:, 1:-1, 1:-1]
+            edge = np.ones((height, width), bool)
+            edge[1:-1, 1:-1] = False
+            inner[:] = low & edge
+            while True:
+                before = inner.sum()
+                near = np.zeros_like(low)
+                for dy in range(3):
+                    for dx in range(3):
+                        near |= seen[:, dy : dy + height, dx : dx + width]
+                inner[:] = near & low
+                if inner.sum() == before:
+                    break
+            reached = inner.reshape(len(low), -1).sum(axis=1)
+            yield pd.DataFrame({A: batch[A], "reached": reached, "share": np.round(reached / (width * height), 6)})
+
+    return df.select(A, flags).mapInPandas(flood, f"{A} {df.schema[A].dataType.simpleString()}, reached long, share double")
 
 
 def visual_score(df: DataFrame, key: str, features: str, gains: list[float], penalties: list[float]) -> DataFrame:
@@ -190,8 +228,9 @@ def rank_regions(regions: DataFrame, priority: dict[str, int]) -> DataFrame:
     return first.withColumn("_p", ranks).withColumn("place", F.expr(f"row_number() over (partition by {A} order by _p, kind)")).drop("_p")
 
 
-def blank_reject(grid: DataFrame, light: int, step: int) -> DataFrame:
-    """(asset_id, blank, edges, rejected): shares of light cells and of strong steps along rows; the two reject limits are fixed."""
+def blank_reject(grid: DataFrame, light: int = 245, dark: int = 10, step: int = 35) -> DataFrame:
+    """(asset_id, blank, edges, rejected): shares of light or dark cells and of strong steps along rows; the two reject limits are fixed."""
     g = grid.withColumn("_s", F.expr(f"coalesce(abs(value - lag(value) over (partition by {A}, y order by x)) > {step}, false)"))
-    out = g.groupBy(A).agg(F.round(F.avg((F.col("value") >= light).cast("double")), 6).alias("blank"), F.round(F.avg(F.col("_s").cast("double")), 6).alias("edges"))
+    blank = ((F.col("value") >= light) | (F.col("value") <= dark)).cast("double")
+    out = g.groupBy(A).agg(F.round(F.avg(blank), 6).alias("blank"), F.round(F.avg(F.col("_s").cast("double")), 6).alias("edges"))
     return out.withColumn("rejected", F.expr("blank >= 0.94 or (edges < 0.008 and blank >= 0.82)"))

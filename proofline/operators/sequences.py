@@ -46,13 +46,19 @@ def rescale(df: DataFrame, total: float, length: str = "dur") -> DataFrame:
     return rows.selectExpr(P, "inline(_o)").select(P, O, (F.col("s") / 1000).alias("start_s"), last.alias("end_s"))
 
 
-def weighted_word_times(words: DataFrame, seconds: str = "seconds", pause: float = 2.0) -> DataFrame:
-    """Words (project_id, seg, pos, word, seconds of the segment) with start_s and end_s by letters + 1, more at a stop; the last ends exactly."""
-    w = words.withColumn("_w", F.expr(f"length(regexp_replace(word, '[^\\\\p{{L}}\\\\p{{N}}]', '')) + 1 + if(word rlike '[.!?,;:]$', {pause}, 0.0D)"))
+def weighted_word_times(words: DataFrame, seconds: str = "seconds", offset: float = 0.0, short: float = 1.5, long: float = 2.5) -> DataFrame:
+    """Words (project_id, seg, pos, word, seconds of the segment) with start_s and end_s, in milliseconds from offset on.
+
+    A word weighs its letters and 1, and more before a pause: short behind , ; : and long behind . ! ?. The last word
+    ends exactly with the segment; a segment without length has no words.
+    """
+    pause = f"case when word rlike '[,;:]$' then {short}D when word rlike '[.!?]$' then {long}D else 0.0D end"
+    w = words.filter(f"{seconds} > 0").withColumn("_w", F.expr(f"length(regexp_replace(word, '[^\\\\p{{L}}\\\\p{{N}}_]', '')) + 1.0D + {pause}"))
     key = f"{P}, seg"
     w = w.withColumn("_b", F.expr(f"coalesce(sum(_w) {over(key, frame=BEFORE)}, 0.0D)")).withColumn("_t", F.expr(f"sum(_w) over (partition by {key})"))
     w = w.withColumn("_last", F.expr(f"lead(word) {over(key)} is null"))
-    return w.selectExpr(P, "seg", O, "word", f"round({seconds} * _b / _t, 6) as start_s", f"if(_last, {seconds}, round({seconds} * (_b + _w) / _t, 6)) as end_s")
+    end = f"round({offset}D + if(_last, {seconds}, {seconds} * (_b + _w) / _t), 3) as end_s"
+    return w.selectExpr(P, "seg", O, "word", f"round({offset}D + {seconds} * _b / _t, 3) as start_s", end)
 
 
 def uniform_word_times(segments: DataFrame, total: float) -> DataFrame:
@@ -92,15 +98,25 @@ def validate_groups(groups: DataFrame, media: float, charset: str) -> DataFrame:
     return groups.withColumn("_c", F.expr(f"array_compact(array({codes}))")).selectExpr(P, "sentence", "explode(_c) as code")
 
 
-def repetition_audit(df: DataFrame, frame: str, curve: str, asset: str, moving: str, hold: str, length: str = "dur", near: float = 0.08, longest: float = 2.8, most: float = 0.8) -> DataFrame:
-    """One row a project: adjacent near-equal frames, three equal curves or assets in a row, share of moving rows, long holds."""
-    lag = lambda c, k: f"lag({c}, {k}) {over()}"
+def repetition_audit(df: DataFrame, asset: str, x: str, y: str, curve: str, still: str = "static", length: str = "dur", near: float = 0.08, longest: float = 2.8, most: float = 0.8) -> DataFrame:
+    """One row a project: how often neighbours repeat, and sorted codes of what is against the sequence.
+
+    Neighbours show the same frame if they have one asset and their two focus values differ by less than near. Curves
+    repeat if three rows that move have the same one, whatever still rows lie between; assets if three rows in a row do.
+    """
+    lag = lambda c, k=1: f"lag({c}, {k}) {over()}"
+    moved = lambda k: f"lag({curve}, {k}) over (partition by {P}, {curve} <> '{still}' order by {O})"
+    same = f"coalesce({asset} = {lag(asset)} and abs({x} - {lag(x)}) < {near} and abs({y} - {lag(y)}) < {near}, false)"
     marked = df.selectExpr(
-        P, f"coalesce(abs({frame} - {lag(frame, 1)}) < {near}, false) as a", f"coalesce({curve} = {lag(curve, 1)} and {curve} = {lag(curve, 2)}, false) as b",
-        f"coalesce({asset} = {lag(asset, 1)} and {asset} = {lag(asset, 2)}, false) as c", f"({moving}) as m", f"({hold}) and {length} > {longest} as h",
+        P, f"{same} as a", f"{same} and {curve} = '{still}' and {lag(curve)} = '{still}' as s",
+        f"coalesce({curve} <> '{still}' and {curve} = {moved(1)} and {curve} = {moved(2)}, false) as b",
+        f"coalesce({asset} = {lag(asset)} and {asset} = {lag(asset, 2)}, false) as c", f"coalesce({curve} <> '{still}', true) as m", f"{length} > {longest} as h",
     )
-    out = marked.groupBy(P).agg(F.count_if("a").alias("same_frames"), F.count_if("b").alias("same_curves"), F.count_if("c").alias("same_assets"), F.round(F.avg(F.col("m").cast("double")), 6).alias("moving_share"), F.count_if("h").alias("long_holds"))
-    return out.withColumn("too_mobile", F.col("moving_share") > most)
+    counts = {"same_frames": "a", "still_frames": "s", "same_curves": "b", "same_assets": "c", "long_holds": "h"}
+    out = marked.groupBy(P).agg(*[F.count_if(c).alias(n) for n, c in counts.items()], F.round(F.avg(F.col("m").cast("double")), 6).alias("moving_share"))
+    rules = {"ASSET_COOLDOWN": "same_assets > 0", "LONG_HOLD": "long_holds > 0", "REPEATED_CURVE": "same_curves > 0", "REPEATED_FRAME": "same_frames > 0", "REPEATED_STILL": "still_frames > 0", "RESTLESS": f"moving_share > {most}"}
+    codes = ", ".join(f"if({rule}, '{code}', null)" for code, rule in rules.items())
+    return out.withColumn("codes", F.expr(f"array_join(array_compact(array({codes})), ',')"))
 
 
 def alternating_pattern(df: DataFrame, signature: str) -> DataFrame:
@@ -212,12 +228,21 @@ def bucket_best(df: DataFrame, target: int, score: str, key: str, project: str =
     return best.filter("_k = 1").drop("_i", "_n", "_k")
 
 
-def apportion(df: DataFrame, target: int, weight: str, key: str, project: str = P) -> DataFrame:
-    """(project, key, share): target dealt by weight with largest remainders, one each at least."""
-    rows = df.withColumn("_q", F.expr(f"{weight} * greatest({target} - count(*) over (partition by {project}), 0) / sum({weight}) over (partition by {project})")).withColumn("_f", F.expr("cast(floor(_q) as bigint)"))
-    rows = rows.withColumn("_left", F.expr(f"greatest({target} - count(*) over (partition by {project}), 0) - sum(_f) over (partition by {project})"))
-    rows = rows.withColumn("_k", F.expr(f"row_number() over (partition by {project} order by round(_q - _f, 9) desc, {key})"))
-    return rows.selectExpr(project, key, "1 + _f + if(_k <= _left, 1, 0) as share")
+def apportion(df: DataFrame, target: int, weight: str, key: str, project: str = P, cap: str | None = None) -> DataFrame:
+    """(project, key, share): target dealt by weight with largest remainders, one each at least and cap (a column) at most.
+
+    What the whole parts leave is dealt one by one in the order of the remainders, round after round, to those below
+    their cap. A project whose caps, or whose number of rows, do not allow target has null shares.
+    """
+    w = f"over (partition by {project})"
+    rows = df.withColumn("_c", F.expr(f"greatest(1, cast({cap or target} as int))"))
+    rows = rows.withColumn("_q", F.expr(f"{weight} * greatest({target} - count(*) {w}, 0) / sum({weight}) {w}")).withColumn("_f", F.expr("least(_c, 1 + cast(floor(_q) as int))"))
+    rows = rows.withColumns({"_left": F.expr(f"cast({target} - sum(_f) {w} as int)"), "_fits": F.expr(f"sum(_c) {w} >= {target} and count(*) {w} <= {target}")})
+    rows = rows.withColumn("_k", F.expr(f"row_number() over (partition by {project} order by round(_q - floor(_q), 9) desc, {key})"))
+    turns = rows.withColumn("_turn", F.expr("explode_outer(if(_left > 0 and _c > _f, sequence(1, least(_c - _f, _left)), null))"))
+    turns = turns.withColumn("_n", F.expr(f"row_number() over (partition by {project} order by _turn is null, _turn, _k)"))
+    dealt = turns.groupBy(project, key).agg(F.first("_f").alias("_f"), F.first("_fits").alias("_fits"), F.count_if(F.expr("_turn is not null and _n <= _left")).alias("_more"))
+    return dealt.selectExpr(project, key, "if(_fits, _f + _more, null) as share")
 
 
 def emphasis_pick(df: DataFrame, score: str, section: str, key: str, share: float = 0.25, cap: float = 0.4) -> DataFrame:
@@ -279,10 +304,12 @@ def identity_change(df: DataFrame, project: str, version: str, approved: str, fi
     return df.withColumn("_x", F.expr(f"coalesce(lag({approved}) {w}, false) and not ({same})")).filter("_x").select(project, version)
 
 
-def removable(df: DataFrame, project: str, keep: int, order: list[str]) -> DataFrame:
-    """The rows that can go by order, so that keep stay."""
-    by = ", ".join(order)
-    return df.withColumn("_k", F.expr(f"row_number() over (partition by {project} order by {by})")).withColumn("_n", F.expr(f"count(*) over (partition by {project})")).filter(f"_k <= _n - {keep}").drop("_k", "_n")
+def removable(df: DataFrame, project: str, keep: int, place: list[str], order: list[str]) -> DataFrame:
+    """The rows that can go by order, so that keep stay; a project's last row by place never goes."""
+    by, last = ", ".join(order), ", ".join(f"{c} desc" for c in place)
+    rows = df.withColumn("_n", F.expr(f"count(*) over (partition by {project})")).withColumn("_last", F.expr(f"row_number() over (partition by {project} order by {last}) = 1"))
+    rows = rows.filter("not _last").withColumn("_k", F.expr(f"row_number() over (partition by {project} order by {by})"))
+    return rows.filter(f"_k <= _n - {keep}").drop("_k", "_n", "_last")
 
 
 def adjacent_similarity(df: DataFrame, project: str, order: str, features: str) -> DataFrame:
@@ -291,16 +318,38 @@ def adjacent_similarity(df: DataFrame, project: str, order: str, features: str)
     return df.withColumn("_b", F.expr(before)).withColumn("similarity", F.expr(f"if(_b is null, null, round(greatest(0.0D, 1 - aggregate(zip_with({features}, _b, (x, y) -> abs(cast(x as double) - y)), 0.0D, (s, x) -> s + x)), 6))")).drop("_b")
 
 
-def sample_curve(df: DataFrame, frames: int) -> DataFrame:
-    """(project_id, pos, frame, x, y): smoothstep between (x0, y0) and (x1, y1)."""
-    rows = df.withColumn("frame", F.expr(f"explode(sequence(0, {frames - 1}))")).withColumn("_u", F.expr(f"frame / {frames - 1}D")).withColumn("_u", F.expr("_u * _u * (3 - 2 * _u)"))
-    return rows.selectExpr(P, O, "frame", "round(x0 + (x1 - x0) * _u, 6) as x", "round(y0 + (y1 - y0) * _u, 6) as y")
+#: The curves that are known, those that stand for a still emphasis, and the scale of each at the start and what it gains.
+CURVES = ["static", "slow_push_in", "slow_pull_out", "pan_horizontal", "pan_vertical", "pan_diagonal", "focus_shift", "push_in", "reveal", "atmospheric", "static_emphasis"]
+RESTLESS = ["micro_shake", "impact_shake", "shake_zoom", "orbit", "punch_zoom", "whip_transition", "explosion"]
+SCALES = {"slow_push_in": (1.0, 0.06), "slow_pull_out": (1.06, -0.06), "push_in": (1.0, 0.08), "reveal": (1.0, 0.08), "static_emphasis": (1.02, 0.0), "atmospheric": (1.03, 0.0), "static": (1.0, 0.0)}
 
 
-def stable_choice(df: DataFrame, seed: str, text: str, options: list[str]) -> DataFrame:
-    """df with choice: an option by the first four bytes of sha256 of seed:pos:text."""
-    listed = ", ".join(f"'{o}'" for o in options)
-    return df.withColumn("choice", F.expr(f"get(array({listed}), cast(pmod(cast(conv(substr(sha2(concat_ws(':', '{seed}', {O}, {text}), 256), 1, 8), 16, 10) as bigint), {len(options)}) as int))"))
+def sample_curve(df: DataFrame, frames: int, curve: str = "curve") -> DataFrame:
+    """(project_id, pos, frame, x, y, scale): smoothstep between (x0, y0) and (x1, y1), kept inside 0.05 to 0.95.
+
+    Still curves stay at (x0, y0); an unknown curve is static, a restless one a still emphasis. frames is 2 at least.
+    """
+    if frames < 2:
+        raise ValueError("frames must be at least two")
+    listed = lambda names: ", ".join(f"'{n}'" for n in names)
+    safe = f"case when trim({curve}) in ({listed(RESTLESS)}) then 'static_emphasis' when trim({curve}) in ({listed(CURVES)}) then trim({curve}) else 'static' end"
+    rows = df.withColumn("_safe", F.expr(safe)).withColumns({f"_{c}": F.expr(f"greatest(0.05D, least(0.95D, {c}))") for c in ("x0", "y0", "x1", "y1")})
+    rows = rows.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(frames - 1)))).withColumn("_p", F.expr(f"frame / {frames - 1}D")).withColumn("_u", F.expr("_p * _p * (3.0D - 2.0D * _p)"))
+    scale = "case " + " ".join(f"when _safe = '{k}' then {a}D + {b}D * _u" for k, (a, b) in SCALES.items()) + " else 1.04D end"
+    at = lambda c: f"round(if(_safe in ('static', 'static_emphasis'), _{c}0, _{c}0 + (_{c}1 - _{c}0) * _u), 9) as {c}"
+    return rows.selectExpr(P, O, "frame", at("x"), at("y"), f"round({scale}, 9) as scale")
+
+
+def stable_choice(df: DataFrame, seed: str, text: str, options: list[str], history: str | None = None) -> DataFrame:
+    """df with choice: the first option not in history (an array column), from the one that the first four bytes of sha256 of seed:pos:text name.
+
+    With every option in history, the one that is named.
+    """
+    listed, n = ", ".join(f"'{o}'" for o in options), len(options)
+    named = df.withColumn("_k", F.expr(f"cast(pmod(cast(conv(substr(sha2(concat_ws(':', '{seed}', {O}, {text}), 256), 1, 8), 16, 10) as bigint), {n}) as int)"))
+    turned = f"transform(sequence(0, {n - 1}), i -> get(array({listed}), (_k + i) % {n}))"
+    fresh = f"get(filter({turned}, o -> not array_contains(coalesce({history}, array()), o)), 0)" if history else f"get({turned}, 0)"
+    return named.withColumn("choice", F.expr(f"coalesce({fresh}, get(array({listed}), _k))")).drop("_k")
 
 
 def nearest_boundary(events: DataFrame, cuts: DataFrame) -> DataFrame:

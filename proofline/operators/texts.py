@@ -14,9 +14,9 @@ def split_sentences(df: DataFrame, key: str, text: str = "text", least: int = 12
 
 
 def estimate_duration(df: DataFrame, styles: DataFrame, text: str = "text", style: str = "style") -> DataFrame:
-    """df with words and seconds, at the rate (style, per_second) of its style; an unknown style gives null."""
-    counted = df.withColumn("words", T.narration_word_count(F.col(text)))
-    return counted.join(F.broadcast(styles), style, "left").withColumn("seconds", F.when(F.col("per_second").isNotNull(), T.spoken_seconds(F.col("words"), F.col("per_second")))).drop("per_second")
+    """df with words (runs without blanks) and seconds, at the rate (style, per_second) of its style; an unknown style gives null."""
+    counted = df.withColumn("words", T.word_count(F.col(text)))
+    return counted.join(styles, style, "left").withColumn("seconds", F.when(F.col("per_second").isNotNull(), T.spoken_seconds(F.col("words"), F.col("per_second")))).drop("per_second")
 
 
 def spoken_tokens(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -26,21 +26,22 @@ def spoken_tokens(df: DataFrame, keys: list[str], text: str = "text") -> DataFra
 
 
 def beat_kind(df: DataFrame, lexicon: DataFrame, attributes: DataFrame, keys: list[str], text: str = "text", section: str = "section") -> DataFrame:
-    """(keys, kind, intent) by the most urgent lexicon word (word, kind, priority), else the section's default kind.
+    """(keys, kind, ...) by the most urgent lexicon word (word, kind, priority), else the section's default kind.
 
-    attributes: (kind, intent, default_section).
+    attributes: (kind, default_section, ...); the other columns, such as intent, emotion and offset, are told of the kind.
     """
     words = df.select(*keys, F.explode_outer(F.array_distinct(T.tokens(F.col(text)))).alias("word"))
-    found = words.join(F.broadcast(lexicon), "word").groupBy(*keys).agg(F.min_by("kind", F.struct("priority", "kind")).alias("found"))
+    found = words.join(lexicon, "word").groupBy(*keys).agg(F.min_by("kind", F.struct("priority", "kind")).alias("found"))
     defaults = attributes.filter("default_section is not null").select(F.col("default_section").alias(section), F.col("kind").alias("fallback"))
-    joined = df.select(*keys, section).join(found, keys, "left").join(F.broadcast(defaults), section, "left")
-    return joined.withColumn("kind", F.coalesce("found", "fallback", F.lit("event"))).join(F.broadcast(attributes.select("kind", "intent")), "kind", "left").select(*keys, "kind", "intent")
+    joined = df.select(*keys, section).join(found, keys, "left").join(defaults, section, "left")
+    more = [c for c in attributes.columns if c not in ("kind", "default_section")]
+    return joined.withColumn("kind", F.coalesce("found", "fallback", F.lit("event"))).join(attributes.select("kind", *more), "kind", "left").select(*keys, "kind", *more)
 
 
 def timed_event_words(words: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame:
     """Words (keys, pos, word, start_s, end_s) with the tag of the first lexicon (word, tag, rank) that has them, and impact."""
     tagged = words.withColumn("_w", F.lower(F.regexp_replace("word", r"[^\p{L}\p{N}]", "")))
-    joined = tagged.join(F.broadcast(lexicon.withColumnRenamed("word", "_w")), "_w")
+    joined = tagged.join(lexicon.withColumnRenamed("word", "_w"), "_w")
     first = Window.partitionBy(*keys, "pos").orderBy("rank", "tag")
     return joined.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*keys, "pos", "word", "tag", "impact", "start_s", "end_s")
 
@@ -66,13 +67,18 @@ def trim_to_budget(df: DataFrame, key: str, seconds: float, per_second: float, t
     return kept.groupBy(key).agg(F.count("*").alias("n_kept"), F.round(F.max("_t"), 6).alias("seconds"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda s: s["sentence"]), " ").alias("text"))
 
 
-def entity_mentions(df: DataFrame, key: str, stop: list[str], roles: list[str], text: str = "text", top: int = 8) -> DataFrame:
-    """(key, name, mentions, place, role): capitalised words of 3 letters or more, twice at least, the top by count then name."""
-    words = df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("name"))
-    names = words.filter(F.col("name").rlike("^[A-Z][a-z]{2,}$") & ~F.col("name").isin(*stop))
-    counted = names.groupBy(key, "name").agg(F.count("*").alias("mentions")).filter("mentions >= 2")
-    ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("mentions"), "name"))).filter(F.col("place") <= top)
-    return ranked.withColumn("role", F.element_at(F.array(*map(F.lit, roles)), F.least(F.col("place"), F.lit(len(roles)))))
+def entity_mentions(df: DataFrame, project: str, source: str, stop: list[str], roles: list[str], text: str = "text", top: int = 8, other: str = "extra") -> DataFrame:
+    """(project, name, mentions, first_source, place, role): capitalised words of 3 letters or more in a project's sentences.
+
+    Names that occur twice at least, the top by count then name; stop words count whatever their case. first_source is
+    the smallest source with the name; places behind the roles have the role other.
+    """
+    spoken = df.select(project, source, F.explode(T.sentences(F.col(text))).alias("_s"))
+    words = spoken.select(project, source, F.explode(F.regexp_extract_all("_s", F.lit(r"[\p{L}\p{N}_']+"), F.lit(0))).alias("_w")).withColumn("name", F.btrim("_w", F.lit("'")))
+    names = words.filter(F.col("name").rlike("^[A-Z][a-zà-ÿA-Z']{2,}$") & ~F.lower("name").isin(*[s.lower() for s in stop]))
+    counted = names.groupBy(project, "name").agg(F.count("*").alias("mentions"), F.min(source).alias("first_source")).filter("mentions >= 2")
+    ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy(project).orderBy(F.desc("mentions"), "name"))).filter(F.col("place") <= top)
+    return ranked.withColumn("role", F.coalesce(F.get(F.array(*map(F.lit, roles)), F.col("place") - 1), F.lit(other)))
 
 
 def locations(df: DataFrame, key: str, prepositions: list[str], text: str = "text", top: int = 6) -> DataFrame:
@@ -94,7 +100,7 @@ def best_sentence(df: DataFrame, key: str, cues: list[str], text: str = "text",
 
 def style_report(df: DataFrame, key: str, connectors: list[str], text: str = "text") -> DataFrame:
     """One row for each text with a sentence: words, sentence-length percentiles (nearest rank), variance, repetition and connectors."""
-    s = split_sentences(df, key, text, 0).withColumn("_w", T.narration_word_count(F.col("sentence"))).filter("_w > 0").withColumn("_s", F.lower("sentence"))
+    s = df.select(key, F.explode(T.pieces(F.col(text))).alias("sentence")).withColumn("_w", T.narration_word_count(F.col("sentence"))).filter("_w > 0").withColumn("_s", F.lower("sentence"))
     s = s.withColumn("_open", F.array_join(F.slice(F.split("_s", r"\s+"), 1, 2), " "))
     used = F.array(*[F.contains(F.col("_s"), F.lit(f" {c} ")) for c in connectors])
     s = s.withColumn("_c", F.transform(F.filter(F.arrays_zip(used.alias("u"), F.array(*map(F.lit, connectors)).alias("c")), lambda x: x["u"]), lambda x: x["c"]))

@@ -118,17 +118,20 @@ def jsn13_grid_row_stats(t):
     return G.grid_row_stats(grid(t))
 
 
-GUTTER = f"{STATS}, gu AS (SELECT *, round(greatest(0.0::DOUBLE, 1 - variance / 3000) * least(1.0::DOUBLE, greatest(0.0::DOUBLE, greatest((120 - mean) / 120, (mean - 130) / (255 - 130)))), 6) AS score FROM st)"
+GUTTER = f"{STATS}, gu AS (SELECT *, round(1 / (1 + variance / 40) * CASE WHEN mean >= 150 OR mean <= 105 THEN 1 WHEN mean >= 140 OR mean <= 115 THEN 0.55 ELSE 0.15 END, 9) AS score FROM st)"
+BRIGHT, DARK = (150, 140), (105, 115)
 
 
 @query(f"WITH {GUTTER} SELECT * FROM gu")
 def jsn14_gutter_score(t):
-    return G.gutter_score(G.grid_row_stats(grid(t)), 3000, 120, 130)
+    return G.gutter_score(G.grid_row_stats(grid(t)), bright=BRIGHT, dark=DARK)
 
 
-@query(f"WITH {GUTTER}, b AS (SELECT asset_id, ideal, y, score, row_number() OVER (PARTITION BY asset_id, ideal ORDER BY round(score - 0.05 * abs(y - ideal), 9) DESC, y) AS k FROM gu, (SELECT unnest([2, 5]) AS ideal) WHERE abs(y - ideal) <= 1) SELECT asset_id, ideal, y, score, score >= 0.05 AS hit FROM b WHERE k = 1")
+@query(f"""WITH {GUTTER}, i AS (SELECT DISTINCT asset_id, ideal FROM gu, (SELECT unnest([0, 2, 5]) AS ideal)),
+b AS (SELECT asset_id, ideal, y, score, row_number() OVER (PARTITION BY asset_id, ideal ORDER BY round(score - abs(y - ideal) / 2 * 0.08, 9) DESC, y) AS k FROM gu, (SELECT unnest([0, 2, 5]) AS ideal) WHERE abs(y - ideal) <= 2 AND y >= 3 AND y < 7)
+SELECT asset_id, ideal, coalesce(y, ideal) AS y, score, coalesce(score >= 0.02, false) AS hit FROM i LEFT JOIN (SELECT * FROM b WHERE k = 1) USING (asset_id, ideal)""")
 def win31_best_cut(t):
-    return G.best_cut(G.gutter_score(G.grid_row_stats(grid(t)), 3000, 120, 130), [2, 5], 1, 0.05)
+    return G.best_cut(G.gutter_score(G.grid_row_stats(grid(t)), bright=BRIGHT, dark=DARK), [0, 2, 5], 2, 3, 7, 0.02)
 
 
 @query(f"WITH {STATS}, l AS (SELECT *, CASE WHEN mean >= 128 THEN 'light' ELSE 'dark' END AS label FROM st), i AS (SELECT *, sum(c) OVER (PARTITION BY asset_id ORDER BY y) AS band FROM (SELECT *, CASE WHEN label = lag(label) OVER (PARTITION BY asset_id ORDER BY y) THEN 0 ELSE 1 END AS c FROM l)) SELECT asset_id, CAST(band AS BIGINT) AS band, any_value(label) AS label, min(y) AS y0, max(y) + 1 AS y1 FROM i GROUP BY asset_id, band")
@@ -142,17 +145,28 @@ def win32_merge_cells(t):
     return G.merge_cells(grid(t).withColumn("o", F.expr("value div 64")), "o")
 
 
-LOW = f"{GRID}, lo AS (SELECT a.asset_id, a.y, a.x, CAST(var_pop(b.value) < 700 AS INT) + CAST(avg(abs(b.value - a.value)) < 24 AS INT) + CAST(count(DISTINCT floor(b.value / 32)) <= 3 AS INT) >= 2 AS low FROM gr a JOIN gr b ON a.asset_id = b.asset_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.asset_id, a.y, a.x, a.value)"
+def _near(dy: str, dx: str, name: str) -> str:
+    return f"JOIN gr {name} ON {name}.asset_id = a.asset_id AND {name}.y = greatest(0, least(7, a.y + {dy})) AND {name}.x = greatest(0, least(7, a.x + {dx}))"
+
+
+LOW_LIMITS = (0.35, 0.5, 0.5, 0.12)
+LOW = f"""{GRID}, d9 AS (SELECT dy, dx FROM (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)), d4(dy, dx) AS (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)),
+w9 AS (SELECT a.asset_id, a.y, a.x, b.value AS v FROM gr a CROSS JOIN d9 {_near('d9.dy', 'd9.dx', 'b')}),
+va AS (SELECT asset_id, y, x, least(1, var_pop(v) * 9 / 16256.25) AS variance FROM w9 GROUP BY ALL),
+en AS (SELECT asset_id, y, x, least(1, -sum(n / 9 * log2(n / 9)) / 3) AS entropy FROM (SELECT asset_id, y, x, least(7, v // 32) AS bin, count(*) AS n FROM w9 GROUP BY ALL) GROUP BY ALL),
+ed AS (SELECT a.asset_id, a.y, a.x, avg(CAST(abs(b.value - a.value) >= 12 AS INT)) AS edges, least(1, sum(abs(c.value - b.value)) / 1020) AS texture FROM gr a CROSS JOIN d4 {_near('d4.dy', 'd4.dx', 'b')} {_near('4 * d4.dy', '4 * d4.dx', 'c')} GROUP BY ALL),
+lo AS (SELECT asset_id, y, x, CAST(variance <= {LOW_LIMITS[0]} AS INT) + CAST(entropy <= {LOW_LIMITS[1]} AS INT) + CAST(edges <= {LOW_LIMITS[2]} AS INT) + CAST(texture <= {LOW_LIMITS[3]} AS INT) >= 3 AS low FROM va JOIN en USING (asset_id, y, x) JOIN ed USING (asset_id, y, x))"""
 
 
 @query(f"WITH {LOW} SELECT * FROM lo")
 def jsn15_low_information_cells(t):
-    return G.low_information_cells(grid(t), 700, 24, 3)
+    low = G.low_information(pixels(t), "px", 8, 8, LOW_LIMITS)
+    return low.select("asset_id", F.posexplode("low").alias("i", "low")).selectExpr("asset_id", "i div 8 as y", "i % 8 as x", "low")
 
 
 @query(f"WITH RECURSIVE {LOW}, r AS (SELECT asset_id, y, x FROM lo WHERE low AND (y IN (0, 7) OR x IN (0, 7)) UNION SELECT l.asset_id, l.y, l.x FROM r JOIN lo l ON l.asset_id = r.asset_id AND l.low AND abs(l.y - r.y) <= 1 AND abs(l.x - r.x) <= 1), n AS (SELECT asset_id, count(*) AS n FROM r GROUP BY asset_id) SELECT a.asset_id, coalesce(n, 0) AS reached, round(coalesce(n, 0) / 64, 6) AS share FROM (SELECT DISTINCT asset_id FROM lo) a LEFT JOIN n ON a.asset_id = n.asset_id")
 def jsn16_border_reach(t):
-    return G.border_reach(G.low_information_cells(grid(t), 700, 24, 3), 8)
+    return G.border_reach(G.low_information(pixels(t), "px", 8, 8, LOW_LIMITS), 8, 8)
 
 
 @query("SELECT vec_id, round(greatest(0.0, 0.5 * embedding[1] + 0.3 * embedding[2] + 0.2 * embedding[3] - 0.4 * embedding[4] - 0.1 * embedding[5]), 6) AS score FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM embeddings)")
@@ -177,6 +191,6 @@ def top2_rank_regions(t):
     return G.rank_regions(r, {"face": 1, "text": 2})
 
 
-@query(f"WITH {GRID} SELECT asset_id, blank, edges, blank >= 0.94 OR (edges < 0.008 AND blank >= 0.82) AS rejected FROM (SELECT asset_id, round(avg((value >= 70)::INT::DOUBLE), 6) AS blank, round(avg(s::INT::DOUBLE), 6) AS edges FROM (SELECT *, coalesce(abs(value - lag(value) OVER (PARTITION BY asset_id, y ORDER BY x)) > 60, false) AS s FROM gr) GROUP BY asset_id)")
+@query(f"WITH {GRID} SELECT asset_id, blank, edges, blank >= 0.94 OR (edges < 0.008 AND blank >= 0.82) AS rejected FROM (SELECT asset_id, round(avg((value >= 150 OR value <= 110)::INT::DOUBLE), 6) AS blank, round(avg(s::INT::DOUBLE), 6) AS edges FROM (SELECT *, coalesce(abs(value - lag(value) OVER (PARTITION BY asset_id, y ORDER BY x)) > 150, false) AS s FROM gr) GROUP BY asset_id)")
 def flt7_blank_reject(t):
-    return G.blank_reject(grid(t), 70, 60)
+    return G.blank_reject(grid(t), 150, 110, 150)

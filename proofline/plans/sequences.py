@@ -54,13 +54,13 @@ def win4_rescale(t):
     return O.rescale(shots(t), 60.0)
 
 
-WEIGHT = r"length(regexp_replace(word, '[^\p{L}\p{N}]', '', 'g')) + 1 + CASE WHEN regexp_matches(word, '[.!?,;:]$') THEN 2.0 ELSE 0 END"
+WEIGHT = r"length(regexp_replace(word, '[^\p{L}\p{N}_]', '', 'g')) + 1 + CASE WHEN regexp_matches(word, '[,;:]$') THEN 1.5 WHEN regexp_matches(word, '[.!?]$') THEN 2.5 ELSE 0 END"
 
 
 @query(f"""WITH {WORDS}, x AS (SELECT project_id, seg, pos, word, CAST({WEIGHT} AS DOUBLE) AS v FROM w), y AS (SELECT *, sum(v) OVER (PARTITION BY project_id, seg ORDER BY pos) AS e, sum(v) OVER (PARTITION BY project_id, seg) AS t, lead(word) OVER (PARTITION BY project_id, seg ORDER BY pos) IS NULL AS l FROM x)
-SELECT project_id, seg, pos, word, round(8.0 * (e - v) / t, 6) AS start_s, CASE WHEN l THEN 8.0 ELSE round(8.0 * e / t, 6) END AS end_s FROM y""")
+SELECT project_id, seg, pos, word, round(1.5 + 8.0 * (e - v) / t, 3) AS start_s, CASE WHEN l THEN 9.5 ELSE round(1.5 + 8.0 * e / t, 3) END AS end_s FROM y""")
 def win5_weighted_word_times(t):
-    return O.weighted_word_times(timed_words(t).drop("start_s", "end_s").withColumn("seconds", F.lit(8.0)))
+    return O.weighted_word_times(timed_words(t).drop("start_s", "end_s").withColumn("seconds", F.lit(8.0)), offset=1.5)
 
 
 @query(f"""WITH {WORDS}, s AS (SELECT project_id, seg, count(*) AS n FROM w GROUP BY ALL), x AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY project_id ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n) OVER (PARTITION BY project_id) AS a, unnest(range(n)) AS pos FROM s)
@@ -110,10 +110,18 @@ def lagged(sql: str) -> str:
 _P = "OVER (PARTITION BY project_id ORDER BY pos)"
 
 
-@query(lagged(f"""SELECT project_id, count_if(a) AS same_frames, count_if(b) AS same_curves, count_if(c) AS same_assets, round(avg(CAST(m AS INT)::DOUBLE), 6) AS moving_share, count_if(h) AS long_holds, round(avg(CAST(m AS INT)::DOUBLE), 6) > 0.8 AS too_mobile FROM (SELECT project_id,
-coalesce(abs(dur / 10 - lag(dur / 10) {_P}) < 0.08, false) AS a, coalesce(mode = lag(mode) {_P} AND mode = lag(mode, 2) {_P}, false) AS b, coalesce(asset = lag(asset) {_P} AND asset = lag(asset, 2) {_P}, false) AS c, mode <> 'view' AS m, mode = 'view' AND dur > 20 AS h FROM sh) GROUP BY project_id"""))
+_SAME = f"coalesce(asset % 10 = lag(asset % 10) {_P} AND abs(dur / 490 - lag(dur / 490) {_P}) < 0.3 AND abs(asset / 100 - lag(asset / 100) {_P}) < 0.3, false)"
+_MOVED = "OVER (PARTITION BY project_id, mode <> 'view' ORDER BY pos)"
+
+
+@query(lagged(f"""m AS (SELECT project_id, {_SAME} AS a, {_SAME} AND mode = 'view' AND lag(mode) {_P} = 'view' AS s, coalesce(mode <> 'view' AND mode = lag(mode) {_MOVED} AND mode = lag(mode, 2) {_MOVED}, false) AS b,
+coalesce(asset % 10 = lag(asset % 10) {_P} AND asset % 10 = lag(asset % 10, 2) {_P}, false) AS c, mode <> 'view' AS m, dur > 200 AS h FROM sh),
+o AS (SELECT project_id, count_if(a) AS same_frames, count_if(s) AS still_frames, count_if(b) AS same_curves, count_if(c) AS same_assets, count_if(h) AS long_holds, round(avg(CAST(m AS INT)::DOUBLE), 6) AS moving_share FROM m GROUP BY project_id)
+SELECT *, array_to_string(list_filter([CASE WHEN same_assets > 0 THEN 'ASSET_COOLDOWN' END, CASE WHEN long_holds > 0 THEN 'LONG_HOLD' END, CASE WHEN same_curves > 0 THEN 'REPEATED_CURVE' END, CASE WHEN same_frames > 0 THEN 'REPEATED_FRAME' END,
+CASE WHEN still_frames > 0 THEN 'REPEATED_STILL' END, CASE WHEN moving_share > 0.8 THEN 'RESTLESS' END], lambda x: x IS NOT NULL), ',') AS codes FROM o""").replace("FROM events) m AS", "FROM events), m AS"))
 def win11_repetition_audit(t):
-    return O.repetition_audit(shots(t), "(dur / 10)", "mode", "asset", "mode <> 'view'", "mode = 'view'", longest=20)
+    s = shots(t).selectExpr("*", "asset % 10 as a", "dur / 490 as x", "asset / 100 as y")
+    return O.repetition_audit(s, "a", "x", "y", "mode", "view", near=0.3, longest=200)
 
 
 @query(lagged(f"SELECT project_id, min(pos) - 3 AS first_pos FROM (SELECT *, mode = lag(mode, 2) {_P} AND lag(mode) {_P} = lag(mode, 3) {_P} AND mode <> lag(mode) {_P} AS h FROM sh) WHERE h GROUP BY project_id"))
@@ -207,11 +215,15 @@ def win20_bucket_best(t):
     return O.bucket_best(t.orders, 4, "o_totalprice", "o_orderkey", "o_custkey", "o_orderdate, o_orderkey").select("o_custkey", "bucket", "o_orderkey")
 
 
-@query("""WITH n AS (SELECT n_regionkey, c_nationkey, count(*) AS w FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), q AS (SELECT *, w * (100 - count(*) OVER (PARTITION BY n_regionkey)) / sum(w) OVER (PARTITION BY n_regionkey) AS q FROM n), f AS (SELECT *, CAST(floor(q) AS BIGINT) AS f FROM q)
-SELECT n_regionkey, c_nationkey, 1 + f + CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY round(q - f, 9) DESC, c_nationkey) <= 100 - count(*) OVER (PARTITION BY n_regionkey) - sum(f) OVER (PARTITION BY n_regionkey) THEN 1 ELSE 0 END AS share FROM f""")
+@query("""WITH n AS (SELECT n_regionkey, c_nationkey, count(*) AS w, 20 + c_nationkey % 3 AS cap FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+q AS (SELECT *, w * (100 - count(*) OVER (PARTITION BY n_regionkey)) / sum(w) OVER (PARTITION BY n_regionkey) AS q FROM n), f AS (SELECT *, least(cap, 1 + CAST(floor(q) AS INT)) AS f, row_number() OVER (PARTITION BY n_regionkey ORDER BY round(q - floor(q), 9) DESC, c_nationkey) AS k FROM q),
+t AS (SELECT n_regionkey, CAST(100 - sum(f) AS INT) AS rest, sum(cap) >= 100 AS fits FROM f GROUP BY n_regionkey),
+u AS (SELECT n_regionkey, c_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY turn, k) AS r FROM (SELECT *, unnest(range(1, cap - f + 1)) AS turn FROM f)),
+m AS (SELECT n_regionkey, c_nationkey, count(*) AS more FROM u JOIN t USING (n_regionkey) WHERE r <= rest GROUP BY ALL)
+SELECT n_regionkey, c_nationkey, CASE WHEN fits THEN f + coalesce(more, 0) END AS share FROM f JOIN t USING (n_regionkey) LEFT JOIN m USING (n_regionkey, c_nationkey)""")
 def win22_apportion(t):
     weights = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "c_nationkey").agg(F.count("*").alias("w"))
-    return O.apportion(weights, 100, "w", "c_nationkey", "n_regionkey")
+    return O.apportion(weights.withColumn("cap", F.expr("20 + c_nationkey % 3")), 100, "w", "c_nationkey", "n_regionkey", "cap")
 
 
 @query(lagged("""SELECT project_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY dur DESC, event_id) AS k FROM (SELECT *, CAST(ceil(0.25 * count(*) OVER (PARTITION BY project_id)) AS INT) AS t, row_number() OVER (PARTITION BY project_id, mode ORDER BY dur DESC, event_id) AS s FROM sh) WHERE s <= greatest(1, floor(0.4 * t))) WHERE k <= t"""))
@@ -278,19 +290,34 @@ def win35_identity_change(t):
     return O.identity_change(versions(t).withColumn("ok", F.col("approved_at").isNotNull()), "project_id", "version", "ok", ["o_orderpriority"])
 
 
-@query("SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_extendedprice, l_linenumber) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE k <= n - 3")
+@query("""WITH n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_quantity DESC, l_extendedprice DESC) AS back FROM lineitem)
+SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_extendedprice, l_linenumber) AS k FROM n WHERE back > 1) WHERE k <= n - 3""")
 def win36_removable(t):
-    return O.removable(t.lineitem, "l_orderkey", 3, ["l_quantity", "l_extendedprice", "l_linenumber"]).select("l_orderkey", "l_linenumber")
+    return O.removable(t.lineitem, "l_orderkey", 3, ["l_linenumber", "l_quantity", "l_extendedprice"], ["l_quantity", "l_extendedprice", "l_linenumber"]).select("l_orderkey", "l_linenumber")
+
 
+_CURVE = "CASE mode WHEN 'view' THEN 'slow_push_in' WHEN 'click' THEN 'slow_pull_out' WHEN 'error' THEN 'static' WHEN 'purchase' THEN 'orbit' ELSE 'pan_diagonal' END"
 
-@query(lagged("SELECT project_id, pos, frame, round(x0 + (x1 - x0) * u * u * (3 - 2 * u), 6) AS x, round(y0 + (y1 - y0) * u * u * (3 - 2 * u), 6) AS y FROM (SELECT project_id, pos, frame, frame / 5 AS u, dur AS x0, asset::DOUBLE AS x1, asset / 2 AS y0, dur / 2 AS y1 FROM (SELECT *, unnest(range(6)) AS frame FROM sh))"))
+
+@query(lagged(f"""c AS (SELECT project_id, pos, {_CURVE} AS curve, greatest(0.05, least(0.95, dur / 490)) AS x0, greatest(0.05, least(0.95, asset / 100)) AS y0, greatest(0.05, least(0.95, asset / 100)) AS x1, greatest(0.05, least(0.95, dur / 100)) AS y1, unnest(range(6)) AS frame FROM sh),
+u AS (SELECT *, (frame / 5.0::DOUBLE) * (frame / 5.0::DOUBLE) * (3 - 2 * (frame / 5.0::DOUBLE)) AS u FROM c)
+SELECT project_id, pos, frame, round(CASE WHEN curve IN ('static', 'orbit') THEN x0 ELSE x0 + (x1 - x0) * u END, 9) AS x, round(CASE WHEN curve IN ('static', 'orbit') THEN y0 ELSE y0 + (y1 - y0) * u END, 9) AS y,
+round(CASE curve WHEN 'slow_push_in' THEN 1 + 0.06 * u WHEN 'slow_pull_out' THEN 1.06 - 0.06 * u WHEN 'static' THEN 1 WHEN 'orbit' THEN 1.02 ELSE 1.04 END, 9) AS scale FROM u""").replace("FROM events) c AS", "FROM events), c AS"))
 def jsn17_sample_curve(t):
-    return O.sample_curve(shots(t).selectExpr("project_id", "pos", "dur as x0", "cast(asset as double) as x1", "asset / 2 as y0", "dur / 2 as y1"), 6)
+    return O.sample_curve(shots(t).selectExpr("project_id", "pos", f"{_CURVE} as curve", "dur / 490 as x0", "asset / 100 as y0", "asset / 100 as x1", "dur / 100 as y1"), 6)
+
+
+_NAMED = "['pan', 'zoom', 'hold', 'cut']"
 
 
-@query(lagged("SELECT project_id, pos, ['pan', 'zoom', 'hold', 'cut'][CAST(('0x' || substr(sha256('seed:' || pos || ':' || mode), 1, 8))::BIGINT % 4 AS INT) + 1] AS choice FROM sh"))
+@query(lagged(f"""h AS (SELECT *, CAST(('0x' || substr(sha256('seed:' || pos || ':' || mode), 1, 8))::BIGINT % 4 AS INT) AS k, [{_NAMED}[lag(asset) {_P} % 4 + 1], {_NAMED}[lag(asset, 2) {_P} % 4 + 1]] AS past FROM sh)
+SELECT project_id, pos, list_filter([{_NAMED}[k + 1], {_NAMED}[(k + 1) % 4 + 1], {_NAMED}[(k + 2) % 4 + 1], {_NAMED}[(k + 3) % 4 + 1]], lambda o: NOT coalesce(list_contains(past, o), false))[1] AS choice FROM h""").replace("FROM events) h AS", "FROM events), h AS"))
 def jsn18_stable_choice(t):
-    return O.stable_choice(shots(t), "seed", "mode", ["pan", "zoom", "hold", "cut"]).select("project_id", "pos", "choice")
+    options = ["pan", "zoom", "hold", "cut"]
+    listed = "array('pan', 'zoom', 'hold', 'cut')"
+    w = "over (partition by project_id order by pos)"
+    past = shots(t).withColumn("past", F.expr(f"array_compact(array(get({listed}, lag(asset) {w} % 4), get({listed}, lag(asset, 2) {w} % 4)))"))
+    return O.stable_choice(past, "seed", "mode", options, "past").select("project_id", "pos", "choice")
 
 
 @query("""WITH e AS (SELECT user_id AS project_id, epoch_us(ts) AS "at" FROM events WHERE event_type = 'error'), c AS (SELECT DISTINCT user_id AS project_id, epoch_us(ts) AS cut FROM events WHERE event_type = 'click'),

@@ -11,11 +11,14 @@ from proofline.plans.registry import query
 CUES = ["the", "and", "of"]
 STOP = ["The", "And", "For", "Les", "Die"]
 NORM = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
-PIECES = r"""string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\x01|\n+')"""
-SENT = f"list_filter(list_transform({PIECES}, lambda s: trim(s)), lambda s: length(s) > 12)"
-SENT0 = f"list_filter(list_transform({PIECES}, lambda s: trim(s)), lambda s: length(s) > 0)"
+PIECES = r"""string_split_regex(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), '\x01|\n+')"""
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+WRAPPED = r"string_split_regex(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n\s*\n')"
+UNWRAP = f"array_to_string(list_filter(list_transform({WRAPPED}, lambda p: {STRIP}), lambda p: p <> ''), chr(10) || chr(10))".format(r"regexp_replace(p, '\s*\n\s*', ' ', 'g')")
+SENT = f"list_filter(list_transform({PIECES.format(UNWRAP)}, lambda s: {STRIP.format('s')}), lambda s: length(s) > 12)"
+SENT0 = f"list_filter(list_transform({PIECES.format('text')}, lambda s: trim(s)), lambda s: length(s) > 0)"
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
-NARR = "len(regexp_extract_all({}, '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?'))"
+NARR = "len(regexp_extract_all({}, '[A-Za-z0-9]+(?:[''’][A-Za-z0-9]+)?'))"
 DISPLAY = r"replace(upper(trim(regexp_replace(regexp_replace({}, '[^\p{{L}}\p{{N}}\s]', '', 'g'), '\s+', ' ', 'g'))), 'ẞ', 'SS')"
 
 
@@ -26,7 +29,7 @@ def scalar(name: str, make, sql: str, tab: str = "documents", key: str = "doc_id
 
 
 scalar("txt1_normalise_text", T.normalise_text, NORM)
-scalar("txt2_unwrap_paragraphs", T.unwrap_paragraphs, r"array_to_string(list_filter(list_transform(string_split_regex(text, '\n[ \t]*\n'), lambda p: trim(regexp_replace(p, '\s*\n\s*', ' ', 'g'))), lambda p: p <> ''), chr(10) || chr(10))")
+scalar("txt2_unwrap_paragraphs", T.unwrap_paragraphs, UNWRAP)
 scalar("txt6_display_text", T.display_text, DISPLAY.format("text"))
 scalar("txt9_cue_score", lambda c: T.cue_score(c, ["there", "where", "que"]), "CAST(contains(lower(text), 'there') AS INT) + CAST(contains(lower(text), 'where') AS INT) + CAST(contains(lower(text), 'que') AS INT)")
 scalar("txt10_classify_event", lambda c: T.first_kind(c, [("twist", ["token"]), ("conflict", ["license", "licence"]), ("cliffhanger", ["queen"])], "event"), "CASE WHEN contains(lower(text), 'token') THEN 'twist' WHEN contains(lower(text), 'license') OR contains(lower(text), 'licence') THEN 'conflict' WHEN contains(lower(text), 'queen') THEN 'cliffhanger' ELSE 'event' END")
@@ -38,8 +41,31 @@ scalar("txt22_redact_secrets", lambda c: T.redact(c, ['token = "[0-9a-f]+"', "[A
 scalar("txt26_strip_code_fence", lambda c: T.strip_code_fence(F.concat(F.lit("```json\n"), c, F.lit("\n```"))), r"regexp_replace(regexp_replace(trim('```json' || chr(10) || text || chr(10) || '```'), '^```[A-Za-z]*\s*', ''), '\s*```$', '')")
 scalar("txt23_mask_tail", lambda _: T.mask_tail(F.col("c_name"), 4), "CASE WHEN coalesce(c_name, '') = '' THEN '<unset>' WHEN length(c_name) <= 4 THEN repeat('*', length(c_name)) ELSE repeat('*', length(c_name) - 4) || right(c_name, 4) END", "customer", "c_custkey")
 scalar("txt24_normalise_url", lambda _: T.normalise_url(F.col("url"), 60), "CASE WHEN regexp_matches(url, '^https?://[^/?#]+') AND length(url) <= 60 THEN rtrim(regexp_replace(url, '[?#].*$', ''), '/') END", "pages", "page_id")
-scalar("txt21_source_family", lambda _: T.source_family(F.regexp_replace("url", r"[?#].*$", "")), r"CASE WHEN contains(list_last(string_split(regexp_replace(u, '\.[A-Za-z0-9]+$', ''), '/')), '__') THEN regexp_replace(regexp_replace(u, '\.[A-Za-z0-9]+$', ''), '_p[0-9]+$', '') ELSE regexp_replace(regexp_replace(u, '\.[A-Za-z0-9]+$', ''), '[_-]?(?:p|part|slice)?[0-9]+$', '') END".replace("list_last", "list_last").replace("(u,", "(regexp_replace(url, '[?#].*$', ''),"), "pages", "page_id")
-scalar("txt16_compress_clause", lambda c: T.compress_clause(F.get(T.sentences(c), F.lit(0)), ["The", "And", "In"], ["that", "which", "of"], ["the", "a"], 8), None or r"""(SELECT CASE WHEN s IS NULL THEN NULL ELSE upper(left(o, 1)) || substring(o, 2) END FROM (SELECT s, array_to_string(list_filter(string_split_regex(trim(b), '\s+'), lambda w, i: w <> '' AND (i = 1 OR lower(w) NOT IN ('the', 'a')))[1:8], ' ') AS o FROM (SELECT s, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '(?i)^The,? +', ''), '(?i)^And,? +', ''), '(?i)^In,? +', ''), '(?i),? +that .*$', ''), '(?i),? +which .*$', ''), '(?i),? +of .*$', '') AS b FROM (SELECT (""" + SENT + r""")[1] AS s))))""")
+
+
+@query(r"""WITH p AS (SELECT page_id, list_filter(string_split(trim(replace(regexp_replace(url, '[?#].*$', ''), '\', '/'), '/'), '/'), lambda p: p NOT IN ('', '.')) AS ps FROM pages),
+s AS (SELECT page_id, ps, coalesce(regexp_replace(ps[-1], '^(.+)\.[^.]+$', '\1'), '') AS stem FROM p),
+n AS (SELECT *, CASE WHEN contains(stem, '__') THEN regexp_replace(stem, '(?i)[_-]p[0-9]+$', '') ELSE regexp_replace(stem, '(?i)[_-]p?[0-9]+$', '') END AS cut FROM s)
+SELECT page_id, array_to_string(list_append(ps[:-2], coalesce(nullif(regexp_replace(cut, '[_-]+$', ''), ''), nullif(stem, ''), 'unknown')), '/') AS out FROM n""")
+def txt21_source_family(t):
+    return t.pages.select("page_id", T.source_family(F.regexp_replace("url", r"[?#].*$", "")).alias("out"))
+
+
+SENTENCES = f"SELECT doc_id, i - 1 AS pos, s[i] AS s FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {SENT} AS s FROM documents))"
+_SHORT = r"CASE WHEN len(regexp_extract_all({0}, '\S+')) <= 8 THEN regexp_replace({0}, '^\s+|\s+$', '', 'g') ELSE regexp_replace(array_to_string(regexp_extract_all({0}, '\S+')[1:8], ' '), '[,;:.]+$', '') || '...' END"
+
+
+@query(
+    "WITH s AS (" + SENTENCES + r"""),
+a AS (SELECT *, regexp_replace(regexp_replace(s, '(?i)^(?:The|And|In)(?:[,\s]+|([^\p{L}\p{N}_])|$)', '\1'), '(?i)(^|[^\p{L}\p{N}_])(?:that|which|of)(?:[^\p{L}\p{N}_].*)?$', '\1') AS t FROM s),
+b AS (SELECT *, regexp_replace(t, '[ .,;:]+$', '') AS u FROM a),
+c AS (SELECT *, list_distinct(regexp_extract_all(lower(u), '[a-z]+')) AS k, list_filter(regexp_extract_all(u, '[\p{L}\p{N}_''-]+|[.,!?]'), lambda w, i: w NOT IN ('.', ',', '!', '?') AND (i = 1 OR lower(w) NOT IN ('the', 'a', 'de', 'la')))[1:8] AS kept FROM b)
+SELECT doc_id, pos, CASE WHEN len(list_intersect(k, ['and', 'was', 'is'])) > len(list_intersect(k, ['de', 'la', 'et'])) THEN CASE WHEN u = '' THEN '' ELSE regexp_replace(""" + _SHORT.format("u") + r""", '\.+$', '') || '.' END
+  WHEN len(kept) = 0 THEN """ + _SHORT.format("s") + r""" ELSE upper(left(array_to_string(kept, ' '), 1)) || substring(array_to_string(kept, ' '), 2) END AS clause FROM c"""
+)
+def txt16_compress_clause(t):
+    clause = T.compress_clause(F.col("sentence"), ["The", "And", "In"], ["that", "which", "of"], ["the", "a", "de", "la"], (["and", "was", "is"], ["de", "la", "et"]), 8)
+    return O.split_sentences(t.documents, "doc_id").select("doc_id", "pos", clause.alias("clause"))
 
 
 @query(f"SELECT doc_id, i - 1 AS pos, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {SENT} AS s FROM documents))")
@@ -55,7 +81,7 @@ def txt4_word_count(t):
 STYLES = [("user", 2.4), ("assistant", 2.9)]
 
 
-@query(f"SELECT conv_id, turn, w AS words, CASE WHEN p IS NULL THEN NULL WHEN w = 0 THEN 0.0 ELSE round(greatest(0.6, w / p), 2) END AS seconds FROM (SELECT conv_id, turn, {NARR.format('text')} AS w, CASE role WHEN 'user' THEN 2.4::DOUBLE WHEN 'assistant' THEN 2.9::DOUBLE END AS p FROM conversations)")
+@query(f"SELECT conv_id, turn, w AS words, CASE WHEN p IS NULL THEN NULL WHEN w = 0 THEN 0.0 ELSE round(greatest(0.6, w / p), 2) END AS seconds FROM (SELECT conv_id, turn, len(regexp_extract_all(text, '\\S+')) AS w, CASE role WHEN 'user' THEN 2.4::DOUBLE WHEN 'assistant' THEN 2.9::DOUBLE END AS p FROM conversations)")
 def txt5_estimate_duration(t):
     styles = t.spark.createDataFrame(STYLES, "role string, per_second double")
     return O.estimate_duration(t.conversations, styles, style="role").select("conv_id", "turn", "words", F.when(F.col("words").isNotNull(), F.col("seconds")).alias("seconds"))
@@ -73,16 +99,17 @@ def txt8_wrap_lines(t):
 
 
 LEXICON = [("was", "reveal", 1), ("that", "turn", 2), ("des", "turn", 2), ("the", "scene", 3), ("la", "scene", 3)]
-KINDS = [("reveal", "surprise", None), ("turn", "tension", None), ("scene", "calm", "user"), ("event", "inform", "assistant")]
+KINDS = [("reveal", "surprise", "awe", 0.1, None), ("turn", "tension", "fear", 0.2, None), ("scene", "calm", "rest", 0.0, "user"), ("event", "inform", "neutral", 0.0, "assistant")]
 
 
 @query(f"""WITH w AS (SELECT DISTINCT conv_id, turn, unnest({TOKENS}) AS word FROM conversations), l(word, kind, p) AS (VALUES ('was', 'reveal', 1), ('that', 'turn', 2), ('des', 'turn', 2), ('the', 'scene', 3), ('la', 'scene', 3)),
 f AS (SELECT conv_id, turn, arg_min(kind, p) AS k FROM w JOIN l USING (word) GROUP BY ALL)
-SELECT conv_id, turn, kind, CASE kind WHEN 'reveal' THEN 'surprise' WHEN 'turn' THEN 'tension' WHEN 'scene' THEN 'calm' WHEN 'event' THEN 'inform' END AS intent
+SELECT conv_id, turn, kind, CASE kind WHEN 'reveal' THEN 'surprise' WHEN 'turn' THEN 'tension' WHEN 'scene' THEN 'calm' WHEN 'event' THEN 'inform' END AS intent,
+  CASE kind WHEN 'reveal' THEN 'awe' WHEN 'turn' THEN 'fear' WHEN 'scene' THEN 'rest' WHEN 'event' THEN 'neutral' END AS emotion, CASE kind WHEN 'reveal' THEN 0.1::DOUBLE WHEN 'turn' THEN 0.2 ELSE 0.0 END AS offset_s
 FROM (SELECT c.conv_id, c.turn, coalesce(k, CASE role WHEN 'user' THEN 'scene' WHEN 'assistant' THEN 'event' END, 'event') AS kind FROM conversations c LEFT JOIN f USING (conv_id, turn))""")
 def txt11_beat_kind(t):
     lexicon = t.spark.createDataFrame(LEXICON, "word string, kind string, priority int")
-    kinds = t.spark.createDataFrame(KINDS, "kind string, intent string, default_section string")
+    kinds = t.spark.createDataFrame(KINDS, "kind string, intent string, emotion string, offset_s double, default_section string")
     return O.beat_kind(t.conversations, lexicon, kinds, ["conv_id", "turn"], section="role")
 
 
@@ -161,10 +188,11 @@ def flt5_promo_or_hype(t):
 _NAMES = "SELECT doc_id, name FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS name FROM documents) WHERE regexp_matches(name, '^[A-Z][a-z]{2,}$')"
 
 
-@query(f"""SELECT doc_id, name, mentions, place, CASE WHEN place = 1 THEN 'lead' WHEN place = 2 THEN 'support' ELSE 'other' END AS role FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY mentions DESC, name) AS place FROM
-(SELECT doc_id, name, count(*) AS mentions FROM ({_NAMES}) WHERE name NOT IN ('The', 'And', 'For', 'Les', 'Die') GROUP BY ALL HAVING count(*) >= 2)) WHERE place <= 8""")
+@query(f"""WITH w AS (SELECT source, doc_id, trim(w, chr(39)) AS name FROM (SELECT source, doc_id, unnest(regexp_extract_all(s, '[\\p{{L}}\\p{{N}}_'']+')) AS w FROM (SELECT source, doc_id, unnest({SENT}) AS s FROM documents))),
+c AS (SELECT source, name, count(*) AS mentions, min(doc_id) AS first_source FROM w WHERE regexp_matches(name, '^[A-Z][a-zà-ÿA-Z'']{{2,}}$') AND lower(name) NOT IN ('the', 'and', 'for', 'les', 'die') GROUP BY ALL HAVING count(*) > 1)
+SELECT source, name, mentions, first_source, place, CASE place WHEN 1 THEN 'lead' WHEN 2 THEN 'support' WHEN 3 THEN 'other' ELSE 'extra' END AS role FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY mentions DESC, name) AS place FROM c) WHERE place <= 8""")
 def agg1_entity_mentions(t):
-    return O.entity_mentions(t.documents, "doc_id", STOP, ["lead", "support", "other"])
+    return O.entity_mentions(t.documents, "source", "doc_id", STOP, ["lead", "support", "other"])
 
 
 @query(r"""SELECT doc_id, place, phrase FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place FROM (SELECT doc_id, phrase, min(i) AS pos FROM (SELECT doc_id, unnest(m) AS phrase, unnest(range(len(m))) AS i FROM
