@@ -35,8 +35,7 @@ covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (
 lines AS (SELECT doc_id, source, text, p, l FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM lines GROUP BY doc_id),
 keyed AS (SELECT *, regexp_replace(lower(regexp_replace(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]', '0', 'g') AS k FROM lines),
-sizes AS (SELECT source, count(DISTINCT text) AS n FROM documents WHERE text IS NOT NULL GROUP BY source),
-common AS (SELECT source, k FROM (SELECT source, k, count(DISTINCT text) AS c FROM keyed GROUP BY source, k) JOIN sizes USING (source) WHERE c > 20 AND c > 0.25 * n),
+common AS (SELECT source, k FROM keyed GROUP BY source, k HAVING count(DISTINCT text) > 10),
 lost AS (SELECT doc_id, sum(len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))) AS n FROM keyed JOIN common USING (source, k) GROUP BY doc_id),
 r AS (SELECT d.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
   coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(len(ws) - coalesce(lost.n, 0) AS BIGINT) AS n_left

@@ -163,6 +163,40 @@ def test_quality_rules(spark):
     assert (got[10].n_words, got[10].kept, got[11].n_words) == (0, False, 0)
 
 
+def test_quality_by_brute_force(spark, monkeypatch):
+    """Random texts with shared lines, repeats, nulls and copies; once more with a hash that says nothing."""
+    rng = random.Random(21)
+    vocabulary = ["w%d" % i for i in range(12)] + ["x #1", "$y", "\t", ""]
+    shared = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 20))) for _ in range(12)]
+    rows = []
+    for i in range(150):
+        lines = [rng.choice(shared) if rng.random() < 0.4 else " ".join(rng.choices(vocabulary, k=rng.randint(0, 25))) for _ in range(rng.randint(0, 8))]
+        rows.append((i, "\n".join(lines), rng.choice(["a", "b", None])))
+    rows += [(200 + k, rows[k][1], rows[k][2]) for k in range(20)] + [(300, None, "a"), (None, None, None), (None, rows[3][1], "b"), (rows[5][0], *rows[5][1:])]
+    key = lambda line: re.sub("[0-9]", "0", " ".join(words_of(line)).lower())
+    lines_of = lambda t: [x for x in (t or "").split("\n") if words_of(x)]
+    held = {}
+    for _, t, h in rows:
+        for x in lines_of(t):
+            held.setdefault((h, key(x)), set()).add(t)
+    expected = Counter()
+    for i, t, h in rows:
+        ws = words_of(t)
+        grams = Counter(tuple(ws[k : k + 3]) for k in range(len(ws) - 2))
+        repeated = len({k + d for k in range(len(ws) - 2) if grams[tuple(ws[k : k + 3])] > 1 for d in range(3)})
+        left = len(ws) - sum(len(words_of(x)) for x in lines_of(t) if len(held[h, key(x)]) > 10)
+        failed = len(ws) < 50 or 100 * repeated > 50 * len(ws)
+        text = None if t is None else "\n".join(x for x in t.split("\n") if len(held.get((h, key(x)), ())) <= 10)
+        expected[i, h, len(ws), len(lines_of(t)) - len(set(lines_of(t))), repeated, left, failed, not failed and left >= 50 and 2 * left >= len(ws), text] += 1
+    assert {r[4] > 0 for r in expected} == {r[5] < r[2] for r in expected} == {r[7] for r in expected} == {True, False}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"_l": mixing.F.lit(1), "kept": mixing.F.lit("x")})
+    for blind in (False, True):
+        if blind:
+            monkeypatch.setattr(quality, "PLACE_BITS", 62)
+        got = Counter((r.doc_id, r.source, r.n_words, r.n_dup_lines, r.n_repeat_words, r.n_left, r.base_failed, r.kept, r.clean_text) for r in quality.quality(docs.drop("_l")).collect())
+        assert got == expected
+
+
 def test_secrets(spark):
     access, token = "AKIA" + "ABCDEFGH1234", "Zx9" * 8
     rows = [
