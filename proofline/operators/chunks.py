@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,17 +11,41 @@ from pyspark.sql import functions as F
 from proofline.operators.sequences import overlapping_chunks
 
 
-def byte_bounded_chunks(df: DataFrame, project: str, order: str, size: str, most: int, most_bytes: int) -> DataFrame:
+def byte_bounded_chunks(df: DataFrame, project: str, order: str, size: str, most: int, most_bytes: int, overlap: int = 0) -> DataFrame:
     """df (project, order, size) with chunk: rows packed in order while a chunk has at most most rows and most_bytes; a larger row stands alone.
 
-    The carry is sequential, so one project's orders and sizes are folded as one array; texts stay outside.
+    The next chunk begins overlap rows before the end of the last, but a row later than it at least, so that rows in two
+    chunks occur twice. The carry is sequential: a project's rows stream through its task in order, and no more than one
+    chunk of orders and sizes is held; texts stay outside.
     """
-    rows = df.groupBy(project).agg(F.expr(f"array_sort(collect_list(struct({order} as o, cast({size} as bigint) as s)))").alias("_r"))
-    full = f"(a.n >= {most} or (a.n > 0 and a.b + x.s > {most_bytes}))"
-    step = f"struct(array_append(a.out, struct(x.o as o, a.c + if({full}, 1, 0) as chunk)) as out, a.c + if({full}, 1, 0) as c, if({full}, 1, a.n + 1) as n, if({full}, x.s, a.b + x.s) as b)"
-    kind = df.schema[order].dataType.simpleString()
-    folded = rows.selectExpr(project, f"inline(aggregate(_r, struct(cast(array() as array<struct<o: {kind}, chunk: int>>) as out, 0 as c, 0 as n, 0L as b), (a, x) -> {step}, a -> a.out))")
-    return df.join(folded.withColumnRenamed("o", order), [project, order])
+    if most <= 0 or most_bytes <= 0 or not 0 <= overlap < most:
+        raise ValueError("most and most_bytes must be positive, and overlap under most")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, chunk, held, out = None, 0, [], []
+        for batch in batches:
+            for p, o, s in zip(batch[project], batch[order], batch[size]):
+                if p != owner:
+                    out += [(owner, x, chunk) for x, _ in held]
+                    owner, chunk, held = p, 0, []
+                todo = [(o, s)]
+                while todo:
+                    row = todo.pop(0)
+                    if held and (len(held) >= most or sum(x for _, x in held) + row[1] > most_bytes):
+                        out += [(owner, x, chunk) for x, _ in held]
+                        keep = min(overlap, len(held) - 1)
+                        todo = [*held[len(held) - keep :], row, *todo]
+                        chunk, held = chunk + 1, []
+                    else:
+                        held.append(row)
+            yield pd.DataFrame(out, columns=[project, order, "chunk"])
+            out = []
+        yield pd.DataFrame([(owner, x, chunk) for x, _ in held], columns=[project, order, "chunk"])
+
+    rows = df.select(project, order, F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias(size)).repartition(project).sortWithinPartitions(project, order)
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (project, order)}
+    packed = rows.mapInPandas(pack, f"{project} {kinds[project]}, {order} {kinds[order]}, chunk int")
+    return df.join(packed, [project, order])
 
 
 def map_chunks(df: DataFrame, project: str, order: str, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, size: int, salt: int = 0) -> tuple[DataFrame, DataFrame]:

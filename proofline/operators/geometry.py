@@ -94,17 +94,22 @@ def split_count(df: DataFrame, key: str, height: str, ideal: int, most: int) ->
     return n.select(key, F.expr(f"cast(if({share('_c')} > {share('_f')} + 1e-12, _c, _f) as int)").alias("parts"))
 
 
-def validate_geometry(df: DataFrame, key: str, box: str) -> DataFrame:
-    """(key, code): a box array that is no four numbers in 0..1, or that is degenerate."""
+def validate_geometry(df: DataFrame, key: str, box: str, polygon: str | None = None) -> DataFrame:
+    """(key, code): a box array that is no four numbers in 0..1 or is degenerate, and a polygon that is no three pairs or more in 0..1."""
     rules = {"SHAPE": f"size({box}) <> 4", "RANGE": f"exists({box}, v -> v < 0 or v > 1)", "DEGENERATE": f"size({box}) = 4 and (get({box}, 2) <= get({box}, 0) or get({box}, 3) <= get({box}, 1))"}
+    if polygon:
+        rules |= {"POLYGON": f"size({polygon}) < 6 or size({polygon}) % 2 = 1", "POLYGON_RANGE": f"exists({polygon}, v -> v < 0 or v > 1)"}
     codes = ", ".join(f"if({rule}, '{code}', null)" for code, rule in rules.items())
     return df.withColumn("_c", F.expr(f"array_compact(array({codes}))")).select(key, F.explode("_c").alias("code"))
 
 
-def region_envelope(df: DataFrame, key: str, points: str) -> DataFrame:
-    """(key, x0, y0, x1, y1) around an array of (x, y) pairs in a row."""
-    xs, ys = (F.expr(f"filter({points}, (v, i) -> i % 2 = {k})") for k in (0, 1))
-    return df.select(key, F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+def region_envelope(df: DataFrame, key: str, points: str, box: str | None = None) -> DataFrame:
+    """(key, x0, y0, x1, y1) around an array of (x, y) pairs in a row, and the row's own box where it says otherwise; none without either."""
+    side = lambda f, k: f"array_{f}(filter({points}, (v, i) -> i % 2 = {k}))"
+    around = f"if(size({points}) >= 2, array({side('min', 0)}, {side('min', 1)}, {side('max', 0)}, {side('max', 1)}), null)"
+    own = [f"if(size({box}) = 4, {box}, null)"] if box else []
+    found = df.select(key, F.explode(F.expr(f"array_distinct(array_compact(array({', '.join([*own, around])})))")).alias("_b"))
+    return found.selectExpr(key, *[f"get(_b, {i}) as {c}" for i, c in enumerate(("x0", "y0", "x1", "y1"))])
 
 
 def cells(df: DataFrame, pixels: str, side: int = 8) -> DataFrame:

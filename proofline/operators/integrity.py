@@ -47,10 +47,15 @@ def manifest_diff(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame
 
 
 def claim_coverage(claims: DataFrame, passages: DataFrame, claim: str, evidence: str) -> DataFrame:
-    """(claim, required, covered, ratio) from claims (claim, evidence) and passages (claim, evidence), one evidence a row."""
-    need = claims.select(claim, evidence).distinct()
+    """(claim, required, covered, ratio, code) from claims (claim, evidence) and passages (claim, evidence), one evidence a row.
+
+    code is UNKNOWN_CLAIM for a claim that only passages name, NO_OVERLAP without any covered evidence, else INCOMPLETE or OK.
+    """
+    need = claims.select(claim, evidence).distinct().withColumn("_r", F.lit(1))
     have = passages.select(claim, evidence).distinct().withColumn("_h", F.lit(1))
-    return need.join(have, [claim, evidence], "left").groupBy(claim).agg(F.count("*").alias("required"), F.count("_h").alias("covered"), F.round(F.count("_h") / F.count("*"), 6).alias("ratio"))
+    both = need.join(have, [claim, evidence], "full_outer").groupBy(claim).agg(F.count("_r").alias("required"), F.count_if(F.col("_r").isNotNull() & F.col("_h").isNotNull()).alias("covered"))
+    code = F.when(F.col("required") == 0, "UNKNOWN_CLAIM").when(F.col("covered") == 0, "NO_OVERLAP").when(F.col("covered") < F.col("required"), "INCOMPLETE").otherwise("OK")
+    return both.select(claim, "required", "covered", F.when(F.col("required") > 0, F.round(F.col("covered") / F.col("required"), 6)).alias("ratio"), code.alias("code"))
 
 
 def eligibility(explicit: DataFrame, cited: DataFrame, section: str, panel: str) -> DataFrame:
@@ -138,10 +143,24 @@ def snapshot_parity(snapshots: DataFrame, current: DataFrame, key: str, fields:
 
 
 def set_fingerprint(df: DataFrame, project: str, order: str, fields: list[str]) -> DataFrame:
-    """(project, rows, fingerprint): sha256 over the ordered sha256 of each row's fields."""
+    """(project, rows, fingerprint): sha256 over a project's chunks, each of which is the sha256 of its rows' sha256 in order.
+
+    A row's chunk is the first three digits of the md5 of its order value, so that a project is hashed in 4,096 tasks'
+    worth of arrays and only their hashes meet.
+    """
     row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]).cast("binary"), 256)
-    rows = df.groupBy(project).agg(F.count("*").alias("rows"), F.array_sort(F.collect_list(F.struct(F.col(order), row.alias("h")))).alias("_r"))
-    return rows.select(project, "rows", F.sha2(F.array_join(F.transform("_r", lambda x: x["h"]), ",").cast("binary"), 256).alias("fingerprint"))
+    chunk = F.substring(F.md5(F.col(order).cast("string").cast("binary")), 1, 3)
+    rows = df.select(project, F.col(order).alias("_o"), row.alias("_h"), chunk.alias("_c"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_h"))), lambda x: x["_h"])
+    chunks = rows.groupBy(project, "_c").agg(F.count("*").alias("_n"), F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("_d"))
+    every = F.transform(F.array_sort(F.collect_list(F.struct("_c", "_d"))), lambda x: F.concat_ws(":", x["_c"], x["_d"]))
+    return chunks.groupBy(project).agg(F.sum("_n").alias("rows"), F.sha2(F.array_join(every, ",").cast("binary"), 256).alias("fingerprint"))
+
+
+def file_manifest(files: DataFrame, folder: str, name: str, content: str) -> DataFrame:
+    """(folder, name, sha256, size, manifest): each file's hash and bytes, and one hash over its folder's list of them in order of name."""
+    rows = files.select(folder, name, F.sha2(F.col(content).cast("binary"), 256).alias("sha256"), F.octet_length(content).alias("size"))
+    return rows.join(set_fingerprint(rows, folder, name, [name, "sha256", "size"]).select(folder, F.col("fingerprint").alias("manifest")), folder)
 
 
 def ledger_match(ledger: DataFrame, sources: DataFrame, project: str, order: str, fields: list[str]) -> DataFrame:

@@ -14,21 +14,30 @@ def parse_untrusted(df: DataFrame, key: str, payload: str, kinds: list[str], def
     return out.select(key, F.when(F.col("r.kind").isin(*kinds), F.col("r.kind")).otherwise(default).alias("kind"), F.array_join(tags, ",").alias("tags"), F.substring("r.title", 1, longest).alias("title"))
 
 
-def validate_observations(df: DataFrame, key: str, payload: str, keys: list[str], expected: str) -> DataFrame:
-    """(key, code): wrong key set, order other than expected, no own id among refs, or no facts."""
+def validate_observations(df: DataFrame, key: str, payload: str, keys: list[str], expected: str, bounds: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """(key, code): wrong key set, order other than expected, no own id among refs, no facts, or a field that is no integer within its bounds."""
     names = F.array_sort(F.json_object_keys(payload))
     get = lambda p: F.get_json_object(payload, f"$.{p}")
     refs = F.from_json(get("refs"), "array<string>")
-    rules = {"KEYS": ~names.eqNullSafe(F.array(*map(F.lit, sorted(keys)))), "ORDER": ~get("order").cast("long").eqNullSafe(F.col(expected)), "NO_SELF": ~F.coalesce(F.array_contains(refs, F.col(key).cast("string")), F.lit(False)), "NO_FACTS": F.coalesce(get("facts"), F.lit("")) == ""}
+    rules = {"KEYS": ~names.eqNullSafe(F.array(*map(F.lit, sorted(keys)))), "ORDER": ~get("order").try_cast("long").eqNullSafe(F.col(expected)), "NO_SELF": ~F.coalesce(F.array_contains(refs, F.col(key).cast("string")), F.lit(False)), "NO_FACTS": F.coalesce(get("facts"), F.lit("")) == ""}
+    for field, (low, high) in (bounds or {}).items():
+        whole = get(field).rlike("^-?[0-9]+$") & get(field).try_cast("long").between(low, high)
+        rules[f"BOUNDS_{field.upper()}"] = ~F.coalesce(whole, F.lit(False))
     codes = F.array_compact(F.array(*[F.when(rule, F.lit(code)) for code, rule in rules.items()]))
     return df.select(key, F.explode(codes).alias("code"))
 
 
 def validate_manifest(actual: DataFrame, expected: DataFrame, project: str, order: str, key: str) -> DataFrame:
-    """(project, count_equal, order_equal): counts and ordered ids against the expected ones."""
-    listed = lambda df, n: df.groupBy(project).agg(F.count("*").alias(f"{n}_n"), F.transform(F.array_sort(F.collect_list(F.struct(order, key))), lambda x: x[key]).alias(f"{n}_ids"))
-    both = listed(expected, "e").join(listed(actual, "a"), project, "left")
-    return both.select(project, F.coalesce(F.col("e_n") == F.col("a_n"), F.lit(False)).alias("count_equal"), F.coalesce(F.col("e_ids") == F.col("a_ids"), F.lit(False)).alias("order_equal"))
+    """(project, count_equal, order_equal, ratio, unresolved) of the expected projects.
+
+    Ids are compared place by place; ratio is the share of the expected places that are right, unresolved the number
+    that are not.
+    """
+    placed = lambda df, n: df.select(project, F.expr(f"row_number() over (partition by {project} order by {order}, {key})").alias("_k"), F.col(key).alias(n))
+    both = placed(expected, "_e").join(placed(actual, "_a"), [project, "_k"], "full_outer").withColumn("_same", F.coalesce(F.col("_e") == F.col("_a"), F.lit(False)))
+    told = both.groupBy(project).agg(F.count("_e").alias("_n"), F.count("_a").alias("_m"), F.count_if("_same").alias("_s")).filter("_n > 0")
+    equal = F.col("_n") == F.col("_m")
+    return told.select(project, equal.alias("count_equal"), (equal & (F.col("_s") == F.col("_n"))).alias("order_equal"), F.round(F.col("_s") / F.col("_n"), 6).alias("ratio"), (F.col("_n") - F.col("_s")).alias("unresolved"))
 
 
 def validate_continuity(chunks: DataFrame, project: str, chunk: str, key: str) -> DataFrame:

@@ -15,9 +15,15 @@ def over(project: str = P, order: str = O, frame: str = "") -> str:
 BEFORE = "rows between unbounded preceding and 1 preceding"
 
 
-def lay_out(df: DataFrame, gap: float = 0.0, length: str = "dur") -> DataFrame:
-    """df with start_s and end_s: items one after the other with a gap between."""
-    return df.withColumn("start_s", F.expr(f"coalesce(sum({length} + {gap}) {over(frame=BEFORE)}, 0.0D)")).withColumn("end_s", F.expr(f"start_s + {length}"))
+def lay_out(df: DataFrame, gap: float = 0.0, length: str = "dur", words: str | None = None) -> DataFrame:
+    """df with start_s and end_s: items one after the other with a gap between.
+
+    words names an array of (word, start_s, end_s) in the item's own time, which is shifted to the time of all, in milliseconds.
+    """
+    laid = df.withColumn("start_s", F.expr(f"coalesce(sum({length} + {gap}) {over(frame=BEFORE)}, 0.0D)")).withColumn("end_s", F.expr(f"start_s + {length}"))
+    if words is None:
+        return laid
+    return laid.withColumn(words, F.expr(f"transform({words}, w -> named_struct('word', w.word, 'start_s', round(start_s + w.start_s, 3), 'end_s', round(start_s + w.end_s, 3)))"))
 
 
 def absorb_gap(df: DataFrame) -> DataFrame:
@@ -34,16 +40,13 @@ def split_slots(df: DataFrame, least: float, most: int = 4, assets: int = 5) ->
 
 
 def rescale(df: DataFrame, total: float, length: str = "dur") -> DataFrame:
-    """(project_id, pos, start_s, end_s): lengths scaled to total, each end rounded to milliseconds and carried; the last end is total.
+    """(project_id, pos, start_s, end_s): lengths scaled to total, each rounded to milliseconds and carried; the last end is total.
 
-    The carry makes it an ordered fold over one project's rows.
+    The rounded lengths are whole numbers, so their running sums are exact.
     """
-    rows = df.groupBy(P).agg(F.expr(f"array_sort(collect_list(struct({O}, {length} as l)))").alias("_r"), F.sum(length).alias("_t"))
-    ms = round(total * 1000)
-    step = f"struct(array_append(a.out, struct(x.{O} as {O}, a.at as s, a.at + bround(x.l * {ms} / _t) as e)) as out, a.at + bround(x.l * {ms} / _t) as at)"
-    rows = rows.selectExpr(P, f"aggregate(_r, struct(cast(array() as array<struct<{O}: int, s: double, e: double>>) as out, 0.0D as at), (a, x) -> {step}, a -> a.out) as _o")
-    last = F.expr(f"if({O} = max({O}) over (partition by {P}), {total}D, e / 1000)")
-    return rows.selectExpr(P, "inline(_o)").select(P, O, (F.col("s") / 1000).alias("start_s"), last.alias("end_s"))
+    rows = df.withColumn("_l", F.expr(f"cast(bround({length} * {round(total * 1000)} / sum({length}) over (partition by {P})) as bigint)"))
+    rows = rows.withColumn("_e", F.expr(f"sum(_l) {over()}")).withColumn("_last", F.expr(f"lead({O}) {over()} is null"))
+    return rows.selectExpr(P, O, "(_e - _l) / 1000 as start_s", f"if(_last, {total}D, _e / 1000) as end_s")
 
 
 def weighted_word_times(words: DataFrame, seconds: str = "seconds", offset: float = 0.0, short: float = 1.5, long: float = 2.5) -> DataFrame:

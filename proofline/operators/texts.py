@@ -143,6 +143,18 @@ def copied_ngram_exists(a: DataFrame, b: DataFrame, key: str, n: int = 4, text:
     return a.select(key).join(hit, key, "left").select(key, F.coalesce("copied", F.lit(False)).alias("copied"))
 
 
+def narration_contract(df: DataFrame, protected: DataFrame, key: str, words: str, seconds: str, per_second: float, window: tuple[int, int] = (115, 125), spoken: tuple[float, float] = (50.0, 60.0), text: str = "text") -> DataFrame:
+    """(key, codes): sorted codes of a narration whose words or seconds are outside their window or not as stated, or that copies four words in a row."""
+    n = T.narration_word_count(F.col(text))
+    told = df.select(key, n.alias("_n"), T.spoken_seconds(n, F.lit(per_second)).alias("_s"), F.col(words).alias("_words"), F.col(seconds).alias("_seconds"))
+    told = told.join(copied_ngram_exists(df, protected, key, 4, text), key)
+    rules = {
+        "COPIED": F.col("copied"), "DURATION": ~F.col("_s").between(*spoken) | ~F.coalesce(F.abs(F.col("_seconds") - F.col("_s")) <= 0.001, F.lit(False)),
+        "WORDS": ~F.col("_n").between(*window) | ~F.col("_words").eqNullSafe(F.col("_n")),
+    }
+    return told.select(key, F.array_join(F.array_compact(F.array(*[F.when(rule, F.lit(code)) for code, rule in rules.items()])), ",").alias("codes"))
+
+
 def publishable(df: DataFrame, status: str = "rights_status") -> DataFrame:
     """df with passed: its rights are declared or verified; a null status does not pass."""
     return df.withColumn("passed", F.coalesce(F.col(status).isin("declared", "verified"), F.lit(False)))

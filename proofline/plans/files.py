@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from proofline.operators import geometry as G
@@ -9,7 +13,9 @@ from proofline.plans.gates import policy, quality
 from proofline.plans.gates import GAT2
 from proofline.plans.geometry import BOXES, _CROPS, _SHARE, boxes, crops
 from proofline.plans.registry import query
+from proofline.plans.texts import NORM
 from proofline.sources import files
+from proofline.streaming import streams
 
 
 def place(t, name: str) -> str:
@@ -40,6 +46,102 @@ def src12_append_audit(t):
     return t.spark.read.schema("actor string, action string, entity string, detail string").json(path)
 
 
+@query("SELECT DISTINCT event_type, 'parquet' AS suffix, true AS accepted FROM events UNION ALL SELECT DISTINCT event_type, 'json', false FROM events")
+def src2_scan_media_folder(t):
+    root = place(t, "folders")
+    rows = t.events.select("event_type", "event_id", "value")
+    rows.write.partitionBy("event_type").parquet(f"{root}/a")
+    rows.write.partitionBy("event_type").json(f"{root}/b")
+    rows.write.partitionBy("event_type").csv(f"{root}/c")
+    found = files.scan_media_folder(t.spark, root, ["parquet"], ["csv"])
+    return found.filter("size > 0").select(F.regexp_extract("path", "event_type=([a-z_]+)/", 1).alias("event_type"), "suffix", "accepted").distinct()
+
+
+@query(f"SELECT conv_id, {NORM} AS text FROM (SELECT conv_id, chr(9) || text || chr(13) || chr(10) AS text FROM conversations WHERE turn = 0)".replace("WHERE turn = 0", "QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1"))
+def src4_read_text_documents(t):
+    path = place(t, "texts")
+    first = t.conversations.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    first.select("conv_id", F.concat(F.lit("\t"), "text", F.lit("\r")).alias("text")).write.partitionBy("conv_id").text(path)
+    return files.read_text_documents(t.spark, path).select(F.regexp_extract("path", "conv_id=([0-9]+)/", 1).cast("long").alias("conv_id"), "text")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS path, CASE WHEN conv_id % 7 > 0 THEN 'page' || turn || '.png' END AS entry, CASE WHEN conv_id % 7 > 0 THEN sha256(text) END AS sha256, CASE WHEN conv_id % 7 = 0 THEN 'BAD_ARCHIVE' END AS error FROM conversations WHERE conv_id % 7 > 0 OR turn = 0".replace("OR turn = 0", "QUALIFY conv_id % 7 > 0 OR row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1").replace("WHERE conv_id % 7 > 0 QUALIFY", "QUALIFY"))
+def src5_expand_archives(t):
+    """An archive for each conversation, with an image and a note for each turn; every seventh is cut short."""
+
+    def archive(rows: pd.DataFrame) -> pd.DataFrame:
+        made = io.BytesIO()
+        with zipfile.ZipFile(made, "w") as out:
+            for turn, text in zip(rows["turn"], rows["text"]):
+                out.writestr(f"page{turn}.png", text)
+                out.writestr(f"page{turn}.txt", text)
+            out.writestr("__MACOSX/page.png", "x")
+        key = int(rows["conv_id"].iloc[0])
+        return pd.DataFrame({"path": [str(key)], "content": [made.getvalue() if key % 7 else made.getvalue()[:20]]})
+
+    archives = t.conversations.select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(archive, "path string, content binary")
+    return files.expand_archives(archives).select("path", "entry", F.sha2("content", 256).alias("sha256"), "error")
+
+
+_LOG = "user_id long, event_type string, at long, value double, version string"
+
+
+def _write_log(t, path: str) -> None:
+    """The events as JSON lines of two versions, and a broken line for every tenth."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    rows = t.events.select("user_id", "event_type", at, "value", F.expr("if(event_id % 3 = 0, 'v1', 'v2')").alias("version"), "event_id")
+    lines = rows.select(F.to_json(F.struct("user_id", "event_type", "at", "value", "version")).alias("value"))
+    lines.union(rows.filter("event_id % 10 = 0").selectExpr("concat('{\"user_id\": ', event_id) as value")).write.text(path)
+
+
+_LATEST = "SELECT user_id, event_type, max(value) AS value FROM (SELECT *, rank() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) AS k FROM events {}) WHERE k = 1 GROUP BY ALL"
+
+
+@query(_LATEST.format("WHERE event_id % 3 > 0"))
+def src6_read_checkpoint_log(t):
+    path = place(t, "log")
+    _write_log(t, path)
+    log = files.read_checkpoint_log(t.spark, path, _LOG, {"version": "v2"}, ["user_id", "event_type"], "struct(at, value)")
+    return log.select("user_id", "event_type", "value")
+
+
+@query(_LATEST.format(""))
+def str1_checkpoint_stream(t):
+    path, target = place(t, "log"), place(t, "latest")
+    rows = t.events.select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value")
+    for late in (False, True):  # the log grows between two runs of the stream
+        files.append_log(rows.filter(F.expr(f"(user_id % 2 = 0 or value > 100) = {str(late).lower()}")), path)
+        streams.checkpoint_stream(t.spark, path, "user_id long, event_type string, at long, value double", ["user_id", "event_type"], ["at", "value"], target, f"{target}-offsets").awaitTermination()
+    return streams.current(t.spark, target).select("user_id", "event_type", "value")
+
+
+@query("SELECT sha256(text) AS checksum, octet_length(encode(any_value(text))) AS size FROM documents GROUP BY text")
+def str3_content_dedup_stream(t):
+    path, target = place(t, "blobs"), place(t, "firsts")
+    blobs = t.documents.select(F.sha2(F.col("text").cast("binary"), 256).alias("checksum"), F.octet_length("text").alias("size"), F.lit("2024-01-01").cast("timestamp").alias("at"))
+    blobs.write.parquet(path)
+    stream = t.spark.readStream.schema(blobs.schema).parquet(path)
+    firsts = streams.content_dedup_stream(stream, "checksum", "at", "1 hour")
+    firsts.writeStream.format("parquet").option("path", target).option("checkpointLocation", f"{target}-offsets").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(blobs.schema).parquet(target).select("checksum", "size")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 = 3 THEN 'FAILED' ELSE 'READY' END AS status, CASE WHEN event_id % 10 = 3 THEN NULL ELSE CAST(json_extract(props, '$.k') AS INT) END AS k FROM events")
+def src8_read_job_states(t):
+    path = place(t, "states")
+    t.events.selectExpr("""concat(if(event_id % 10 = 3, '', '{"event_id": '), event_id, if(event_id % 10 = 3, ' }{', ', '), substring(props, 2)) as value""").write.text(path)
+    states = files.read_job_states(t.spark, path, "event_id long, k int")
+    return states.select(F.coalesce("event_id", F.regexp_extract("value", "^([0-9]+)", 1).try_cast("long")).alias("event_id"), "status", "k")
+
+
+@query("SELECT 'blobs/' || substr(sha256(text), 1, 16) || '.txt' AS key, any_value(octet_length(encode(text))) AS size, 1 AS copies FROM documents GROUP BY 1")
+def src9_put_content_addressed(t):
+    store = place(t, "store")
+    for lang in ("en", None):  # first some of the documents, then all
+        files.put_content_addressed(t.documents.filter(F.col("lang") == lang) if lang else t.documents, store, "text", ".txt", "blobs/")
+    return t.spark.read.parquet(store).groupBy("key").agg(F.max(F.octet_length("content")).alias("size"), F.count("*").cast("int").alias("copies"))
+
+
 @query(f"""WITH {BOXES}, {_CROPS}, v AS (SELECT c.asset_id, crop, coalesce(min({_SHARE}) FILTER (class = 0), 1) AS face, coalesce(min({_SHARE}) FILTER (class = 1), 1) AS text FROM c LEFT JOIN bx b ON c.asset_id = b.asset_id GROUP BY ALL)
 SELECT asset_id, count(*) AS feasible, min(crop) AS first_crop, round(arg_min(face, crop), 6) AS strength FROM v WHERE face >= 0.1 AND text >= 0.05 GROUP BY asset_id""")
 def gat6_feasible_ledger(t):

@@ -16,7 +16,7 @@ from proofline.operators import sequences as S
 from proofline.operators import texts as O
 from proofline.plans.registry import Tables, query
 from proofline.plans.sequences import SHOTS, shots
-from proofline.plans.texts import RIGHTS, SENT, STATUS, _grams, with_rights
+from proofline.plans.texts import NARR, RIGHTS, SENT, STATUS, _grams, with_rights
 
 Rule = Callable[[Tables], DataFrame]
 
@@ -127,13 +127,12 @@ def gat4_script_checks(t):
     return I.union_all([count(twice, "REPEATED_SENTENCE"), count(grams, "REPEATED_TRIGRAM"), count(short, "SHORT")])
 
 
-@query(f"""WITH a AS ({_grams(4, 'documents', 'doc_id')}), b AS (SELECT DISTINCT s FROM ({_grams(4, 'benchmark', 'item_id')})), c AS (SELECT DISTINCT doc_id FROM a JOIN b USING (s)), w AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?')) AS w FROM documents)
-SELECT w.doc_id, array_to_string(list_sort(list_filter([CASE WHEN w NOT BETWEEN 115 AND 125 THEN 'WORDS' END, CASE WHEN round(w / 2.2, 2) NOT BETWEEN 50 AND 60 THEN 'DURATION' END, CASE WHEN c.doc_id IS NOT NULL THEN 'COPIED' END], lambda x: x IS NOT NULL)), ',') AS codes FROM w LEFT JOIN c ON w.doc_id = c.doc_id""")
+@query(f"""WITH a AS ({_grams(4, 'documents', 'doc_id')}), b AS (SELECT DISTINCT s FROM ({_grams(4, 'benchmark', 'item_id')})), c AS (SELECT DISTINCT doc_id FROM a JOIN b USING (s)), w AS (SELECT doc_id, {NARR.format('text')} AS w FROM documents)
+SELECT w.doc_id, array_to_string(list_sort(list_filter([CASE WHEN w NOT BETWEEN 115 AND 125 OR w.doc_id % 5 = 0 THEN 'WORDS' END, CASE WHEN greatest(0.6, round(w / 2.2, 2)) NOT BETWEEN 50 AND 60 OR w.doc_id % 7 = 0 THEN 'DURATION' END, CASE WHEN c.doc_id IS NOT NULL THEN 'COPIED' END], lambda x: x IS NOT NULL)), ',') AS codes FROM w LEFT JOIN c ON w.doc_id = c.doc_id""")
 def gat5_narration_contract(t):
     n = T.narration_word_count(F.col("text"))
-    d = t.documents.select("doc_id", n.alias("w")).join(O.copied_ngram_exists(t.documents, t.benchmark, "doc_id"), "doc_id")
-    rules = {"WORDS": ~F.col("w").between(115, 125), "DURATION": ~F.round(F.col("w") / 2.2, 2).between(50, 60), "COPIED": F.col("copied")}
-    return d.select("doc_id", F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(r, F.lit(c)) for c, r in rules.items()]))), ",").alias("codes"))
+    stated = t.documents.select("doc_id", "text", (n + F.expr("if(doc_id % 5 = 0, 1, 0)")).alias("n"), (T.spoken_seconds(n, F.lit(2.2)) + F.expr("if(doc_id % 7 = 0, 0.5D, 0.0D)")).alias("s"))
+    return O.narration_contract(stated, t.benchmark, "doc_id", "n", "s", 2.2)
 
 
 @query("SELECT p_partkey, code FROM (SELECT p_partkey, unnest([CASE WHEN p_size NOT BETWEEN 5 AND 45 THEN 'DURATION' END, CASE WHEN p_retailprice < 1000 THEN 'RESOLUTION' END, CASE WHEN p_size * 20 > p_retailprice THEN 'ASPECT' END]) AS code FROM part) WHERE code IS NOT NULL")
@@ -148,13 +147,14 @@ def jsn1_parse_untrusted(t):
     return R.parse_untrusted(made, "event_id", "p", ["click", "view"], "other", 2, 8)
 
 
-@query("SELECT o_orderkey, code FROM (SELECT o_orderkey, unnest([CASE WHEN o_orderstatus = 'P' THEN 'KEYS' END, CASE WHEN o_totalprice > 300000 THEN 'ORDER' END, CASE WHEN o_orderpriority LIKE '1%' THEN 'NO_SELF' END, CASE WHEN o_orderstatus = 'P' THEN 'NO_FACTS' END]) AS code FROM orders) WHERE code IS NOT NULL")
+@query("SELECT o_orderkey, code FROM (SELECT o_orderkey, unnest([CASE WHEN o_orderstatus = 'P' THEN 'KEYS' END, CASE WHEN o_totalprice > 300000 THEN 'ORDER' END, CASE WHEN o_orderpriority LIKE '1%' THEN 'NO_SELF' END, CASE WHEN o_orderstatus = 'P' THEN 'NO_FACTS' END, CASE WHEN o_totalprice > 300000 OR o_custkey > 1000 THEN 'BOUNDS_ORDER' END]) AS code FROM orders) WHERE code IS NOT NULL")
 def jsn2_validate_observations(t):
     full = F.struct(F.expr("if(o_totalprice > 300000, -1L, o_custkey)").alias("order"), F.array(F.expr("if(o_orderpriority like '1%', 'x', cast(o_orderkey as string))")).alias("refs"), F.expr("if(o_orderstatus = 'P', null, 'f')").alias("facts"))
-    return R.validate_observations(t.orders.withColumn("p", F.to_json(full)), "o_orderkey", "p", ["order", "refs", "facts"], "o_custkey")
+    return R.validate_observations(t.orders.withColumn("p", F.to_json(full)), "o_orderkey", "p", ["order", "refs", "facts"], "o_custkey", {"order": (0, 1000)})
 
 
-@query("WITH e AS (SELECT l_orderkey, count(*) AS n, list(l_partkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem GROUP BY 1), a AS (SELECT l_orderkey, count(*) AS n, list(l_partkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem WHERE l_quantity > 3 GROUP BY 1) SELECT e.l_orderkey, coalesce(e.n = a.n, false) AS count_equal, coalesce(e.i = a.i, false) AS order_equal FROM e LEFT JOIN a USING (l_orderkey)")
+@query("""WITH e AS (SELECT l_orderkey, l_partkey AS e, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k FROM lineitem), a AS (SELECT l_orderkey, l_partkey AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k FROM lineitem WHERE l_quantity > 3),
+g AS (SELECT l_orderkey, count(*) AS n, count(a) AS m, count_if(coalesce(e = a, false)) AS s FROM e LEFT JOIN a USING (l_orderkey, k) GROUP BY l_orderkey) SELECT l_orderkey, n = m AS count_equal, n = s AS order_equal, round(s / n, 6) AS ratio, n - s AS unresolved FROM g""")
 def jsn3_validate_manifest(t):
     return R.validate_manifest(t.lineitem.filter("l_quantity > 3"), t.lineitem, "l_orderkey", "l_linenumber", "l_partkey")
 
@@ -195,7 +195,7 @@ def win21_beat_score(t):
 
 @query(name="win18_byte_bounded_chunks")
 def win18_byte_bounded_chunks(t):
-    return C.byte_bounded_chunks(t.documents.select("source", "doc_id", F.octet_length("text").alias("size")), "source", "doc_id", "size", 12, 20000)
+    return C.byte_bounded_chunks(t.documents.select("source", "doc_id", F.octet_length("text").alias("size")), "source", "doc_id", "size", 12, 20000, 2)
 
 
 def _measure(rows: pd.DataFrame) -> pd.DataFrame:

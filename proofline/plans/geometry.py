@@ -100,14 +100,19 @@ def jsn19_split_count(t):
     return G.split_count(t.documents, "doc_id", "n_chars", 900, 6)
 
 
-@query("SELECT vec_id, code FROM (SELECT vec_id, unnest([CASE WHEN len(list_filter(b, lambda v: v < 0 OR v > 1)) > 0 THEN 'RANGE' END, CASE WHEN b[3] <= b[1] OR b[4] <= b[2] THEN 'DEGENERATE' END]) AS code FROM (SELECT vec_id, embedding[1:4] AS b FROM embeddings)) WHERE code IS NOT NULL")
+@query("""SELECT vec_id, code FROM (SELECT vec_id, unnest([CASE WHEN len(list_filter(b, lambda v: v < 0 OR v > 1)) > 0 THEN 'RANGE' END, CASE WHEN b[3] <= b[1] OR b[4] <= b[2] THEN 'DEGENERATE' END,
+CASE WHEN len(p) < 6 OR len(p) % 2 = 1 THEN 'POLYGON' END, CASE WHEN len(list_filter(p, lambda v: v < 0 OR v > 1)) > 0 THEN 'POLYGON_RANGE' END]) AS code FROM (SELECT vec_id, embedding[1:4] AS b, embedding[5:4 + vec_id % 9] AS p FROM embeddings)) WHERE code IS NOT NULL""")
 def jsn20_validate_geometry(t):
-    return G.validate_geometry(t.embeddings.withColumn("b", F.slice("embedding", 1, 4)), "vec_id", "b")
+    return G.validate_geometry(t.embeddings.withColumns({"b": F.slice("embedding", 1, 4), "p": F.expr("slice(embedding, 5, cast(vec_id % 9 as int))")}), "vec_id", "b", "p")
 
 
-@query("SELECT vec_id, list_min([embedding[1], embedding[3], embedding[5]]) AS x0, list_min([embedding[2], embedding[4], embedding[6]]) AS y0, list_max([embedding[1], embedding[3], embedding[5]]) AS x1, list_max([embedding[2], embedding[4], embedding[6]]) AS y1 FROM embeddings")
+_ODD, _EVEN = ("[" + ", ".join(f"embedding[{i}]" for i in range(k, 65, 2)) + "]" for k in (1, 2))
+
+
+@query(f"""WITH p AS (SELECT vec_id, list_min({_ODD}) AS x0, list_min({_EVEN}) AS y0, list_max({_ODD}) AS x1, list_max({_EVEN}) AS y1, embedding[1:4] AS b FROM embeddings)
+SELECT vec_id, x0, y0, x1, y1 FROM p UNION SELECT vec_id, b[1], b[2], b[3], b[4] FROM p""")
 def jsn7_region_envelope(t):
-    return G.region_envelope(t.embeddings.withColumn("p", F.slice("embedding", 1, 6)), "vec_id", "p")
+    return G.region_envelope(t.embeddings.withColumn("b", F.slice("embedding", 1, 4)), "vec_id", "embedding", "b")
 
 
 STATS = f"{GRID}, st AS (SELECT asset_id, y, round(avg(value), 6) AS mean, round(var_pop(value), 6) AS variance FROM gr GROUP BY ALL)"

@@ -36,9 +36,12 @@ def joi5_manifest_diff(t):
     return I.manifest_diff(t.orders.filter("o_totalprice > 50000"), t.lineitem.filter("l_quantity > 45").withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey")
 
 
-@query("WITH c AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), h AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 20) SELECT c.l_orderkey, count(*) AS required, count(h.l_partkey) AS covered, round(count(h.l_partkey) / count(*), 6) AS ratio FROM c LEFT JOIN h ON c.l_orderkey = h.l_orderkey AND c.l_partkey = h.l_partkey GROUP BY c.l_orderkey")
+@query("""WITH c AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), h AS (SELECT DISTINCT CASE WHEN l_linenumber = 7 THEN -l_orderkey ELSE l_orderkey END AS l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 20),
+g AS (SELECT c.l_orderkey, count(*) AS required, count(h.l_partkey) AS covered FROM c LEFT JOIN h ON c.l_orderkey = h.l_orderkey AND c.l_partkey = h.l_partkey GROUP BY c.l_orderkey UNION ALL SELECT l_orderkey, 0, 0 FROM h WHERE l_orderkey NOT IN (SELECT l_orderkey FROM c) GROUP BY l_orderkey)
+SELECT *, CASE WHEN required > 0 THEN round(covered / required, 6) END AS ratio, CASE WHEN required = 0 THEN 'UNKNOWN_CLAIM' WHEN covered = 0 THEN 'NO_OVERLAP' WHEN covered < required THEN 'INCOMPLETE' ELSE 'OK' END AS code FROM g""")
 def joi6_claim_coverage(t):
-    return I.claim_coverage(t.lineitem, t.lineitem.filter("l_quantity > 20"), "l_orderkey", "l_partkey")
+    passages = t.lineitem.filter("l_quantity > 20").withColumn("l_orderkey", F.expr("if(l_linenumber = 7, -l_orderkey, l_orderkey)"))
+    return I.claim_coverage(t.lineitem, passages, "l_orderkey", "l_partkey")
 
 
 @query("WITH e AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 40) SELECT DISTINCT * FROM (SELECT * FROM e UNION ALL SELECT l_orderkey, l_partkey FROM lineitem WHERE l_discount > 0.05 AND l_orderkey NOT IN (SELECT l_orderkey FROM e))")
@@ -125,7 +128,10 @@ def joi26_ledger_match(t):
     return I.ledger_match(t.documents, changed, "source", "doc_id", ["text", "lang"])
 
 
-@query("SELECT source, count(*) AS rows, sha256(string_agg(sha256(coalesce(text, '') || '|' || coalesce(lang, '')), ',' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
+_CHUNKS = "k AS (SELECT source, c, count(*) AS n, sha256(string_agg(h, ',' ORDER BY doc_id)) AS d FROM h GROUP BY ALL), m AS (SELECT source, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(c || ':' || d, ',' ORDER BY c)) AS fingerprint FROM k GROUP BY source)"
+
+
+@query("WITH h AS (SELECT source, doc_id, substr(md5(CAST(doc_id AS VARCHAR)), 1, 3) AS c, sha256(coalesce(text, '') || '|' || coalesce(lang, '')) AS h FROM documents), " + _CHUNKS + " SELECT * FROM m")
 def agg20_set_fingerprint(t):
     return I.set_fingerprint(t.documents, "source", "doc_id", ["text", "lang"])
 
@@ -216,23 +222,6 @@ def src1_scan_ordered(t):
     return t.orders.selectExpr("o_custkey", "o_orderkey", "row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as place")
 
 
-@query("SELECT source, doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS size FROM documents")
+@query("WITH f AS (SELECT source, doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS size FROM documents), h AS (SELECT source, doc_id, substr(md5(CAST(doc_id AS VARCHAR)), 1, 3) AS c, sha256(doc_id || '|' || sha256 || '|' || size) AS h FROM f), " + _CHUNKS + " SELECT f.*, fingerprint AS manifest FROM f JOIN m USING (source)")
 def src3_file_manifest(t):
-    return t.documents.select("source", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").alias("size"))
-
-
-@query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL")
-def src6_read_checkpoint_log(t):
-    return I.checkpoint_latest(t.events.filter("event_type in ('click', 'view')"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "value")
-
-
-@query("SELECT event_id, CASE WHEN event_id % 10 = 3 THEN 'FAILED' ELSE 'READY' END AS status, CASE WHEN event_id % 10 = 3 THEN NULL ELSE CAST(json_extract(props, '$.k') AS INT) END AS k FROM events")
-def src8_read_job_states(t):
-    raw = t.events.withColumn("state", F.expr("if(event_id % 10 = 3, concat(props, '}{'), props)")).withColumn("state", F.expr("if(event_id % 10 = 3, substring(state, 2), state)"))
-    return I.job_states(raw, "state", "k int").select("event_id", "status", F.expr("if(status = 'FAILED', null, _s.k)").alias("k"))
-
-
-@query("SELECT 'blobs/' || substr(sha256(text), 1, 16) || '.txt' AS key, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1")
-def src9_put_content_addressed(t):
-    key = F.concat(F.lit("blobs/"), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16), F.lit(".txt"))
-    return t.documents.groupBy(key.alias("key")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+    return I.file_manifest(t.documents, "source", "doc_id", "text")

@@ -33,9 +33,11 @@ def laid(sql: str, gap: str = "0.0") -> str:
     return f"WITH {LAID.format(gap=gap)} {sql}"
 
 
-@query(laid("SELECT project_id, pos, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s FROM tl", "0.25"))
+@query(laid("SELECT project_id, pos, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, CASE k WHEN 0 THEN mode ELSE 'end' END AS word, CASE k WHEN 0 THEN round(start_s + 0.1, 3) ELSE round(start_s + dur / 2, 3) END AS word_start, CASE k WHEN 0 THEN round(start_s + dur / 2, 3) ELSE round(start_s + dur, 3) END AS word_end FROM tl, (SELECT unnest([0, 1]) AS k)", "0.25"))
 def win1_lay_out(t):
-    return timeline(t, 0.25).selectExpr("project_id", "pos", "round(start_s, 6) as start_s", "round(end_s, 6) as end_s")
+    spoken = shots(t).withColumn("words", F.expr("array(named_struct('word', mode, 'start_s', 0.1D, 'end_s', dur / 2), named_struct('word', 'end', 'start_s', dur / 2, 'end_s', dur))"))
+    laid_out = O.lay_out(spoken, 0.25, words="words").select("project_id", "pos", "start_s", "end_s", F.explode("words").alias("w"))
+    return laid_out.selectExpr("project_id", "pos", "round(start_s, 6) as start_s", "round(end_s, 6) as end_s", "w.word", "w.start_s as word_start", "w.end_s as word_end")
 
 
 @query(laid("SELECT project_id, pos, round(greatest(end_s, coalesce(lead(start_s) OVER (PARTITION BY project_id ORDER BY pos), end_s)), 6) AS end_s FROM tl", "0.25"))
@@ -49,7 +51,7 @@ def win3_split_slots(t):
     return O.split_slots(timeline(t), 20.0).selectExpr("project_id", "pos", "slot", "index", "round(start_s, 6) as start_s", "round(end_s, 6) as end_s", "asset")
 
 
-@query(name="win4_rescale")
+@query(f"WITH {SHOTS}, l AS (SELECT *, CAST(round_even(dur * 60000 / sum(dur) OVER (PARTITION BY project_id), 0) AS BIGINT) AS l FROM sh), e AS (SELECT *, CAST(sum(l) OVER w AS BIGINT) AS e, lead(pos) OVER w IS NULL AS last FROM l WINDOW w AS (PARTITION BY project_id ORDER BY pos)) SELECT project_id, pos, (e - l) / 1000 AS start_s, CASE WHEN last THEN 60.0 ELSE e / 1000 END AS end_s FROM e")
 def win4_rescale(t):
     return O.rescale(shots(t), 60.0)
 

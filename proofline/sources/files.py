@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofline.functions.text import normalise_text
+
 IMAGES = ["jpg", "jpeg", "png", "webp", "gif", "bmp"]
 
 
@@ -19,6 +21,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares; a folder is made for local runs where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -39,9 +43,9 @@ def scan_media_folder(spark: SparkSession, root: str, suffixes: list[str] = IMAG
 
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text): UTF-8, else Latin-1."""
+    """(path, text): UTF-8, else Latin-1; newlines and blanks are made normal."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return raw.select("path", F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1")).alias("text"))
+    return raw.select("path", normalise_text(F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))).alias("text"))
 
 
 def expand_archives(files: DataFrame) -> DataFrame:
@@ -73,10 +77,20 @@ def read_checkpoint_log(spark: SparkSession, path: str, schema: str, scope: dict
     for column, value in scope.items():
         log = log.filter(F.col(column) == value)
     rest = [c for c in log.columns if c not in keys]
-    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select(*keys, "_r.*")
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.expr(order)).alias("_r")).select(*keys, "_r.*")
+
+
+def read_job_states(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(status, error, schema...) of the JSON state lines below path; a malformed one is a FAILED row with a code."""
+    parsed = F.from_json("value", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    read = spark.read.text(path).select("value", parsed.alias("_s")).withColumn("_bad", F.col("_s").isNull() | F.col("_s._corrupt").isNotNull())
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    status, error = F.when(F.col("_bad"), "FAILED").otherwise("READY"), F.when(F.col("_bad"), "MALFORMED_STATE")
+    return read.select("value", status.alias("status"), error.alias("error"), *[F.when(~F.col("_bad"), F.col(f"_s.{n}")).alias(n) for n in names])
 
 
 def append_log(df: DataFrame, path: str) -> None:
+    """Adds rows to a JSON-lines log."""
     df.write.mode("append").json(path)
 
 
@@ -91,10 +105,10 @@ def replace_partition(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def put_content_addressed(df: DataFrame, path: str, content: str, suffix: str) -> DataFrame:
-    """Appends the blobs whose key is not in the store yet, once each, and returns (key) of all of df."""
+def put_content_addressed(df: DataFrame, path: str, content: str, suffix: str, prefix: str = "") -> DataFrame:
+    """Appends the blobs whose key is not in the store yet, once each, and returns df with key: prefix, 16 digits of sha256, suffix."""
     spark = df.sparkSession
-    keyed = df.withColumn("key", F.concat(F.substring(F.sha2(F.col(content).cast("binary"), 256), 1, 16), F.lit(suffix)))
+    keyed = df.withColumn("key", F.concat(F.lit(prefix), F.substring(F.sha2(F.col(content).cast("binary"), 256), 1, 16), F.lit(suffix)))
     fresh = keyed.select("key", F.col(content).alias("content")).dropDuplicates(["key"])
     try:
         fresh = fresh.join(spark.read.parquet(path).select("key"), "key", "left_anti")

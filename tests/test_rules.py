@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofline.functions import text as T
+from proofline.operators import chunks as C
 from proofline.operators import geometry as G
+from proofline.operators import integrity as I
 from proofline.operators import sequences as S
 from proofline.operators import texts as O
 
@@ -149,6 +151,57 @@ def test_low_information_and_border(spark):
     assert sorted((r.asset_id, r.reached, r.share) for r in got) == [(1, 9, round(9 / 64, 6)), (2, 0, 0.0), (3, 64, 1.0)]
 
 
+def test_chunks_by_bytes_overlap(spark):
+    """Against a loop over each project's rows, with rows larger than a chunk."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(p, o, rng.choice([0, 1, 5, 9, 30])) for p in range(4) for o in range(rng.randint(0, 60))]
+    df = spark.createDataFrame(rows, "p int, o int, s int").repartition(5)
+    for most, most_bytes, overlap in ((5, 20, 2), (3, 10, 0), (4, 100, 3), (1, 5, 0)):
+        expected = []
+        for p in range(4):
+            sizes, start, chunk = [s for q, _, s in rows if q == p], 0, 0
+            while start < len(sizes):
+                end = start + 1
+                while end < len(sizes) and end - start < most and sum(sizes[start : end + 1]) <= most_bytes:
+                    end += 1
+                expected += [(p, o, chunk) for o in range(start, end)]
+                start, chunk = (len(sizes), chunk) if end == len(sizes) else (max(end - overlap, start + 1), chunk + 1)
+        assert sorted((r.p, r.o, r.chunk) for r in C.byte_bounded_chunks(df, "p", "o", "s", most, most_bytes, overlap).collect()) == sorted(expected)
+    with pytest.raises(ValueError):
+        C.byte_bounded_chunks(df, "p", "o", "s", 2, 5, 2)
+
+
+def test_claims_and_contracts(spark):
+    claims = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("c", "z")], "claim string, e string")
+    passages = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z"), ("d", "z")], "claim string, e string")
+    got = {r.claim: (r.required, r.covered, r.ratio, r.code) for r in I.claim_coverage(claims, passages, "claim", "e").collect()}
+    assert got == {"a": (2, 1, 0.5, "INCOMPLETE"), "b": (1, 0, 0.0, "NO_OVERLAP"), "c": (1, 1, 1.0, "OK"), "d": (0, 0, None, "UNKNOWN_CLAIM")}
+    text = " ".join(f"w{k}" for k in range(120))
+    rows = [(1, text, 120, 54.55), (2, text, 119, 54.55), (3, text, 120, 54.0), (4, text + " said the old man", 124, 56.36), (5, "", 0, 0.0), (6, text, None, None)]
+    protected = spark.createDataFrame([("and so said the old man",)], "text string")
+    got = {r.k: r.codes for r in O.narration_contract(spark.createDataFrame(rows, "k int, text string, n int, s double"), protected, "k", "n", "s", 2.2).collect()}
+    assert got == {1: "", 2: "WORDS", 3: "DURATION", 4: "COPIED", 5: "DURATION,WORDS", 6: "DURATION,WORDS"}
+
+
+def test_boxes_and_manifests(spark):
+    df = spark.createDataFrame([(1, [0.1, 0.1, 0.5, 0.5], [0.1, 0.1, 0.5, 0.1, 0.5, 0.5]), (2, None, [0.2, 0.9, 0.4, 0.3]), (3, [0.0, 0.0, 1.0, 1.0], [0.1, 0.2, 0.3, 0.4]), (4, None, [])], "k int, b array<double>, p array<double>")
+    got = sorted((r.k, r.x0, r.y0, r.x1, r.y1) for r in G.region_envelope(df, "k", "p", "b").collect())
+    assert got == [(1, 0.1, 0.1, 0.5, 0.5), (2, 0.2, 0.3, 0.4, 0.9), (3, 0.0, 0.0, 1.0, 1.0), (3, 0.1, 0.2, 0.3, 0.4)]
+    assert sorted((r.k, r.code) for r in G.validate_geometry(df, "k", "b", "p").collect()) == [(2, "POLYGON"), (3, "POLYGON"), (4, "POLYGON")]
+    files = [("f", "a", b"1"), ("f", "b", b"2"), ("g", "a", b"1")]
+    first = {(r.d, r.n): r.manifest for r in I.file_manifest(spark.createDataFrame(files, "d string, n string, c binary"), "d", "n", "c").collect()}
+    again = {(r.d, r.n): r.manifest for r in I.file_manifest(spark.createDataFrame([*files[::-1], ("g", "b", b"2")], "d string, n string, c binary"), "d", "n", "c").collect()}
+    assert first["f", "a"] == first["f", "b"] == again["f", "a"] == again["g", "a"] != first["g", "a"]
+    expected = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (3, 0, "c")], "p int, o int, i string")
+    actual = spark.createDataFrame([(1, 0, "a"), (1, 2, "b"), (2, 0, "b"), (2, 1, "a"), (9, 0, "z")], "p int, o int, i string")
+    from proofline.operators import records as R
+
+    told = {r.p: (r.count_equal, r.order_equal, r.ratio, r.unresolved) for r in R.validate_manifest(actual, expected, "p", "o", "i").collect()}
+    assert told == {1: (True, True, 1.0, 0), 2: (False, False, 0.0, 1), 3: (False, False, 0.0, 1)}
+
+
 def test_dark_cells_are_blank(spark):
     df = spark.createDataFrame([(1, 0, x, 5) for x in range(8)] + [(2, 0, x, 250 if x else 128) for x in range(8)], "asset_id int, y int, x int, value int")
     assert sorted((r.asset_id, r.blank, r.rejected) for r in G.blank_reject(df).collect()) == [(1, 1.0, True), (2, 0.875, False)]
