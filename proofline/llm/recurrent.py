@@ -160,15 +160,15 @@ def scored(model: Gru, classes: list[np.ndarray]) -> np.ndarray:
     return out.ravel()[at].astype(np.float64) / math.log(10)
 
 
-def class_of(counts: np.ndarray, tokens: int) -> np.ndarray:
-    """Class of words by training count; counts of 0 and 1 share class 0. tokens sets where the sharp classes end."""
+def class_of(counts: np.ndarray, size: int) -> np.ndarray:
+    """Class of words by training count; counts of 0 and 1 share class 0. size, the characters of the training texts, sets where the sharp classes end."""
     octave = np.log2(np.maximum(counts, 1))
-    sharp = OCTAVES + np.floor(SHARP * (octave - OCTAVES) / max(6.0, math.log2(max(tokens, 2)) - OCTAVES - 6)).astype(np.int64)
+    sharp = OCTAVES + np.floor(SHARP * (octave - OCTAVES) / max(6.0, math.log2(max(size, 2)) - OCTAVES - 6)).astype(np.int64)
     return np.where(octave < OCTAVES, np.floor(octave).astype(np.int64), np.clip(sharp, OCTAVES, END - 1))
 
 
 def coded(docs: DataFrame) -> DataFrame:
-    """A written table of docs as classes: (doc_id, held_out, half, n_known, log_counts, classes, stats).
+    """A written table of docs as classes: (doc_id, row, held_out, half, n_known, log_counts, classes, stats).
 
     classes has a byte for each token of the document, the end included; log_counts sums log10 of the training counts
     of its words, each with ALPHA added. One more row a bucket (null classes) has stats: words and tokens by class.
@@ -176,7 +176,7 @@ def coded(docs: DataFrame) -> DataFrame:
     groups, buckets = dealt(docs)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     groups = groups.withColumn("held_out", F.crc32(name.cast("binary")) % 10 == 0)
-    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    size = groups.filter("not held_out").agg(F.sum(F.length("text"))).first()[0] or 0
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         table, texts = texts_of(table)
@@ -205,7 +205,7 @@ def coded(docs: DataFrame) -> DataFrame:
         })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = f"doc_id {kind}, held_out boolean, half int, n_known long, log_counts double, classes binary, stats binary"
+    columns = f"doc_id {kind}, row long, held_out boolean, half int, n_known long, log_counts double, classes binary, stats binary"
 
     def code(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         g = key[0].as_py()
@@ -228,7 +228,7 @@ def coded(docs: DataFrame) -> DataFrame:
         pad = lambda values, of: pa.concat_arrays([pa.array(values, of), pa.nulls(none, of)])
         ids = table["doc_id"].combine_chunks()
         return pa.table({
-            "doc_id": pa.concat_arrays([ids, pa.nulls(none, ids.type)]), "held_out": pad(table["held_out"].to_pylist(), pa.bool_()), "half": pad((table["row"].to_numpy() >> 7) % 840, pa.int32()),
+            "doc_id": pa.concat_arrays([ids, pa.nulls(none, ids.type)]), "row": pad(table["row"].to_numpy(), pa.int64()), "held_out": pad(table["held_out"].to_pylist(), pa.bool_()), "half": pad((table["row"].to_numpy() >> 7) % 840, pa.int32()),
             "n_known": pad(known[first[1:]] - known[first[:-1]], pa.int64()), "log_counts": pad(sums[first[1:]] - sums[first[:-1]], pa.float64()), "classes": pad(rows, pa.binary()),
             "stats": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(stats, pa.binary())]),
         })
@@ -257,31 +257,36 @@ def _classes(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(c, np.uint8).astype(np.int64) for c in table["classes"].to_pylist()]
 
 
-def fitted(table: DataFrame, share: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def fitted(table: DataFrame, share: np.ndarray, tokens: int, rounds: int = ROUNDS) -> np.ndarray:
     """Weights of the model after one pass over the training documents of coded(), which are dealt to rounds.
 
-    In a round every task goes on from the same weights over its own documents; then the tasks' weights are averaged by
-    their tokens. Only the weights, whose number is fixed, come to the driver.
+    In a round the documents are dealt to shards of about BLOCK tokens by their row hash, as many as tokens ask for, and
+    every shard goes on from the same weights over its documents in the order of the hash; then the shards' weights are
+    averaged by their tokens. So the weights do not hang on partitions or cores. Only they, whose number is fixed, come
+    to the driver.
     """
-    weights = Gru.new(share).flat()
+    weights, shards = Gru.new(share).flat(), max(1, math.ceil(tokens / (rounds * BLOCK)))
     for k in range(rounds):
-        weights = _round(table.filter(f"not held_out and half % {rounds} = {k}"), weights, RATE / (1 + k))
+        weights = _round(table.filter(f"not held_out and half % {rounds} = {k}"), weights, RATE / (1 + k), shards)
     return weights
 
 
-def _round(table: DataFrame, start: np.ndarray, rate: float) -> np.ndarray:
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _round(table: DataFrame, start: np.ndarray, rate: float, shards: int) -> np.ndarray:
+    def train(key: tuple, table: pa.Table) -> pa.Table:
         model, tokens = Gru.of(start.copy()), 0
-        for block in _blocks(batches):
-            classes = _classes(block)
-            model = trained(model, classes, rate)
-            tokens += sum(map(len, classes))
-        if tokens:
-            flat = model.flat().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * tokens), pa.array(np.full(len(flat), float(tokens)))], ["at", "weight", "tokens"])
-
-    told = table.select("classes").mapInArrow(train, "at int, weight double, tokens double")
-    mean = told.groupBy("at").agg((F.sum("weight") / F.sum("tokens")).alias("w")).orderBy("at").collect()
+        table = table.sort_by("row")
+        ends = np.cumsum([len(c) for c in table["classes"].to_pylist()])
+        cut = [0, *np.searchsorted(ends, np.arange(BLOCK, ends[-1], BLOCK)), len(ends)]
+        for begin, end in zip(cut[:-1], cut[1:]):
+            classes = _classes(table.slice(begin, end - begin))
+            if classes:
+                model = trained(model, classes, rate)
+                tokens += sum(map(len, classes))
+        flat = model.flat().astype(np.float64)
+        return pa.table({"at": pa.array(np.arange(len(flat)), pa.int32()), "weight": pa.array(flat * tokens), "tokens": pa.array(np.full(len(flat), float(tokens)))})
+
+    told = table.select(F.pmod("row", F.lit(shards)).alias("shard"), "row", "classes").groupBy("shard").applyInArrow(train, "at int, weight double, tokens double")
+    mean = told.groupBy("at").agg(F.round(F.sum("weight") / F.sum("tokens"), 9).alias("w")).orderBy("at").collect()
     return np.array([r["w"] for r in mean], np.float32) if mean else start
 
 
@@ -292,7 +297,8 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Tokens are words in lower case (A-Z) and one end; null and empty texts are one end. A word's probability is that of
     its class, which the recurrent model gives from all words before it, times its share in the class by training
     counts with ALPHA added; unknown words are one more word of the class of words seen once. Counts and training go
-    over all training documents. Repeated rows are scored each; without training documents counts are 0.
+    over all training documents. Repeated rows are scored each; without training documents counts are 0. Scores are the
+    same for any partitions, up to the rounding of sums.
     """
     table = coded(docs)
     stats = table.filter("stats is not null").select("stats")
@@ -315,7 +321,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     mass[END] = 1.0
     log_mass, log_total, log_end = np.log10(np.maximum(mass, ALPHA)), math.log10(n + ALPHA * (v + 1)), math.log10(ends + ALPHA)
     seen = np.append(tokens[:END], ends) + ALPHA
-    weights = fitted(table, seen / seen.sum(), rounds)
+    weights = fitted(table, seen / seen.sum(), n, rounds)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):

@@ -351,6 +351,25 @@ def test_recurrent_scores(spark):
     assert recurrent.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_recurrent_scores_for_any_partitions(spark, monkeypatch):
+    """Scores and weights do not hang on how the input or the shuffles are dealt, nor on texts that are held out."""
+    monkeypatch.setattr(recurrent, "BLOCK", 3_000)
+    rng = random.Random(15)
+    rows = [(i, " ".join(w for _ in range(rng.randint(2, 12)) for w in ("the", rng.choice(["cat", "dog", "owl"]), rng.choice(["sat", "ran"]), "."))) for i in range(1200)]
+    rows += [(2000, None), (2001, "word " * 5_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": mixing.F.lit(1), "classes": mixing.F.lit("x")})
+    told = []
+    for parts, shuffles in ((2, "3"), (7, "5")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        told.append({r.doc_id: r.score for r in recurrent.score(docs.repartition(parts)).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    assert told[0].keys() == told[1].keys() and all(told[0][i] == pytest.approx(told[1][i], abs=1e-3, rel=1e-5) for i in told[0])
+    held = next(i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0)
+    other = spark.createDataFrame([(i, "new words " * 9_000 if i == held else t) for i, t in rows], "doc_id long, text string")
+    again = {r.doc_id: r.score for r in recurrent.score(other).collect()}
+    assert all(again[i] == pytest.approx(told[0][i], abs=1e-3, rel=1e-5) for i in again if i != held)
+
+
 def test_recurrent_gradient():
     import numpy as np
 
