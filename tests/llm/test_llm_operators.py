@@ -373,26 +373,54 @@ def test_recurrent_scores_for_any_partitions(spark, monkeypatch):
 def test_recurrent_gradient():
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    share = np.full(recurrent.CLASSES, 1 / recurrent.CLASSES)
-    x, y = (rng.integers(0, recurrent.CLASSES, (4, 3)) for _ in range(2))
+    rng, parts = np.random.default_rng(0), 4
+    x, y = (rng.integers(0, recurrent.END * parts, (4, 3)) for _ in range(2))
+    x[0], x[2, 1], y[1, 1] = recurrent.CLASSES * parts, recurrent.CLASSES * parts, recurrent.END * parts
     live = np.ones(x.shape, bool)
-    model = recurrent.Gru.new(share)
+    model = recurrent.Gru.new(np.full((recurrent.CLASSES, parts), 1 / (recurrent.CLASSES * parts)))
+    model.within[:, :-1] *= 20  # so that cells weigh in the state's slope
     flat = model.flat().astype(np.float64)
 
     def loss(flat):
-        m, h, total = recurrent.Gru.of(flat), np.zeros((3, recurrent.HIDDEN), np.float32), 0.0
+        m, h, total = recurrent.Gru.of(flat, parts), np.zeros((3, recurrent.HIDDEN), np.float32), 0.0
+        given = m.embeddings()
         for a, b in zip(x, y):
-            h = m.step(a, h)[0]
-            total -= m.log_softmax(h)[np.arange(3), b].astype(np.float64).sum()
+            h[a == m.start] = 0
+            h = m.step(given[a], h)[0]
+            kind, cell = np.divmod(b, parts)
+            total -= m.log_softmax(h)[np.arange(3), kind].astype(np.float64).sum()
+            for k in np.flatnonzero(kind != recurrent.END):
+                logits = (h[k] @ m.within[kind[k], :-1] + m.within[kind[k], -1]).astype(np.float64)
+                total -= logits[cell[k]] - np.log(np.exp(logits).sum())
         return total
 
     model.learn(x, y, live, np.zeros((3, recurrent.HIDDEN), np.float32), 1.0)
     slope = (flat - model.flat()) * x.size
-    for at in rng.integers(0, len(flat), 40):
-        step = np.zeros(len(flat))
-        step[at] = 1e-2
-        assert slope[at] == pytest.approx((loss(flat + step) - loss(flat - step)) / 2e-2, abs=2e-3)
+    sizes = [a.size for a in (model.inputs, model.hidden, model.output, model.finer, model.within)]
+    scale = np.repeat([1, 1, 1, recurrent.FINER, recurrent.FINER], sizes)
+    seen = np.flatnonzero(slope)
+    firsts = np.concatenate([[0], np.cumsum(sizes)])
+    for b, e in zip(firsts[:-1], firsts[1:]):
+        for at in [*rng.choice(seen[(seen >= b) & (seen < e)], 20), *rng.integers(b, e, 10)]:
+            step = np.zeros(len(flat))
+            step[at] = 1e-2
+            assert slope[at] / scale[at] == pytest.approx((loss(flat + step) - loss(flat - step)) / 2e-2, abs=2e-3)
+
+
+def test_recurrent_state_sees_words(spark):
+    """Word order within a class changes the score, and the probabilities of all next words sum to 1."""
+    import numpy as np
+
+    rng = random.Random(4)
+    pairs = [("red", "fox"), ("blue", "jay"), ("grey", "owl"), ("tan", "hen")]
+    rows = [(i, " ".join(w for _ in range(rng.randint(20, 60)) for w in rng.choice(pairs))) for i in range(1500)]
+    rows += [(5000, "red fox blue jay " * 10), (5001, "red jay blue fox " * 10)]
+    got = {r.doc_id: r for r in recurrent.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[5000].base_score == pytest.approx(got[5001].base_score) and got[5000].score > got[5001].score + 5
+    model = recurrent.Gru.new(np.full((recurrent.CLASSES, 4), 1 / (recurrent.CLASSES * 4)))
+    every = [np.array([7, code]) for code in range(recurrent.END * 4)] + [np.array([7, recurrent.END * 4])]
+    logs = recurrent.scored(model, every).reshape(-1, 2)[:, 1]
+    assert (10**logs).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_windows_agree_with_words():
