@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,6 +157,60 @@ def narration_contract(df: DataFrame, protected: DataFrame, key: str, words: str
     return told.select(key, F.array_join(F.array_compact(F.array(*[F.when(rule, F.lit(code)) for code, rule in rules.items()])), ",").alias("codes"))
 
 
+SECTIONS = ("hook", "setup", "conflict", "twist", "cta")
+SPOKEN_WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"
+
+
+def script_checks(df: DataFrame, project: str, pos: str, section: str, evidence: str, insight: list[str], per_second: float, target: float, text: str = "text") -> DataFrame:
+    """(project, code, n): what is against the script whose sections (pos, section, text, evidence array) a project has.
+
+    TOO_LONG and TOO_SHORT: spoken seconds, rounded, over 1.1 or under 0.4 times target. EMPTY_SECTION, MISSING_SECTION:
+    blank rows, and names of SECTIONS without a text. REPETITION: sentences of 15 letters or more in two sections.
+    SENTENCE_FRAGMENT, REPEATED_SENTENCE, REPEATED_PHRASE: sentences under three words, sentences and, in scripts of
+    12 words or more, runs of three words that stand twice; runs go over the borders of sections, sentences do not.
+    INSIGHT_MISSING: no marker in the twist. HOOK_REPEATS_SETUP, CTA_CONTEXT_MISSING: equal texts; no word shared with
+    another section. EVIDENCE_MISSING: none in setup, conflict or twist. Of a section that a project has twice, the last
+    counts for the rules of names. A null text is empty; a project without a fault has no row; an empty table gives none.
+    """
+    words = F.regexp_extract_all(F.lower("_text"), F.lit(SPOKEN_WORD), F.lit(0))
+    rows = df.select(F.col(project).alias("_p"), F.col(pos).alias("_pos"), F.col(section).alias("_section"), F.coalesce(F.col(evidence), F.array()).alias("_cites"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_words", words)
+    flag = lambda code, test: F.when(test, F.struct(F.lit(code).alias("code"), F.lit(1).cast("long").alias("n")))
+    tally = lambda code, n: F.when(n > 0, F.struct(F.lit(code).alias("code"), n.cast("long").alias("n")))
+    last = lambda name, what: F.max_by(what, F.when(F.col("_section") == name, F.col("_pos")))
+    of = rows.groupBy("_p").agg(
+        F.sum(T.word_count(F.col("_text"))).alias("spoken"), F.count_if(~F.col("_text").rlike(r"\S")).alias("empty"), F.sum(F.size("_words")).alias("said"),
+        F.max((F.size("_cites") > 0) & F.col("_section").isin("setup", "conflict", "twist")).alias("proved"),
+        *[last(name, F.lower("_text")).alias(name) for name in SECTIONS],
+    )
+    seconds = T.spoken_seconds(F.col("spoken"), F.lit(per_second))
+    missing = sum((~F.coalesce(F.col(name), F.lit("")).rlike(r"\S")).cast("int") for name in SECTIONS)
+    faults = F.array_compact(F.array(
+        flag("TOO_LONG", seconds > target * 1.1), flag("TOO_SHORT", seconds < target * 0.4), tally("EMPTY_SECTION", F.col("empty")), tally("MISSING_SECTION", missing),
+        flag("INSIGHT_MISSING", T.cue_score(F.coalesce("twist", F.lit("")), insight) == 0), flag("HOOK_REPEATS_SETUP", F.coalesce("hook", F.lit("")) == F.col("setup")),
+        flag("EVIDENCE_MISSING", ~F.coalesce("proved", F.lit(False))),
+    ))
+    told = of.select("_p", F.inline(faults))
+
+    sentence = rows.select("_p", "_section", F.explode(T.pieces(F.col("_text"))).alias("_s"))
+    sentence = sentence.select("_p", "_section", F.regexp_count(F.lower("_s"), F.lit(SPOKEN_WORD)).alias("_n"), F.trim(F.regexp_replace(F.lower("_s"), "[^a-z0-9]+", " ")).alias("_key"), F.regexp_replace(F.lower("_s"), r"[^\p{L}\p{N}_]+", "").alias("_letters"))
+    count = lambda found, code: found.groupBy("_p").agg(F.lit(code).alias("code"), F.count("*").alias("n"))
+    short = count(sentence.filter("_n < 3"), "SENTENCE_FRAGMENT")
+    twice = count(sentence.groupBy("_p", "_key").count().filter("count > 1"), "REPEATED_SENTENCE")
+    shared = count(sentence.filter("length(_letters) >= 15").groupBy("_p", "_letters").agg(F.min("_section").alias("a"), F.max("_section").alias("b")).filter("a <> b"), "REPETITION")
+
+    spoken, order = rows.filter(F.size("_words") > 0), Window.partitionBy("_p").orderBy("_pos")
+    ahead = [F.coalesce(F.lead(F.slice("_words", 1, 2), k).over(order), F.array().cast("array<string>")) for k in (1, 2)]
+    run = spoken.select("_p", F.concat("_words", F.slice(F.concat(*ahead), 1, 2)).alias("_w"))
+    run = run.select("_p", F.explode(F.expr("transform(sequence(1, greatest(size(_w) - 2, 1)), i -> if(size(_w) < 3, null, array_join(slice(_w, i, 3), ' ')))")).alias("_run"))
+    again = run.filter("_run is not null").groupBy("_p", "_run").count().filter("count > 1").join(of.filter("said >= 12").select("_p"), "_p", "left_semi")
+    closing = rows.filter("_section = 'cta'").groupBy("_p").agg(F.max_by("_words", "_pos").alias("_w")).select("_p", F.explode("_w").alias("_word")).distinct()
+    others = rows.filter("_section is distinct from 'cta'").select("_p", F.explode("_words").alias("_word")).distinct()
+    tied = closing.join(others, ["_p", "_word"], "left_semi").select("_p").distinct()
+    loose = of.select("_p").join(tied, "_p", "left_anti").select("_p", F.lit("CTA_CONTEXT_MISSING").alias("code"), F.lit(1).cast("long").alias("n"))
+    parts = [told, short, twice, shared, count(again, "REPEATED_PHRASE"), loose]
+    return reduce(lambda a, b: a.unionByName(b), parts).select(F.col("_p").alias(project), "code", "n")
+
+
 def publishable(df: DataFrame, status: str = "rights_status") -> DataFrame:
     """df with passed: its rights are declared or verified; a null status does not pass."""
     return df.withColumn("passed", F.coalesce(F.col(status).isin("declared", "verified"), F.lit(False)))

@@ -16,7 +16,7 @@ from proofline.operators import sequences as S
 from proofline.operators import texts as O
 from proofline.plans.registry import Tables, query
 from proofline.plans.sequences import SHOTS, shots
-from proofline.plans.texts import NARR, RIGHTS, SENT, STATUS, _grams, with_rights
+from proofline.plans.texts import NARR, RIGHTS, STATUS, _grams, with_rights
 
 Rule = Callable[[Tables], DataFrame]
 
@@ -64,6 +64,18 @@ def volume(t):
     return t.documents.groupBy("source").agg(F.sum("n_chars").alias("_n")).select(*I.finding("VOLUME", project(), F.lit(None), "info", F.col("_n") < 120000, F.col("_n")))
 
 
+@policy.register
+def banned(t):
+    hits = O.banned_terms(t.documents, t.spark.createDataFrame([("icense",), (" TOKEN",), ("@",)], "term string"), "doc_id")
+    return t.documents.select("doc_id", "source").join(hits, "doc_id").select(*I.finding("BANNED", project(), F.col("doc_id"), detail=F.col("terms")))
+
+
+@policy.register
+def citations(t):
+    cited = t.documents.withColumn("evidence_ids", F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)))
+    return O.uncited(cited, ["fr"], "lang").select(*I.finding("UNCITED", project(), F.col("doc_id"), "warning"))
+
+
 _PID = "CAST(substring(source, 4) AS BIGINT)"
 
 
@@ -71,7 +83,9 @@ _PID = "CAST(substring(source, 4) AS BIGINT)"
 SELECT {_PID} AS project_id, 'RIGHTS' AS code, 'error' AS severity, {STATUS} IN ('declared', 'verified') AS passed, CAST(doc_id AS VARCHAR) AS subject_id, '' AS detail FROM {RIGHTS}
 UNION ALL SELECT {_PID}, 'MARKER', 'warning', NOT contains(lower(text), 'token'), CAST(doc_id AS VARCHAR), '' FROM documents
 UNION ALL SELECT {_PID}, 'SIMILARITY', 'error', band = 'clear', CAST(doc_id AS VARCHAR), band FROM d
-UNION ALL SELECT {_PID}, 'VOLUME', 'info', sum(n_chars) < 120000, NULL, CAST(sum(n_chars) AS VARCHAR) FROM documents GROUP BY source""")
+UNION ALL SELECT {_PID}, 'VOLUME', 'info', sum(n_chars) < 120000, NULL, CAST(sum(n_chars) AS VARCHAR) FROM documents GROUP BY source
+UNION ALL SELECT {_PID}, 'BANNED', 'error', false, CAST(doc_id AS VARCHAR), string_agg(DISTINCT term, ',' ORDER BY term) FROM documents JOIN (VALUES ('icense'), ('token'), ('@')) v(term) ON contains(lower(text), term) GROUP BY source, doc_id
+UNION ALL SELECT {_PID}, 'UNCITED', 'warning', false, CAST(doc_id AS VARCHAR), '' FROM documents WHERE lang <> 'fr' AND NOT regexp_matches(text, '[0-9]')""")
 def gat1_policy_findings(t):
     return policy.findings(t)
 
@@ -112,19 +126,34 @@ def gat3_publish_ready(t):
     return jobs.join(summary, "project_id", "left").select("project_id", (done & ok).alias("ready"), F.when(~done, "NO_FINISHED_JOB").when(~ok, "BLOCKED").otherwise("READY").alias("reason"))
 
 
-_CS = f"cs AS (SELECT conv_id, turn, lower(s) AS s FROM (SELECT conv_id, turn, unnest({SENT}) AS s FROM conversations))"
-
-
-@query(f"""WITH {_CS} SELECT conv_id, 'REPEATED_SENTENCE' AS code, count(*) AS n FROM (SELECT conv_id, s FROM cs GROUP BY ALL HAVING count(DISTINCT turn) > 1) GROUP BY conv_id
-UNION ALL SELECT conv_id, 'REPEATED_TRIGRAM', count(*) FROM (SELECT conv_id, s FROM ({_grams(3, 'conversations', 'conv_id, turn')}) GROUP BY ALL HAVING count(*) > 1) GROUP BY conv_id
-UNION ALL SELECT conv_id, 'SHORT', count(*) FROM conversations WHERE len(regexp_extract_all(text, '\\S+')) < 10 GROUP BY conv_id""")
+_WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_''-]*[\p{L}\p{N}_])?"
+_SECTION = "CASE turn WHEN 0 THEN 'hook' WHEN 1 THEN 'setup' WHEN 2 THEN 'conflict' WHEN 3 THEN 'twist' ELSE 'cta' END"
+
+
+@query(rf"""WITH r AS (SELECT conv_id, turn, {_SECTION} AS sec, text, regexp_extract_all(lower(text), '{_WORD}') AS ws, regexp_matches(text, 'Ther') AS cited FROM conversations),
+o AS (SELECT conv_id, sum(len(regexp_extract_all(text, '\S+'))) AS spoken, count(*) FILTER (NOT regexp_matches(text, '\S')) AS empty, sum(len(ws)) AS said, bool_or(cited AND sec IN ('setup', 'conflict', 'twist')) AS proved,
+  coalesce(lower(max(text) FILTER (turn = 0)), '') AS hook, coalesce(lower(max(text) FILTER (turn = 1)), '') AS setup, coalesce(lower(max(text) FILTER (turn = 2)), '') AS conflict, coalesce(lower(max(text) FILTER (turn = 3)), '') AS twist, coalesce(lower(arg_max(text, turn) FILTER (sec = 'cta')), '') AS cta FROM r GROUP BY conv_id),
+t AS (SELECT *, CASE WHEN spoken = 0 THEN 0.0 ELSE round(greatest(0.6, spoken / 2.4::DOUBLE), 2) END AS sec_s, list_sum([CAST(NOT regexp_matches(x, '\S') AS INT) for x in [hook, setup, conflict, twist, cta]]) AS missing FROM o),
+p AS (SELECT conv_id, sec, trim(s) AS s FROM (SELECT conv_id, sec, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM r) WHERE trim(s) <> ''),
+k AS (SELECT conv_id, sec, len(regexp_extract_all(lower(s), '{_WORD}')) AS n, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS key, regexp_replace(lower(s), '[^\p{{L}}\p{{N}}_]+', '', 'g') AS letters FROM p),
+w AS (SELECT conv_id, list(word ORDER BY turn, i) AS ws FROM (SELECT conv_id, turn, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM r) GROUP BY conv_id),
+g AS (SELECT conv_id, array_to_string(ws[i : i + 2], ' ') AS s FROM (SELECT conv_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 12)),
+tied AS (SELECT DISTINCT conv_id FROM (SELECT conv_id, unnest(regexp_extract_all(cta, '{_WORD}')) AS word FROM o) JOIN (SELECT conv_id, unnest(ws) AS word FROM r WHERE sec <> 'cta') USING (conv_id, word))
+SELECT conv_id, 'TOO_LONG' AS code, CAST(1 AS BIGINT) AS n FROM t WHERE sec_s > 30 * 1.1::DOUBLE
+UNION ALL SELECT conv_id, 'TOO_SHORT', 1 FROM t WHERE sec_s < 30 * 0.4::DOUBLE
+UNION ALL SELECT conv_id, 'EMPTY_SECTION', empty FROM t WHERE empty > 0
+UNION ALL SELECT conv_id, 'MISSING_SECTION', missing FROM t WHERE missing > 0
+UNION ALL SELECT conv_id, 'INSIGHT_MISSING', 1 FROM t WHERE NOT (contains(twist, 'was') OR contains(twist, 'que') OR contains(twist, 'und'))
+UNION ALL SELECT conv_id, 'HOOK_REPEATS_SETUP', 1 FROM t WHERE hook = setup
+UNION ALL SELECT conv_id, 'EVIDENCE_MISSING', 1 FROM t WHERE NOT coalesce(proved, false)
+UNION ALL SELECT conv_id, 'SENTENCE_FRAGMENT', count(*) FROM k WHERE n < 3 GROUP BY conv_id
+UNION ALL SELECT conv_id, 'REPEATED_SENTENCE', count(*) FROM (SELECT conv_id, key FROM k GROUP BY ALL HAVING count(*) > 1) GROUP BY conv_id
+UNION ALL SELECT conv_id, 'REPETITION', count(*) FROM (SELECT conv_id, letters FROM k WHERE length(letters) >= 15 GROUP BY ALL HAVING count(DISTINCT sec) > 1) GROUP BY conv_id
+UNION ALL SELECT conv_id, 'REPEATED_PHRASE', count(*) FROM (SELECT conv_id, s FROM g GROUP BY ALL HAVING count(*) > 1) GROUP BY conv_id
+UNION ALL SELECT conv_id, 'CTA_CONTEXT_MISSING', 1 FROM o WHERE conv_id NOT IN (SELECT conv_id FROM tied)""")
 def gat4_script_checks(t):
-    sentences = t.conversations.select("conv_id", "turn", F.explode(T.sentences(F.col("text"))).alias("s")).withColumn("s", F.lower("s"))
-    twice = sentences.groupBy("conv_id", "s").agg(F.count_distinct("turn").alias("n")).filter("n > 1")
-    grams = O.shingle_table(t.conversations, 3, "conv_id", "turn").groupBy("conv_id", "s").count().filter("count > 1")
-    short = t.conversations.filter(T.word_count(F.col("text")) < 10)
-    count = lambda df, code: df.groupBy("conv_id").agg(F.lit(code).alias("code"), F.count("*").alias("n"))
-    return I.union_all([count(twice, "REPEATED_SENTENCE"), count(grams, "REPEATED_TRIGRAM"), count(short, "SHORT")])
+    sections = t.conversations.withColumns({"section": F.expr(_SECTION), "evidence": F.regexp_extract_all("text", F.lit("Ther[a-z]*"), F.lit(0))})
+    return O.script_checks(sections, "conv_id", "turn", "section", "evidence", ["was", "que", "und"], 2.4, 30.0)
 
 
 @query(f"""WITH a AS ({_grams(4, 'documents', 'doc_id')}), b AS (SELECT DISTINCT s FROM ({_grams(4, 'benchmark', 'item_id')})), c AS (SELECT DISTINCT doc_id FROM a JOIN b USING (s)), w AS (SELECT doc_id, {NARR.format('text')} AS w FROM documents)

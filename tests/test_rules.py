@@ -205,3 +205,45 @@ def test_boxes_and_manifests(spark):
 def test_dark_cells_are_blank(spark):
     df = spark.createDataFrame([(1, 0, x, 5) for x in range(8)] + [(2, 0, x, 250 if x else 128) for x in range(8)], "asset_id int, y int, x int, value int")
     assert sorted((r.asset_id, r.blank, r.rejected) for r in G.blank_reject(df).collect()) == [(1, 1.0, True), (2, 0.875, False)]
+
+
+def script(spark, *sections):
+    rows = [("p", i, *row) for i, row in enumerate(sections)]
+    df = spark.createDataFrame(rows, "p string, i int, section string, text string, cites array<string>")
+    return {r.code: r.n for r in O.script_checks(df, "p", "i", "section", "cites", ["because"], 2.0, 20.0).collect()}
+
+
+GOOD = [
+    ("hook", "Nobody expected the quiet gate to open.", []), ("setup", "An old hunter guards it every night.", ["a1"]), ("conflict", "Strange lights gather beyond those walls.", None),
+    ("twist", "He stays because his brother went inside.", []), ("cta", "Would you guard this gate too?", None),
+]
+
+
+def test_script_without_a_fault(spark):
+    assert script(spark, *GOOD) == {}
+    assert script(spark) == {}
+
+
+@pytest.mark.parametrize(
+    "at, row, expected",
+    [
+        (0, ("hook", "an old hunter guards it every NIGHT.", []), {"HOOK_REPEATS_SETUP": 1, "REPEATED_SENTENCE": 1, "REPETITION": 1, "REPEATED_PHRASE": 5, "CTA_CONTEXT_MISSING": 1}),
+        (1, ("setup", None, ["a1"]), {"EMPTY_SECTION": 1, "MISSING_SECTION": 1}),
+        (1, ("setup", "An old hunter guards it. Every night.", None), {"SENTENCE_FRAGMENT": 1, "EVIDENCE_MISSING": 1}),
+        (3, ("twist", "He stays there for his own brother.", []), {"INSIGHT_MISSING": 1}),
+        (3, ("twist", "Would you because", []), {"REPEATED_PHRASE": None}),
+        (4, ("cta", "Subscribe now, friends!", None), {"CTA_CONTEXT_MISSING": 1}),
+        (4, ("cta", "Keep watch over that gate with all " + " ".join(f"friend{i}" for i in range(20)), None), {"TOO_LONG": 1}),
+        (4, ("outro", "Would you guard this gate too?", None), {"MISSING_SECTION": 1, "CTA_CONTEXT_MISSING": 1}),
+    ],
+)
+def test_script_faults(spark, at, row, expected):
+    got = script(spark, *(row if i == at else s for i, s in enumerate(GOOD)))
+    assert got == {k: v for k, v in expected.items() if v}
+
+
+def test_script_runs_cross_sections_and_short_scripts_do_not_count(spark):
+    assert script(spark, ("hook", "one two", []), ("hook", "three", []), ("hook", "", []), ("hook", "one two three", []))["TOO_SHORT"] == 1
+    assert "REPEATED_PHRASE" not in script(spark, ("hook", "one two three one two three", []))
+    again = script(spark, ("hook", "one two", []), ("hook", "three", []), ("hook", "", []), ("hook", "one two three four five six seven eight nine", []))
+    assert again["REPEATED_PHRASE"] == 1 and again["EMPTY_SECTION"] == 1
