@@ -1,4 +1,4 @@
-"""Deduplication of long passages with a sparse suffix array."""
+"""Deduplication of long passages by a hash join of windows at content-selected minimisers, in place of a sparse suffix array."""
 
 from __future__ import annotations
 
@@ -12,16 +12,16 @@ from proofline.llm.arrays import covered, runs, split
 from proofline.llm.automata import cut
 from proofline.llm.repeats import Scheme, answered, dealt, held, repeated_anchors, repeated_windows, texts_of
 
-#: A passage repeats from so many words on. Suffixes are kept at minimisers of GRAM words and sorted by REACH words.
+#: A passage repeats from so many words on. Seeds are REACH words from minimisers of GRAM words on.
 LENGTH, GRAM, REACH = 50, 8, 35
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, reach: int = REACH) -> tuple[DataFrame, DataFrame]:
     """The groups of docs, and (g, row, begin, end): maximal spans of length words or more that a smaller document holds.
 
-    Suffixes are retained at minimiser positions and sorted in ranges of their leading reach words; neighbours that
-    agree are seeds. Every match of length words holds a seed in its first length - reach + 1 words, so that seeds are
-    extended over the windows around them to the left and right for as long as some earlier document goes on equally.
+    Seeds are the reach words from a minimiser on whose hash two documents share; no suffix is sorted. Every match of
+    length words holds a seed in its first length - reach + 1 words, so that the windows around seeds, looked up by hash,
+    are all that can match; overlapping ones make a span.
     """
     groups, buckets = dealt(docs)
     scheme = Scheme(length, gram, reach)
