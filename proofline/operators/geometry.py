@@ -52,12 +52,28 @@ def partition_audit(boxes: DataFrame, key: str, checksum: str, width: int, heigh
     return joined.select(A, F.expr(f"array_join(array_sort(array_compact(array({codes}))), ',')").alias("codes"))
 
 
-def crop_coverage(crops: DataFrame, regions: DataFrame, kinds: list[str]) -> DataFrame:
-    """(asset_id, crop, <kind>...): the least retained share of a region of each kind inside a crop; null without a region."""
-    r = regions.select(A, F.col("kind"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")]).filter("_x1 > _x0 and _y1 > _y0")
-    joined = crops.join(r, A, "left")
-    share = F.expr("greatest(0, least(x1, _x1) - greatest(x0, _x0)) * greatest(0, least(y1, _y1) - greatest(y0, _y0)) / ((_x1 - _x0) * (_y1 - _y0))")
-    return joined.groupBy(A, "crop").agg(*[F.round(F.min(F.when(F.col("kind") == k, share)), 6).alias(k) for k in kinds])
+def crop_coverage(crops: DataFrame, regions: DataFrame, kinds: list[str], forbidden: DataFrame | None = None) -> DataFrame:
+    """(asset_id, crop, <kind>..., retained, blocked) of crops over protected regions (asset_id, kind, box) and forbidden boxes.
+
+    A kind's value is the least share of a region of it inside the crop, 1 without a region, 0 if one has no area. retained is
+    the share of all protected area inside, 1 without any; blocked the share of the crop that forbidden boxes take, each
+    counted, 1 at most, and 1 for a crop without area.
+    """
+    box = [F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")]
+    r = regions.select(A, "kind", *box, F.lit(False).alias("_bad"))
+    if forbidden is not None:
+        r = r.unionByName(forbidden.select(A, F.lit(None).cast("string").alias("kind"), *box, F.lit(True).alias("_bad")))
+    joined = crops.join(r, A, "left").withColumns({
+        "_in": F.expr("greatest(0, least(x1, _x1) - greatest(x0, _x0)) * greatest(0, least(y1, _y1) - greatest(y0, _y0))"),
+        "_area": F.expr("greatest(0, _x1 - _x0) * greatest(0, _y1 - _y0)"), "_crop": F.expr("greatest(0, x1 - x0) * greatest(0, y1 - y0)"),
+    })
+    share = F.expr("if(_area > 0, _in / _area, 0.0D)")
+    own, bad = F.expr("_bad = false"), F.expr("_bad")
+    return joined.groupBy(A, "crop").agg(
+        *[F.coalesce(F.round(F.min(F.when(own & (F.col("kind") == k), share)), 6), F.lit(1.0)).alias(k) for k in kinds],
+        F.coalesce(F.round(F.try_divide(F.sum(F.when(own, F.col("_in"))), F.sum(F.when(own, F.col("_area")))), 6), F.lit(1.0)).alias("retained"),
+        F.least(F.lit(1.0), F.coalesce(F.round(F.try_divide(F.coalesce(F.sum(F.when(bad, F.col("_in"))), F.lit(0)), F.max("_crop")), 6), F.lit(1.0))).alias("blocked"),
+    )
 
 
 def crop_feasible(crops: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -87,6 +103,23 @@ def candidate_positions(assets: DataFrame, detected: DataFrame, height: str, par
     return every.groupBy(A, "at").agg(F.max_by(F.struct("source", "confidence"), F.struct((F.col("source") == "detected").cast("int"), "confidence")).alias("b")).select(A, "at", "b.*")
 
 
+
+def override_cuts(assets: DataFrame, height: str, cuts: str = "cuts", actor: str = "actor", reason: str = "reason", prior: str = "prior_hash") -> DataFrame:
+    """(asset_id, y0, y1, actor, reason, provenance, prior_hash, code): the spans of a person's cuts, an array in each asset's row.
+
+    Cuts must lie inside the height and rise, and actor and reason must not be blank; otherwise the asset has one row with
+    null spans and the code COORDINATE_INVALID or AUDIT_INVALID, which goes first. No cut gives one span.
+    """
+    c = F.coalesce(F.col(cuts), F.array().cast("array<bigint>"))
+    blank = F.coalesce(F.trim(actor) == "", F.lit(True)) | F.coalesce(F.trim(reason) == "", F.lit(True))
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), c, F.array(F.col(height).cast("bigint")))
+    rising = F.coalesce(F.forall(F.sequence(F.lit(1), F.size("_e") - 1), lambda i: F.get("_e", i) > F.get("_e", i - 1)), F.lit(False))
+    told = assets.withColumn("_e", ends).withColumn("code", F.when(blank, "AUDIT_INVALID").when(~rising, "COORDINATE_INVALID").otherwise("OK"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("_e") - 1), lambda i: F.struct(F.get("_e", i - 1).alias("y0"), F.get("_e", i).alias("y1")))
+    spans = told.withColumn("_s", F.explode_outer(F.when(F.col("code") == "OK", pairs)))
+    return spans.select(A, "_s.y0", "_s.y1", F.col(actor).alias("actor"), F.col(reason).alias("reason"), F.lit("manual_override").alias("provenance"), F.col(prior).alias("prior_hash"), "code")
+
+
 def split_count(df: DataFrame, key: str, height: str, ideal: int, most: int) -> DataFrame:
     """(key, parts): floor or floor + 1 of height / ideal, capped, whichever part is nearer to ideal; the smaller on ties."""
     n = df.withColumn("_f", F.expr(f"greatest(1, least({most}, {height} div {ideal}))")).withColumn("_c", F.expr(f"least({most}, _f + 1)"))
@@ -127,11 +160,45 @@ def gutter_score(rows: DataFrame, flat: float = 40.0, bright: tuple[float, float
     return rows.withColumn("score", F.expr(f"round(1.0D / (1.0D + variance / {flat}D) * {extreme}, 9)"))
 
 
+def row_texture(grid: DataFrame) -> DataFrame:
+    """(asset_id, y, texture): the mean step between neighbours of a grid row; 0 for a row of one cell."""
+    steps = grid.withColumn("_d", F.expr(f"abs(value - lag(value) over (partition by {A}, y order by x))"))
+    return steps.groupBy(A, "y").agg(F.coalesce(F.round(F.avg("_d"), 6), F.lit(0.0)).alias("texture"))
+
+
 def runs_of_rows(rows: DataFrame, label: str) -> DataFrame:
     """(asset_id, band, label, y0, y1): consecutive rows of equal label."""
     return islands(rows, label, "y", A).groupBy(A, F.col("island").alias("band")).agg(F.first(label).alias("label"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"))
 
 
+# Fixed values of separators: limits of variance and texture, the step of colour that ends a run, the scales of the scores,
+# their weights, and the least confidence, edge and context score.
+SEPARATOR = {"variance": 90.0, "texture": 10.0, "jump": 8.0, "edge_scale": 180.0, "texture_scale": 35.0, "confidence": 0.7, "edge": 0.22, "context": 0.2}
+
+
+def separator_candidates(rows: DataFrame, least: int, limits: dict[str, float] | None = None) -> DataFrame:
+    """(asset_id, position, confidence, edge_score, context_score, y0, y1): runs of quiet rows (y, mean, variance, texture) that part an asset.
+
+    A row is quiet if variance and texture are low; a run also ends where the mean jumps. Runs shorter than least, at an
+    edge of the asset, or below the least scores are none. limits replaces values of SEPARATOR.
+    """
+    v = SEPARATOR | (limits or {})
+    w = f"over (partition by {A} order by y"
+    marked = rows.withColumn("_low", F.expr(f"coalesce(variance <= {v['variance']} and texture <= {v['texture']}, false)")).withColumns({
+        "_up": F.expr(f"abs(mean - lag(mean) {w}))"), "_down": F.expr(f"abs(mean - lead(mean) {w}))"), "_above": F.expr(f"max(texture) {w} rows between 4 preceding and 1 preceding)"), "_below": F.expr(f"max(texture) {w} rows between 1 following and 4 following)"),
+    })
+    starts = marked.withColumn("_new", F.expr(f"cast(_low and not coalesce(lag(_low) {w}), false) or _low and _up > {v['jump']} as int)"))
+    runs = starts.withColumn("_run", F.expr(f"sum(_new) {w})")).filter("_low").groupBy(A, "_run").agg(
+        F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.count("*").alias("_n"), F.avg("variance").alias("_v"), F.min_by("_up", "y").alias("_l"), F.max_by("_down", "y").alias("_r"),
+        F.greatest(F.coalesce(F.min_by("_above", "y"), F.lit(0.0)), F.coalesce(F.max_by("_below", "y"), F.lit(0.0))).alias("_t"),
+    )
+    inner = runs.filter((F.col("_n") >= least) & F.col("_l").isNotNull() & F.col("_r").isNotNull())
+    scored = inner.withColumn("_edge", F.expr(f"least(1.0D, (_l + _r) / {v['edge_scale']}D)")).withColumn("_context", F.expr(f"least(1.0D, _edge * 0.55D + _t / {v['texture_scale']}D)"))
+    sure = f"round(0.45D * least(1.0D, greatest(0.0D, 1.0D - _v / {v['variance']}D)) + 0.25D * _edge + 0.20D * _context + 0.10D * least(1.0D, _n / {max(1.0, least * 2.0)}D), 6)"
+    kept = scored.withColumn("confidence", F.expr(sure)).filter(f"confidence >= {v['confidence']} and _edge >= {v['edge']} and _context >= {v['context']}")
+    return kept.selectExpr(A, "cast((y0 + y1) div 2 as int) as position", "confidence", "round(_edge, 3) as edge_score", "round(_context, 3) as context_score", "y0", "y1")
+
+
 def best_cut(rows: DataFrame, ideals: list[int], radius: int, low: int, high: int, hit: float = 0.35) -> DataFrame:
     """(asset_id, ideal, y, score, hit): near each ideal the row in [low, high) of most score less a penalty of 0.08 at radius.
 

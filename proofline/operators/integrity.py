@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,33 @@ def lineage_chain_audit(links: list[tuple[str, DataFrame, str, str, DataFrame |
     return union_all(parts)
 
 
+def source_order_findings(name: str, rows: DataFrame, project: str, sequence: str, order: str) -> DataFrame:
+    """Findings of a level whose rows, taken by sequence, should have rising source orders.
+
+    MISSING_ORDER for a row without one, DUPLICATE_ORDER for each repeated one, OUT_OF_ORDER for a row below the row before;
+    rows without an order are left out of the last two.
+    """
+    known = rows.filter(F.col(order).isNotNull())
+    before = F.expr(f"lag({order}) over (partition by {project} order by {sequence}, {order})")
+    falls = known.select(project, sequence, order, before.alias("_b")).filter(F.col(order) < F.col("_b"))
+    return union_all([
+        rows.filter(F.col(order).isNull()).select(*finding(f"MISSING_ORDER_{name}", F.col(project), F.col(sequence))),
+        known.groupBy(project, order).count().filter("count > 1").select(*finding(f"DUPLICATE_ORDER_{name}", F.col(project), F.col(order))),
+        falls.select(*finding(f"OUT_OF_ORDER_{name}", F.col(project), F.col(sequence))),
+    ])
+
+
+def evidence_findings(name: str, rows: DataFrame, project: str, key: str, refs: str, known: DataFrame, known_key: str) -> DataFrame:
+    """Findings of a level whose rows name evidence in an array: NO_EVIDENCE without any, UNKNOWN_EVIDENCE for each id not in known."""
+    empty = rows.filter(F.coalesce(F.size(refs), F.lit(0)) <= 0)
+    named = rows.select(project, key, F.explode(refs).alias("_ref"))
+    unknown = orphan_rows(named, known, "_ref", known_key)
+    return union_all([
+        empty.select(*finding(f"NO_EVIDENCE_{name}", F.col(project), F.col(key))),
+        unknown.select(*finding(f"UNKNOWN_EVIDENCE_{name}", F.col(project), F.col(key), detail=F.col("_ref"))),
+    ])
+
+
 def manifest_diff(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """(key, state): ids on one side only."""
     e, a = expected.select(key).distinct().withColumn("_e", F.lit(1)), actual.select(key).distinct().withColumn("_a", F.lit(1))
@@ -104,13 +134,54 @@ def stale_results(results: DataFrame, current: DataFrame, project: str, stage: s
     return joined.withColumn("_own", own).withColumn("stale", F.expr(f"bool_or(_own) over (partition by {project} order by {stage} rows between unbounded preceding and current row)")).select(project, stage, "stale")
 
 
+_ABSENT = object()
+
+
+def differing_path(old: object, new: object) -> str | None:
+    """The dotted path of the first difference of two JSON values, keys in sorted order; null if they are equal.
+
+    Lists of unequal length differ as a whole, and a key that one side lacks differs at that key.
+    """
+    left = [((), old, new)]
+    while left:
+        path, a, b = left.pop()
+        if isinstance(a, dict) and isinstance(b, dict):
+            left.extend(((*path, k), a.get(k, _ABSENT), b.get(k, _ABSENT)) for k in sorted(a.keys() | b.keys(), reverse=True))
+        elif isinstance(a, list) and isinstance(b, list) and len(a) == len(b):
+            left.extend(((*path, str(i)), a[i], b[i]) for i in reversed(range(len(a))))
+        elif a != b:
+            return ".".join(path)
+    return None
+
+
+def _canonical(text: str | None) -> tuple[object, str | None]:
+    """A JSON text's value and the sha256 of its canonical form; a text that is no JSON stands for itself as a string."""
+    if text is None:
+        return None, None
+    try:
+        value = json.loads(text)
+    except ValueError:
+        value = text
+    return value, hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _compared(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    rows = []
+    for a, b in zip(old, new):
+        (x, hx), (y, hy) = _canonical(a), _canonical(b)
+        rows.append((differing_path(x, y), hx, hy))
+    return pd.DataFrame(rows, columns=["path", "old_hash", "new_hash"])
+
+
 def record_diff(old: DataFrame, new: DataFrame, key: str, payload: str) -> DataFrame:
-    """(key, path, old_hash, new_hash): the first path at which two flat JSON records differ."""
-    parsed = lambda df, n: df.select(key, F.from_json(payload, "map<string,string>").alias(n), F.sha2(F.col(payload).cast("binary"), 256).alias(f"{n}_hash"))
-    both = parsed(old, "old").join(parsed(new, "new"), key)
-    paths = F.array_sort(F.array_union(F.map_keys("old"), F.map_keys("new")))
-    differ = F.filter(paths, lambda p: ~F.try_element_at("old", p).eqNullSafe(F.try_element_at("new", p)))
-    return both.withColumn("path", F.get(differ, F.lit(0))).filter("path is not null").select(key, "path", "old_hash", "new_hash")
+    """(key, path, old_hash, new_hash) of nested JSON records that differ: the first differing path, and the hashes of both.
+
+    Hashes are of the records with sorted keys and no blanks. Records with equal texts never reach Python; a null record
+    equals only a null one, and differs from others at the empty path.
+    """
+    both = old.select(key, F.col(payload).alias("_old")).join(new.select(key, F.col(payload).alias("_new")), key).filter("not (_old <=> _new)")
+    compared = F.pandas_udf(_compared, "path string, old_hash string, new_hash string")
+    return both.select(key, compared("_old", "_new").alias("_d")).select(key, "_d.*").filter("path is not null")
 
 
 def beat_claim_overlap(beats: DataFrame, claims: DataFrame, beat: str, claim: str, panel: str) -> DataFrame:
@@ -134,11 +205,19 @@ def resolve_ids(refs: DataFrame, ids: DataFrame, ref: str, key: str) -> DataFram
     return joined.select(ref, found.alias("id"), F.when(found.isNotNull(), "OK").when(F.col("_n") > 1, "SEVERAL").otherwise("NONE").alias("code"))
 
 
-def snapshot_parity(snapshots: DataFrame, current: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, code): the first field in which a stored snapshot differs from the current record, MISSING without one, else OK."""
+def snapshot_parity(snapshots: DataFrame, current: DataFrame, key: str, fields: list[str], attempts: DataFrame | None = None, accepted: str = "accepted") -> DataFrame:
+    """(key, code): the first field in which a stored snapshot differs from the current record, MISSING without one, else OK.
+
+    With attempts (key, accepted), a snapshot that agrees but has not exactly one accepted attempt is NO_ACCEPTED or
+    MANY_ACCEPTED.
+    """
     now = current.select(key, F.lit(True).alias("_here"), *[F.col(f).alias(f"_{f}") for f in fields])
     joined = snapshots.join(now, key, "left")
     codes = [F.when(F.col("_here").isNull(), "MISSING"), *[F.when(~F.col(f).eqNullSafe(F.col(f"_{f}")), f.upper()) for f in fields]]
+    if attempts is not None:
+        joined = joined.join(attempts.groupBy(key).agg(F.count_if(accepted).alias("_won")), key, "left")
+        won = F.coalesce("_won", F.lit(0))
+        codes += [F.when(won == 0, "NO_ACCEPTED"), F.when(won > 1, "MANY_ACCEPTED")]
     return joined.select(key, F.coalesce(*codes, F.lit("OK")).alias("code"))
 
 
@@ -210,9 +289,14 @@ def request_accounting(log: DataFrame, job: str, stage: str, price: float) -> Da
 
 
 def measured_limits(df: DataFrame, project: str, order: str, value: str, limit: float) -> DataFrame:
-    """(project, largest, n, code) of a measured share: MISSING without any, OVER_LIMIT above limit."""
-    out = df.groupBy(project).agg(F.max(value).alias("largest"), F.count(value).alias("n"))
-    return out.withColumn("code", F.when(F.col("n") == 0, "MISSING").when(F.col("largest") > limit, "OVER_LIMIT").otherwise("OK"))
+    """(project, order, value, largest, n, code): the measured shares of each project in the order of a column.
+
+    largest and n are the project's; code is MISSING if a row has no value, OUT_OF_RANGE if one is below 0 or above limit
+    (by more than 1e-9), else OK. The list is one row a value, so that a long project stays in many tasks.
+    """
+    told = df.groupBy(project).agg(F.max(value).alias("largest"), F.min(value).alias("_least"), F.count(value).alias("n"), F.count("*").alias("_rows"))
+    code = F.when(F.col("n") < F.col("_rows"), "MISSING").when((F.col("_least") < 0) | (F.col("largest") > limit + 1e-9), "OUT_OF_RANGE").otherwise("OK")
+    return df.select(project, order, value).join(told.select(project, "largest", "n", code.alias("code")), project)
 
 
 def id_set_compare(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,17 +42,53 @@ def validate_manifest(actual: DataFrame, expected: DataFrame, project: str, orde
     return told.select(project, equal.alias("count_equal"), (equal & (F.col("_s") == F.col("_n"))).alias("order_equal"), F.round(F.col("_s") / F.col("_n"), 6).alias("ratio"), (F.col("_n") - F.col("_s")).alias("unresolved"))
 
 
-def validate_continuity(chunks: DataFrame, project: str, chunk: str, key: str) -> DataFrame:
-    """(project, chunk): chunks that share no id with the chunk before."""
-    sets = chunks.groupBy(project, chunk).agg(F.collect_set(key).alias("_s"))
-    return sets.withColumn("_b", F.expr(f"lag(_s) over (partition by {project} order by {chunk})")).filter("_b is not null and not arrays_overlap(_s, _b)").select(project, chunk)
-
+def validate_continuity(chunks: DataFrame, project: str, position: str, chunk: str, ids: str, expected: DataFrame, key: str, links: DataFrame | None = None, ends: tuple[str, ...] = ()) -> DataFrame:
+    """(project, subject, code) of chunks (project, position, chunk, array of ids) against the expected ids (project, key).
 
-def validate_passages(df: DataFrame, project: str, order: str, words: str, opening: str, least: int, most: int) -> DataFrame:
-    """(project, order, code): passages too short or long, or that open like an earlier one."""
-    again = F.expr(f"row_number() over (partition by {project}, {opening} order by {order}) > 1")
-    codes = F.array_compact(F.array(F.when(F.col(words) < least, F.lit("SHORT")), F.when(F.col(words) > most, F.lit("LONG")), F.when(F.col("_again"), F.lit("OPENING"))))
-    return df.withColumn("_again", again).select(project, order, F.explode(codes).alias("code"))
+    DUPLICATE_CHUNK for a chunk id used twice, REPEATED_ID for a chunk that names an id twice, NO_OVERLAP for a chunk that
+    shares no id with the chunk before, UNKNOWN_ID for an id that is not expected, UNCOVERED for an expected id in no chunk,
+    UNKNOWN_LINK for an end (a column of links) that is not expected. An array is one chunk's, never a project's.
+    """
+    told = lambda df, subject, code: df.select(project, F.col(subject).cast("string").alias("subject"), F.lit(code).alias("code"))
+    known = expected.select(project, F.col(key).alias("_id")).distinct()
+    named = chunks.select(project, F.explode(ids).alias("_id")).distinct()
+    before = F.expr(f"lag({ids}) over (partition by {project} order by {position}, {chunk})")
+    alone = chunks.select(project, chunk, ids, before.alias("_b")).filter(F.col("_b").isNotNull() & ~F.coalesce(F.arrays_overlap(ids, "_b"), F.lit(False)))
+    parts = [
+        told(chunks.groupBy(project, chunk).count().filter("count > 1"), chunk, "DUPLICATE_CHUNK"),
+        told(chunks.filter(F.size(F.array_distinct(ids)) < F.size(ids)), chunk, "REPEATED_ID"),
+        told(alone, chunk, "NO_OVERLAP"),
+        told(named.join(known, [project, "_id"], "left_anti"), "_id", "UNKNOWN_ID"),
+        told(known.join(named, [project, "_id"], "left_anti"), "_id", "UNCOVERED"),
+    ]
+    for end in ends:
+        parts.append(told(links.select(project, F.col(end).alias("_id")).join(known, [project, "_id"], "left_anti"), "_id", "UNKNOWN_LINK"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def validate_passages(df: DataFrame, project: str, order: str, role: str, text: str, roles: list[tuple[str, int, int]], total: tuple[int, int], ending: str = "?") -> DataFrame:
+    """(project, order, code) of passages that should follow roles (role, fewest words, most words) one by one.
+
+    ROLE for a passage whose role is not that of its place, WORDS outside the limits of its place, OPENING if its first three
+    words open an earlier one, SENTENCE if it repeats a sentence of an earlier one. At the last passage of a project: COUNT if
+    their number is not that of the roles, TOTAL if all their words are outside total, ENDING if it does not end as it should.
+    Words between blanks are counted; openings and sentences go by lower-case letters and digits.
+    """
+    w = f"partition by {project} order by {order}"
+    table = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(a).alias("low"), F.lit(b).alias("high")) for r, a, b in roles])
+    lexical = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    whole = F.coalesce(text, F.lit(""))
+    rows = df.select(project, order, role, whole.alias("_text"), F.size(F.regexp_extract_all(whole, F.lit(r"\S+"), F.lit(0))).alias("_n"), F.array_join(F.slice(lexical(whole), 1, 3), " ").alias("_open"))
+    rows = rows.withColumns({"_k": F.expr(f"row_number() over ({w})"), "_last": F.expr(f"lead({order}) over ({w}) is null"), "_sum": F.expr(f"sum(_n) over ({w} rows unbounded preceding)"), "_again": F.expr(f"row_number() over (partition by {project}, _open order by {order}) > 1")})
+    rows = rows.withColumn("_want", F.get(table, F.col("_k") - 1))
+    rules = {
+        "ROLE": ~F.col(role).eqNullSafe(F.col("_want.role")), "WORDS": ~F.coalesce(F.col("_n").between(F.col("_want.low"), F.col("_want.high")), F.lit(False)), "OPENING": F.col("_again"),
+        "COUNT": F.col("_last") & (F.col("_k") != len(roles)), "TOTAL": F.col("_last") & ~F.col("_sum").between(*total), "ENDING": F.col("_last") & ~F.rtrim("_text").endswith(ending),
+    }
+    codes = F.array_compact(F.array(*[F.when(rule, F.lit(code)) for code, rule in rules.items()]))
+    said = rows.select(project, order, F.explode(F.array_distinct(F.transform(F.split("_text", "[.!?]+"), lambda s: F.array_join(lexical(s), " ")))).alias("_s")).filter("_s <> ''")
+    repeated = said.withColumn("_r", F.expr(f"row_number() over (partition by {project}, _s order by {order})")).filter("_r > 1")
+    return rows.select(project, order, F.explode(codes).alias("code")).unionByName(repeated.select(project, order, F.lit("SENTENCE").alias("code")).distinct())
 
 
 def alias_fields(df: DataFrame, key: str, payload: str, names: list[str]) -> DataFrame:
@@ -58,15 +96,26 @@ def alias_fields(df: DataFrame, key: str, payload: str, names: list[str]) -> Dat
     return df.select(key, F.coalesce(*[F.get_json_object(payload, f"$.{n}") for n in names]).alias("value"))
 
 
-def score_candidates(spans: DataFrame, candidates: DataFrame, project: str, span: str, candidate: str, top: int = 3) -> DataFrame:
-    """(project, span, candidate, score, place): the top candidates of each span of one project, by tag match, continuity and order.
+def score_candidates(spans: DataFrame, candidates: DataFrame, project: str, span: str, candidate: str, weights: dict[str, str], top: int = 3, nearby: int = 6, continuity: float = 0.35) -> DataFrame:
+    """(project, span, candidate, score, place): the top candidates of each span of one project; ties go to the smaller candidate.
 
-    spans (project, span, tag, position), candidates (project, candidate, tag, quality, position). Pairs stay inside a project.
+    spans (project, span, tags array, previous position or null), candidates (project, candidate, quality, position, features).
+    A score is the quality, plus for each tag of the span the expression over features that weights gives it, plus continuity
+    times 1 - distance / nearby (0 at least) from the previous position, plus 0.03 a place ahead (0.18 at most), less 0.25 a
+    place back (2 at most); a span without a previous position counts as near. Spans of one project that share tags and
+    previous position are scored once, and pairs stay inside a project.
     """
-    pairs = spans.withColumnRenamed("tag", "_t").withColumnRenamed("position", "_p").join(candidates, project)
-    score = F.round(F.col("quality") + F.when(F.col("tag") == F.col("_t"), 0.3).otherwise(0.0) - 0.01 * F.abs(F.col("position") - F.col("_p")), 6)
-    ranked = pairs.withColumn("score", score).withColumn("place", F.expr(f"row_number() over (partition by {project}, {span} order by score desc, {candidate})"))
-    return ranked.filter(F.col("place") <= top).select(project, span, candidate, "score", "place")
+    asked = spans.select(project, F.array_sort(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>")))).alias("_tags"), F.col("previous").alias("_prev"), span)
+    ahead = F.col("position") - F.col("_prev")
+    gap = F.coalesce(F.abs(ahead), F.lit(0))
+    near = F.greatest(F.lit(0.0), 1.0 - gap / F.lit(float(max(1, nearby)))) * continuity
+    order = F.when(ahead < 0, -F.least(F.lit(2.0), -ahead * 0.25)).when(ahead >= 0, F.least(F.lit(0.18), ahead * 0.03)).otherwise(0.0)
+    semantic = sum((F.when(F.array_contains("_tags", tag), F.expr(f"({weight})")).otherwise(0.0) for tag, weight in weights.items()), F.lit(0.0))
+    score = F.round(F.col("quality") + F.round(semantic, 3) + near + order, 6)
+    pairs = asked.select(project, "_tags", "_prev").distinct().join(candidates, project).withColumn("score", score)
+    kept = pairs.withColumn("place", F.expr(f"row_number() over (partition by {project}, _tags, _prev order by score desc, {candidate})")).filter(F.col("place") <= top)
+    found = kept.select(F.col(project).alias("_p"), F.col("_tags").alias("_t"), F.col("_prev").alias("_v"), candidate, "score", "place")
+    return asked.join(found, F.expr(f"{project} = _p and _tags = _t and _prev <=> _v")).select(project, span, candidate, "score", "place")
 
 
 def selection_reasons(chosen: DataFrame, project: str, order: str, position: str, family: str, score: str) -> DataFrame:

@@ -87,18 +87,35 @@ def validate_cues(cues: DataFrame, media: float, fastest: float) -> DataFrame:
     return cues.withColumn("_c", F.expr(f"array_compact(array({codes}))")).selectExpr(P, O, "explode(_c) as code")
 
 
+def sentence_of(words: DataFrame) -> DataFrame:
+    """Timed words with sentence: the number of end marks before a word."""
+    w = words.withColumn("_e", F.expr("cast(word rlike '[.!?]$' as int)"))
+    return w.withColumn("sentence", F.expr(f"coalesce(sum(_e) {over(frame=BEFORE)}, 0)"))
+
+
 def sentence_groups(words: DataFrame) -> DataFrame:
     """(project_id, sentence, first_pos, n_words, start_s, end_s, text, closed): timed words up to each end mark; closed is false without one."""
-    w = words.withColumn("_e", F.expr("cast(word rlike '[.!?]$' as int)")).withColumn("sentence", F.expr(f"coalesce(sum(_e) {over(frame=BEFORE)}, 0)"))
-    return w.groupBy(P, "sentence").agg(F.min(O).alias("first_pos"), F.count("*").alias("n_words"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.expr(f"array_join(transform(array_sort(collect_list(struct({O}, word))), x -> x.word), ' ')").alias("text"), (F.max("_e") == 1).alias("closed"))
+    text = f"array_join(transform(array_sort(collect_list(struct({O}, word))), x -> x.word), ' ')"
+    return sentence_of(words).groupBy(P, "sentence").agg(
+        F.min(O).alias("first_pos"), F.count("*").alias("n_words"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.expr(text).alias("text"), (F.max("_e") == 1).alias("closed"),
+    )
+
 
+def validate_groups(groups: DataFrame, words: DataFrame, media: float, charset: str, least: int = 1, slack: float = 0.01) -> DataFrame:
+    """(project_id, sentence, code) of groups and their words (project_id, sentence, display, start_s, end_s).
 
-def validate_groups(groups: DataFrame, media: float, charset: str) -> DataFrame:
-    """(project_id, sentence, code): groups out of order, out of bounds, overlapping, unclosed or with other characters."""
-    before = f"lag(end_s) {over(P, 'sentence')}"
-    rules = {"OUT_OF_BOUNDS": f"start_s < 0 or end_s > {media}", "REVERSED": "end_s < start_s", "OVERLAP": f"start_s < {before} - 0.000001", "UNCLOSED": "not closed", "CHARSET": f"not text rlike '{charset}'"}
+    FEW_WORDS below least (also for a group without words), OUT_OF_BOUNDS of the media, OVERLAP with the end of the group
+    before or an end not after the start, UNCLOSED, WORD_OUTSIDE if a word is not inside its group, CHARSET if a displayed word
+    is not wholly of charset. Times may be off by slack.
+    """
+    inside = words.groupBy(P, "sentence").agg(F.count("*").alias("_n"), F.min("start_s").alias("_from"), F.max("end_s").alias("_to"), F.expr(f"bool_and(coalesce(display rlike '^(?:{charset})$', false))").alias("_fine"))
+    before = f"coalesce(lag(end_s) {over(P, 'sentence')}, 0.0D)"
+    rules = {
+        "FEW_WORDS": f"coalesce(_n, 0) < {least}", "OUT_OF_BOUNDS": f"start_s < -{slack} or end_s > {media} + {slack}", "OVERLAP": f"start_s < {before} - {slack} or end_s <= start_s", "UNCLOSED": "not closed",
+        "WORD_OUTSIDE": f"_from < start_s - {slack} or _to > end_s + {slack}", "CHARSET": "not _fine",
+    }
     codes = ", ".join(f"if({rule}, '{code}', null)" for code, rule in rules.items())
-    return groups.withColumn("_c", F.expr(f"array_compact(array({codes}))")).selectExpr(P, "sentence", "explode(_c) as code")
+    return groups.join(inside, [P, "sentence"], "left").withColumn("_c", F.expr(f"array_compact(array({codes}))")).selectExpr(P, "sentence", "explode(_c) as code")
 
 
 def repetition_audit(df: DataFrame, asset: str, x: str, y: str, curve: str, still: str = "static", length: str = "dur", near: float = 0.08, longest: float = 2.8, most: float = 0.8) -> DataFrame:
@@ -190,36 +207,75 @@ def caption_stats(cues: DataFrame, media: float) -> DataFrame:
     return cues.groupBy(P).agg(F.round(F.avg((n == 1).cast("double")), 6).alias("single_word"), F.min(n).alias("least_words"), F.max(n).alias("most_words"), F.round(F.greatest(F.lit(0.0), F.max("end_s") - media), 6).alias("overflow_s"))
 
 
-def cadence_bands(df: DataFrame, profiles: DataFrame, length: str = "dur") -> DataFrame:
-    """Measured cadence of each project against each profile row, and sorted failure codes."""
-    joined = df.crossJoin(F.broadcast(profiles))
-    m = joined.groupBy(P, "profile_id").agg(
-        F.round(F.sum(length), 6).alias("total_s"), F.count("*").alias("shots"), F.round(F.avg(F.expr(f"cast({length} between normal_min and normal_max as double)")), 6).alias("normal_share"),
-        F.round(F.avg(length), 6).alias("mean_s"), *[F.first(c).alias(f"_{c}") for c in ("duration_min", "duration_max", "shot_min", "shot_max", "normal_ratio_min")],
+def cadence_bands(df: DataFrame, profiles: DataFrame, length: str = "dur", transition: str = "transition", first: str = "none", cut: str = "cut") -> DataFrame:
+    """Measured cadence of each project against each profile row, and sorted failure codes.
+
+    A profile gives least and most of the duration, the shots, the length in the normal and in the emphasis band, the shares
+    of both, the mean length, and the least share of hard cuts: rows whose transition is cut, or first in a project's first
+    row. OUT_OF_BAND tells that the counts of both bands do not add up to the shots. profiles is a rule table of fixed size.
+    """
+    rows = df.select(P, F.round(F.greatest(F.lit(0.0), F.col(length)), 3).alias("_d"), F.expr(f"coalesce({transition} = if(row_number() {over()} = 1, '{first}', '{cut}'), false)").alias("_cut"))
+    bounds = [c for c in profiles.columns if c != "profile_id"]
+    share = lambda e: F.round(F.avg(F.expr(f"cast({e} as double)")), 6)
+    m = rows.crossJoin(F.broadcast(profiles)).groupBy(P, "profile_id").agg(
+        F.round(F.sum("_d"), 6).alias("total_s"), F.count("*").alias("shots"), share("_d between normal_min and normal_max").alias("normal_share"), share("_d between emphasis_min and emphasis_max").alias("emphasis_share"),
+        F.round(F.avg("_d"), 6).alias("mean_s"), share("_cut").alias("hard_cut_share"), F.expr("count_if(_d between normal_min and normal_max) + count_if(_d between emphasis_min and emphasis_max)").alias("_in"), *[F.first(c).alias(f"_{c}") for c in bounds],
     )
-    codes = "if(total_s < _duration_min, 'SHORT', null), if(total_s > _duration_max, 'LONG', null), if(shots < _shot_min, 'FEW_SHOTS', null), if(shots > _shot_max, 'MANY_SHOTS', null), if(normal_share < _normal_ratio_min, 'UNEVEN', null)"
-    return m.select(P, "profile_id", "total_s", "shots", "normal_share", "mean_s", F.expr(f"array_join(array_sort(array_compact(array({codes}))), ',')").alias("codes"))
+    rules = {
+        "SHORT": "total_s < _duration_min", "LONG": "total_s > _duration_max", "FEW_SHOTS": "shots < _shot_min", "MANY_SHOTS": "shots > _shot_max", "OUT_OF_BAND": "_in <> shots", "FEW_NORMAL": "normal_share < _normal_ratio_min", "MANY_NORMAL": "normal_share > _normal_ratio_max",
+        "FEW_EMPHASIS": "emphasis_share < _emphasis_ratio_min", "MANY_EMPHASIS": "emphasis_share > _emphasis_ratio_max", "MEAN": "not mean_s between _mean_min and _mean_max", "FEW_HARD_CUTS": "hard_cut_share < _hard_cut_min",
+    }
+    codes = ", ".join(f"if({rule}, '{code}', null)" for code, rule in rules.items())
+    return m.select(P, "profile_id", "total_s", "shots", "normal_share", "emphasis_share", "mean_s", "hard_cut_share", F.expr(f"array_join(array_sort(array_compact(array({codes}))), ',')").alias("codes"))
 
 
-def overlapping_chunks(df: DataFrame, size: int, overlap: int, project: str = P, order: str = O) -> DataFrame:
-    """df with chunk: ordered rows in chunks of size that share overlap rows; the last may be short. Rows in two chunks occur twice."""
+def placed(df: DataFrame, project: str, order: str, ranges: int = 64) -> DataFrame:
+    """df with _r, a row's place in its project from 0 on by a numeric order, and _n, the project's rows.
+
+    A project may hold most rows: they are numbered inside ranges of the order, whose bounds (ranges - 1 numbers) one pass of
+    approximate percentiles gives, and shifted by the counts of the ranges before. Rows of one order never part.
+    """
+    steps = ", ".join(str(i / ranges) for i in range(1, ranges))
+    bounds = df.agg(F.expr(f"percentile_approx({order}, array({steps}), 10000)")).first()[0] or []
+    cuts = F.array(*map(F.lit, sorted(set(bounds))))
+    rows = df.withColumn("_b", F.size(F.filter(cuts, lambda b: b < F.col(order))) if bounds else F.lit(0))
+    counts = rows.groupBy(F.col(project).alias("_p"), F.col("_b").alias("_q")).agg(F.count("*").alias("_c"))
+    counts = counts.selectExpr("_p", "_q", f"coalesce(sum(_c) over (partition by _p order by _q {BEFORE}), 0) as _o", "sum(_c) over (partition by _p) as _n")
+    numbered = rows.withColumn("_k", F.expr(f"row_number() over (partition by {project}, _b order by {order}) - 1"))
+    return numbered.join(counts, F.expr(f"{project} <=> _p and _b = _q")).withColumn("_r", F.col("_k") + F.col("_o")).drop("_b", "_k", "_p", "_q", "_o")
+
+
+def overlapping_chunks(df: DataFrame, size: int, overlap: int, project: str = P, order: str = O, unique: str | None = None) -> DataFrame:
+    """df with chunk: ordered rows in chunks of size that share overlap rows; the last may be short. Rows in two chunks occur twice.
+
+    With unique, a column of ids, also repeated: whether the id occurs in more than one row of the project.
+    """
     step = size - overlap
-    rows = df.withColumn("_r", F.expr(f"row_number() over (partition by {project} order by {order}) - 1")).withColumn("_n", F.expr(f"count(*) over (partition by {project})"))
+    rows = placed(df, project, order)
+    if unique is not None:
+        many = df.groupBy(F.col(project).alias("_p"), F.col(unique).alias("_u")).count().filter("count > 1").select("_p", "_u", F.lit(True).alias("_m"))
+        rows = rows.join(many, F.expr(f"{project} <=> _p and {unique} <=> _u"), "left").withColumn("repeated", F.coalesce("_m", F.lit(False))).drop("_p", "_u", "_m")
     last = f"cast(if(_n <= {size}, 0, ceil((_n - {size}) / {step})) as int)"
     first = f"cast(greatest(0, ceil((_r - {size - 1}) / {step})) as int)"
     return rows.withColumn("chunk", F.expr(f"explode(sequence({first}, least({last}, cast(floor(_r / {step}) as int))))")).drop("_r", "_n")
 
 
 def plan_tiles(df: DataFrame, key: str, height: str, size: int, overlap: int) -> DataFrame:
-    """(key, tile, y0, y1): tiles of size rows that share overlap rows; a height of 0 or null has none."""
+    """(key, tile, y0, y1, above, below, digest): tiles of size rows that share overlap rows; a height of 0 or null has none.
+
+    above and below are the rows shared with the tile before and after; digest is the sha256 of key, height, size, overlap,
+    tile, y0 and y1, joined by bars.
+    """
     step = size - overlap
-    tiles = df.filter(F.col(height) > 0).withColumn("tile", F.expr(f"explode(sequence(0, cast(if({height} <= {size}, 0, ceil(({height} - {size}) / {step})) as int)))"))
-    return tiles.selectExpr(key, "tile", f"cast(tile * {step} as bigint) as y0", f"least(cast(tile * {step} + {size} as bigint), {height}) as y1")
+    tiles = df.filter(F.col(height) > 0).withColumn("_last", F.expr(f"cast(if({height} <= {size}, 0, ceil(({height} - {size}) / {step})) as int)")).withColumn("tile", F.expr("explode(sequence(0, _last))"))
+    tiles = tiles.withColumns({"y0": F.expr(f"cast(tile * {step} as bigint)"), "y1": F.expr(f"least(cast(tile * {step} + {size} as bigint), {height})")})
+    digest = f"sha2(concat_ws('|', {key}, {height}, {size}, {overlap}, tile, y0, y1), 256) as digest"
+    return tiles.selectExpr(key, "tile", "y0", "y1", f"if(tile > 0, {overlap}, 0) as above", f"if(tile < _last, {overlap}, 0) as below", digest)
 
 
 def stride_sample(df: DataFrame, limit: int, project: str = P, order: str = O) -> DataFrame:
     """At most limit rows of each project, evenly spread: rows floor(i * n / limit)."""
-    rows = df.withColumn("_r", F.expr(f"row_number() over (partition by {project} order by {order}) - 1")).withColumn("_n", F.expr(f"count(*) over (partition by {project})"))
+    rows = placed(df, project, order)
     return rows.filter(f"_n <= {limit} or floor(ceil(_r * {limit} / _n) * _n / {limit}) = _r and ceil(_r * {limit} / _n) < {limit}").drop("_r", "_n")
 
 

@@ -116,10 +116,18 @@ def style_report(df: DataFrame, key: str, connectors: list[str], text: str = "te
     return out.select(key, "n_sentences", "n_words", rank(0.1).alias("p10"), rank(0.5).alias("p50"), rank(0.9).alias("p90"), "length_variance", "repeated_sentences", "repeated_openings", "n_connectors", "connected_share", "n_contractions")
 
 
-def style_warnings(report: DataFrame, key: str, rhythm: float = 4.0, template: float = 0.2, connected: float = 0.5) -> DataFrame:
-    """(key, codes): sorted codes of what a style report has against it."""
-    rules = {"FLAT_RHYTHM": F.col("length_variance") < rhythm, "TEMPLATE_RISK": F.col("repeated_openings") > template, "REPEATED_SENTENCES": F.col("repeated_sentences") > 0, "UNCONNECTED": F.col("connected_share") < connected}
-    return report.select(key, F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(rule, F.lit(code)) for code, rule in rules.items()]))), ",").alias("codes"))
+def style_warnings(report: DataFrame, key: str, flagged: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(key, codes): sorted codes of what a style report has against a text.
+
+    RHYTHM if its sentences are all of one length, TEMPLATE_RISK if a sentence or an opening repeats. flagged adds codes of
+    other checks, each with the keys it holds for; keys may repeat there, and those without a report are left out.
+    """
+    out, codes = report, [F.when((F.col("n_sentences") > 0) & (F.col("length_variance") == 0), F.lit("RHYTHM")), F.when((F.col("repeated_sentences") > 0) | (F.col("repeated_openings") > 0), F.lit("TEMPLATE_RISK"))]
+    if flagged:
+        told = reduce(lambda a, b: a.unionByName(b), [df.select(key, F.lit(code).alias("_code")) for code, df in flagged.items()])
+        out = report.join(told.groupBy(key).agg(F.collect_set("_code").alias("_told")), key, "left")
+    more = F.coalesce("_told", F.array().cast("array<string>")) if flagged else F.array().cast("array<string>")
+    return out.select(key, F.array_join(F.array_sort(F.concat(F.array_compact(F.array(*codes)), more)), ",").alias("codes"))
 
 
 def shingle_table(df: DataFrame, n: int, *keys: str, text: str = "text") -> DataFrame:

@@ -188,15 +188,33 @@ def jsn3_validate_manifest(t):
     return R.validate_manifest(t.lineitem.filter("l_quantity > 3"), t.lineitem, "l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("WITH c AS (SELECT DISTINCT user_id, floor(value / 20)::BIGINT AS chunk, CAST(json_extract(props, '$.k') AS INT) % 10 AS id FROM events), s AS (SELECT user_id, chunk, list(id) AS ids FROM c GROUP BY ALL) SELECT user_id, chunk FROM (SELECT *, lag(ids) OVER (PARTITION BY user_id ORDER BY chunk) AS b FROM s) WHERE b IS NOT NULL AND NOT list_has_any(ids, b)")
+@query("""WITH e AS (SELECT user_id, floor(value / 20)::BIGINT AS position, CAST(json_extract(props, '$.k') AS INT) % 10 AS id FROM events), c AS (SELECT user_id, position, position % 12 AS chunk, list(id) AS ids FROM e WHERE id <> 9 GROUP BY ALL),
+x AS (SELECT DISTINCT user_id, id FROM e WHERE id <> user_id % 10), n AS (SELECT DISTINCT user_id, unnest(ids) AS id FROM c), l AS (SELECT user_id, id AS a, (id + 1) % 10 AS b FROM (SELECT DISTINCT user_id, id FROM e WHERE id % 3 = 0))
+SELECT user_id, CAST(chunk AS VARCHAR) AS subject, 'DUPLICATE_CHUNK' AS code FROM c GROUP BY user_id, chunk HAVING count(*) > 1
+UNION ALL SELECT user_id, CAST(chunk AS VARCHAR), 'REPEATED_ID' FROM c WHERE len(list_distinct(ids)) < len(ids)
+UNION ALL SELECT user_id, CAST(chunk AS VARCHAR), 'NO_OVERLAP' FROM (SELECT *, lag(ids) OVER (PARTITION BY user_id ORDER BY position) AS b FROM c) WHERE b IS NOT NULL AND NOT list_has_any(ids, b)
+UNION ALL SELECT user_id, CAST(id AS VARCHAR), 'UNKNOWN_ID' FROM n ANTI JOIN x USING (user_id, id)
+UNION ALL SELECT user_id, CAST(id AS VARCHAR), 'UNCOVERED' FROM x ANTI JOIN n USING (user_id, id)
+UNION ALL SELECT user_id, CAST(id AS VARCHAR), 'UNKNOWN_LINK' FROM (SELECT user_id, a AS id FROM l UNION ALL SELECT user_id, b FROM l) ANTI JOIN x USING (user_id, id)""")
 def jsn4_validate_continuity(t):
-    return R.validate_continuity(t.events.selectExpr("user_id", "cast(floor(value / 20) as bigint) as chunk", "cast(get_json_object(props, '$.k') as int) % 10 as id"), "user_id", "chunk", "id")
+    e = t.events.selectExpr("user_id", "cast(floor(value / 20) as bigint) as position", "cast(get_json_object(props, '$.k') as int) % 10 as id")
+    chunks = e.filter("id <> 9").groupBy("user_id", "position").agg(F.collect_list("id").alias("ids")).withColumn("chunk", F.expr("position % 12"))
+    links = e.filter("id % 3 = 0").selectExpr("user_id", "id as a", "(id + 1) % 10 as b").distinct()
+    return R.validate_continuity(chunks, "user_id", "position", "chunk", "ids", e.filter("id <> user_id % 10"), "id", links, ("a", "b"))
 
 
-@query("SELECT conv_id, turn, code FROM (SELECT conv_id, turn, unnest([CASE WHEN w < 20 THEN 'SHORT' END, CASE WHEN w > 150 THEN 'LONG' END, CASE WHEN row_number() OVER (PARTITION BY conv_id, o ORDER BY turn) > 1 THEN 'OPENING' END]) AS code FROM (SELECT conv_id, turn, len(regexp_extract_all(text, '\\S+')) AS w, substring(text, 1, 1) AS o FROM conversations)) WHERE code IS NOT NULL")
+_ROLES = [("user", 20, 60), ("assistant", 20, 150), ("user", 10, 80), ("assistant", 20, 150)]
+_LEX = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+
+@query(rf"""WITH r AS (SELECT conv_id, turn, role, text, len(regexp_extract_all(text, '\S+')) AS n, array_to_string({_LEX.format('text')}[1:3], ' ') AS o, row_number() OVER w AS k, lead(turn) OVER w IS NULL AS last FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+x AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS total, row_number() OVER (PARTITION BY conv_id, o ORDER BY turn) > 1 AS again FROM r),
+f(k, want, low, high) AS (VALUES (1, 'user', 20, 60), (2, 'assistant', 20, 150), (3, 'user', 10, 80), (4, 'assistant', 20, 150)),
+s AS (SELECT DISTINCT conv_id, turn, array_to_string({_LEX.format('s')}, ' ') AS s FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[.!?]+')) AS s FROM conversations))
+SELECT conv_id, turn, code FROM (SELECT conv_id, turn, unnest([CASE WHEN role IS DISTINCT FROM want THEN 'ROLE' END, CASE WHEN NOT coalesce(n BETWEEN low AND high, false) THEN 'WORDS' END, CASE WHEN again THEN 'OPENING' END, CASE WHEN last AND x.k <> 4 THEN 'COUNT' END, CASE WHEN last AND total NOT BETWEEN 90 AND 425 THEN 'TOTAL' END, CASE WHEN last AND NOT ends_with(rtrim(text), '?') THEN 'ENDING' END]) AS code FROM x LEFT JOIN f ON f.k = x.k) WHERE code IS NOT NULL
+UNION ALL SELECT DISTINCT conv_id, turn, 'SENTENCE' FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, s ORDER BY turn) AS i FROM s WHERE s <> '') WHERE i > 1""")
 def jsn5_validate_passages(t):
-    c = t.conversations.withColumns({"w": T.word_count(F.col("text")), "o": F.substring("text", 1, 1)})
-    return R.validate_passages(c, "conv_id", "turn", "w", "o", 20, 150)
+    return R.validate_passages(t.conversations, "conv_id", "turn", "role", "text", _ROLES, (90, 425))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS value FROM events")
@@ -204,11 +222,14 @@ def jsn6_alias_fields(t):
     return R.alias_fields(t.events, "event_id", "props", ["key", "k"])
 
 
-@query("SELECT conv_id, turn, doc, score, place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, doc) AS place FROM (SELECT s.conv_id, s.turn, c.turn AS doc, round(length(c.text) % 97 / 100 + CASE WHEN c.role = s.role THEN 0.3 ELSE 0 END - 0.01 * abs(c.turn - s.turn), 6) AS score FROM conversations s JOIN conversations c ON s.conv_id = c.conv_id)) WHERE place <= 3")
+@query("""SELECT conv_id, turn, doc, score, place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, doc) AS place FROM (SELECT s.conv_id, s.turn, c.turn AS doc,
+round(c.q + round(CASE WHEN s.role = 'user' THEN 3 * c.close ELSE 0 END + CASE WHEN s.role = 'assistant' THEN 2.5 * (c.close + c.q) ELSE 0 END + CASE WHEN s.turn % 3 = 0 THEN 1.5 * c.q ELSE 0 END, 3)
++ 0.35 * greatest(0, 1 - CASE WHEN s.turn > 0 THEN abs(c.turn - s.turn + 1) ELSE 0 END / 6.0::DOUBLE) + CASE WHEN s.turn = 0 THEN 0 WHEN c.turn < s.turn - 1 THEN -least(2.0, (s.turn - 1 - c.turn) * 0.25::DOUBLE) ELSE least(0.18, (c.turn - s.turn + 1) * 0.03::DOUBLE) END, 6) AS score
+FROM conversations s JOIN (SELECT conv_id, turn, length(text) % 97 / 100::DOUBLE AS q, length(text) % 11 / 10::DOUBLE AS close FROM conversations) c ON s.conv_id = c.conv_id)) WHERE place <= 3""")
 def joi21_score_candidates(t):
-    spans = t.conversations.selectExpr("conv_id", "turn", "role as tag", "turn as position")
-    candidates = t.conversations.selectExpr("conv_id", "turn as doc", "role as tag", "length(text) % 97 / 100 as quality", "turn as position")
-    return R.score_candidates(spans, candidates, "conv_id", "turn", "doc")
+    spans = t.conversations.selectExpr("conv_id", "turn", "array_compact(array(role, if(turn % 3 = 0, 'reveal', null))) as tags", "if(turn > 0, turn - 1, null) as previous")
+    candidates = t.conversations.selectExpr("conv_id", "turn as doc", "length(text) % 97 / 100D as quality", "length(text) % 11 / 10D as close", "turn as position")
+    return R.score_candidates(spans, candidates, "conv_id", "turn", "doc", {"user": "3 * close", "assistant": "2.5D * (close + quality)", "reveal": "1.5D * quality"})
 
 
 @query(f"WITH {SHOTS} SELECT project_id, pos, array_to_string(list_filter([CASE WHEN dur / 100 > 0.5 THEN 'strong' END, CASE WHEN asset >= lag(asset) OVER w THEN 'chronological' END, CASE WHEN mode <> lag(mode) OVER w THEN 'new_family' END, CASE WHEN dur / 100 < 0.2 THEN 'weak' END], lambda x: x IS NOT NULL), ',') AS reasons FROM sh WINDOW w AS (PARTITION BY project_id ORDER BY pos)")

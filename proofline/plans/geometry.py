@@ -61,9 +61,14 @@ def crops(t):
 _SHARE = "greatest(0, least(c.x1, b.x1) - greatest(c.x0, b.x0)) * greatest(0, least(c.y1, b.y1) - greatest(c.y0, b.y0)) / ((b.x1 - b.x0) * (b.y1 - b.y0))"
 
 
-@query(f"WITH {BOXES}, {_CROPS} SELECT c.asset_id, crop, round(min({_SHARE}) FILTER (class = 0), 6) AS face, round(min({_SHARE}) FILTER (class = 1), 6) AS text FROM c LEFT JOIN bx b ON c.asset_id = b.asset_id GROUP BY ALL")
+_IN = _SHARE.split(" / ((")[0]
+
+
+@query(f"""WITH {BOXES}, {_CROPS} SELECT c.asset_id, crop, coalesce(round(min({_SHARE}) FILTER (class = 0 AND vec_id % 3 > 0), 6), 1) AS face, coalesce(round(min({_SHARE}) FILTER (class = 1 AND vec_id % 3 > 0), 6), 1) AS text,
+coalesce(round(sum({_IN}) FILTER (vec_id % 3 > 0) / sum((b.x1 - b.x0) * (b.y1 - b.y0)) FILTER (vec_id % 3 > 0), 6), 1) AS retained, least(1, round(coalesce(sum({_IN}) FILTER (vec_id % 3 = 0), 0) / 3600, 6)) AS blocked FROM c LEFT JOIN bx b ON c.asset_id = b.asset_id GROUP BY ALL""")
 def jsn8_crop_coverage(t):
-    return G.crop_coverage(crops(t), boxes(t).withColumn("kind", F.expr("if(class = 0, 'face', 'text')")), ["face", "text"])
+    b = boxes(t).withColumn("kind", F.expr("if(class = 0, 'face', 'text')"))
+    return G.crop_coverage(crops(t), b.filter("vec_id % 3 > 0"), ["face", "text"], b.filter("vec_id % 3 = 0"))
 
 
 @query(f"WITH {BOXES}, {_CROPS}, v AS (SELECT c.asset_id, crop, coalesce(min({_SHARE}) FILTER (class = 0), 1) AS face, coalesce(min({_SHARE}) FILTER (class = 1), 1) AS text FROM c LEFT JOIN bx b ON c.asset_id = b.asset_id GROUP BY ALL) SELECT asset_id, crop, CASE WHEN face < 0.2 THEN 'FACE' WHEN text < 0.3 THEN 'TEXT' WHEN crop = 2 THEN 'ZOOM' END AS reject FROM v")
@@ -87,6 +92,15 @@ def jsn21_apply_cuts(t):
     return G.apply_cuts(assets, assets.selectExpr("asset_id", "explode(array(0, 700, 1400, 2800, 700)) as at"), "n_chars")
 
 
+@query("""WITH a AS (SELECT doc_id AS asset_id, n_chars, CASE WHEN doc_id % 6 = 1 THEN [700, 400] ELSE [n_chars // 3, n_chars // 2, 900] END AS cuts, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE source END AS actor, sha256(text) AS h FROM documents),
+e AS (SELECT *, [0] || cuts || [n_chars] AS e FROM a), k AS (SELECT *, CASE WHEN trim(actor) = '' THEN 'AUDIT_INVALID' WHEN NOT (e[2] > e[1] AND e[3] > e[2] AND e[4] > e[3] AND (len(e) < 5 OR e[5] > e[4])) THEN 'COORDINATE_INVALID' ELSE 'OK' END AS code FROM e)
+SELECT asset_id, y0, y1, actor, 'seam' AS reason, 'manual_override' AS provenance, h AS prior_hash, code FROM (SELECT *, e[i] AS y0, e[i + 1] AS y1 FROM (SELECT *, unnest(range(1, len(e))) AS i FROM k WHERE code = 'OK') UNION ALL SELECT *, 0, NULL, NULL FROM k WHERE code <> 'OK')""")
+def jsn21_override_cuts(t):
+    cuts = "if(doc_id % 6 = 1, array(700L, 400L), array(n_chars div 3, n_chars div 2, 900L)) as cuts"
+    made = t.documents.selectExpr("doc_id as asset_id", "n_chars", cuts, "if(doc_id % 5 = 0, ' ', source) as actor", "'seam' as reason", "sha2(cast(text as binary), 256) as prior_hash")
+    return G.override_cuts(made, "n_chars")
+
+
 @query(f"""WITH {HEIGHTS}, e AS (SELECT asset_id, CAST(700 AS BIGINT) AS at0, 'detected' AS source, 0.9 AS c FROM h WHERE n_chars > 700 UNION ALL SELECT asset_id, least(greatest(n_chars * i // 3 + o, 1), n_chars - 1), 'ideal', round(0.5 - abs(o) / 1000, 6) FROM h, (SELECT unnest([1, 2]) AS i), (SELECT unnest([-20, -10, 0, 10, 20]) AS o) WHERE n_chars > 3)
 SELECT asset_id, at0 AS "at", source, c AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, at0 ORDER BY source = 'detected' DESC, c DESC) AS k FROM e) WHERE k = 1""")
 def jsn22_candidate_positions(t):
@@ -144,6 +158,20 @@ def win30_runs_of_rows(t):
     return G.runs_of_rows(G.grid_row_stats(grid(t)).withColumn("label", F.expr("if(mean >= 128, 'light', 'dark')")), "label")
 
 
+_QUIET = {"variance": 1100.0, "texture": 40.0, "jump": 20.0, "confidence": 0.2, "edge": 0.02}
+
+
+@query(f"""WITH {STATS}, tx AS (SELECT asset_id, y, round(avg(d), 6) AS texture FROM (SELECT *, abs(value - lag(value) OVER (PARTITION BY asset_id, y ORDER BY x)) AS d FROM gr) GROUP BY ALL),
+m AS (SELECT *, variance <= 1100 AND texture <= 40 AS low, abs(mean - lag(mean) OVER w) AS up, abs(mean - lead(mean) OVER w) AS down, max(texture) OVER (PARTITION BY asset_id ORDER BY y ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS above, max(texture) OVER (PARTITION BY asset_id ORDER BY y ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS below FROM st JOIN tx USING (asset_id, y) WINDOW w AS (PARTITION BY asset_id ORDER BY y)),
+n AS (SELECT *, CASE WHEN low AND (NOT coalesce(lag(low) OVER (PARTITION BY asset_id ORDER BY y), false) OR up > 20) THEN 1 ELSE 0 END AS new FROM m), r AS (SELECT *, sum(new) OVER (PARTITION BY asset_id ORDER BY y) AS run FROM n),
+g AS (SELECT asset_id, run, min(y) AS y0, max(y) + 1 AS y1, count(*) AS k, avg(variance) AS v, arg_min_null(up, y) AS l, arg_max_null(down, y) AS rr, greatest(coalesce(arg_min_null(above, y), 0), coalesce(arg_max_null(below, y), 0)) AS t FROM r WHERE low GROUP BY asset_id, run),
+s AS (SELECT *, least(1.0, (l + rr) / 180) AS edge FROM g WHERE k >= 2 AND l IS NOT NULL AND rr IS NOT NULL), c AS (SELECT *, least(1.0, edge * 0.55::DOUBLE + t / 35) AS context FROM s),
+f AS (SELECT *, round(0.45::DOUBLE * least(1, greatest(0, 1 - v / 1100)) + 0.25::DOUBLE * edge + 0.2::DOUBLE * context + 0.1::DOUBLE * least(1, k / 4), 6) AS confidence FROM c)
+SELECT asset_id, CAST((y0 + y1) // 2 AS INT) AS position, confidence, round(edge, 3) AS edge_score, round(context, 3) AS context_score, y0, y1 FROM f WHERE confidence >= 0.2 AND edge >= 0.02 AND context >= 0.2""")
+def win30_separator_candidates(t):
+    return G.separator_candidates(G.grid_row_stats(grid(t)).join(G.row_texture(grid(t)), ["asset_id", "y"]), 2, _QUIET)
+
+
 @query(f"""WITH {GRID}, o AS (SELECT *, value // 64 AS owner FROM gr), f AS (SELECT asset_id, owner, y, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY asset_id, owner, y ORDER BY x) AS k FROM o) GROUP BY asset_id, owner, y, k)
 SELECT asset_id, owner, x0, x1, min(y) AS y0, max(y) + 1 AS y1 FROM (SELECT *, y - row_number() OVER (PARTITION BY asset_id, owner, x0, x1 ORDER BY y) AS g FROM f) GROUP BY asset_id, owner, x0, x1, g""")
 def win32_merge_cells(t):

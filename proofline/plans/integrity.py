@@ -23,12 +23,19 @@ UNION ALL SELECT NULL, 'WITHOUT_LINE', 'error', false, CAST(o_orderkey AS VARCHA
 UNION ALL SELECT l_orderkey, 'ORPHAN_PANEL', 'error', false, CAST(l_linenumber AS VARCHAR), '' FROM l WHERE l_partkey NOT IN (SELECT p_partkey FROM p)
 UNION ALL SELECT NULL, 'WITHOUT_PANEL', 'error', false, CAST(p_partkey AS VARCHAR), '' FROM p WHERE p_partkey NOT IN (SELECT l_partkey FROM l)
 UNION ALL SELECT l_orderkey, 'DUPLICATE_LINE', 'error', false, CAST(l_linenumber AS VARCHAR), '' FROM l GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
-UNION ALL SELECT l_orderkey, 'DUPLICATE_PANEL', 'error', false, CAST(l_linenumber AS VARCHAR), '' FROM l GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
+UNION ALL SELECT l_orderkey, 'DUPLICATE_PANEL', 'error', false, CAST(l_linenumber AS VARCHAR), '' FROM l GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
+UNION ALL SELECT l_orderkey, 'DUPLICATE_ORDER_LINE', 'error', false, CAST(l_suppkey AS VARCHAR), '' FROM l GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1
+UNION ALL SELECT l_orderkey, 'OUT_OF_ORDER_LINE', 'error', false, CAST(l_linenumber AS VARCHAR), '' FROM (SELECT *, lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS b FROM l) WHERE l_suppkey < b
+UNION ALL SELECT o_custkey, 'NO_EVIDENCE_CLAIM', 'error', false, CAST(o_orderkey AS VARCHAR), '' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 20)
+UNION ALL SELECT o_custkey, 'UNKNOWN_EVIDENCE_CLAIM', 'error', false, CAST(o_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR) FROM orders JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 20) ON l_orderkey = o_orderkey WHERE l_partkey NOT IN (SELECT p_partkey FROM p)""")
 def joi4_lineage_chain_audit(t):
     lines, orders = t.lineitem.filter("l_quantity < 40"), t.orders.filter("o_orderstatus <> 'P'")
     a = I.lineage_chain_audit([("ORDER", orders, "o_orderkey", "o_custkey", t.customer.filter("c_acctbal > 0").select("c_custkey"), "c_custkey")], "o_custkey")
     b = I.lineage_chain_audit([("LINE", lines, "l_linenumber", "l_orderkey", orders, "o_orderkey"), ("PANEL", lines, "l_linenumber", "l_partkey", t.part.filter("p_size <= 45"), "p_partkey")], "l_orderkey")
-    return I.union_all([a, b])
+    refs = t.lineitem.filter("l_quantity > 20").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_partkey").alias("refs"))
+    claims = t.orders.join(refs, "o_orderkey", "left")
+    order = I.source_order_findings("LINE", lines, "l_orderkey", "l_linenumber", "l_suppkey")
+    return I.union_all([a, b, order, I.evidence_findings("CLAIM", claims, "o_custkey", "o_orderkey", "refs", t.part.filter("p_size <= 45"), "p_partkey")])
 
 
 @query("SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN b.k IS NULL THEN 'missing' ELSE 'extra' END AS state FROM (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_totalprice > 50000) a FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 45) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
@@ -91,9 +98,15 @@ def joi17_stale_results(t):
     return I.stale_results(old, new, "user_id", "stage", ["h"])
 
 
-@query("SELECT a.event_id, 'k' AS path, sha256(a.props) AS old_hash, sha256(b.props) AS new_hash FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE json_extract_string(a.props, '$.k') IS DISTINCT FROM json_extract_string(b.props, '$.k')")
+_RECORD = '''(SELECT *, '{"a":{"k":' || k || ',"type":"' || event_type || '"},"days":[' || CASE WHEN k % 7 = 0 THEN '' ELSE user_id % 3 || ',' END || (event_id % 2) || ']}' AS r FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))'''
+
+
+@query(f'''SELECT event_id, path, sha256(ar) AS old_hash, sha256(br) AS new_hash FROM (SELECT a.event_id, a.r AS ar, b.r AS br, CASE WHEN a.k <> b.k THEN 'a.k' WHEN a.event_type <> b.event_type THEN 'a.type' WHEN a.k % 7 = 0 AND a.event_id % 2 <> b.event_id % 2 THEN 'days.0'
+WHEN a.user_id % 3 <> b.user_id % 3 THEN 'days.0' WHEN a.event_id % 2 <> b.event_id % 2 THEN 'days.1' END AS path FROM {_RECORD} a JOIN {_RECORD} b ON b.event_id = a.event_id + 1) WHERE path IS NOT NULL''')
 def joi18_record_diff(t):
-    return I.record_diff(t.events, t.events.withColumn("event_id", F.col("event_id") - 1), "event_id", "props")
+    k = F.expr("cast(get_json_object(props, '$.k') as int)")
+    made = t.events.withColumn("k", k).selectExpr("event_id", "to_json(struct(struct(k, event_type as type) as a, if(k % 7 = 0, array(event_id % 2), array(user_id % 3, event_id % 2)) as days)) as r")
+    return I.record_diff(made, made.withColumn("event_id", F.col("event_id") - 1), "event_id", "r")
 
 
 @query("SELECT o_custkey, count(DISTINCT b.l_orderkey) AS claims FROM orders JOIN lineitem a ON a.l_orderkey = o_orderkey JOIN lineitem b ON a.l_partkey = b.l_partkey WHERE b.l_quantity > 45 GROUP BY o_custkey")
@@ -116,10 +129,12 @@ def joi23_resolve_ids(t):
     return I.resolve_ids(refs, ids, "ref", "id")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'MISSING' WHEN o_orderkey % 7 = 0 THEN 'O_ORDERSTATUS' WHEN o_orderkey % 5 = 0 THEN 'O_TOTALPRICE' ELSE 'OK' END AS code FROM orders")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'MISSING' WHEN o_orderkey % 7 = 0 THEN 'O_ORDERSTATUS' WHEN o_orderkey % 5 = 0 THEN 'O_TOTALPRICE' WHEN coalesce(n, 0) = 0 THEN 'NO_ACCEPTED' WHEN n > 1 THEN 'MANY_ACCEPTED' ELSE 'OK' END AS code
+FROM orders LEFT JOIN (SELECT l_orderkey, count_if(l_quantity > 35) AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
 def joi25_snapshot_parity(t):
     now = t.orders.filter("o_orderkey % 11 <> 0").withColumns({"o_orderstatus": F.expr("if(o_orderkey % 7 = 0, 'X', o_orderstatus)"), "o_totalprice": F.expr("if(o_orderkey % 5 = 0, o_totalprice + 1, o_totalprice)")})
-    return I.snapshot_parity(t.orders, now, "o_orderkey", ["o_orderstatus", "o_totalprice"])
+    attempts = t.lineitem.selectExpr("l_orderkey as o_orderkey", "l_quantity > 35 as accepted")
+    return I.snapshot_parity(t.orders, now, "o_orderkey", ["o_orderstatus", "o_totalprice"], attempts)
 
 
 @query("SELECT source, bool_and(doc_id % 97 <> 0) AS equal, count_if(doc_id % 97 = 0) AS changed_rows FROM documents GROUP BY source")
@@ -180,9 +195,10 @@ def agg22_request_accounting(t):
     return I.request_accounting(t.events, "user_id", "event_type", 0.002)
 
 
-@query("SELECT user_id, max(v) AS largest, count(v) AS n, CASE WHEN count(v) = 0 THEN 'MISSING' WHEN max(v) > 250 THEN 'OVER_LIMIT' ELSE 'OK' END AS code FROM (SELECT user_id, CASE WHEN event_type = 'error' AND user_id % 9 > 0 THEN value END AS v FROM events) GROUP BY user_id")
+@query("""WITH v AS (SELECT user_id, event_id, CASE WHEN user_id % 9 > 0 OR event_type <> 'error' THEN value - 1 END AS v FROM events), g AS (SELECT user_id, max(v) AS largest, min(v) AS least, count(v) AS n, count(*) AS rows FROM v GROUP BY user_id)
+SELECT user_id, event_id, v, largest, n, CASE WHEN n < rows THEN 'MISSING' WHEN least < 0 OR largest > 250 + 1e-9 THEN 'OUT_OF_RANGE' ELSE 'OK' END AS code FROM v JOIN g USING (user_id)""")
 def agg24_measured_limits(t):
-    return I.measured_limits(t.events.withColumn("v", F.expr("if(event_type = 'error' and user_id % 9 > 0, value, null)")), "user_id", "event_id", "v", 250)
+    return I.measured_limits(t.events.withColumn("v", F.expr("if(user_id % 9 > 0 or event_type <> 'error', value - 1, null)")), "user_id", "event_id", "v", 250)
 
 
 @query("SELECT project_id, code, severity, passed, subject_id, detail FROM (SELECT CAST(substring(source, 4) AS BIGINT) AS project_id, 'RIGHTS' AS code, 'error' AS severity, " + STATUS + " IN ('declared', 'verified') AS passed, CAST(doc_id AS VARCHAR) AS subject_id, " + STATUS + " AS detail FROM " + RIGHTS + " UNION ALL SELECT CAST(substring(source, 4) AS BIGINT), 'MARKER', 'warning', NOT contains(text, 'token'), CAST(doc_id AS VARCHAR), '' FROM documents)")

@@ -99,10 +99,14 @@ def win9_sentence_groups(t):
     return O.sentence_groups(timed_words(t)).withColumns({"start_s": F.round("start_s", 6), "end_s": F.round("end_s", 6)})
 
 
-@query(f"""WITH {GROUPS}, x AS (SELECT *, lag(end_s) OVER (PARTITION BY project_id ORDER BY sentence) AS b FROM sg)
-SELECT project_id, CAST(sentence AS BIGINT) AS sentence, code FROM (SELECT project_id, sentence, unnest([CASE WHEN start_s < 0 OR end_s > 80 THEN 'OUT_OF_BOUNDS' END, CASE WHEN end_s < start_s THEN 'REVERSED' END, CASE WHEN start_s < b - 0.000001 THEN 'OVERLAP' END, CASE WHEN NOT closed THEN 'UNCLOSED' END, CASE WHEN NOT regexp_matches(text, '^[A-Za-z .,]+$') THEN 'CHARSET' END]) AS code FROM x) WHERE code IS NOT NULL""")
+@query(f"""WITH {GROUPS}, x AS (SELECT *, coalesce(lag(end_s) OVER (PARTITION BY project_id ORDER BY sentence), 0) AS b FROM sg),
+k AS (SELECT project_id, pos, start_s, CASE WHEN pos % 50 = 0 THEN end_s + 1 ELSE end_s END AS end_s, regexp_full_match(display, '[A-Z0-9]+') AS fine FROM tw WHERE pos % 101 <> 0), n AS (SELECT x.project_id, sentence, count(k.pos) AS n, min(k.start_s) AS f, max(k.end_s) AS t, bool_and(fine) AS fine FROM x LEFT JOIN k ON k.project_id = x.project_id AND k.pos >= first_pos AND k.pos < first_pos + n_words GROUP BY ALL)
+SELECT project_id, CAST(sentence AS BIGINT) AS sentence, code FROM (SELECT x.project_id, x.sentence, unnest([CASE WHEN n < 2 THEN 'FEW_WORDS' END, CASE WHEN start_s < -0.01 OR end_s > 80.01 THEN 'OUT_OF_BOUNDS' END, CASE WHEN start_s < b - 0.01 OR end_s <= start_s THEN 'OVERLAP' END, CASE WHEN NOT closed THEN 'UNCLOSED' END, CASE WHEN f < start_s - 0.01 OR t > end_s + 0.01 THEN 'WORD_OUTSIDE' END, CASE WHEN NOT fine THEN 'CHARSET' END]) AS code
+FROM x JOIN n ON n.project_id = x.project_id AND n.sentence = x.sentence) WHERE code IS NOT NULL""")
 def win10_validate_groups(t):
-    return O.validate_groups(O.sentence_groups(timed_words(t)), 80.0, "^[A-Za-z .,]+$")
+    words = O.sentence_of(timed_words(t))
+    shown = words.filter("pos % 101 <> 0").withColumn("end_s", F.expr("if(pos % 50 = 0, end_s + 1, end_s)"))
+    return O.validate_groups(O.sentence_groups(timed_words(t)), shown, 80.0, "[A-Z0-9]+", 2)
 
 
 def lagged(sql: str) -> str:
@@ -182,14 +186,18 @@ def agg11_caption_stats(t):
     return O.caption_stats(cues(t), 70.0)
 
 
-PROFILES = [("short", 500.0, 2500.0, 30, 60, 5.0, 60.0, 0.6), ("long", 2000.0, 6000.0, 50, 100, 10.0, 80.0, 0.7)]
+PROFILES = [("short", 500.0, 2500.0, 30, 60, 5.0, 60.0, 0.5, 0.6, 60.0, 150.0, 0.2, 0.35, 40.0, 60.0, 0.4), ("long", 2000.0, 6000.0, 50, 100, 10.0, 80.0, 0.7, 0.8, 70.0, 200.0, 0.2, 0.3, 30.0, 50.0, 0.5)]
+_BOUNDS = "duration_min, duration_max, shot_min, shot_max, normal_min, normal_max, normal_ratio_min, normal_ratio_max, emphasis_min, emphasis_max, emphasis_ratio_min, emphasis_ratio_max, mean_min, mean_max, hard_cut_min"
+_CUT = "CASE WHEN mode IN ('click', 'view') OR pos % 9 = 0 THEN 'cut' WHEN pos = 1 AND mode <> 'error' THEN 'none' ELSE 'fade' END"
 
 
-@query(lagged("""SELECT project_id, profile_id, total_s, shots, normal_share, mean_s, array_to_string(list_sort(list_filter([CASE WHEN total_s < dmin THEN 'SHORT' END, CASE WHEN total_s > dmax THEN 'LONG' END, CASE WHEN shots < smin THEN 'FEW_SHOTS' END, CASE WHEN shots > smax THEN 'MANY_SHOTS' END, CASE WHEN normal_share < r THEN 'UNEVEN' END], lambda x: x IS NOT NULL)), ',') AS codes
-FROM (SELECT project_id, profile_id, round(sum(dur), 6) AS total_s, count(*) AS shots, round(avg(CASE WHEN dur BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END), 6) AS normal_share, round(avg(dur), 6) AS mean_s, any_value(dmin) AS dmin, any_value(dmax) AS dmax, any_value(smin) AS smin, any_value(smax) AS smax, any_value(r) AS r
-FROM sh, (VALUES ('short', 500.0, 2500.0, 30, 60, 5.0, 60.0, 0.6), ('long', 2000.0, 6000.0, 50, 100, 10.0, 80.0, 0.7)) p(profile_id, dmin, dmax, smin, smax, lo, hi, r) GROUP BY project_id, profile_id)"""))
+@query(lagged(f"""SELECT project_id, profile_id, total_s, shots, normal_share, emphasis_share, mean_s, hard_cut_share, array_to_string(list_sort(list_filter([CASE WHEN total_s < duration_min THEN 'SHORT' END, CASE WHEN total_s > duration_max THEN 'LONG' END, CASE WHEN shots < shot_min THEN 'FEW_SHOTS' END, CASE WHEN shots > shot_max THEN 'MANY_SHOTS' END, CASE WHEN ins <> shots THEN 'OUT_OF_BAND' END,
+CASE WHEN normal_share < normal_ratio_min THEN 'FEW_NORMAL' END, CASE WHEN normal_share > normal_ratio_max THEN 'MANY_NORMAL' END, CASE WHEN emphasis_share < emphasis_ratio_min THEN 'FEW_EMPHASIS' END, CASE WHEN emphasis_share > emphasis_ratio_max THEN 'MANY_EMPHASIS' END, CASE WHEN mean_s NOT BETWEEN mean_min AND mean_max THEN 'MEAN' END, CASE WHEN hard_cut_share < hard_cut_min THEN 'FEW_HARD_CUTS' END], lambda x: x IS NOT NULL)), ',') AS codes
+FROM (SELECT project_id, p.*, round(sum(dur), 6) AS total_s, count(*) AS shots, round(avg(CAST(dur BETWEEN normal_min AND normal_max AS INT)), 6) AS normal_share, round(avg(CAST(dur BETWEEN emphasis_min AND emphasis_max AS INT)), 6) AS emphasis_share, round(avg(dur), 6) AS mean_s, round(avg(CAST(tr = CASE WHEN pos = 1 THEN 'none' ELSE 'cut' END AS INT)), 6) AS hard_cut_share, count_if(dur BETWEEN normal_min AND normal_max) + count_if(dur BETWEEN emphasis_min AND emphasis_max) AS ins
+FROM (SELECT *, {_CUT} AS tr FROM sh), (VALUES {', '.join(map(str, PROFILES))}) p(profile_id, {_BOUNDS}) GROUP BY ALL)"""))
 def agg12_cadence_bands(t):
-    return O.cadence_bands(shots(t), t.spark.createDataFrame(PROFILES, "profile_id string, duration_min double, duration_max double, shot_min int, shot_max int, normal_min double, normal_max double, normal_ratio_min double"))
+    schema = "profile_id string, " + ", ".join(f"{c} {'int' if c.startswith('shot') else 'double'}" for c in _BOUNDS.split(", "))
+    return O.cadence_bands(shots(t).withColumn("transition", F.expr(_CUT)), t.spark.createDataFrame(PROFILES, schema))
 
 
 def chunked(size: int, overlap: int, inner: str, key: str, order: str) -> str:
@@ -197,12 +205,14 @@ def chunked(size: int, overlap: int, inner: str, key: str, order: str) -> str:
     return f"SELECT *, unnest(range(greatest(0, CAST(ceil((r - {size - 1}) / {step}) AS INT)), least(CASE WHEN n <= {size} THEN 0 ELSE CAST(ceil((n - {size}) / {step}) AS INT) END, CAST(floor(r / {step}) AS INT)) + 1)) AS chunk FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) - 1 AS r, count(*) OVER (PARTITION BY {key}) AS n FROM {inner})"
 
 
-@query(f"SELECT source, doc_id, chunk FROM ({chunked(12, 3, 'documents', 'source', 'doc_id')})")
+@query(f"SELECT source, doc_id, chunk, repeated FROM ({chunked(12, 3, '(SELECT source, doc_id, count(*) OVER (PARTITION BY source, sha256(text)) > 1 AS repeated FROM documents)', 'source', 'doc_id')})")
 def win16_overlapping_chunks(t):
-    return O.overlapping_chunks(t.documents, 12, 3, "source", "doc_id").select("source", "doc_id", "chunk")
+    named = t.documents.select("source", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("id"))
+    return O.overlapping_chunks(named, 12, 3, "source", "doc_id", "id").select("source", "doc_id", "chunk", "repeated")
 
 
-@query("SELECT doc_id, tile, tile * 800 AS y0, least(tile * 800 + 1000, n_chars) AS y1 FROM (SELECT doc_id, n_chars, unnest(range(CASE WHEN n_chars <= 1000 THEN 1 ELSE CAST(ceil((n_chars - 1000) / 800) AS INT) + 1 END)) AS tile FROM documents WHERE n_chars > 0)")
+@query("""SELECT doc_id, tile, y0, y1, CASE WHEN tile > 0 THEN 200 ELSE 0 END AS above, CASE WHEN tile < last THEN 200 ELSE 0 END AS below, sha256(concat_ws('|', doc_id, n_chars, 1000, 200, tile, y0, y1)) AS digest
+FROM (SELECT *, tile * 800 AS y0, least(tile * 800 + 1000, n_chars) AS y1 FROM (SELECT doc_id, n_chars, last, unnest(range(last + 1)) AS tile FROM (SELECT *, CASE WHEN n_chars <= 1000 THEN 0 ELSE CAST(ceil((n_chars - 1000) / 800) AS INT) END AS last FROM documents WHERE n_chars > 0)))""")
 def win17_plan_tiles(t):
     return O.plan_tiles(t.documents, "doc_id", "n_chars", 1000, 200)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proofline.functions import text as T
+from proofline.operators import integrity as I
 from proofline.operators import texts as O
 from proofline.plans.registry import query
 
@@ -218,15 +219,24 @@ def agg4_style_report(t):
     return O.style_report(t.documents, "doc_id", ["that", "with", "que"])
 
 
-@query(f"""{_REPORT} SELECT doc_id, array_to_string(list_sort(list_filter([CASE WHEN length_variance < 4 THEN 'FLAT_RHYTHM' END, CASE WHEN repeated_openings > 0.2 THEN 'TEMPLATE_RISK' END, CASE WHEN repeated_sentences > 0 THEN 'REPEATED_SENTENCES' END, CASE WHEN connected_share < 0.5 THEN 'UNCONNECTED' END], lambda x: x IS NOT NULL)), ',') AS codes FROM g""")
-def agg5_style_warnings(t):
-    return O.style_warnings(O.style_report(t.documents, "doc_id", ["that", "with", "que"]), "doc_id")
-
-
 def _grams(n: int, tab: str, key: str) -> str:
     return f"SELECT DISTINCT {key}, array_to_string(ws[i : i + {n - 1}], ' ') AS s FROM (SELECT {key}, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM (SELECT {key}, {TOKENS} AS ws FROM {tab}) WHERE len(ws) >= {n})"
 
 
+@query(f"""{_REPORT}, ca AS ({_grams(4, 'documents', 'doc_id')}), cb AS (SELECT DISTINCT s FROM ({_grams(4, 'benchmark', 'item_id')})), fl AS (SELECT doc_id, 'GENERIC_HYPE' AS code FROM documents WHERE contains(lower(text), 'queen') OR contains(text, '***') UNION SELECT doc_id, 'CTA' FROM documents WHERE regexp_matches(text, '(?i)released under|@')
+UNION SELECT doc_id, 'DIALOGUE_COPIED' FROM ca JOIN cb USING (s) UNION SELECT doc_id, 'EVIDENCE_MISSING' FROM labels WHERE quality = 0 UNION SELECT doc_id, 'UNSUPPORTED_CLAIM' FROM documents WHERE doc_id % 4 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels) UNION SELECT doc_id, 'INTERPRETATION_UNQUALIFIED' FROM labels WHERE toxic = 1),
+fs AS (SELECT doc_id, list(code) AS told FROM fl GROUP BY doc_id)
+SELECT g.doc_id, array_to_string(list_sort(list_filter([CASE WHEN n_sentences > 0 AND length_variance = 0 THEN 'RHYTHM' END, CASE WHEN repeated_openings > 0 OR repeated_sentences > 0 THEN 'TEMPLATE_RISK' END] || coalesce(told, []), lambda x: x IS NOT NULL)), ',') AS codes FROM g LEFT JOIN fs ON g.doc_id = fs.doc_id""")
+def agg5_style_warnings(t):
+    hype = O.promo_or_hype(t.documents, "doc_id", "(?i)released under|@", ["queen", "***"])
+    passages = t.documents.selectExpr("doc_id", "1 as proof").join(t.labels.select(F.col("doc_id").alias("_l")).distinct(), F.col("doc_id") == F.col("_l"), "left").filter("_l is not null or doc_id % 4 = 0")
+    claims = I.claim_coverage(t.labels.selectExpr("doc_id", "cast(quality as int) as proof"), passages, "doc_id", "proof")
+    return O.style_warnings(O.style_report(t.documents, "doc_id", ["that", "with", "que"]), "doc_id", {
+        "GENERIC_HYPE": hype.filter("hype > 0"), "CTA": hype.filter("promo"), "DIALOGUE_COPIED": O.copied_ngram_exists(t.documents, t.benchmark, "doc_id").filter("copied"), "UNSUPPORTED_CLAIM": claims.filter("code = 'UNKNOWN_CLAIM'"),
+        "EVIDENCE_MISSING": claims.filter("code in ('NO_OVERLAP', 'INCOMPLETE')"), "INTERPRETATION_UNQUALIFIED": t.labels.filter("toxic = 1"),
+    })
+
+
 @query(f"""WITH a AS ({_grams(5, 'documents', 'doc_id')}), b AS (SELECT DISTINCT s FROM ({_grams(5, 'benchmark', 'item_id')})), c AS (SELECT doc_id, count(*) AS n, count(b.s) AS m FROM a LEFT JOIN b USING (s) GROUP BY doc_id)
 SELECT doc_id, n_shingles, n_shared, overlap, CASE WHEN overlap >= 0.5 THEN 'block' WHEN overlap >= 0.25 THEN 'warn' ELSE 'clear' END AS band FROM (SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, 0) AS n_shared, round(coalesce(m / n, 0.0), 6) AS overlap FROM documents LEFT JOIN c USING (doc_id))""")
 def joi2_shingle_overlap(t):

@@ -9,6 +9,7 @@ from proofline.functions import text as T
 from proofline.operators import chunks as C
 from proofline.operators import geometry as G
 from proofline.operators import integrity as I
+from proofline.operators import records as R
 from proofline.operators import sequences as S
 from proofline.operators import texts as O
 
@@ -247,3 +248,125 @@ def test_script_runs_cross_sections_and_short_scripts_do_not_count(spark):
     assert "REPEATED_PHRASE" not in script(spark, ("hook", "one two three one two three", []))
     again = script(spark, ("hook", "one two", []), ("hook", "three", []), ("hook", "", []), ("hook", "one two three four five six seven eight nine", []))
     assert again["REPEATED_PHRASE"] == 1 and again["EMPTY_SECTION"] == 1
+
+
+def got(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def test_source_order_and_evidence(spark):
+    rows = spark.createDataFrame([(1, 1, 5), (1, 2, 3), (1, 3, 3), (1, 4, None), (2, 1, 1), (2, 2, 2)], "p int, seq int, ord int")
+    assert got(I.source_order_findings("PANEL", rows, "p", "seq", "ord"), "project_id", "code", "subject_id") == [
+        (1, "DUPLICATE_ORDER_PANEL", "3"), (1, "MISSING_ORDER_PANEL", "4"), (1, "OUT_OF_ORDER_PANEL", "2"),
+    ]
+    claims = spark.createDataFrame([(1, "a", ["x", "y"]), (1, "b", []), (1, "c", None), (1, "d", ["x"])], "p int, k string, refs array<string>")
+    panels = spark.createDataFrame([("x",)], "id string")
+    assert got(I.evidence_findings("CLAIM", claims, "p", "k", "refs", panels, "id"), "code", "subject_id", "detail") == [
+        ("NO_EVIDENCE_CLAIM", "b", ""), ("NO_EVIDENCE_CLAIM", "c", ""), ("UNKNOWN_EVIDENCE_CLAIM", "a", "y"),
+    ]
+
+
+@pytest.mark.parametrize(
+    ("old", "new", "path"),
+    [
+        ('{"b": 1, "a": {"x": [1, 2]}}', '{"a": {"x": [1, 3]}, "b": 2}', "a.x.1"), ('{"a": [1]}', '{"a": [1, 2]}', "a"), ('{"a": null}', "{}", "a"), ('{"a": 1}', '{"a": {"b": 1}}', "a"),
+        ('{"a": 1, "b": 2}', '{"b": 2, "a": 1}', None), ("no json", "{}", ""), (None, "{}", ""), (None, None, None),
+    ],
+)
+def test_record_diff(spark, old, new, path):
+    frame = lambda v: spark.createDataFrame([(1, v)], "k int, v string")
+    assert got(I.record_diff(frame(old), frame(new), "k", "v"), "path") == ([] if path is None else [(path,)])
+
+
+def test_snapshots_and_measured_limits(spark):
+    snap = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, None)], "k int, f string")
+    now = spark.createDataFrame([(1, "a"), (2, "x"), (3, "c"), (5, None)], "k int, f string")
+    attempts = spark.createDataFrame([(1, True), (1, False), (2, True), (5, True), (5, True)], "k int, accepted boolean")
+    assert got(I.snapshot_parity(snap, now, "k", ["f"], attempts), "k", "code") == [(1, "OK"), (2, "F"), (3, "NO_ACCEPTED"), (4, "MISSING"), (5, "MANY_ACCEPTED")]
+    shares = spark.createDataFrame([("a", 1, 0.01), ("a", 2, 0.03), ("b", 1, 0.04), ("c", 1, None), ("c", 2, 0.5), ("d", 1, -0.1)], "p string, o int, v double")
+    assert got(I.measured_limits(shares, "p", "o", "v", 0.03), "p", "o", "v", "largest", "n", "code") == [
+        ("a", 1, 0.01, 0.03, 2, "OK"), ("a", 2, 0.03, 0.03, 2, "OK"), ("b", 1, 0.04, 0.04, 1, "OUT_OF_RANGE"), ("c", 1, None, 0.5, 1, "MISSING"), ("c", 2, 0.5, 0.5, 1, "MISSING"), ("d", 1, -0.1, -0.1, 1, "OUT_OF_RANGE"),
+    ]
+
+
+def test_score_candidates(spark):
+    spans = spark.createDataFrame([(1, 0, ["weapon"], None), (1, 1, ["weapon"], 4), (1, 2, None, 4)], "p int, s int, tags array<string>, previous int")
+    candidates = spark.createDataFrame([(1, 10, 1.0, 2, 0.4), (1, 11, 1.0, 6, 0.0)], "p int, c int, quality double, position int, arms double")
+    found = got(R.score_candidates(spans, candidates, "p", "s", "c", {"weapon": "2.5 * arms"}, 2), "s", "c", "score", "place")
+    # 1 + 2.5 * 0.4 + 0.35; from 4 back to 2: 0.35 * (1 - 2 / 6) - 2 * 0.25; from 4 on to 6: 0.35 * 4 / 6 + 2 * 0.03
+    assert found == [(0, 10, 2.35, 1), (0, 11, 1.35, 2), (1, 10, 1.733333, 1), (1, 11, 1.293333, 2), (2, 10, 0.733333, 2), (2, 11, 1.293333, 1)]
+
+
+def test_validate_continuity(spark):
+    chunks = spark.createDataFrame([(1, 0, "a", [1, 2]), (1, 1, "b", [2, 3, 3]), (1, 2, "b", [9])], "p int, pos int, c string, ids array<int>")
+    expected = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 4)], "p int, id int")
+    links = spark.createDataFrame([(1, 1, 7)], "p int, x int, y int")
+    assert got(R.validate_continuity(chunks, "p", "pos", "c", "ids", expected, "id", links, ("x", "y")), "subject", "code") == [
+        ("4", "UNCOVERED"), ("7", "UNKNOWN_LINK"), ("9", "UNKNOWN_ID"), ("b", "DUPLICATE_CHUNK"), ("b", "NO_OVERLAP"), ("b", "REPEATED_ID"),
+    ]
+
+
+def test_validate_passages(spark):
+    roles = [("hook", 2, 4), ("end", 2, 4)]
+    rows = [(1, 0, "hook", "He ran away."), (1, 1, "end", "Who was it?"), (2, 0, "end", "One two three. Go!"), (2, 1, "end", "One, two three"), (2, 2, "end", "Go. no"), (3, 0, "hook", None)]
+    frame = spark.createDataFrame(rows, "p int, o int, role string, text string")
+    assert got(R.validate_passages(frame, "p", "o", "role", "text", roles, (5, 8)), "p", "o", "code") == [
+        (2, 0, "ROLE"), (2, 1, "OPENING"), (2, 1, "SENTENCE"), (2, 2, "COUNT"), (2, 2, "ENDING"), (2, 2, "ROLE"), (2, 2, "SENTENCE"), (2, 2, "TOTAL"), (2, 2, "WORDS"),
+        (3, 0, "COUNT"), (3, 0, "ENDING"), (3, 0, "TOTAL"), (3, 0, "WORDS"),
+    ]
+
+
+def test_validate_groups(spark):
+    groups = spark.createDataFrame([(1, 0, 0.0, 1.0, True), (1, 1, 0.9, 2.0, True), (1, 2, 2.0, 9.0, False), (1, 3, 9.0, 9.0, True)], "project_id int, sentence int, start_s double, end_s double, closed boolean")
+    words = [(1, 0, "HE", 0.0, 0.5), (1, 0, "RAN", 0.5, 1.0), (1, 1, "NO", 0.8, 1.5), (1, 1, "NO", 1.5, 2.0), (1, 2, "A-B", 2.0, 3.0), (1, 2, "C", 3.0, 9.0)]
+    shown = spark.createDataFrame(words, "project_id int, sentence int, display string, start_s double, end_s double")
+    assert got(S.validate_groups(groups, shown, 8.0, "[A-Z0-9]+", 2), "sentence", "code") == [
+        (1, "OVERLAP"), (1, "WORD_OUTSIDE"), (2, "CHARSET"), (2, "OUT_OF_BOUNDS"), (2, "UNCLOSED"), (3, "FEW_WORDS"), (3, "OUT_OF_BOUNDS"), (3, "OVERLAP"),
+    ]
+
+
+def test_cadence_bands(spark):
+    shots = spark.createDataFrame([("a", 1, 1.0, "none"), ("a", 2, 1.2, "cut"), ("a", 3, 2.0, "cut"), ("b", 1, 1.0, "cut"), ("b", 2, 9.0, "fade")], "project_id string, pos int, dur double, transition string")
+    names = "duration_min duration_max shot_min shot_max normal_min normal_max normal_ratio_min normal_ratio_max emphasis_min emphasis_max emphasis_ratio_min emphasis_ratio_max mean_min mean_max hard_cut_min".split()
+    profile = spark.createDataFrame([("p", 4.0, 5.0, 3, 3, 0.5, 1.5, 0.6, 0.7, 1.6, 2.5, 0.3, 0.4, 1.3, 1.5, 0.85)], "profile_id string, " + ", ".join(f"{n} {'int' if n[:4] == 'shot' else 'double'}" for n in names))
+    found = got(S.cadence_bands(shots, profile), "project_id", "normal_share", "emphasis_share", "hard_cut_share", "codes")
+    assert found == [("a", 0.666667, 0.333333, 1.0, ""), ("b", 0.5, 0.0, 0.0, "FEW_EMPHASIS,FEW_HARD_CUTS,FEW_NORMAL,FEW_SHOTS,LONG,MEAN,OUT_OF_BAND")]
+
+
+@pytest.mark.parametrize("n", [0, 1, 700])
+def test_placed_matches_a_window(spark, n):
+    rows = spark.range(n).selectExpr("if(id % 3 > 0, 'hot', concat('p', id % 5)) as p", "if(id % 50 = 7, null, id * 7 % 1009) as o")
+    found = S.placed(rows, "p", "o", 8)
+    assert got(found, "p", "o", "_r", "_n") == got(rows.selectExpr("*", "row_number() over (partition by p order by o) - 1 as _r", "count(*) over (partition by p) as _n"), "p", "o", "_r", "_n")
+
+
+def test_chunks_tell_repeated_ids(spark):
+    rows = spark.createDataFrame([("s", 0, "a"), ("s", 1, "b"), ("s", 2, "a"), ("t", 0, "b"), ("t", 1, None)], "p string, o int, id string")
+    assert got(S.overlapping_chunks(rows, 2, 1, "p", "o", "id"), "p", "o", "chunk", "repeated") == [("s", 0, 0, True), ("s", 1, 0, False), ("s", 1, 1, False), ("s", 2, 1, True), ("t", 0, 0, False), ("t", 1, 0, False)]
+
+
+def test_separator_candidates(spark):
+    means = [10.0] * 4 + [250.0] * 3 + [10.0] * 4
+    busy = lambda y: not 4 <= y < 7
+    rows = [("a", y, m, 500.0 if busy(y) else 0.0, 35.0 if busy(y) else 0.0) for y, m in enumerate(means)]
+    found = G.separator_candidates(spark.createDataFrame(rows, "asset_id string, y int, mean double, variance double, texture double"), 3)
+    # edge 480 / 180, cut to 1; context 0.55 + 35 / 35, cut to 1; band 3 / 6
+    assert got(found, "position", "confidence", "edge_score", "context_score", "y0", "y1") == [(5, 0.95, 1.0, 1.0, 4, 7)]
+
+
+def test_crop_shares_and_overrides(spark):
+    box = "asset_id int, {} string, x0 int, y0 int, x1 int, y1 int"
+    crops = spark.createDataFrame([(1, "c", 0, 0, 10, 10), (2, "c", 0, 0, 10, 10)], box.format("crop"))
+    regions = spark.createDataFrame([(1, "face", 5, 0, 15, 10), (1, "text", 0, 0, 5, 4), (1, "sign", 3, 3, 3, 3)], box.format("kind"))
+    blocked = spark.createDataFrame([(1, "b", 0, 0, 5, 10), (1, "b", 0, 0, 5, 20)], box.format("kind"))
+    found = got(G.crop_coverage(crops, regions, ["face", "text", "sign", "none"], blocked), "asset_id", "face", "text", "sign", "none", "retained", "blocked")
+    assert found == [(1, 0.5, 1.0, 0.0, 1.0, 0.583333, 1.0), (2, 1.0, 1.0, 1.0, 1.0, 1.0, 0.0)]
+    assets = spark.createDataFrame([(1, 10, [3, 6], "me", "seam", "h"), (2, 10, [6, 3], "me", "seam", "h"), (3, 10, [10], "me", "seam", "h"), (4, 10, [5], " ", "seam", "h"), (5, 10, None, "me", "seam", None)], "asset_id int, height int, cuts array<bigint>, actor string, reason string, prior_hash string")
+    assert got(G.override_cuts(assets, "height"), "asset_id", "y0", "y1", "code") == [(1, 0, 3, "OK"), (1, 3, 6, "OK"), (1, 6, 10, "OK"), (2, None, None, "COORDINATE_INVALID"), (3, None, None, "COORDINATE_INVALID"), (4, None, None, "AUDIT_INVALID"), (5, 0, 10, "OK")]
+
+
+def test_style_warnings(spark):
+    report = spark.createDataFrame([(1, 3, 0.0, 0, 0.0), (2, 3, 2.0, 1, 0.0), (3, 0, 0.0, 0, 0.0)], "k int, n_sentences int, length_variance double, repeated_sentences int, repeated_openings double")
+    flagged = {"CTA": spark.createDataFrame([(2,), (2,), (9,)], "k int"), "HYPE": spark.createDataFrame([(1,)], "k int")}
+    assert got(O.style_warnings(report, "k", flagged), "k", "codes") == [(1, "HYPE,RHYTHM"), (2, "CTA,TEMPLATE_RISK"), (3, "")]
+    assert got(O.style_warnings(report, "k"), "k", "codes") == [(1, "RHYTHM"), (2, "TEMPLATE_RISK"), (3, "")]
