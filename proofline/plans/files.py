@@ -154,3 +154,13 @@ def gat6_feasible_ledger(t):
 def udf3_register_rules(t):
     every = quality.findings(t).unionByName(policy.rules["markers"](t))
     return every.groupBy("code", "severity").agg(F.count("*").alias("findings"), F.count_if(~F.col("passed")).alias("failed"))
+
+
+@query(f"WITH {GAT2} SELECT 1 AS run, code, severity, count(*) AS findings, count_if(NOT passed) AS failed FROM qf GROUP BY ALL UNION ALL SELECT 2, code, severity, count(*), count(*) FROM qf WHERE NOT passed GROUP BY ALL")
+def gat2_quality_history(t):
+    path = place(t, "history")
+    found = quality.findings(t)
+    for run, snapshot in ((1, found.filter("passed")), (2, found.filter("not passed")), (1, found)):
+        files.snapshot_run(snapshot, path, run)
+    kept = t.spark.read.parquet(path)
+    return kept.groupBy("run", "code", "severity").agg(F.count("*").alias("findings"), F.count_if(~F.col("passed")).alias("failed"))

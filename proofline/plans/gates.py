@@ -14,7 +14,9 @@ from proofline.operators import integrity as I
 from proofline.operators import records as R
 from proofline.operators import sequences as S
 from proofline.operators import texts as O
-from proofline.plans.registry import Tables, query
+from proofline.plans import integrity as PI
+from proofline.plans import sequences as PS
+from proofline.plans.registry import SQL, Tables, query
 from proofline.plans.sequences import SHOTS, shots
 from proofline.plans.texts import NARR, RIGHTS, STATUS, _grams, with_rights
 
@@ -106,15 +108,46 @@ def stillness(t):
     return S.static_ratio(shots(t), "mode = 'view'").select(*I.finding("STATIC", F.col("project_id"), F.lit("mode"), "warning", F.col("static_ratio") < 0.2))
 
 
+@query("SELECT user_id, count(*) AS audited, count_if(value < 15) AS weak, count_if(event_type = 'signup') AS unsigned FROM events GROUP BY user_id")
+def flt6_weak_alignment(t):
+    return O.weak_alignment(t.events.selectExpr("user_id", "value / 100 as score", "if(event_type = 'signup', '', event_type) as signature"), "user_id", "score", "signature")
+
+
+#: Checks by the queries of other operators: code, query, its project, whether a row passes, its subject and detail. The
+#: expressions mean the same in Spark and in DuckDB.
+CHECKS = [
+    ("VOICE", PI.agg17_single_identity, "conv_id", "passed", "identities", "''"), ("ALIGNMENT", flt6_weak_alignment, "user_id", "weak * 3 <= audited", "audited", "''"),
+    ("REPETITION", PS.win11_repetition_audit, "project_id", "codes = ''", "'shots'", "codes"), ("LONG_RUN", PS.win13_longest_same_run, "project_id", "longest_s <= 300", "'mode'", "''"),
+    ("MOTION", PS.win14_motion_audit, "project_id", "codes = ''", "'mode'", "codes"), ("GAP", PS.win15_boundary_gap, "project_id", "false", "pos", "''"),
+    ("REUSE", PS.agg8_reuse_cap, "project_id", "false", "asset", "uses"), ("DIVERSITY", PS.agg10_mode_diversity, "project_id", "top_share <= 0.3 or justified", "top_mode", "''"),
+    ("CUE", PS.win8_validate_cues, "project_id", "false", "pos", "code"), ("CAPTIONS", PS.agg11_caption_stats, "project_id", "overflow_s = 0", "'cues'", "most_words"),
+    ("GROUP", PS.win10_validate_groups, "project_id", "false", "sentence", "code"), ("CADENCE", PS.agg12_cadence_bands, "project_id", "codes = ''", "profile_id", "codes"),
+    ("MEASURED", PI.agg24_measured_limits, "user_id", "code = 'OK'", "event_id", "code"),
+]
+
+
+def _check(code, found, owner, passed, subject, detail):
+    return lambda t: found(t).select(*I.finding(code, F.expr(owner), F.expr(subject), "warning", F.expr(passed), F.expr(detail)))
+
+
+for check in CHECKS:
+    quality.rules[check[0].lower()] = _check(*check)
+
+
+def told() -> str:
+    """The twins of CHECKS as branches of a union."""
+    return "".join(f"\nUNION ALL SELECT {owner}, '{code}', 'warning', {passed}, CAST({subject} AS VARCHAR), CAST({detail} AS VARCHAR) FROM ({SQL[found.__name__]})" for code, found, owner, passed, subject, detail in CHECKS)
+
+
 GAT2 = f"""{SHOTS}, m AS (SELECT project_id, mode, sum(dur) AS s FROM sh GROUP BY ALL), al AS (SELECT project_id, min(pos) - 3 AS p FROM (SELECT *, mode = lag(mode, 2) OVER w AND lag(mode) OVER w = lag(mode, 3) OVER w AND mode <> lag(mode) OVER w AS h FROM sh WINDOW w AS (PARTITION BY project_id ORDER BY pos)) WHERE h GROUP BY project_id),
 qf AS (SELECT project_id, 'DOMINANT' AS code, 'error' AS severity, NOT (round(max(s) / sum(s), 6) > 0.35 AND count(*) >= 2) AS passed, 'mode' AS subject_id, '' AS detail FROM m GROUP BY project_id
 UNION ALL SELECT project_id, 'ALTERNATING', 'warning', false, CAST(p AS VARCHAR), '' FROM al
-UNION ALL SELECT project_id, 'STATIC', 'warning', round(sum(CASE WHEN mode = 'view' THEN s ELSE 0 END) / sum(s), 6) < 0.2, 'mode', '' FROM m GROUP BY project_id)"""
+UNION ALL SELECT project_id, 'STATIC', 'warning', round(sum(CASE WHEN mode = 'view' THEN s ELSE 0 END) / sum(s), 6) < 0.2, 'mode', '' FROM m GROUP BY project_id{told()})"""
 
 
-@query(f"WITH {GAT2} SELECT * FROM qf")
+@query(f"WITH {GAT2} SELECT * FROM qf UNION ALL SELECT * FROM ({SQL['gat1_policy_findings']})")
 def gat2_quality_findings(t):
-    return quality.findings(t)
+    return I.union_all([policy.findings(t), quality.findings(t)])
 
 
 @query(f"""WITH {GAT2}, j AS (SELECT user_id AS project_id, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY user_id), c AS (SELECT project_id, bool_and(severity <> 'error' OR passed) AS ok FROM qf GROUP BY project_id)
@@ -272,8 +305,3 @@ def str2_lease_expiry(t):
     at = t.events.withColumn("us", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))"))
     jobs = at.groupBy("user_id").agg(F.count("*").alias("attempt"), F.max("us").alias("beat"))
     return streams.expired(jobs, jobs.agg(F.max("beat").alias("now")), 1_800_000_000).select("user_id", "status", "attempt")
-
-
-@query("SELECT user_id, count(*) AS audited, count_if(value < 15) AS weak, count_if(event_type = 'signup') AS unsigned FROM events GROUP BY user_id")
-def flt6_weak_alignment(t):
-    return O.weak_alignment(t.events.selectExpr("user_id", "value / 100 as score", "if(event_type = 'signup', '', event_type) as signature"), "user_id", "score", "signature")

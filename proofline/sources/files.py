@@ -105,6 +105,11 @@ def replace_partition(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
+def snapshot_run(findings: DataFrame, path: str, run: int) -> None:
+    """Adds the findings of one run to the history in path; a run that is told again replaces its own snapshot."""
+    replace_partition(findings.withColumn("run", F.lit(run)), path, "run")
+
+
 def put_content_addressed(df: DataFrame, path: str, content: str, suffix: str, prefix: str = "") -> DataFrame:
     """Appends the blobs whose key is not in the store yet, once each, and returns df with key: prefix, 16 digits of sha256, suffix."""
     spark = df.sparkSession
