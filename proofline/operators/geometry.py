@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.operators.sequences import islands
+from proofline.operators.sequences import if_small, islands
 
 A = "asset_id"
 
@@ -83,7 +83,7 @@ def crop_feasible(crops: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 def enumerate_crops(panels: DataFrame, scales: DataFrame, width: int, height: int) -> DataFrame:
     """(asset_id, x0, y0, x1, y1): the distinct crops around the focus (fx, fy) at each scale, kept inside the panel."""
-    c = panels.crossJoin(F.broadcast(scales)).withColumns({"_w": F.expr(f"cast(floor({width} / scale) as int)"), "_h": F.expr(f"cast(floor({height} / scale) as int)")})
+    c = panels.crossJoin(if_small(scales)).withColumns({"_w": F.expr(f"cast(floor({width} / scale) as int)"), "_h": F.expr(f"cast(floor({height} / scale) as int)")})
     c = c.withColumns({"x0": F.expr(f"least(greatest(cast(floor(fx * {width}) as int) - _w div 2, 0), {width} - _w)"), "y0": F.expr(f"least(greatest(cast(floor(fy * {height}) as int) - _h div 2, 0), {height} - _h)")})
     return c.selectExpr(A, "cast(x0 as int) as x0", "cast(y0 as int) as y0", "cast(x0 + _w as int) as x1", "cast(y0 + _h as int) as y1").distinct()
 

@@ -13,6 +13,13 @@ def over(project: str = P, order: str = O, frame: str = "") -> str:
 
 
 BEFORE = "rows between unbounded preceding and 1 preceding"
+#: A table joined without a key is broadcast up to so many rows.
+FEW = 10_000
+
+
+def if_small(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """df, to be broadcast if counting finds at most so many rows; with more, Spark chooses the join. Counting stops beyond rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def lay_out(df: DataFrame, gap: float = 0.0, length: str = "dur", words: str | None = None) -> DataFrame:
@@ -212,12 +219,12 @@ def cadence_bands(df: DataFrame, profiles: DataFrame, length: str = "dur", trans
 
     A profile gives least and most of the duration, the shots, the length in the normal and in the emphasis band, the shares
     of both, the mean length, and the least share of hard cuts: rows whose transition is cut, or first in a project's first
-    row. OUT_OF_BAND tells that the counts of both bands do not add up to the shots. profiles is a rule table of fixed size.
+    row. OUT_OF_BAND tells that the counts of both bands do not add up to the shots. profiles is broadcast if it is small.
     """
     rows = df.select(P, F.round(F.greatest(F.lit(0.0), F.col(length)), 3).alias("_d"), F.expr(f"coalesce({transition} = if(row_number() {over()} = 1, '{first}', '{cut}'), false)").alias("_cut"))
     bounds = [c for c in profiles.columns if c != "profile_id"]
     share = lambda e: F.round(F.avg(F.expr(f"cast({e} as double)")), 6)
-    m = rows.crossJoin(F.broadcast(profiles)).groupBy(P, "profile_id").agg(
+    m = rows.crossJoin(if_small(profiles)).groupBy(P, "profile_id").agg(
         F.round(F.sum("_d"), 6).alias("total_s"), F.count("*").alias("shots"), share("_d between normal_min and normal_max").alias("normal_share"), share("_d between emphasis_min and emphasis_max").alias("emphasis_share"),
         F.round(F.avg("_d"), 6).alias("mean_s"), share("_cut").alias("hard_cut_share"), F.expr("count_if(_d between normal_min and normal_max) + count_if(_d between emphasis_min and emphasis_max)").alias("_in"), *[F.first(c).alias(f"_{c}") for c in bounds],
     )

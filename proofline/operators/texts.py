@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions import text as T
+from proofline.operators.sequences import FEW
 
 
 def split_sentences(df: DataFrame, key: str, text: str = "text", least: int = 12) -> DataFrame:
@@ -232,11 +233,21 @@ def marker_hits(df: DataFrame, project: str, key: str, markers: list[str], test:
     return hit.select(project, key, F.when(F.min(F.col("_test").cast("int")).over(Window.partitionBy(project)) == 1, "info").otherwise("error").alias("severity"))
 
 
-def banned_terms(df: DataFrame, terms: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, terms): the trimmed, non-empty terms that a text contains, sorted and comma-joined; texts without any do not occur."""
+def banned_terms(df: DataFrame, terms: DataFrame, key: str, text: str = "text", few: int = FEW) -> DataFrame:
+    """(key, terms): the trimmed, non-empty terms that a text contains, sorted and comma-joined; texts without any do not occur.
+
+    Up to few terms are broadcast and looked for in each text. More terms meet the texts by their first three characters,
+    which a text that holds a term has as well; shorter ones of them by all they have.
+    """
     wanted = terms.select(F.lower(F.trim("term")).alias("term")).filter("term <> ''").distinct()
-    found = df.select(key, F.lower(text).alias("_t")).join(F.broadcast(wanted), F.contains(F.col("_t"), F.col("term")))
-    return found.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("terms"))
+    shown = df.select(key, F.lower(text).alias("_t"))
+    if wanted.limit(few + 1).count() <= few:
+        found = shown.join(F.broadcast(wanted), F.contains(F.col("_t"), F.col("term")))
+        return found.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("terms"))
+    heads = [F.expr(f"if(char_length(_t) >= {n}, transform(sequence(1, char_length(_t) - {n - 1}), i -> substr(_t, i, {n})), array())") for n in (1, 2, 3)]
+    grams = shown.select(key, "_t", F.explode(F.array_distinct(F.concat(*heads))).alias("_g"))
+    met = grams.join(wanted.withColumn("_g", F.substring("term", 1, 3)), "_g").filter(F.contains(F.col("_t"), F.col("term")))
+    return met.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("terms"))
 
 
 def uncited(df: DataFrame, exempt: list[str], section: str = "section", cites: str = "evidence_ids") -> DataFrame:

@@ -370,3 +370,10 @@ def test_style_warnings(spark):
     flagged = {"CTA": spark.createDataFrame([(2,), (2,), (9,)], "k int"), "HYPE": spark.createDataFrame([(1,)], "k int")}
     assert got(O.style_warnings(report, "k", flagged), "k", "codes") == [(1, "HYPE,RHYTHM"), (2, "CTA,TEMPLATE_RISK"), (3, "")]
     assert got(O.style_warnings(report, "k"), "k", "codes") == [(1, "RHYTHM"), (2, "TEMPLATE_RISK"), (3, "")]
+
+
+def test_banned_terms_by_either_join(spark):
+    docs = spark.createDataFrame([(1, "A Token of é"), (2, "to"), (3, ""), (4, None), (5, "tok tokens")], "k int, text string")
+    terms = spark.createDataFrame([(" TOKEN ",), ("é",), ("to",), ("",), (None,), ("absent",)], "term string")
+    few, many = (got(O.banned_terms(docs, terms, "k", few=n), "k", "terms") for n in (10, 1))
+    assert few == many == [(1, "to,token,é"), (2, "to"), (5, "to,token")]
