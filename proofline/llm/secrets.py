@@ -88,18 +88,21 @@ def secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """docs with secret_spans: array of (start, rank, kind, end, strong), sorted by start and rank; empty without any.
 
     Null and empty texts have none. Spans depend on the text alone, so equal texts are searched once and repeated rows
-    get equal spans. A column secret_spans in docs is replaced.
+    get equal spans. A column secret_spans in docs is replaced, and one named _secret_key dropped. Rows without a text are
+    dealt by doc_id, so that they do not meet in one task.
     """
-    docs = docs.drop("secret_spans").withColumn("_key", F.md5(F.col("text").cast("binary")))
+    key = F.coalesce(F.md5(F.col("text").cast("binary")), F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string")))
+    docs = docs.drop("secret_spans").withColumn("_secret_key", key)
     any_kind = F.lit(False)
     for _, _, pattern, *_ in KINDS:
         any_kind = any_kind | F.col("text").rlike(pattern)
-    texts = docs.filter(any_kind).groupBy("_key").agg(F.first("text").alias("_text"))
+    texts = docs.filter(any_kind).groupBy(F.col("_secret_key").alias("_key")).agg(F.first("text").alias("_text"))
     found = written(parts(texts, "_key", "_text"), "parts")
     spans = found.filter("strong").unionByName(linked(found, "_key", scope))
     spans = spans.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "strong"))).alias("secret_spans"))
     empty = F.expr("cast(array() as array<struct<start: bigint, rank: int, kind: string, end: bigint, strong: boolean>>)")
-    return docs.join(spans.withColumnRenamed("_key", "_k"), F.col("_key") == F.col("_k"), "left").withColumn("secret_spans", F.coalesce("secret_spans", empty)).drop("_key", "_k")
+    joined = docs.join(spans.withColumnRenamed("_key", "_secret_key"), "_secret_key", "left")
+    return joined.withColumn("secret_spans", F.coalesce("secret_spans", empty)).drop("_secret_key")
 
 
 def span_text(spans: Column) -> Column:
