@@ -1,11 +1,11 @@
-"""The queries of this subpackage, op1 to op10, and their DuckDB twins where SQL expresses the operator."""
+"""The queries of this subpackage, op1 to op13, and their DuckDB twins where SQL expresses the operator."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import automata, decontaminate, minhash, mixing, recurrent, secrets, shards, suffixes, tokens
+from proofline.llm import automata, decontaminate, interactions, minhash, mixing, planes, recurrent, repair, secrets, shards, suffixes, tokens
 from proofline.llm import quality as quality_rules
 
 QUERIES: dict = {}
@@ -187,3 +187,75 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.through_files(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def _duck_repair() -> str:
+    """One column for each state of the roles so far (b none, h a system turn, u and a the last one), as (cost, audit, lines)."""
+
+    def add(x: str, cost: str, letter: str, line: str | None) -> str:
+        return f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 'o': " + (f"list_append({x}.o, {line})" if line else f"{x}.o") + "} END"
+
+    def least(*ways: str) -> str:
+        return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+
+    def when(test: str, x: str) -> str:
+        return f"CASE WHEN {test} THEN {x} END"
+
+    put = {r: lambda x, r=r: add(x, "2", "I", f"'{r}:'") for r in ("user", "assistant")}
+    stays, own, user, assistant = "fault <> 'bad'", "role || ':' || text", "'user:' || text", "'assistant:' || text"
+    to_u = [w for x in ("b", "h", "a2") for w in (when(f"{stays} AND ini = 'u'", add(x, "cut", "K", own)), when(stays, add(x, "2 + cut", "R", user)))]
+    to_a = [when(f"{stays} AND ini = 'a'", add("u2", "cut", "K", own)), when(stays, add("u2", "2 + cut", "R", assistant))]
+    start = "CAST({'c': 0, 'a': '', 'o': []} AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR[]))"
+    none = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR[]))"
+    return rf"""
+WITH RECURSIVE t AS (SELECT i AS n, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM t WHERE k < 8),
+tab AS (SELECT list(c ORDER BY n) AS l FROM t WHERE k = 8),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bs FROM conversations),
+m AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_concat([4294967295], bs), lambda c, b: xor(l[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS kind FROM k, tab),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM m),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE '' END AS ini FROM d),
+f AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS first, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM n),
+g AS (SELECT *, CASE WHEN first IN ('blank', 'duplicate') THEN 'bad' ELSE '' END AS fault, CASE WHEN first = 'truncated' THEN 1 ELSE 0 END AS cut FROM f),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, CAST(count_if(first = 'blank') AS BIGINT) AS blank, CAST(count_if(first = 'duplicate') AS BIGINT) AS duplicate, CAST(count_if(first = 'truncated') AS BIGINT) AS truncated, CAST(count_if(pair NOT IN ('su', 'ua', 'au')) AS BIGINT) AS illegal, count(*) AS n FROM g GROUP BY conv_id),
+r AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, {start} AS b, {none} AS h, {none} AS u, {none} AS a FROM s
+  UNION ALL SELECT conv_id, i, {add("b", "3", "D", None)}, {least(add("h", "3", "D", None), when(f"{stays} AND ini = 's'", add("b", "cut", "K", own)))}, {least(add("u", "3", "D", None), *to_u)}, {least(add("a", "3", "D", None), *to_a)}
+  FROM (SELECT g.*, b, h, u, a, {least("u", *map(put["user"], ("b", "h", "a")))} AS u2, {least("a", put["assistant"]("u"), *[put["assistant"](f"({put['user'](x)})") for x in ("b", "h")])} AS a2 FROM r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.i = r.i + 1)),
+e AS (SELECT r.conv_id, {least("b", "a", put["assistant"]("u"), put["assistant"](f"({put['user']('h')})"))} AS w FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND i = n)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(w.c, 0) AS cost, coalesce(w.a, '') AS audit, sha256(coalesce(array_to_string(w.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+SQL["op12_conversation_repair"] = _duck_repair()
+
+
+@query
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.document_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op13_filter_interactions"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws FROM documents),
+k AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CAST(len(ws) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 80 * len(ws) AS INT) + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) AS INT)
+  + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS mask FROM d LEFT JOIN k USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(range(5)) AS i),
+o AS (SELECT [a.i, b.i, x.i, y.i, z.i] AS p FROM l a, l b, l x, l y, l z WHERE len(list_distinct([a.i, b.i, x.i, y.i, z.i])) = 5),
+s AS (SELECT array_to_string(list_transform(p, lambda i: 'ABCDE'[i + 1]), '') AS filter_order, step, 1 << p[step] AS bit, CAST(coalesce(list_sum(list_transform(p[: step - 1], lambda i: 1 << i)), 0) AS INT) AS before FROM o, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step)),
+r AS (SELECT part, filter_order, step, bit, sum(n) FILTER (mask & bit = 0 AND mask & before = 0) AS kept, sum(n) FILTER (mask & bit > 0 AND mask & before = 0) AS removed, sum(n) FILTER (mask & bit > 0 AND mask & before > 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+  sum(good) FILTER (mask & bit > 0 AND mask & before = 0) AS good_lost, sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0) AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley FROM r
+"""
