@@ -15,7 +15,6 @@ from proofline.plans.geometry import BOXES, _CROPS, _SHARE, boxes, crops
 from proofline.plans.registry import query
 from proofline.plans.texts import NORM
 from proofline.sources import files
-from proofline.streaming import streams
 
 
 def place(t, name: str) -> str:
@@ -105,27 +104,6 @@ def src6_read_checkpoint_log(t):
     return log.select("user_id", "event_type", "value")
 
 
-@query(_LATEST.format(""))
-def str1_checkpoint_stream(t):
-    path, target = place(t, "log"), place(t, "latest")
-    rows = t.events.select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value")
-    for late in (False, True):  # the log grows between two runs of the stream
-        files.append_log(rows.filter(F.expr(f"(user_id % 2 = 0 or value > 100) = {str(late).lower()}")), path)
-        streams.checkpoint_stream(t.spark, path, "user_id long, event_type string, at long, value double", ["user_id", "event_type"], ["at", "value"], target, f"{target}-offsets").awaitTermination()
-    return streams.current(t.spark, target).select("user_id", "event_type", "value")
-
-
-@query("SELECT sha256(text) AS checksum, octet_length(encode(any_value(text))) AS size FROM documents GROUP BY text")
-def str3_content_dedup_stream(t):
-    path, target = place(t, "blobs"), place(t, "firsts")
-    blobs = t.documents.select(F.sha2(F.col("text").cast("binary"), 256).alias("checksum"), F.octet_length("text").alias("size"), F.lit("2024-01-01").cast("timestamp").alias("at"))
-    blobs.write.parquet(path)
-    stream = t.spark.readStream.schema(blobs.schema).parquet(path)
-    firsts = streams.content_dedup_stream(stream, "checksum", "at", "1 hour")
-    firsts.writeStream.format("parquet").option("path", target).option("checkpointLocation", f"{target}-offsets").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(blobs.schema).parquet(target).select("checksum", "size")
-
-
 @query("SELECT event_id, CASE WHEN event_id % 10 = 3 THEN 'FAILED' ELSE 'READY' END AS status, CASE WHEN event_id % 10 = 3 THEN NULL ELSE CAST(json_extract(props, '$.k') AS INT) END AS k FROM events")
 def src8_read_job_states(t):
     path = place(t, "states")

@@ -300,8 +300,8 @@ def udf2_map_reduce_text(t):
 
 @query("SELECT user_id, 'REQUEUED' AS status, n + 1 AS attempt FROM (SELECT user_id, count(*) AS n, max(epoch_us(ts)) AS last FROM events GROUP BY user_id) WHERE last + 1800000000 < (SELECT max(epoch_us(ts)) FROM events)")
 def str2_lease_expiry(t):
-    from proofline.streaming import streams
+    from proofline.streaming import leases
 
     at = t.events.withColumn("us", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))"))
     jobs = at.groupBy("user_id").agg(F.count("*").alias("attempt"), F.max("us").alias("beat"))
-    return streams.expired(jobs, jobs.agg(F.max("beat").alias("now")), 1_800_000_000).select("user_id", "status", "attempt")
+    return leases.expired(jobs, jobs.agg(F.max("beat").alias("now")), 1_800_000_000).select("user_id", "status", "attempt")

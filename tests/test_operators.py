@@ -1,6 +1,5 @@
 """Edge rows, invariants and files of the reference's operators; parity with SQL is in test_parity.py."""
 
-import datetime
 import io
 import json
 import zipfile
@@ -15,7 +14,6 @@ from proofline.operators import integrity as I
 from proofline.operators import sequences as S
 from proofline.operators import texts as O
 from proofline.sources import files
-from proofline.streaming import streams
 
 
 def frame(spark, schema, *rows):
@@ -158,21 +156,3 @@ def test_logs_partitions_blobs(spark, tmp_path):
     audit = str(tmp_path / "audit")
     files.append_audit(frame(spark, "who string, id int, pw string", ("me", 1, "s")), audit, "who", "SAVE", "id", ["id", "pw"], ["pw"])
     assert json.loads(spark.read.json(audit).first().detail) == {"id": 1}
-
-
-def test_streams_agree_with_batches(spark, tmp_path):
-    records = [("a", 1, 1.0), ("b", 1, 2.0), ("a", 3, 3.0), ("a", 2, 4.0), ("b", 5, 5.0)]
-    target = str(tmp_path / "state")
-    for k in range(2):
-        files.append_log(frame(spark, "k string, n int, v double", *records[k * 3 : k * 3 + 3]), str(tmp_path / "log"))
-        streams.checkpoint_stream(spark, str(tmp_path / "log"), "k string, n int, v double", ["k"], ["n"], target, str(tmp_path / "cp")).awaitTermination()
-    batch = S.latest(frame(spark, "k string, n int, v double", *records), ["k"], ["n"])
-    assert rows(streams.current(spark, target).select("k", "n", "v")) == rows(batch.select("k", "n", "v"))
-    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
-    frame(spark, "h string, at timestamp", ("x", at(0)), ("x", at(5)), ("y", at(6)), ("x", at(7))).coalesce(1).write.parquet(str(tmp_path / "blobs"))
-    source = spark.readStream.schema("h string, at timestamp").parquet(str(tmp_path / "blobs"))
-    out = streams.content_dedup_stream(source, "h", "at", "1 hour").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
-    out.awaitTermination()
-    assert sorted(r.h for r in spark.table("firsts").collect()) == ["x", "y"]
-    jobs = frame(spark, "job int, attempt long, beat long", (1, 1, 0), (2, 3, 900))
-    assert rows(streams.expired(jobs, frame(spark, "now long", (1000,)), 500).select("job", "attempt", "status")) == [(1, 2, "REQUEUED")]
