@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -245,36 +241,6 @@ def low_information(df: DataFrame, pixels: str, width: int, height: int, limits:
     return df.select(A, F.expr(f"get(transform(array({pixels}), p -> {measured.replace('_c,', cells + ',', 1)}), 0)").alias("low"))
 
 
-def border_reach(df: DataFrame, width: int, height: int, flags: str = "low") -> DataFrame:
-    """(asset_id, reached, share): flagged cells that a border reaches by steps to any of 8 neighbours.
-
-    The grid of an asset is one array, so the flood runs inside its task, for the assets of a batch at once, until
-    nothing is added.
-    """
-
-    def flood(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            low = np.array(batch[flags].tolist(), dtype=bool).reshape(-1, height, width)
-            seen = np.zeros((len(low), height + 2, width + 2), bool)
-            inner = seen[:, 1:-1, 1:-1]
-            edge = np.ones((height, width), bool)
-            edge[1:-1, 1:-1] = False
-            inner[:] = low & edge
-            while True:
-                before = inner.sum()
-                near = np.zeros_like(low)
-                for dy in range(3):
-                    for dx in range(3):
-                        near |= seen[:, dy : dy + height, dx : dx + width]
-                inner[:] = near & low
-                if inner.sum() == before:
-                    break
-            reached = inner.reshape(len(low), -1).sum(axis=1)
-            yield pd.DataFrame({A: batch[A], "reached": reached, "share": np.round(reached / (width * height), 6)})
-
-    return df.select(A, flags).mapInPandas(flood, f"{A} {df.schema[A].dataType.simpleString()}, reached long, share double")
-
-
 def visual_score(df: DataFrame, key: str, features: str, gains: list[float], penalties: list[float]) -> DataFrame:
     """(key, score): weighted features less weighted penalties, 0 at least."""
     weights = ", ".join(f"{w}D" for w in [*gains, *(-p for p in penalties)])
@@ -298,11 +264,3 @@ def rank_regions(regions: DataFrame, priority: dict[str, int]) -> DataFrame:
     first = regions.groupBy(A, "kind").agg(F.max_by("region", F.struct("confidence", -F.col("region"))).alias("region"))
     ranks = F.coalesce(*[F.when(F.col("kind") == k, p) for k, p in priority.items()], F.lit(99))
     return first.withColumn("_p", ranks).withColumn("place", F.expr(f"row_number() over (partition by {A} order by _p, kind)")).drop("_p")
-
-
-def blank_reject(grid: DataFrame, light: int = 245, dark: int = 10, step: int = 35) -> DataFrame:
-    """(asset_id, blank, edges, rejected): shares of light or dark cells and of strong steps along rows; the two reject limits are fixed."""
-    g = grid.withColumn("_s", F.expr(f"coalesce(abs(value - lag(value) over (partition by {A}, y order by x)) > {step}, false)"))
-    blank = ((F.col("value") >= light) | (F.col("value") <= dark)).cast("double")
-    out = g.groupBy(A).agg(F.round(F.avg(blank), 6).alias("blank"), F.round(F.avg(F.col("_s").cast("double")), 6).alias("edges"))
-    return out.withColumn("rejected", F.expr("blank >= 0.94 or (edges < 0.008 and blank >= 0.82)"))

@@ -8,10 +8,8 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from proofline.operators import geometry as G
 from proofline.plans.gates import policy, quality
 from proofline.plans.gates import GAT2
-from proofline.plans.geometry import BOXES, _CROPS, _SHARE, boxes, crops
 from proofline.plans.registry import query
 from proofline.plans.texts import NORM
 from proofline.sources import files
@@ -120,14 +118,6 @@ def src9_put_content_addressed(t):
     return t.spark.read.parquet(store).groupBy("key").agg(F.max(F.octet_length("content")).alias("size"), F.count("*").cast("int").alias("copies"))
 
 
-@query(f"""WITH {BOXES}, {_CROPS}, v AS (SELECT c.asset_id, crop, coalesce(min({_SHARE}) FILTER (class = 0), 1) AS face, coalesce(min({_SHARE}) FILTER (class = 1), 1) AS text FROM c LEFT JOIN bx b ON c.asset_id = b.asset_id GROUP BY ALL)
-SELECT asset_id, count(*) AS feasible, min(crop) AS first_crop, round(arg_min(face, crop), 6) AS strength FROM v WHERE face >= 0.1 AND text >= 0.05 GROUP BY asset_id""")
-def gat6_feasible_ledger(t):
-    covered = G.crop_coverage(crops(t), boxes(t).withColumn("kind", F.expr("if(class = 0, 'face', 'text')")), ["face", "text"]).fillna(1.0, ["face", "text"])
-    ok = G.crop_feasible(covered, [("FACE", "face < 0.1"), ("TEXT", "text < 0.05")]).filter("reject is null")
-    return ok.groupBy("asset_id").agg(F.count("*").alias("feasible"), F.min("crop").alias("first_crop"), F.min_by("face", "crop").alias("strength"))
-
-
 @query(f"WITH {GAT2} SELECT code, severity, count(*) AS findings, count_if(NOT passed) AS failed FROM (SELECT code, severity, passed FROM qf UNION ALL SELECT 'MARKER', 'warning', NOT contains(lower(text), 'token') FROM documents) GROUP BY ALL")
 def udf3_register_rules(t):
     every = quality.findings(t).unionByName(policy.rules["markers"](t))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from proofline.operators import framing as M
 from proofline.operators import geometry as G
 from proofline.plans.registry import query
 
@@ -71,12 +72,6 @@ def jsn8_crop_coverage(t):
     return G.crop_coverage(crops(t), b.filter("vec_id % 3 > 0"), ["face", "text"], b.filter("vec_id % 3 = 0"))
 
 
-@query(f"WITH {BOXES}, {_CROPS}, v AS (SELECT c.asset_id, crop, coalesce(min({_SHARE}) FILTER (class = 0), 1) AS face, coalesce(min({_SHARE}) FILTER (class = 1), 1) AS text FROM c LEFT JOIN bx b ON c.asset_id = b.asset_id GROUP BY ALL) SELECT asset_id, crop, CASE WHEN face < 0.2 THEN 'FACE' WHEN text < 0.3 THEN 'TEXT' WHEN crop = 2 THEN 'ZOOM' END AS reject FROM v")
-def jsn9_crop_feasible(t):
-    covered = G.crop_coverage(crops(t), boxes(t).withColumn("kind", F.expr("if(class = 0, 'face', 'text')")), ["face", "text"])
-    return G.crop_feasible(covered, [("FACE", "coalesce(face, 1) < 0.2"), ("TEXT", "coalesce(text, 1) < 0.3"), ("ZOOM", "crop = 2")]).select("asset_id", "crop", "reject")
-
-
 FOCUS = "fo AS (SELECT vec_id AS asset_id, least(abs(embedding[1]::DOUBLE), 1.0) AS fx, least(abs(embedding[2]::DOUBLE), 1.0) AS fy FROM embeddings)"
 
 
@@ -197,9 +192,78 @@ def jsn15_low_information_cells(t):
     return low.select("asset_id", F.posexplode("low").alias("i", "low")).selectExpr("asset_id", "i div 8 as y", "i % 8 as x", "low")
 
 
-@query(f"WITH RECURSIVE {LOW}, r AS (SELECT asset_id, y, x FROM lo WHERE low AND (y IN (0, 7) OR x IN (0, 7)) UNION SELECT l.asset_id, l.y, l.x FROM r JOIN lo l ON l.asset_id = r.asset_id AND l.low AND abs(l.y - r.y) <= 1 AND abs(l.x - r.x) <= 1), n AS (SELECT asset_id, count(*) AS n FROM r GROUP BY asset_id) SELECT a.asset_id, coalesce(n, 0) AS reached, round(coalesce(n, 0) / 64, 6) AS share FROM (SELECT DISTINCT asset_id FROM lo) a LEFT JOIN n ON a.asset_id = n.asset_id")
+_SIZE, _GRID = 512, 8
+_TARGET, _BLANK = (108, 192), 0.2
+_KINDS = list(M.MINIMA)
+
+
+def framed(t):
+    """Crops with their blank share, assets, protected regions and balloons, from the boxes and pixel grids."""
+    assets = boxes(t).select("asset_id").distinct().selectExpr("asset_id", f"{_SIZE} as width", f"{_SIZE} as height")
+    tried = assets.selectExpr("asset_id", "explode(sequence(0, 7)) as crop").selectExpr("asset_id", "crop", "crop % 4 * 15 as x0", "crop % 3 * 10 as y0", "crop % 4 * 15 + (170 + crop * 48) * 9 div 16 as x1", "crop % 3 * 10 + 170 + crop * 48 as y1")
+    share = [f"{c} / {_SIZE}D as {c}" for c in ("x0", "y0", "x1", "y1")]
+    kind = f"get(array({', '.join(repr(k) for k in _KINDS)}), cast(vec_id div 10 % {len(_KINDS)} as int)) as kind"
+    regions = boxes(t).filter("vec_id % 10 = 0 or vec_id % 30 = 5").selectExpr("asset_id", kind, *share, "if(vec_id % 3 = 0, 0.99D, null) as minimum")
+    balloons = boxes(t).filter("vec_id % 10 = 3 and y0 > 40").selectExpr("asset_id", *share)
+    low = G.low_information(pixels(t), "px", _GRID, _GRID, LOW_LIMITS).join(M.protected_cells(assets, regions, _GRID, _GRID), "asset_id")
+    masks = M.border_reach(low, _GRID, _GRID, "low", "protected", "width", "height").join(assets, "asset_id")
+    return M.crop_blank(tried, masks, _GRID, _GRID), assets, regions, balloons, masks
+
+
+def judged(t):
+    return M.crop_contract(*framed(t)[:4], _TARGET, _BLANK)
+
+
+_MASKS = f"""{LOW}, asset AS (SELECT DISTINCT asset_id FROM bx),
+region AS (SELECT asset_id, {_KINDS!r}[vec_id // 10 % {len(_KINDS)} + 1] AS kind, x0 / {_SIZE} AS x0, y0 / {_SIZE} AS y0, x1 / {_SIZE} AS x1, y1 / {_SIZE} AS y1, CASE WHEN vec_id % 3 = 0 THEN 0.99::DOUBLE ELSE 0 END AS minimum FROM bx WHERE vec_id % 10 = 0 OR vec_id % 30 = 5),
+balloon AS (SELECT asset_id, x0 / {_SIZE} AS x0, y0 / {_SIZE} AS y0, x1 / {_SIZE} AS x1, y1 / {_SIZE} AS y1 FROM bx WHERE vec_id % 10 = 3 AND y0 > 40),
+cell AS (SELECT lo.*, EXISTS (SELECT 1 FROM region r WHERE r.asset_id = lo.asset_id AND (x + 1) * 64 > r.x0 * {_SIZE} AND x * 64 < r.x1 * {_SIZE} AND (y + 1) * 64 > r.y0 * {_SIZE} AND y * 64 < r.y1 * {_SIZE}) AS safe FROM lo JOIN asset USING (asset_id)),
+free AS (SELECT asset_id, y, x FROM cell WHERE low AND NOT safe),
+reach AS (SELECT asset_id, y, x FROM free WHERE y IN (0, 7) OR x IN (0, 7) UNION SELECT l.asset_id, l.y, l.x FROM reach JOIN free l ON l.asset_id = reach.asset_id AND abs(l.y - reach.y) <= 1 AND abs(l.x - reach.x) <= 1)"""
+
+_RATIO, _W, _H = f"({_TARGET[0]} / {_TARGET[1]}::DOUBLE)", f"({_TARGET[0]} / {M.UPSCALE}::DOUBLE)", f"({_TARGET[1]} / {M.UPSCALE}::DOUBLE)"
+_CROSS = "greatest(0, least(r.x1, c.n2) - greatest(r.x0, c.n0)) * greatest(0, least(r.y1, c.n3) - greatest(r.y0, c.n1))"
+
+
+def _duck_needed(centre: str, low: str, high: str) -> str:
+    kept = f"({high} - {low}) * least(1, asked)"
+    return f"CASE WHEN {high} <= {low} THEN 1.0::DOUBLE ELSE least(1, greatest(0, 2 * greatest({centre} - ({high} - {kept}), {low} + {kept} - {centre}))) END"
+
+
+JUDGED = f"""WITH RECURSIVE {BOXES}, {_MASKS},
+tried AS (SELECT asset_id, crop, crop % 4 * 15 AS x0, crop % 3 * 10 AS y0, crop % 4 * 15 + (170 + crop * 48) * 9 // 16 AS x1, crop % 3 * 10 + 170 + crop * 48 AS y1 FROM asset, (SELECT unnest(range(8)) AS crop)),
+c AS (SELECT *, x0 / {_SIZE} AS n0, y0 / {_SIZE} AS n1, x1 / {_SIZE} AS n2, y1 / {_SIZE} AS n3, round_even({_SIZE} * {_RATIO}, 0) AS bw, {_SIZE} AS bh FROM tried),
+bl AS (SELECT asset_id, crop, sum(greatest(0, least(x1, (x + 1) * 64) - greatest(x0, x * 64)) * greatest(0, least(y1, (y + 1) * 64) - greatest(y0, y * 64))) AS n FROM c JOIN reach USING (asset_id) GROUP BY ALL),
+rg AS (SELECT *, greatest(minimum, CASE kind {" ".join(f"WHEN '{k}' THEN {v}" for k, v in M.MINIMA.items())} ELSE 0 END)::DOUBLE AS asked FROM region),
+p AS (SELECT c.asset_id, c.crop, c.bw, c.bh, kind, asked, {_CROSS} AS inside, (r.x1 - r.x0) * (r.y1 - r.y0) AS area, {_duck_needed("(n0 + n2) / 2", "r.x0", "r.x1")} AS fx, {_duck_needed("(n1 + n3) / 2", "r.y0", "r.y1")} AS fy FROM c JOIN rg r ON r.asset_id = c.asset_id),
+m AS (SELECT asset_id, crop, {", ".join(f"min(inside / area) FILTER (kind = '{k}') AS {k}" for k in M.MINIMA)}, sum(inside) / sum(area) AS retained, least(min(CASE WHEN fx > 0 THEN bw / ({_SIZE} * fx) END), min(CASE WHEN fy > 0 THEN bh / ({_SIZE} * fy) END)) AS allowed FROM p GROUP BY ALL),
+bn AS (SELECT c.asset_id, c.crop, least(1, sum({_CROSS}) / any_value((n2 - n0) * (n3 - n1))) AS balloon FROM c JOIN balloon r ON r.asset_id = c.asset_id GROUP BY ALL),
+f AS (SELECT c.*, round(coalesce(n, 0) / ((x1 - x0) * (y1 - y0)), 6) AS blank, {", ".join(f"coalesce({k}, 1) AS {k}" for k in M.MINIMA)}, coalesce(retained, 1) AS retained, coalesce(balloon, 0) AS balloon, greatest(bw / (x1 - x0), bh / (y1 - y0)) AS zoom, least({_SIZE} / {_W}, {_SIZE} / {_H}) AS cap, round(least({_SIZE} / {_W}, {_SIZE} / {_H}, coalesce(allowed, 1e9)), 6) AS protected_cap
+  FROM c LEFT JOIN bl USING (asset_id, crop) LEFT JOIN m USING (asset_id, crop) LEFT JOIN bn USING (asset_id, crop)),
+ju AS (SELECT *, CASE WHEN x1 > {_SIZE} OR y1 > {_SIZE} THEN 'visual.panel_lineage_unavailable' WHEN balloon > 0 THEN 'visual.balloon_mask_overlap' WHEN zoom > cap + 1e-9 OR x1 - x0 < {_W} OR y1 - y0 < {_H} THEN 'visual.source_resolution_insufficient' WHEN blank > {_BLANK} + 1e-9 THEN 'visual.blank_infeasible'
+  {" ".join(f"WHEN {k} < {v} THEN 'visual.protected_{k}_coverage'" for k, v in M.MINIMA.items())} WHEN zoom > protected_cap + 1e-9 THEN 'visual.protected_zoom_insufficient' END AS reject FROM f)"""
+
+
+@query(f"{JUDGED} SELECT asset_id, crop, blank, round(zoom, 6) AS base_zoom, protected_cap, round(retained, 6) AS retained, round(balloon, 6) AS balloon, {', '.join(f'round({k}, 6) AS {k}' for k in M.MINIMA)}, reject FROM ju")
+def jsn9_crop_feasible(t):
+    return judged(t).select("asset_id", "crop", "blank", "base_zoom", "protected_cap", "retained", "balloon", *M.MINIMA, "reject")
+
+
+@query(f"{JUDGED} SELECT asset_id, count(*) AS feasible, min(crop) AS first_crop, {', '.join(f'round(arg_min({k}, crop), 6) AS {k}' for k in ('retained', 'subject', 'face', 'action', 'effect', 'continuity_context', 'blank'))}, round(arg_min(zoom, crop), 6) AS base_zoom FROM ju WHERE reject IS NULL GROUP BY asset_id")
+def gat6_feasible_ledger(t):
+    return M.feasible_ledger(judged(t), "crop")
+
+
+@query(f"""WITH RECURSIVE {BOXES}, {_MASKS}, n AS (SELECT asset_id, count(*) AS n FROM reach GROUP BY asset_id)
+SELECT asset_id, coalesce(n, 0) AS reached, round(coalesce(n, 0) / 64, 6) AS share, round((count_if(low) - coalesce(n, 0)) / 64, 6) AS held_share, CAST(1 AS DOUBLE) AS retained FROM cell LEFT JOIN n USING (asset_id) GROUP BY asset_id, n""")
 def jsn16_border_reach(t):
-    return G.border_reach(G.low_information(pixels(t), "px", 8, 8, LOW_LIMITS), 8, 8)
+    return framed(t)[4].select("asset_id", "reached", "share", "held_share", "retained")
+
+
+@query(f"""WITH RECURSIVE {LOW}, r AS (SELECT asset_id, y, x FROM lo WHERE low AND (y IN (0, 7) OR x IN (0, 7)) UNION SELECT l.asset_id, l.y, l.x FROM r JOIN lo l ON l.asset_id = r.asset_id AND l.low AND abs(l.y - r.y) <= 1 AND abs(l.x - r.x) <= 1), n AS (SELECT asset_id, count(*) AS n FROM r GROUP BY asset_id)
+SELECT a.asset_id, coalesce(n, 0) AS reached, round(coalesce(n, 0) / 64, 6) AS share FROM (SELECT DISTINCT asset_id FROM lo) a LEFT JOIN n ON a.asset_id = n.asset_id""")
+def jsn16_border_reach_unprotected(t):
+    return M.border_reach(G.low_information(pixels(t), "px", 8, 8, LOW_LIMITS), 8, 8).select("asset_id", "reached", "share")
 
 
 @query("SELECT vec_id, round(greatest(0.0, 0.5 * embedding[1] + 0.3 * embedding[2] + 0.2 * embedding[3] - 0.4 * embedding[4] - 0.1 * embedding[5]), 6) AS score FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM embeddings)")
@@ -224,6 +288,8 @@ def top2_rank_regions(t):
     return G.rank_regions(r, {"face": 1, "text": 2})
 
 
-@query(f"WITH {GRID} SELECT asset_id, blank, edges, blank >= 0.94 OR (edges < 0.008 AND blank >= 0.82) AS rejected FROM (SELECT asset_id, round(avg((value >= 150 OR value <= 110)::INT::DOUBLE), 6) AS blank, round(avg(s::INT::DOUBLE), 6) AS edges FROM (SELECT *, coalesce(abs(value - lag(value) OVER (PARTITION BY asset_id, y ORDER BY x)) > 150, false) AS s FROM gr) GROUP BY asset_id)")
+@query(f"""WITH {GRID}, k AS (SELECT a.asset_id, a.y, a.x, any_value(a.value) AS v, 9 * any_value(a.value) - sum(b.value) AS l, count(*) AS n FROM gr a JOIN gr b ON a.asset_id = b.asset_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.asset_id, a.y, a.x),
+s AS (SELECT asset_id, round(avg(CAST(CAST(v >= 150 OR v <= 110 AS INT) AS DOUBLE)), 6) AS blank, round(avg(CAST(CAST(CASE WHEN n = 9 THEN greatest(0, least(255, l)) ELSE v END > 150 AS INT) AS DOUBLE)), 6) AS edges FROM k GROUP BY asset_id)
+SELECT asset_id, blank, edges, round(1 - blank, 6) AS content, blank >= 0.94 OR (edges < 0.008 AND blank >= 0.82) AS rejected FROM s""")
 def flt7_blank_reject(t):
-    return G.blank_reject(grid(t), 150, 110, 150)
+    return M.blank_reject(pixels(t), "px", 8, 8, 150, 110, 150)

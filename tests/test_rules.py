@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofline.functions import text as T
 from proofline.operators import chunks as C
+from proofline.operators import framing as M
 from proofline.operators import geometry as G
 from proofline.operators import integrity as I
 from proofline.operators import records as R
@@ -148,7 +149,7 @@ def test_low_information_and_border(spark):
         assert low[i] == [cell(px, k % 8, k // 8) for k in range(64)]
     assert all(low[1]) and not all(low[2]) and True in low[3] and False in low[3]
     island = [(0 < k % 8 < 7 and 0 < k // 8 < 7) and k in (27, 28) or k < 8 or k == 9 for k in range(64)]
-    got = G.border_reach(spark.createDataFrame([(1, island), (2, [False] * 64), (3, [True] * 64)], "asset_id int, low array<boolean>"), 8, 8).collect()
+    got = M.border_reach(spark.createDataFrame([(1, island), (2, [False] * 64), (3, [True] * 64)], "asset_id int, low array<boolean>"), 8, 8).collect()
     assert sorted((r.asset_id, r.reached, r.share) for r in got) == [(1, 9, round(9 / 64, 6)), (2, 0, 0.0), (3, 64, 1.0)]
 
 
@@ -204,8 +205,8 @@ def test_boxes_and_manifests(spark):
 
 
 def test_dark_cells_are_blank(spark):
-    df = spark.createDataFrame([(1, 0, x, 5) for x in range(8)] + [(2, 0, x, 250 if x else 128) for x in range(8)], "asset_id int, y int, x int, value int")
-    assert sorted((r.asset_id, r.blank, r.rejected) for r in G.blank_reject(df).collect()) == [(1, 1.0, True), (2, 0.875, False)]
+    df = spark.createDataFrame([(1, [5] * 64), (2, [128 if k % 8 == 0 else 250 for k in range(64)])], "asset_id int, px array<int>")
+    assert sorted((r.asset_id, r.blank, r.rejected) for r in M.blank_reject(df, "px", 8, 8).collect()) == [(1, 1.0, True), (2, 0.875, False)]
 
 
 def script(spark, *sections):
