@@ -23,6 +23,8 @@ END = 2
 BLOCK, FILE = 65_536, 8_388_608
 #: Bytes of text that are encoded at a time, and words that a worker remembers.
 SLICE, REMEMBERED = 1 << 21, 1 << 21
+#: Words that are encoded in a row.
+ROW = 256
 LEVEL = 3
 MAGIC = 0x31534E4C50  # "PLNS1"
 
@@ -80,6 +82,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -90,6 +95,30 @@ class Encoder:
         """The ids of texts, each encoded whole."""
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, count): ids of short texts without blanks, and where each text's lie; texts of letters are encoded many in a row.
+
+        Such a text is one word, with one id that ends a word; where a row has more of these, its texts are encoded alone.
+        """
+        plain = np.array([t.isalpha() for t in texts], bool) & self.ends.any()
+        begin, count, flat, size = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [], 0
+        rows = [np.flatnonzero(plain)[at : at + ROW] for at in range(0, plain.sum(), ROW)]
+        alone = [np.flatnonzero(~plain)]
+        for row, ids in zip(rows, self.plainly([" ".join(texts[i] for i in row) for row in rows])):
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(row):
+                alone.append(row)
+                continue
+            count[row] = np.diff(cuts, prepend=0)
+            begin[row] = size + cuts - count[row]
+            flat.append(ids)
+            size += len(ids)
+        rest = np.concatenate(alone)
+        coded = self.plainly([texts[i] for i in rest])
+        count[rest] = [len(ids) for ids in coded]
+        begin[rest] = size + np.cumsum(count[rest]) - count[rest]
+        return np.concatenate([np.zeros(0, np.uint32), *flat, *coded]), begin, count
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
         if any(mark in text for mark in self.marks for text in texts):
@@ -111,10 +140,9 @@ class Encoder:
             return self.plainly([t.decode() for t in texts])
         if not known.all():
             fresh = first[~known]
-            coded = self.plainly([buffer[begin[i] : end[i]].tobytes().decode() for i in fresh])
-            count = np.array([len(c) for c in coded], np.int64)
-            start = len(self.ids) + np.concatenate([[0], np.cumsum(count[:-1])])
-            self.ids = np.concatenate([self.ids, *coded])
+            coded, start, count = self.words([buffer[begin[i] : end[i]].tobytes().decode() for i in fresh])
+            start += len(self.ids)
+            self.ids = np.concatenate([self.ids, coded])
             keys = np.concatenate([self.keys, unique[~known]])
             order = np.argsort(keys, kind="stable")
             self.keys = keys[order]
