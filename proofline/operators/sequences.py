@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofline.sources.files import scratch_table
+
 P, O = "project_id", "pos"
 
 
@@ -14,7 +16,9 @@ def over(project: str = P, order: str = O, frame: str = "") -> str:
 
 BEFORE = "rows between unbounded preceding and 1 preceding"
 #: A table joined without a key is broadcast up to so many rows.
-FEW = 10_000
+FEW = 400
+#: What placed adds.
+PLACED = ["_r", "_n", "_id", "_g"]
 
 
 def if_small(df: DataFrame, rows: int = FEW) -> DataFrame:
@@ -236,20 +240,22 @@ def cadence_bands(df: DataFrame, profiles: DataFrame, length: str = "dur", trans
     return m.select(P, "profile_id", "total_s", "shots", "normal_share", "emphasis_share", "mean_s", "hard_cut_share", F.expr(f"array_join(array_sort(array_compact(array({codes}))), ',')").alias("codes"))
 
 
-def placed(df: DataFrame, project: str, order: str, ranges: int = 64) -> DataFrame:
-    """df with _r, a row's place in its project from 0 on by a numeric order, and _n, the project's rows.
+def placed(df: DataFrame, project: str, order: str) -> DataFrame:
+    """df with _r, a row's place in its project from 0 on, and _n, the project's rows; _id tells rows apart, _g projects.
 
-    A project may hold most rows: they are numbered inside ranges of the order, whose bounds (ranges - 1 numbers) one pass of
-    approximate percentiles gives, and shifted by the counts of the ranges before. Rows of one order never part.
+    Rows are dealt to ranges of project and order, ordered in them and written with the number that Spark gives them there; a
+    row's place is its distance from the first of its project in the range, and the rows of the project in the ranges before. So
+    a project may hold most rows, no project or a null one needs a rule of its own, and any order that can be compared will
+    do. Of one order rows stand by a hash of their other columns; nulls come first.
     """
-    steps = ", ".join(str(i / ranges) for i in range(1, ranges))
-    bounds = df.agg(F.expr(f"percentile_approx({order}, array({steps}), 10000)")).first()[0] or []
-    cuts = F.array(*map(F.lit, sorted(set(bounds))))
-    rows = df.withColumn("_b", F.size(F.filter(cuts, lambda b: b < F.col(order))) if bounds else F.lit(0))
-    counts = rows.groupBy(F.col(project).alias("_p"), F.col("_b").alias("_q")).agg(F.count("*").alias("_c"))
-    counts = counts.selectExpr("_p", "_q", f"coalesce(sum(_c) over (partition by _p order by _q {BEFORE}), 0) as _o", "sum(_c) over (partition by _p) as _n")
-    numbered = rows.withColumn("_k", F.expr(f"row_number() over (partition by {project}, _b order by {order}) - 1"))
-    return numbered.join(counts, F.expr(f"{project} <=> _p and _b = _q")).withColumn("_r", F.col("_k") + F.col("_o")).drop("_b", "_k", "_p", "_q", "_o")
+    rest = [f.name for f in df.schema.fields if f.name != project and "map<" not in f.dataType.simpleString()]
+    keys = [project, order, "_h", "_m"]
+    sorted_rows = df.withColumns({"_h": F.xxhash64(*rest), "_m": F.monotonically_increasing_id()}).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = scratch_table(sorted_rows.drop("_h", "_m").withColumn("_id", F.monotonically_increasing_id()), "placed").withColumn("_b", F.shiftright("_id", 33))
+    counts = rows.groupBy(F.col(project).alias("_p"), F.col("_b").alias("_q")).agg(F.count("*").alias("_c"), F.min("_id").alias("_f"))
+    counts = counts.selectExpr("_p", "_q", f"_f - coalesce(sum(_c) over (partition by _p order by _q {BEFORE}), 0) as _o", "sum(_c) over (partition by _p) as _n", "min(_f) over (partition by _p) as _g")
+    met = rows[project].eqNullSafe(counts["_p"]) & (rows["_b"] == counts["_q"])
+    return rows.join(counts, met).withColumn("_r", F.col("_id") - F.col("_o")).drop("_b", "_p", "_q", "_o")
 
 
 def overlapping_chunks(df: DataFrame, size: int, overlap: int, project: str = P, order: str = O, unique: str | None = None) -> DataFrame:
@@ -264,7 +270,7 @@ def overlapping_chunks(df: DataFrame, size: int, overlap: int, project: str = P,
         rows = rows.join(many, F.expr(f"{project} <=> _p and {unique} <=> _u"), "left").withColumn("repeated", F.coalesce("_m", F.lit(False))).drop("_p", "_u", "_m")
     last = f"cast(if(_n <= {size}, 0, ceil((_n - {size}) / {step})) as int)"
     first = f"cast(greatest(0, ceil((_r - {size - 1}) / {step})) as int)"
-    return rows.withColumn("chunk", F.expr(f"explode(sequence({first}, least({last}, cast(floor(_r / {step}) as int))))")).drop("_r", "_n")
+    return rows.withColumn("chunk", F.expr(f"explode(sequence({first}, least({last}, cast(floor(_r / {step}) as int))))")).drop(*PLACED)
 
 
 def plan_tiles(df: DataFrame, key: str, height: str, size: int, overlap: int) -> DataFrame:
@@ -283,15 +289,14 @@ def plan_tiles(df: DataFrame, key: str, height: str, size: int, overlap: int) ->
 def stride_sample(df: DataFrame, limit: int, project: str = P, order: str = O) -> DataFrame:
     """At most limit rows of each project, evenly spread: rows floor(i * n / limit)."""
     rows = placed(df, project, order)
-    return rows.filter(f"_n <= {limit} or floor(ceil(_r * {limit} / _n) * _n / {limit}) = _r and ceil(_r * {limit} / _n) < {limit}").drop("_r", "_n")
+    return rows.filter(f"_n <= {limit} or floor(ceil(_r * {limit} / _n) * _n / {limit}) = _r and ceil(_r * {limit} / _n) < {limit}").drop(*PLACED)
 
 
 def bucket_best(df: DataFrame, target: int, score: str, key: str, project: str = P, order: str = O) -> DataFrame:
     """n ordered rows in target equal buckets; the best score of each, then the earliest, then the greatest key."""
-    rows = df.withColumn("_i", F.expr(f"row_number() over (partition by {project} order by {order}) - 1")).withColumn("_n", F.expr(f"count(*) over (partition by {project})"))
-    rows = rows.withColumn("bucket", F.expr(f"cast(floor(((_i + 1) * least({target}, _n) - 1) / _n) as int)"))
-    best = rows.withColumn("_k", F.expr(f"row_number() over (partition by {project}, bucket order by {score} desc, _i, {key} desc)"))
-    return best.filter("_k = 1").drop("_i", "_n", "_k")
+    rows = placed(df, project, order).withColumn("bucket", F.expr(f"cast(floor(((_r + 1) * least({target}, _n) - 1) / _n) as int)"))
+    best = rows.groupBy("_g", "bucket").agg(F.max_by("_id", F.struct(score, -F.col("_r"), key)).alias("_id")).select("_id")
+    return rows.join(best, "_id", "left_semi").drop(*PLACED)
 
 
 def apportion(df: DataFrame, target: int, weight: str, key: str, project: str = P, cap: str | None = None) -> DataFrame:

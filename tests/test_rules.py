@@ -153,28 +153,55 @@ def test_low_information_and_border(spark):
     assert sorted((r.asset_id, r.reached, r.share) for r in got) == [(1, 9, round(9 / 64, 6)), (2, 0, 0.0), (3, 64, 1.0)]
 
 
-def test_chunks_by_bytes_overlap(spark):
-    """Against a loop over each project's rows, with rows larger than a chunk."""
+@pytest.mark.parametrize("block,fan", [(4096, 256), (7, 2)])
+def test_chunks_by_bytes_overlap(spark, block, fan, monkeypatch):
+    """Against a loop over each project's rows, with rows larger than a chunk, a null project, and rows of one order."""
     import random
 
+    monkeypatch.setattr(C, "BLOCK", block)
+    monkeypatch.setattr(C, "FAN", fan)
     rng = random.Random(4)
-    rows = [(p, o, rng.choice([0, 1, 5, 9, 30])) for p in range(4) for o in range(rng.randint(0, 60))]
+    rows = [(p, o, rng.choice([0, 1, 5, 9, 30, None])) for p in (None, 1, 2, 3) for o in range(rng.randint(1, 60))] + [(5, o, 1) for o in range(150)] + [(6, 0, 0)]
     df = spark.createDataFrame(rows, "p int, o int, s int").repartition(5)
     for most, most_bytes, overlap in ((5, 20, 2), (3, 10, 0), (4, 100, 3), (1, 5, 0)):
         expected = []
-        for p in range(4):
-            sizes, start, chunk = [s for q, _, s in rows if q == p], 0, 0
+        for p in sorted({r[0] for r in rows}, key=str):
+            sizes, start, chunk = [s or 0 for q, _, s in rows if q == p], 0, 0
             while start < len(sizes):
                 end = start + 1
                 while end < len(sizes) and end - start < most and sum(sizes[start : end + 1]) <= most_bytes:
                     end += 1
                 expected += [(p, o, chunk) for o in range(start, end)]
                 start, chunk = (len(sizes), chunk) if end == len(sizes) else (max(end - overlap, start + 1), chunk + 1)
-        assert sorted((r.p, r.o, r.chunk) for r in C.byte_bounded_chunks(df, "p", "o", "s", most, most_bytes, overlap).collect()) == sorted(expected)
+        got = C.byte_bounded_chunks(df, "p", "o", "s", most, most_bytes, overlap)
+        assert sorted(((r.p, r.o, r.chunk) for r in got.collect()), key=str) == sorted(expected, key=str)
     with pytest.raises(ValueError):
         C.byte_bounded_chunks(df, "p", "o", "s", 2, 5, 2)
 
 
+def test_rows_of_one_order_and_of_no_project_stay(spark):
+    rows = [(None, 1, 3, "a"), (None, 2, 3, "b"), (1, 1, 3, "c"), (1, 1, 3, "d"), (1, 1, 3, "d"), (1, None, 3, "e")]
+    df = spark.createDataFrame(rows, "p int, o int, s int, name string")
+    got = sorted(((r.p, r.name, r.chunk) for r in C.byte_bounded_chunks(df, "p", "o", "s", 2, 100).collect()), key=str)
+    assert sorted(((p, n) for p, n, _ in got), key=str) == sorted(((p, n) for p, _, _, n in rows), key=str)
+    assert {(p, c): sum((q, d) == (p, c) for q, _, d in got) for p, _, c in got} == {(None, 0): 2, (1, 0): 2, (1, 1): 2}
+    assert (1, "e", 0) in got and C.byte_bounded_chunks(df.filter("p = 99"), "p", "o", "s", 2, 100).count() == 0
+    nulls = S.overlapping_chunks(df.filter("p is null"), 1, 0, "p", "o")
+    assert sorted((r.name, r.chunk) for r in nulls.collect()) == [("a", 0), ("b", 1)]
+    names = spark.createDataFrame([("p", x, float(i)) for i, x in enumerate(["b", "a", "c", "d"])], "p string, o string, score double")
+    assert sorted((r.o, r.bucket) for r in S.bucket_best(names, 2, "score", "o", "p", "o").collect()) == [("a", 0), ("d", 1)]
+
+
+def test_a_hot_project_is_packed_by_many_tasks(spark):
+    df = spark.range(20_000).selectExpr("if(id % 3 > 0, 0, id % 12) as p", "id as o", "id % 17 as s")
+    assert C.byte_bounded_chunks(df, "p", "o", "s", 10, 60).count() == 20_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    placed = S.placed(df, "p", "o").withColumn("task", F.shiftright("_id", 33))
+    spread = placed.filter("p = 0").agg(F.count_distinct("task"), F.max("_r"), F.count_distinct("_r"), F.max("_n")).first()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spread[0] > 1 and spread[1] == spread[2] - 1 == spread[3] - 1
+
+
 def test_claims_and_contracts(spark):
     claims = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("c", "z")], "claim string, e string")
     passages = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z"), ("d", "z")], "claim string, e string")
