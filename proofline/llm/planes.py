@@ -22,7 +22,7 @@ END = 2
 #: Ids of a block, and of a file before the next one begins; a file holds whole documents.
 BLOCK, FILE = 65_536, 8_388_608
 #: Bytes of text that are encoded at a time, and words that a worker remembers.
-SLICE, REMEMBERED = 1 << 21, 1 << 21
+SLICE, REMEMBERED = 1 << 19, 1 << 19
 #: Words that are encoded in a row.
 ROW = 256
 LEVEL = 3
@@ -143,10 +143,8 @@ class Encoder:
             coded, start, count = self.words([buffer[begin[i] : end[i]].tobytes().decode() for i in fresh])
             start += len(self.ids)
             self.ids = np.concatenate([self.ids, coded])
-            keys = np.concatenate([self.keys, unique[~known]])
-            order = np.argsort(keys, kind="stable")
-            self.keys = keys[order]
-            self.checks, self.begin, self.count = (np.concatenate(x)[order] for x in ((self.checks, check[fresh]), (self.begin, start), (self.count, count)))
+            at_place = there[~known]
+            self.keys, self.checks, self.begin, self.count = (np.insert(old, at_place, new) for old, new in ((self.keys, unique[~known]), (self.checks, check[fresh]), (self.begin, start), (self.count, count)))
             there = np.searchsorted(self.keys, unique)
         count = self.count[there][at]
         upto = np.concatenate([[0], np.cumsum(count)])
@@ -154,7 +152,7 @@ class Encoder:
         return np.split(ids, upto[np.searchsorted(begin, offsets[1:-1])])
 
 
-def slices(text: bytes, size: int = SLICE) -> Iterator[bytes]:
+def slices(text: bytes, size: int = SLICE - 1) -> Iterator[bytes]:
     """A long text in slices that end before a blank."""
     at = 0
     while len(text) - at > size:
@@ -320,16 +318,16 @@ def coded_documents(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iter
             part = batch.slice(at, 256)
             for name, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
                 data = text.encode()
-                if len(data) > SLICE:
+                if len(data) + 1 >= SLICE:
                     yield from _coded(encoder, waiting)
                     waiting, size = [], 0
-                    yield name, [encoder.encode([s])[0] for s in slices(data)] if not any(m in data for m in encoder.marks) else encoder.plainly([text])
+                    yield name, [encoder.encode([s])[0] for s in slices(data, SLICE - 1)] if not any(m in data for m in encoder.marks) else encoder.plainly([text])
                     continue
-                waiting.append((name, data))
-                size += len(data)
-                if size >= SLICE:
+                if size + len(data) >= SLICE:
                     yield from _coded(encoder, waiting)
                     waiting, size = [], 0
+                waiting.append((name, data))
+                size += len(data) + 1
     yield from _coded(encoder, waiting)
 
 
