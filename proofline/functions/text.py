@@ -56,6 +56,17 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def folded(text: Column) -> Column:
+    """Text for comparison without case: ß and ss, ς and σ, K and k are the same, and dotless i stays as it is."""
+    upper = F.translate(F.upper(F.translate(text, "ı", "\ue000")), "\ue000", "ı")  # Spark would take lower(upper(x)) for lower(x)
+    return F.translate(F.lower(upper), "ς", "σ")
+
+
+def lexical_words(text: Column) -> Column:
+    """Runs of letters and digits, folded; an underscore ends a word."""
+    return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def spoken_seconds(words: Column, per_second: Column, least: float = 0.6) -> Column:
     """Seconds to speak so many words; none take none, any take least or longer."""
     return F.when(words == 0, F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(least), words / per_second), 2))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.operators.sequences import latest
+from proofline.operators.sequences import latest, placed
 
 
 def orphan_rows(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -> DataFrame:
@@ -107,11 +107,32 @@ def unshared_blobs(blobs: DataFrame, parent: str, deleted: Column, key: str) ->
     return blobs.groupBy(key).agg(F.bool_and(deleted).alias("_d")).filter("_d").select(key)
 
 
+def _set_digests(members: DataFrame, parent: str, member: str) -> DataFrame:
+    """(parent, set_hash) of the sets of members: SHA-256 of how many there are and of two sums over halves of their MD5.
+
+    Sums do not hang on order and can be merged, so a parent of any size is summed up before it is shuffled. Null members
+    are left out.
+    """
+    half = lambda i: F.conv(F.substring(F.md5(F.col(member).cast("string").cast("binary")), i, 15), 16, 10).cast("decimal(38,0)")
+    distinct = members.filter(F.col(member).isNotNull()).select(parent, member).distinct()
+    sums = distinct.groupBy(parent).agg(F.count("*").alias("_n"), F.sum(half(1)).alias("_a"), F.sum(half(16)).alias("_b"))
+    return sums.select(parent, "_n", F.sha2(F.concat_ws(":", "_n", "_a", "_b"), 256).alias("set_hash"))
+
+
 def same_set_match(members: DataFrame, wanted: DataFrame, parent: str, member: str, order: str) -> DataFrame:
-    """(set_hash, parent): for each wanted set the earliest parent whose set of members equals it."""
-    digest = lambda df: df.groupBy(parent).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.col(member).cast("string"))), ","), 256).alias("set_hash"), F.min(order).alias("_o"))
-    sets = digest(members)
-    return digest(wanted).select("set_hash").distinct().join(sets, "set_hash").groupBy("set_hash").agg(F.min_by(parent, F.struct("_o", parent)).alias(parent))
+    """(set_hash, parent): for each wanted set the earliest parent whose set of members equals it.
+
+    Sets are found by a digest of sums and then compared: a parent stays if it shares as many members as it has with the
+    first wanted parent of that digest. No set is gathered.
+    """
+    sets = _set_digests(members, parent, member)
+    asked = _set_digests(wanted, parent, member).groupBy("set_hash").agg(F.min(parent).alias("_w"))
+    pairs = sets.join(asked, "set_hash").select("set_hash", parent, "_n", "_w")
+    each = lambda df, name: df.filter(F.col(member).isNotNull()).select(F.col(parent).alias(name), F.col(member).alias("_m")).distinct()
+    shared = pairs.join(each(members, parent), parent).join(each(wanted, "_w"), ["_w", "_m"])
+    equal = shared.groupBy("set_hash", parent).agg(F.count("*").alias("_c"), F.max("_n").alias("_n")).filter("_c = _n").select("set_hash", parent)
+    first = members.groupBy(parent).agg(F.min(order).alias("_o"))
+    return equal.join(first, parent).groupBy("set_hash").agg(F.min_by(parent, F.struct("_o", parent)).alias(parent))
 
 
 def resolve_by_checksum(wanted: DataFrame, files: DataFrame, key: str, checksum: str, size: str, path: str) -> DataFrame:
@@ -273,9 +294,15 @@ def missing_sections(sections: DataFrame, allowed: DataFrame, feasible: DataFram
     return sections.select(section).distinct().join(ok, section, "left_anti")
 
 
-def inverted_index(df: DataFrame, token: str, key: str) -> DataFrame:
-    """(token, n, ids): the sorted distinct ids of each token."""
-    return df.select(token, key).distinct().groupBy(token).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(key)), ",").alias("ids"))
+def inverted_index(df: DataFrame, token: str, key: str, block: int = 1024) -> DataFrame:
+    """(token, block, n, first, last, ids): the sorted distinct ids of each token in blocks of so many, n of them in the block.
+
+    Ids are numbered by ranges of token and id, so that a token with any share of the rows is many tasks' work, and no list is
+    longer than a block. first and last tell which blocks an id can stand in. Null tokens and ids are left out.
+    """
+    rows = placed(df.filter(F.col(token).isNotNull() & F.col(key).isNotNull()).select(token, key).distinct(), token, key)
+    lists = rows.groupBy(token, F.floor(F.col("_r") / block).alias("block")).agg(F.count("*").alias("n"), F.min(key).alias("first"), F.max(key).alias("last"), F.array_sort(F.collect_list(key)).alias("ids"))
+    return lists.select(token, "block", "n", "first", "last", F.array_join("ids", ",").alias("ids"))
 
 
 def overlap_agreement(df: DataFrame, key: str, chunk: str, payload: str) -> DataFrame:

@@ -127,3 +127,34 @@ def selection_reasons(chosen: DataFrame, project: str, order: str, position: str
 
 def beat_score(df: DataFrame, claims: str, changes: str, turns: str, panels: str) -> DataFrame:
     return df.withColumn("score", F.expr(f"100 * {claims} + 5 * {changes} + 3 * {turns} + least({panels}, 16)"))
+
+
+#: The picture's sides, how far a ratio may be off, the least height, and seconds: the most, the least, and how
+#: many times the target.
+OUTPUT_SIZE, OUTPUT_RATIO_SLACK, OUTPUT_HEIGHT = (1080, 1920), 0.02, 1280
+OUTPUT_SECONDS, OUTPUT_LEAST_SECONDS, OUTPUT_OVER_TARGET = 90.0, 60.0, 1.15
+
+
+def output_checks(jobs: DataFrame, key: str, output: str, there: str, width: str, height: str, seconds: str, target: str) -> DataFrame:
+    """(key, code, severity, passed): what is against a render job and its file.
+
+    Without an output the job is missing, and without its file (there) the file is, and its picture is not judged: aspect
+    and height else, if both sides are told and not 0. The length is judged for every job: unknown if null or not positive,
+    else too long, or else over the target, and also too short. What has nothing against it has a row that passed.
+    """
+    w, h, s, goal = F.col(width), F.col(height), F.col(seconds), F.col(target)
+    told = F.coalesce((w != 0) & (h != 0), F.lit(False))
+    lost = F.coalesce(F.col(output) == "", F.lit(True))
+    gone = ~lost & ~F.coalesce(F.col(there), F.lit(False))
+    seen, unknown = ~lost & ~gone, F.coalesce(s <= 0, F.lit(True))
+    wrong = seen & told & (F.abs(F.try_divide(w, h) - OUTPUT_SIZE[0] / OUTPUT_SIZE[1]) > OUTPUT_RATIO_SLACK)
+    low = seen & told & (h < OUTPUT_HEIGHT)
+    long = ~unknown & (s > OUTPUT_SECONDS)
+    over, short = ~unknown & ~long & (s > goal * OUTPUT_OVER_TARGET), ~unknown & (s < OUTPUT_LEAST_SECONDS)
+    none = lambda *rules: ~reduce(lambda a, b: a | b, [F.coalesce(r, F.lit(False)) for r in rules])
+    rules = [
+        ("render.missing", "error", lost), ("render.file_missing", "error", gone), ("render.wrong_aspect", "error", wrong), ("render.low_resolution", "warning", low), ("render.ok", "info", none(lost, gone, wrong, low)),
+        ("duration.unknown", "error", unknown), ("duration.too_long", "error", long), ("duration.over_target", "warning", over), ("duration.too_short", "warning", short), ("duration.ok", "info", none(unknown, long, over, short)),
+    ]
+    found = F.array_compact(F.array(*[F.when(rule, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(severity == "info").alias("passed"))) for code, severity, rule in rules]))
+    return jobs.select(key, F.explode(found).alias("_f")).select(key, "_f.*")

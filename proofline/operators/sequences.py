@@ -245,11 +245,11 @@ def placed(df: DataFrame, project: str, order: str) -> DataFrame:
 
     Rows are dealt to ranges of project and order, ordered in them and written with the number that Spark gives them there; a
     row's place is its distance from the first of its project in the range, and the rows of the project in the ranges before. So
-    a project may hold most rows, no project or a null one needs a rule of its own, and any order that can be compared will
-    do. Of one order rows stand by a hash of their other columns; nulls come first.
+    a project may hold most rows, a null project needs no rule of its own, and any columns that can be compared will do as
+    order. Of one order rows stand by a hash of their other columns; nulls come first.
     """
     rest = [f.name for f in df.schema.fields if f.name != project and "map<" not in f.dataType.simpleString()]
-    keys = [project, order, "_h", "_m"]
+    keys = [project, *[o.strip() for o in order.split(",")], "_h", "_m"]
     sorted_rows = df.withColumns({"_h": F.xxhash64(*rest), "_m": F.monotonically_increasing_id()}).repartitionByRange(*keys).sortWithinPartitions(*keys)
     rows = scratch_table(sorted_rows.drop("_h", "_m").withColumn("_id", F.monotonically_increasing_id()), "placed").withColumn("_b", F.shiftright("_id", 33))
     counts = rows.groupBy(F.col(project).alias("_p"), F.col("_b").alias("_q")).agg(F.count("*").alias("_c"), F.min("_id").alias("_f"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions import text as T
-from proofline.operators.sequences import FEW
+from proofline.sources.files import scratch_table
 
 
 def split_sentences(df: DataFrame, key: str, text: str = "text", least: int = 12) -> DataFrame:
@@ -102,19 +104,29 @@ def best_sentence(df: DataFrame, key: str, cues: list[str], text: str = "text",
 
 
 def style_report(df: DataFrame, key: str, connectors: list[str], text: str = "text") -> DataFrame:
-    """One row for each text with a sentence: words, sentence-length percentiles (nearest rank), variance, repetition and connectors."""
-    s = df.select(key, F.explode(T.pieces(F.col(text))).alias("sentence")).withColumn("_w", T.narration_word_count(F.col("sentence"))).filter("_w > 0").withColumn("_s", F.lower("sentence"))
-    s = s.withColumn("_open", F.array_join(F.slice(F.split("_s", r"\s+"), 1, 2), " "))
-    used = F.array(*[F.contains(F.col("_s"), F.lit(f" {c} ")) for c in connectors])
-    s = s.withColumn("_c", F.transform(F.filter(F.arrays_zip(used.alias("u"), F.array(*map(F.lit, connectors)).alias("c")), lambda x: x["u"]), lambda x: x["c"]))
-    rank = lambda f: F.element_at("_sorted", (F.bround(F.lit(f) * (F.size("_sorted") - 1), 0) + 1).cast("int"))
-    out = s.groupBy(key).agg(
-        F.count("*").alias("n_sentences"), F.sum("_w").alias("n_words"), F.sort_array(F.collect_list("_w")).alias("_sorted"), F.round(F.var_pop("_w"), 6).alias("length_variance"),
-        F.round(1 - F.count_distinct("_s") / F.count("*"), 6).alias("repeated_sentences"), F.round(1 - F.count_distinct("_open") / F.count("*"), 6).alias("repeated_openings"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("_c")))).alias("n_connectors"), F.round(F.avg((F.size("_c") > 0).cast("double")), 6).alias("connected_share"),
-        F.sum(F.regexp_count("sentence", F.lit("[A-Za-z]'[A-Za-z]"))).alias("n_contractions"),
+    """One row for each text with a sentence: words, sentence-length percentiles (nearest rank), variance, repetition and connectors.
+
+    A text's sentences are arrays in its row, so that nothing is shuffled.
+    """
+    n = F.size("_s")
+    told = lambda x: F.struct(x.alias("text"), F.lower(x).alias("low"), T.narration_word_count(x).alias("words"))
+    rows = df.select(key, F.filter(F.transform(T.pieces(F.col(text)), told), lambda x: x["words"] > 0).alias("_s")).filter(n > 0)
+    of = lambda f: F.transform("_s", f)
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    repeated = lambda a: F.round(1 - F.size(F.array_distinct(a)) / n, 6)
+    opening = lambda x: F.array_join(F.slice(F.split(x["low"], r"\s+"), 1, 2), " ")
+    rows = rows.select(key, "_s", F.array_sort(of(lambda x: x["words"])).alias("_sorted"), total(of(lambda x: x["words"])).alias("n_words"))
+    rank = lambda f: F.element_at("_sorted", (F.bround(F.lit(f) * (n - 1), 0) + 1).cast("int"))
+    spread = F.aggregate("_sorted", F.lit(0.0), lambda s, w: s + (w - F.col("n_words") / n) * (w - F.col("n_words") / n)) / n
+    holds = lambda connector: lambda x: F.contains(x["low"], F.lit(f" {connector} "))
+    linked = [F.exists("_s", holds(c)) for c in connectors]
+    joined = F.size(F.filter("_s", lambda x: reduce(lambda a, b: a | b, [holds(c)(x) for c in connectors], F.lit(False))))
+    return rows.select(
+        key, n.cast("long").alias("n_sentences"), "n_words", rank(0.1).alias("p10"), rank(0.5).alias("p50"), rank(0.9).alias("p90"), F.round(spread, 6).alias("length_variance"),
+        repeated(of(lambda x: x["low"])).alias("repeated_sentences"), repeated(of(opening)).alias("repeated_openings"),
+        sum((x.cast("int") for x in linked), F.lit(0)).alias("n_connectors"), F.round(joined / n, 6).alias("connected_share"),
+        total(of(lambda x: F.regexp_count(x["text"], F.lit("[A-Za-z]'[A-Za-z]")))).alias("n_contractions"),
     )
-    return out.select(key, "n_sentences", "n_words", rank(0.1).alias("p10"), rank(0.5).alias("p50"), rank(0.9).alias("p90"), "length_variance", "repeated_sentences", "repeated_openings", "n_connectors", "connected_share", "n_contractions")
 
 
 def style_warnings(report: DataFrame, key: str, flagged: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -131,27 +143,53 @@ def style_warnings(report: DataFrame, key: str, flagged: dict[str, DataFrame] |
     return out.select(key, F.array_join(F.array_sort(F.concat(F.array_compact(F.array(*codes)), more)), ",").alias("codes"))
 
 
-def shingle_table(df: DataFrame, n: int, *keys: str, text: str = "text") -> DataFrame:
-    """(keys, s): the distinct n-word runs of each text. The words are a column of their own, so that they are split once."""
-    return df.select(*keys, T.tokens(F.col(text)).alias("_ws")).select(*keys, F.explode(T.shingles(F.col("_ws"), n)).alias("s"))
+#: A sketch of protected runs has 16 places for each of them, between 2 ** 16 and 2 ** 26 (8 MB), two of which a run takes.
+SKETCH = (16, 26)
 
 
-def shingle_overlap(a: DataFrame, b: DataFrame, key: str, n: int = 5, low: float = 0.25, high: float = 0.5, text: str = "text") -> DataFrame:
-    """(key, n_shingles, n_shared, overlap, band): the share of a text's distinct n-word runs that occur in b; 0 without any.
+def _sketch(runs: DataFrame, bits: int) -> DataFrame:
+    """One row with _bits: places 0 to 2 ** bits - 1 as numbers of 64, those of the hashes _h of runs being set."""
+    at = runs.select(F.explode(F.array(*_places(F.col("_h"), bits))).alias("_at"))
+    words = at.groupBy(F.shiftright("_at", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_at & 63 as int)))").alias("_v"))
+    every = runs.sparkSession.range(1 << (bits - 6)).withColumnRenamed("id", "_w").join(words, "_w", "left").select(F.struct("_w", F.coalesce("_v", F.lit(0)).alias("_v")).alias("_x"))
+    return every.agg(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["_v"]).alias("_bits"))
+
+
+def _places(h: Column, bits: int) -> list[Column]:
+    """Two places of a hash, from its lower and its upper bits."""
+    return [h.bitwiseAND((1 << bits) - 1), F.shiftrightunsigned(h, 64 - bits)]
+
 
-    b is protected text, made distinct before the join; Spark broadcasts it only if it measures as small.
+def runs_within(a: DataFrame, b: DataFrame, key: str, n: int, words: Callable[[Column], Column], text: str = "text") -> DataFrame:
+    """(key, n_shingles, n_shared): a text's distinct runs of n words, and how many of them stand in a text of b.
+
+    Runs of a are hashes in the row of their text, of 64 bits, which also tell how many there are. A sketch of b's runs, of
+    8 MB at most whatever b's size, goes to all tasks, and only runs that it may hold leave their row: they are compared by
+    their words with b's. A text without n words has no runs; null is empty.
     """
-    mine, theirs = shingle_table(a, n, key, text=text), shingle_table(b, n, text=text).distinct().withColumn("_hit", F.lit(1))
-    counted = mine.join(theirs, "s", "left").groupBy(key).agg(F.count("*").alias("_n"), F.count("_hit").alias("_m"))
-    out = a.select(key).join(counted, key, "left").select(key, F.coalesce("_n", F.lit(0)).alias("n_shingles"), F.coalesce("_m", F.lit(0)).alias("n_shared"))
+    hashes = F.when(F.size("_ws") >= n, F.transform(F.sequence(F.lit(0), F.size("_ws") - n), lambda i: F.xxhash64(F.slice("_ws", i + 1, n))))
+    run = lambda i: F.array_join(F.slice("_ws", i + 1, n), " ")
+    split = lambda df, *keep: df.select(*keep, words(F.coalesce(F.col(text), F.lit(""))).alias("_ws")).withColumn("_hs", F.coalesce(hashes, F.array().cast("array<bigint>")))
+    theirs = scratch_table(split(b).select(F.explode(F.transform("_hs", lambda h, i: F.struct(h.alias("_h"), run(i).alias("_run")))).alias("_x")).select("_x.*").distinct(), "runs")
+    bits = min(max((16 * theirs.count()).bit_length(), SKETCH[0]), SKETCH[1])
+    known = lambda h: reduce(lambda x, y: x & y, [F.getbit(F.get("_bits", F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) == 1 for p in _places(h, bits)])
+    hits = F.filter(F.transform("_hs", lambda h, i: F.when(known(h), F.struct(h.alias("_h"), run(i).alias("_run")))), lambda x: x.isNotNull())
+    rows = split(a, key).join(F.broadcast(_sketch(theirs, bits)))
+    rows = scratch_table(rows.select(key, F.size(F.array_distinct("_hs")).cast("long").alias("n_shingles"), F.array_distinct(hits).alias("_hits")), "hits")
+    shared = rows.select(key, F.explode("_hits").alias("_x")).select(key, "_x.*").join(theirs, ["_h", "_run"], "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))
+    return rows.select(key, "n_shingles").join(shared, key, "left").select(key, "n_shingles", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+
+
+def shingle_overlap(a: DataFrame, b: DataFrame, key: str, n: int = 5, low: float = 0.25, high: float = 0.5, text: str = "text") -> DataFrame:
+    """(key, n_shingles, n_shared, overlap, band): the share of a text's distinct n-word runs that occur in b; 0 without any."""
+    out = runs_within(a, b, key, n, T.tokens, text)
     out = out.withColumn("overlap", F.round(F.when(F.col("n_shingles") > 0, F.col("n_shared") / F.col("n_shingles")).otherwise(0.0), 6))
     return out.withColumn("band", F.when(F.col("overlap") >= high, "block").when(F.col("overlap") >= low, "warn").otherwise("clear"))
 
 
 def copied_ngram_exists(a: DataFrame, b: DataFrame, key: str, n: int = 4, text: str = "text") -> DataFrame:
-    """(key, copied): whether a text shares an n-word run with protected text b."""
-    hit = shingle_table(a, n, key, text=text).join(shingle_table(b, n, text=text).distinct(), "s", "left_semi").select(key).distinct().withColumn("copied", F.lit(True))
-    return a.select(key).join(hit, key, "left").select(key, F.coalesce("copied", F.lit(False)).alias("copied"))
+    """(key, copied): whether a text shares a run of n words with protected text b; words are runs of letters and digits, folded."""
+    return runs_within(a, b, key, n, T.lexical_words, text).select(key, (F.col("n_shared") > 0).alias("copied"))
 
 
 def narration_contract(df: DataFrame, protected: DataFrame, key: str, words: str, seconds: str, per_second: float, window: tuple[int, int] = (115, 125), spoken: tuple[float, float] = (50.0, 60.0), text: str = "text") -> DataFrame:
@@ -233,17 +271,35 @@ def marker_hits(df: DataFrame, project: str, key: str, markers: list[str], test:
     return hit.select(project, key, F.when(F.min(F.col("_test").cast("int")).over(Window.partitionBy(project)) == 1, "info").otherwise("error").alias("severity"))
 
 
-def banned_terms(df: DataFrame, terms: DataFrame, key: str, text: str = "text", few: int = FEW) -> DataFrame:
+#: Terms, and characters of all of them, that go to every task.
+TERMS, LETTERS = 100_000, 4_000_000
+
+
+def banned_terms(df: DataFrame, terms: DataFrame, key: str, text: str = "text", few: int = TERMS) -> DataFrame:
     """(key, terms): the trimmed, non-empty terms that a text contains, sorted and comma-joined; texts without any do not occur.
 
-    Up to few terms are broadcast and looked for in each text. More terms meet the texts by their first three characters,
-    which a text that holds a term has as well; shorter ones of them by all they have.
+    Terms are counted first. Up to few of them, with LETTERS characters, go to all tasks, where an automaton of all terms
+    reads each text once. More terms meet the texts by their first three characters, which a text that holds a term has as
+    well; shorter ones of them by all they have.
     """
     wanted = terms.select(F.lower(F.trim("term")).alias("term")).filter("term <> ''").distinct()
     shown = df.select(key, F.lower(text).alias("_t"))
-    if wanted.limit(few + 1).count() <= few:
-        found = shown.join(F.broadcast(wanted), F.contains(F.col("_t"), F.col("term")))
-        return found.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("terms"))
+    measured = wanted.agg(F.count("*"), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
+    if measured[0] <= few and measured[1] <= LETTERS:
+        listed = df.sparkSession.sparkContext.broadcast([r.term for r in wanted.collect()])
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for term in listed.value:
+                automaton.add_word(term, term)
+            automaton.make_automaton()
+            for batch in batches:
+                found = [",".join(sorted({t for _, t in automaton.iter(x)})) if x and len(automaton) else "" for x in batch["_t"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch[key], pa.array(found, pa.string())], [key, "terms"])
+
+        return shown.mapInArrow(read, f"{key} {df.schema[key].dataType.simpleString()}, terms string").filter("terms <> ''")
     heads = [F.expr(f"if(char_length(_t) >= {n}, transform(sequence(1, char_length(_t) - {n - 1}), i -> substr(_t, i, {n})), array())") for n in (1, 2, 3)]
     grams = shown.select(key, "_t", F.explode(F.array_distinct(F.concat(*heads))).alias("_g"))
     met = grams.join(wanted.withColumn("_g", F.substring("term", 1, 3)), "_g").filter(F.contains(F.col("_t"), F.col("term")))

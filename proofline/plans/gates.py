@@ -18,7 +18,7 @@ from proofline.plans import integrity as PI
 from proofline.plans import sequences as PS
 from proofline.plans.registry import SQL, Tables, query
 from proofline.plans.sequences import SHOTS, shots
-from proofline.plans.texts import NARR, RIGHTS, STATUS, _grams, with_rights
+from proofline.plans.texts import LEXICAL, NARR, RIGHTS, STATUS, _grams, with_rights
 
 Rule = Callable[[Tables], DataFrame]
 
@@ -189,7 +189,7 @@ def gat4_script_checks(t):
     return O.script_checks(sections, "conv_id", "turn", "section", "evidence", ["was", "que", "und"], 2.4, 30.0)
 
 
-@query(f"""WITH a AS ({_grams(4, 'documents', 'doc_id')}), b AS (SELECT DISTINCT s FROM ({_grams(4, 'benchmark', 'item_id')})), c AS (SELECT DISTINCT doc_id FROM a JOIN b USING (s)), w AS (SELECT doc_id, {NARR.format('text')} AS w FROM documents)
+@query(f"""WITH a AS ({_grams(4, 'documents', 'doc_id', LEXICAL)}), b AS (SELECT DISTINCT s FROM ({_grams(4, 'benchmark', 'item_id', LEXICAL)})), c AS (SELECT DISTINCT doc_id FROM a JOIN b USING (s)), w AS (SELECT doc_id, {NARR.format('text')} AS w FROM documents)
 SELECT w.doc_id, array_to_string(list_sort(list_filter([CASE WHEN w NOT BETWEEN 115 AND 125 OR w.doc_id % 5 = 0 THEN 'WORDS' END, CASE WHEN greatest(0.6, round(w / 2.2, 2)) NOT BETWEEN 50 AND 60 OR w.doc_id % 7 = 0 THEN 'DURATION' END, CASE WHEN c.doc_id IS NOT NULL THEN 'COPIED' END], lambda x: x IS NOT NULL)), ',') AS codes FROM w LEFT JOIN c ON w.doc_id = c.doc_id""")
 def gat5_narration_contract(t):
     n = T.narration_word_count(F.col("text"))
@@ -197,10 +197,17 @@ def gat5_narration_contract(t):
     return O.narration_contract(stated, t.benchmark, "doc_id", "n", "s", 2.2)
 
 
-@query("SELECT p_partkey, code FROM (SELECT p_partkey, unnest([CASE WHEN p_size NOT BETWEEN 5 AND 45 THEN 'DURATION' END, CASE WHEN p_retailprice < 1000 THEN 'RESOLUTION' END, CASE WHEN p_size * 20 > p_retailprice THEN 'ASPECT' END]) AS code FROM part) WHERE code IS NOT NULL")
+_JOBS = "p_partkey, CASE WHEN p_partkey % 11 > 0 THEN 'renders/' || p_partkey END AS output, p_partkey % 7 > 0 AS there, 1080 + p_size % 3 * 20 AS width, CASE p_partkey % 3 WHEN 0 THEN 1920 WHEN 1 THEN 1270 ELSE 0 END AS height, CASE WHEN p_partkey % 13 > 0 THEN p_size * 2.5 - 5 END AS seconds, 70 AS target"
+
+
+@query(f"""WITH j AS (SELECT {_JOBS} FROM part), s AS (SELECT *, output IS NOT NULL AND there AS seen, coalesce(seconds, 0) <= 0 AS unknown FROM j),
+c AS (SELECT p_partkey, unnest([CASE WHEN output IS NULL THEN 'render.missing' END, CASE WHEN output IS NOT NULL AND NOT there THEN 'render.file_missing' END, CASE WHEN seen AND height > 0 AND abs(width / nullif(height, 0) - 0.5625) > 0.02 THEN 'render.wrong_aspect' END, CASE WHEN seen AND height > 0 AND height < 1280 THEN 'render.low_resolution' END,
+CASE WHEN seen AND (height = 0 OR height = 1920 AND abs(width / nullif(height, 0) - 0.5625) <= 0.02) THEN 'render.ok' END, CASE WHEN unknown THEN 'duration.unknown' END, CASE WHEN NOT unknown AND seconds > 90 THEN 'duration.too_long' END, CASE WHEN NOT unknown AND seconds <= 90 AND seconds > 80.5 THEN 'duration.over_target' END,
+CASE WHEN NOT unknown AND seconds < 60 THEN 'duration.too_short' END, CASE WHEN NOT unknown AND seconds BETWEEN 60 AND 80.5 THEN 'duration.ok' END]) AS code FROM s)
+SELECT p_partkey, code, CASE WHEN code IN ('render.ok', 'duration.ok') THEN 'info' WHEN code IN ('render.low_resolution', 'duration.over_target', 'duration.too_short') THEN 'warning' ELSE 'error' END AS severity, code IN ('render.ok', 'duration.ok') AS passed FROM c WHERE code IS NOT NULL""")
 def gat7_output_checks(t):
-    codes = "array_compact(array(if(p_size not between 5 and 45, 'DURATION', null), if(p_retailprice < 1000, 'RESOLUTION', null), if(p_size * 20 > p_retailprice, 'ASPECT', null)))"
-    return t.part.selectExpr("p_partkey", f"explode({codes}) as code")
+    jobs = t.part.selectExpr("p_partkey", "if(p_partkey % 11 > 0, concat('renders/', p_partkey), null) as output", "p_partkey % 7 > 0 as there", "1080 + p_size % 3 * 20 as width", "case p_partkey % 3 when 0 then 1920 when 1 then 1270 else 0 end as height", "if(p_partkey % 13 > 0, p_size * 2.5D - 5, null) as seconds", "70 as target")
+    return R.output_checks(jobs, "p_partkey", "output", "there", "width", "height", "seconds", "target")
 
 
 @query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'other' END AS kind, 'aaaa,b' AS tags, substring('event ' || event_id, 1, 8) AS title FROM events".replace("'aaaa,b'", "'aaaaaaaa,b'"))

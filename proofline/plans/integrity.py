@@ -68,7 +68,8 @@ def joi13_unshared_blobs(t):
     return I.unshared_blobs(t.documents.withColumn("blob", F.md5(F.col("text").cast("binary"))), "source", F.col("source").isin("src1", "src2", "src3"), "blob")
 
 
-@query("WITH s AS (SELECT l_orderkey, sha256(array_to_string(list_sort(list(DISTINCT CAST(l_suppkey % 4 AS VARCHAR))), ',')) AS set_hash FROM lineitem GROUP BY l_orderkey) SELECT set_hash, min(l_orderkey) AS l_orderkey FROM s WHERE set_hash IN (SELECT set_hash FROM s WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)) GROUP BY set_hash")
+@query("""WITH m AS (SELECT DISTINCT l_orderkey, md5(CAST(l_suppkey % 4 AS VARCHAR)) AS h FROM lineitem), s AS (SELECT l_orderkey, sha256(count(*) || ':' || sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) || ':' || sum(CAST('0x' || substr(h, 16, 15) AS BIGINT))) AS set_hash FROM m GROUP BY l_orderkey)
+SELECT set_hash, min(l_orderkey) AS l_orderkey FROM s WHERE set_hash IN (SELECT set_hash FROM s WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)) GROUP BY set_hash""")
 def joi14_same_set_match(t):
     members = t.lineitem.withColumn("m", F.col("l_suppkey") % 4)
     return I.same_set_match(members, members.join(members.filter("l_quantity > 49").select("l_orderkey"), "l_orderkey", "left_semi"), "l_orderkey", "m", "l_orderkey")
@@ -179,9 +180,10 @@ def agg18_missing_sections(t):
     return I.missing_sections(t.nation, allowed, t.orders.filter("o_totalprice > 440000").withColumnRenamed("o_custkey", "beat"), "n_nationkey", "beat")
 
 
-@query(r"SELECT token, count(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS ids FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM documents) GROUP BY token")
+@query(r"""WITH p AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM documents), k AS (SELECT *, (row_number() OVER (PARTITION BY token ORDER BY doc_id) - 1) // 64 AS block FROM p)
+SELECT token, block, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last, string_agg(doc_id, ',' ORDER BY doc_id) AS ids FROM k GROUP BY token, block""")
 def agg19_inverted_index(t):
-    return I.inverted_index(t.documents.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")), "token", "doc_id")
+    return I.inverted_index(t.documents.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")), "token", "doc_id", 64)
 
 
 @query("""WITH c AS (SELECT l_partkey % 2000 AS id, l_orderkey % 50 AS chunk, l_suppkey % 2 AS payload FROM lineitem), g AS (SELECT id, min(chunk) AS a, max(chunk) AS b, count(DISTINCT chunk) AS n, count(DISTINCT payload) AS p FROM c GROUP BY id HAVING count(DISTINCT chunk) > 1)

@@ -19,6 +19,7 @@ UNWRAP = f"array_to_string(list_filter(list_transform({WRAPPED}, lambda p: {STRI
 SENT = f"list_filter(list_transform({PIECES.format(UNWRAP)}, lambda s: {STRIP.format('s')}), lambda s: length(s) > 12)"
 SENT0 = f"list_filter(list_transform({PIECES.format('text')}, lambda s: trim(s)), lambda s: length(s) > 0)"
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+LEXICAL = r"regexp_extract_all(replace(replace(lower(replace(upper(replace(text, 'ı', chr(57344))), 'ẞ', 'SS')), 'ς', 'σ'), chr(57344), 'ı'), '[\p{L}\p{N}]+')"
 NARR = "len(regexp_extract_all({}, '[A-Za-z0-9]+(?:[''’][A-Za-z0-9]+)?'))"
 DISPLAY = r"replace(upper(trim(regexp_replace(regexp_replace({}, '[^\p{{L}}\p{{N}}\s]', '', 'g'), '\s+', ' ', 'g'))), 'ẞ', 'SS')"
 
@@ -219,11 +220,11 @@ def agg4_style_report(t):
     return O.style_report(t.documents, "doc_id", ["that", "with", "que"])
 
 
-def _grams(n: int, tab: str, key: str) -> str:
-    return f"SELECT DISTINCT {key}, array_to_string(ws[i : i + {n - 1}], ' ') AS s FROM (SELECT {key}, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM (SELECT {key}, {TOKENS} AS ws FROM {tab}) WHERE len(ws) >= {n})"
+def _grams(n: int, tab: str, key: str, words: str = TOKENS) -> str:
+    return f"SELECT DISTINCT {key}, array_to_string(ws[i : i + {n - 1}], ' ') AS s FROM (SELECT {key}, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM (SELECT {key}, {words} AS ws FROM {tab}) WHERE len(ws) >= {n})"
 
 
-@query(f"""{_REPORT}, ca AS ({_grams(4, 'documents', 'doc_id')}), cb AS (SELECT DISTINCT s FROM ({_grams(4, 'benchmark', 'item_id')})), fl AS (SELECT doc_id, 'GENERIC_HYPE' AS code FROM documents WHERE contains(lower(text), 'queen') OR contains(text, '***') UNION SELECT doc_id, 'CTA' FROM documents WHERE regexp_matches(text, '(?i)released under|@')
+@query(f"""{_REPORT}, ca AS ({_grams(4, 'documents', 'doc_id', LEXICAL)}), cb AS (SELECT DISTINCT s FROM ({_grams(4, 'benchmark', 'item_id', LEXICAL)})), fl AS (SELECT doc_id, 'GENERIC_HYPE' AS code FROM documents WHERE contains(lower(text), 'queen') OR contains(text, '***') UNION SELECT doc_id, 'CTA' FROM documents WHERE regexp_matches(text, '(?i)released under|@')
 UNION SELECT doc_id, 'DIALOGUE_COPIED' FROM ca JOIN cb USING (s) UNION SELECT doc_id, 'EVIDENCE_MISSING' FROM labels WHERE quality = 0 UNION SELECT doc_id, 'UNSUPPORTED_CLAIM' FROM documents WHERE doc_id % 4 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels) UNION SELECT doc_id, 'INTERPRETATION_UNQUALIFIED' FROM labels WHERE toxic = 1),
 fs AS (SELECT doc_id, list(code) AS told FROM fl GROUP BY doc_id)
 SELECT g.doc_id, array_to_string(list_sort(list_filter([CASE WHEN n_sentences > 0 AND length_variance = 0 THEN 'RHYTHM' END, CASE WHEN repeated_openings > 0 OR repeated_sentences > 0 THEN 'TEMPLATE_RISK' END] || coalesce(told, []), lambda x: x IS NOT NULL)), ',') AS codes FROM g LEFT JOIN fs ON g.doc_id = fs.doc_id""")
@@ -243,6 +244,6 @@ def joi2_shingle_overlap(t):
     return O.shingle_overlap(t.documents, t.benchmark, "doc_id")
 
 
-@query(f"""WITH a AS ({_grams(4, 'documents', 'doc_id')}), b AS (SELECT DISTINCT s FROM ({_grams(4, 'benchmark', 'item_id')})), c AS (SELECT DISTINCT doc_id FROM a JOIN b USING (s)) SELECT doc_id, c.doc_id IS NOT NULL AS copied FROM documents LEFT JOIN c USING (doc_id)""".replace("SELECT doc_id, c.doc_id", "SELECT documents.doc_id, c.doc_id"))
+@query(f"""WITH a AS ({_grams(4, 'documents', 'doc_id', LEXICAL)}), b AS (SELECT DISTINCT s FROM ({_grams(4, 'benchmark', 'item_id', LEXICAL)})), c AS (SELECT DISTINCT doc_id FROM a JOIN b USING (s)) SELECT doc_id, c.doc_id IS NOT NULL AS copied FROM documents LEFT JOIN c USING (doc_id)""".replace("SELECT doc_id, c.doc_id", "SELECT documents.doc_id, c.doc_id"))
 def joi3_copied_ngram_exists(t):
     return O.copied_ngram_exists(t.documents, t.benchmark, "doc_id")
