@@ -76,16 +76,17 @@ class SuffixAutomaton:
         return out
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+def removed_spans(docs: DataFrame, length: int = LENGTH, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """The groups of docs, and (g, row, begin, end): maximal word spans covered by windows that a smaller document starts.
 
     References are the passages of the first document that holds them, so that each distinct repeated window stands in
     one shard; shards hold the first documents by hash. A document visits the shards its repeated windows come from,
     and passages that very many groups ask for are dealt over copies of their shard. The automaton compares words
-    themselves, so that a chance equality of hashes removes nothing.
+    themselves, so that a chance equality of hashes removes nothing; windows whose first hash (its upper bits) is equal are
+    told apart by a second one, so that each finds its own first holder.
     """
     groups, buckets = dealt(docs)
-    scheme = Scheme(length, min(8, length), min(8, length))
+    scheme = Scheme(length, min(8, length), min(8, length), bits)
     found = repeated_anchors(groups, buckets, scheme)
     answers = answered(found, repeated_windows(groups, buckets, scheme, found))
     shards = 4 * buckets

@@ -15,7 +15,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.arrays import Words, bucket_of, cuts, sliding, split, windows
+from proofline.llm.arrays import Words, bucket_of, cuts, mixed, sliding, split, windows
 
 LAST = np.iinfo(np.int64).max
 #: A window's candidates are salted so that this many groups share a salt.
@@ -26,12 +26,14 @@ SALT_GROUPS = 16
 class Scheme:
     """Windows of length words. An anchor is a minimiser of gram words, and its key hashes the reach words from it on.
 
-    Each window holds the anchors of its first length - reach + 1 words whole, so that equal windows share an anchor.
+    Each window holds the anchors of its first length - reach + 1 words whole, so that equal windows share an anchor. A window
+    is told by two hashes, of 64 and 32 bits; bits says how many of the first are kept, and fewer than all only serve tests.
     """
 
     length: int
     gram: int
     reach: int
+    bits: int = 64
 
     @property
     def span(self) -> int:
@@ -129,11 +131,29 @@ def candidates(words: Words, scheme: Scheme, answers: pa.Table, buckets: int) ->
     return words.fits(scheme.length) & (sums[np.minimum(place + scheme.span, len(words.hash))] > sums[place])
 
 
-def _asked(words: Words, scheme: Scheme, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the candidate windows, each with the index of its hash among the group's, and these hashes, sorted."""
+def _asked(words: Words, scheme: Scheme, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the candidate windows, each with the index of its key among the group's, and these keys, sorted: two hashes each."""
     at = np.flatnonzero(flags)
-    keys, inverse = np.unique(windows(words.hash, scheme.length)[at] if len(at) else np.zeros(0, np.uint64), return_inverse=True)
-    return at, inverse, keys
+    if not len(at):
+        return at, at, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    key = windows(words.hash, scheme.length)[at] >> np.uint64(64 - scheme.bits) << np.uint64(64 - scheme.bits)
+    first, inverse, _ = distinct_pairs(key, second_hash(words, scheme.length)[at])
+    return at, inverse, *(x[first] for x in (key, second_hash(words, scheme.length)[at]))
+
+
+def second_hash(words: Words, n: int) -> np.ndarray:
+    """A hash of the n words from each word on that does not hang on the first one."""
+    return (windows(mixed(words.hash ^ np.uint64(0x5851F42D4C957F2D)), n) >> np.uint64(32)).astype(np.uint32)
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs: the place of one of each kind, in order, the kind of each pair, and how many there are of each kind."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    kind = np.empty(len(a), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return order[new], kind, np.diff(np.append(np.flatnonzero(new), len(a)))
 
 
 def repeated_windows(groups: DataFrame, buckets: int, scheme: Scheme, found: DataFrame) -> DataFrame:
@@ -148,7 +168,7 @@ def repeated_windows(groups: DataFrame, buckets: int, scheme: Scheme, found: Dat
             return _empty_ask
         table, texts = texts_of(table)
         words = split(texts)
-        at, inverse, keys = _asked(words, scheme, candidates(words, scheme, answers, buckets))
+        at, inverse, keys, checks = _asked(words, scheme, candidates(words, scheme, answers, buckets))
         ids = table["id"].to_numpy()[words.doc[at]] if len(at) else np.zeros(0, np.int64)
         low, high = np.full(len(keys), LAST), np.full(len(keys), np.iinfo(np.int64).min)
         np.minimum.at(low, inverse, ids)
@@ -156,19 +176,20 @@ def repeated_windows(groups: DataFrame, buckets: int, scheme: Scheme, found: Dat
         cut = cuts(keys, buckets)
         rows = [(b, slice(cut[b], cut[b + 1])) for b in np.flatnonzero(np.diff(cut))]
         return pa.table({
-            "g": pa.array([key[0].as_py()] * len(rows), pa.int32()), "bucket": pa.array([b for b, _ in rows], pa.int32()), "keys": pa.array([_blob(keys[s]) for _, s in rows], pa.binary()),
+            "g": pa.array([key[0].as_py()] * len(rows), pa.int32()), "bucket": pa.array([b for b, _ in rows], pa.int32()), "keys": pa.array([_blob(keys[s]) for _, s in rows], pa.binary()), "checks": pa.array([_blob(checks[s]) for _, s in rows], pa.binary()),
             "low": pa.array([_blob(low[s]) for _, s in rows], pa.binary()), "many": pa.array([_blob(np.packbits(low[s] != high[s])) for _, s in rows], pa.binary()),
         })
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         asked = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
         many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8))[: len(k)] for m, k in zip(table["many"].to_pylist(), asked)]).astype(bool)
-        unique, inverse, count = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
-        least = np.full(len(unique), LAST)
+        checks = np.concatenate([np.frombuffer(c, np.uint32) for c in table["checks"].to_pylist()])
+        first, inverse, count = distinct_pairs(np.concatenate(asked), checks)
+        least = np.full(len(first), LAST)
         np.minimum.at(least, inverse, np.concatenate([np.frombuffer(k, np.int64) for k in table["low"].to_pylist()]))
         more = count > 1
         more[inverse[many]] = True
-        salts = np.ones(len(unique), np.int32)
+        salts = np.ones(len(first), np.int32)
         hot = count > SALT_GROUPS
         salts[hot] = 4 ** np.ceil(np.log2(count[hot] / SALT_GROUPS) / 2).astype(np.int32)
         out: dict[str, list] = {"mask": [], "least": [], "salts": []}
@@ -182,11 +203,11 @@ def repeated_windows(groups: DataFrame, buckets: int, scheme: Scheme, found: Dat
         full = pa.table({"g": table["g"], "bucket": table["bucket"]} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
         return full.filter(pa.array([bool(x) for x in out["least"]], pa.bool_()))
 
-    asked = groups.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(ask, "g int, bucket int, keys binary, low binary, many binary")
+    asked = groups.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(ask, "g int, bucket int, keys binary, checks binary, low binary, many binary")
     return asked.groupBy("bucket").applyInArrow(answer, "g int, bucket int, mask binary, least binary, salts binary")
 
 
-_empty_ask = pa.table({"g": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "low": pa.array([], pa.binary()), "many": pa.array([], pa.binary())})
+_empty_ask = pa.table({"g": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "checks": pa.array([], pa.binary()), "low": pa.array([], pa.binary()), "many": pa.array([], pa.binary())})
 
 
 def first_holders(words: Words, scheme: Scheme, flags: np.ndarray, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,7 +215,7 @@ def first_holders(words: Words, scheme: Scheme, flags: np.ndarray, answers: pa.T
 
     answers has the rows of repeated_windows for the group, flags its candidates.
     """
-    at, inverse, keys = _asked(words, scheme, flags)
+    at, inverse, keys, _ = _asked(words, scheme, flags)
     least, salts = np.full(len(keys), LAST), np.zeros(len(keys), np.int32)
     cut = cuts(keys, buckets)
     for b, mask, low, salt in zip(*(answers[c].to_pylist() for c in ("bucket", "mask", "least", "salts"))):

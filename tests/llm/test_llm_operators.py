@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from proofline.llm import automata, decontaminate, minhash, mixing, quality, recurrent, secrets, shards, suffixes, tokens
 from proofline.llm.arrays import runs, split, windows
@@ -430,3 +431,66 @@ def test_windows_agree_with_words():
     hashed = windows(words.hash, 4)
     assert hashed[0] == hashed[7] and hashed[0] != hashed[11]
     assert list(map(list, runs(words.hash == words.hash[0]))) == [[0, 7], [1, 8]]
+
+
+def test_windows_that_share_a_hash_keep_their_first_holders(spark):
+    """With 4 bits of the first hash all windows meet; each still finds the document that holds it first."""
+    rng = random.Random(12)
+    texts = [" ".join(f"t{rng.randrange(10**6)}" for _ in range(40)) for _ in range(4)]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts, "own " + texts[3]])]
+    groups, spans = automata.removed_spans(spark.createDataFrame(rows, "doc_id long, text string"), bits=4)
+    got = {r.doc_id: r.n_removed for r in automata.cut(groups, spans).collect()}
+    assert got == {**dict.fromkeys(range(4), 0), **dict.fromkeys(range(4, 9), 40)}
+
+
+def linked_by_hand(parts, scope):
+    """secrets.linked over all pairs of the parts (kind, start, end) of one text."""
+    told = {k[0]: (k[1], k[5], k[6]) for k in secrets.KINDS}
+    out = []
+    for kind, start, end in parts:
+        rank, part, strong = told[kind]
+        if strong:
+            out.append((start, rank, kind, end))
+            continue
+        beside, over = [], False
+        for other, s, e in parts:
+            r, p, sure = told[other]
+            if (other, s, e) == (kind, start, end):
+                continue
+            first_end = end if (start, rank) < (s, r) else e
+            if max(start, s) - first_end <= scope:
+                over |= sure and p != "endpoint" and start < e and s < end
+                if p != part:
+                    beside.append((p, sure))
+        if not over and (any(sure for _, sure in beside) or len({p for p, _ in beside}) == 2):
+            out.append((start, rank, kind, end))
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out))
+
+
+def test_links_of_random_parts(spark):
+    """Texts of parts and fillers at random distances: spans are those of all pairs of the parts."""
+    rng = random.Random(31)
+    made = {
+        "assign": lambda: "password = " + "".join(rng.choices("abcdef0123", k=10)), "access": lambda: "AKIA" + "".join(rng.choices("ABCDEF0123", k=16)), "hex": lambda: "".join(rng.choices("abcdef0123456789", k=34)),
+    }
+    weak = ["user = alice.b", "account: bob_smith", "login=carol99", "Bearer abcDEF123456ghiJKL789", "bearer tok3nTOK3Ntok3nTOK", "https://api.example.com/v1/x", "host = db.example.org", "https://example.org"]
+    texts = []
+    for _ in range(300):
+        text = []
+        for _ in range(rng.randint(1, 6)):
+            text.append(rng.choice([rng.choice(weak), rng.choice(weak), made[rng.choice(list(made))]()]))
+            text.append("lorem ipsum " * rng.choice([0, 1, 3, 8, 13, 14, 20]))
+        texts.append(" ".join(text))
+    texts += ["", None, texts[0], texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.s for r in secrets.secrets(docs).select("doc_id", secrets.span_text(F.col("secret_spans")).alias("s")).collect()}
+    parts = {}
+    for i, text in enumerate(texts):
+        for kind, _, pattern, group, least, _, _ in secrets.KINDS:
+            for m in re.finditer(pattern.replace("(?i:", "(?i:"), text or ""):
+                if len(m.group(group)) >= least and (kind != "bearer" or re.search("[0-9]", m.group(0)) and re.search("[A-Za-z]", m.group(0))):
+                    parts.setdefault(i, []).append((kind, m.start(), m.end()))
+    want = {i: linked_by_hand(parts.get(i, []), secrets.SCOPE) for i in range(len(texts))}
+    assert got == want
+    kinds = Counter(s.split(":")[0] for t in want.values() if t for s in t.split(","))
+    assert len(kinds) >= 5 and min(kinds.values()) >= 3
