@@ -344,11 +344,19 @@ def prefix_merge(df: DataFrame, chunk: str, ids: list[str]) -> DataFrame:
 
 
 def remap_best(refs: DataFrame, ledger: DataFrame, beat: str, panel: str, blank: str, order: list[str]) -> DataFrame:
-    """(beat, panel, replacement): the ledger row of the same beat with less blank share, by order."""
-    other = ledger.select(beat, F.col(panel).alias("_p"), F.col(blank).alias("_b"), *[F.col(c).alias(f"_{c}") for c in order if c not in (panel, blank)])
-    keys = [F.col("_p") if c == panel else F.col("_b") if c == blank else F.col(f"_{c}") for c in order]
-    joined = refs.join(other, beat).filter((F.col("_b") < F.col(blank)) & (F.col("_p") != F.col(panel)))
-    return joined.groupBy(beat, panel).agg(F.min_by("_p", F.struct(*keys)).alias("replacement"))
+    """(beat, panel, replacement): of another ledger row of the same beat with less blank share the first by order.
+
+    A beat's rows are read once by blank share, with the least of all rows before; a reference to several blank shares counts by
+    the largest. Only references whose own panel is that least row are compared with the rows of their beat one by one.
+    """
+    keys = F.struct(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(order)], F.col(panel).alias("_p"))
+    known = ledger.filter(F.col(blank).isNotNull()).select(F.col(beat).alias("_beat"), F.col(blank).alias("_b"), F.lit(1).alias("_side"), F.lit(None).cast(refs.schema[panel].dataType).alias("_ref"), keys.alias("_key"))
+    asked = refs.filter(F.col(blank).isNotNull()).groupBy(beat, panel).agg(F.max(blank).alias("_b")).select(F.col(beat).alias("_beat"), "_b", F.lit(0).alias("_side"), F.col(panel).alias("_ref"), F.lit(None).cast(known.schema["_key"].dataType).alias("_key"))
+    least = known.unionByName(asked).withColumn("_least", F.expr("min(_key) over (partition by _beat order by _b, _side rows between unbounded preceding and current row)")).filter("_side = 0 and _least is not null")
+    own = least.filter("_least._p = _ref").select("_beat", "_ref", F.col("_b").alias("_top"))
+    other = own.join(known.select("_beat", "_b", "_key"), "_beat").filter("_b < _top and _key._p <> _ref").groupBy("_beat", "_ref").agg(F.min("_key").alias("_least"))
+    found = least.filter("_least._p <> _ref").select("_beat", "_ref", "_least").unionByName(other)
+    return found.select(F.col("_beat").alias(beat), F.col("_ref").alias(panel), F.col("_least._p").alias("replacement"))
 
 
 def job_states(raw: DataFrame, text: str, schema: str) -> DataFrame:

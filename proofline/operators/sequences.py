@@ -458,9 +458,12 @@ def contained_in_one(cues: DataFrame, scenes: DataFrame, width: float, slack: fl
     return c.alias("c").join(s.alias("s"), F.expr(f"c.{P} = s.{P} and c.bucket = s.bucket and c.start_s >= s.ss - {slack} and c.end_s <= s.se + {slack}"), "left_anti").drop("bucket")
 
 
-def export_srt(cues: DataFrame) -> DataFrame:
-    """(project_id, srt): numbered blocks of the cues that are not empty, with HH:MM:SS,mmm times."""
+def export_srt(cues: DataFrame, block: int = 500) -> DataFrame:
+    """(project_id, part, srt): numbered captions of the cues that are not empty, with HH:MM:SS,mmm times, so many to a part.
+
+    The parts of a project, in order and with a blank line between them, are its caption file.
+    """
     stamp = "printf('%02d:%02d:%02d,%03d', cast({0} div 3600000 as int), cast(({0} div 60000) % 60 as int), cast(({0} div 1000) % 60 as int), cast({0} % 1000 as int))"
-    rows = cues.filter("trim(display) <> ''").selectExpr("*", f"row_number() {over()} as n", "cast(round(start_s * 1000) as bigint) as a", "cast(round(end_s * 1000) as bigint) as b")
-    rows = rows.withColumn("block", F.expr(f"concat(n, '\\n', {stamp.format('a')}, ' --> ', {stamp.format('b')}, '\\n', display)"))
-    return rows.groupBy(P).agg(F.expr("array_join(transform(array_sort(collect_list(struct(n, block))), x -> x.block), '\\n\\n')").alias("srt"))
+    rows = placed(cues.filter("trim(display) <> ''"), P, O).selectExpr("*", "_r + 1 as n", "cast(round(start_s * 1000) as bigint) as a", "cast(round(end_s * 1000) as bigint) as b")
+    rows = rows.withColumn("_text", F.expr(f"concat(n, '\\n', {stamp.format('a')}, ' --> ', {stamp.format('b')}, '\\n', display)"))
+    return rows.groupBy(P, F.expr(f"_r div {block}").alias("part")).agg(F.expr("array_join(transform(array_sort(collect_list(struct(n, _text))), x -> x._text), '\\n\\n')").alias("srt"))

@@ -8,6 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
+from proofline.functions.text import normalise_text
 from proofline.plans.gates import policy, quality
 from proofline.plans.gates import GAT2
 from proofline.plans.registry import query
@@ -54,12 +55,20 @@ def src2_scan_media_folder(t):
     return found.filter("size > 0").select(F.regexp_extract("path", "event_type=([a-z_]+)/", 1).alias("event_type"), "suffix", "accepted").distinct()
 
 
-@query(f"SELECT conv_id, {NORM} AS text FROM (SELECT conv_id, chr(9) || text || chr(13) || chr(10) AS text FROM conversations WHERE turn = 0)".replace("WHERE turn = 0", "QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1"))
+_LATIN = r"conv_id % 2 = 1 AND NOT regexp_matches(text, '[^\x00-\xff]') AND regexp_matches(text, '[^\x00-\x7f]')"
+
+
+@query(f"SELECT conv_id, turn, {NORM} AS text, {_LATIN} AS latin FROM (SELECT conv_id, turn, chr(9) || text || chr(13) || chr(10) AS text FROM conversations)")
 def src4_read_text_documents(t):
+    """Each turn is a file; those of every second conversation whose characters all are in Latin-1 are written so."""
     path = place(t, "texts")
-    first = t.conversations.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    first.select("conv_id", F.concat(F.lit("\t"), "text", F.lit("\r")).alias("text")).write.partitionBy("conv_id").text(path)
-    return files.read_text_documents(t.spark, path).select(F.regexp_extract("path", "conv_id=([0-9]+)/", 1).cast("long").alias("conv_id"), "text")
+    latin = (F.col("conv_id") % 2 == 1) & ~F.col("text").rlike(r"[^\x00-\xff]")
+    whole = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"), F.lit("\r\n\t"), "text", F.lit("\r"))
+    rows = t.conversations.select(F.when(latin, F.encode(whole, "ISO-8859-1")).otherwise(F.encode(whole, "UTF-8")).cast("string").alias("value"))
+    rows.write.option("maxRecordsPerFile", 1).text(path)
+    read = files.read_text_documents(t.spark, path)
+    head, text = F.split(F.substring_index("text", "\n", 1), ":"), F.expr("substring(text, instr(text, '\\n') + 1)")
+    return read.select(head[0].cast("long").alias("conv_id"), head[1].cast("long").alias("turn"), normalise_text(text).alias("text"), "latin")
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS path, CASE WHEN conv_id % 7 > 0 THEN 'page' || turn || '.png' END AS entry, CASE WHEN conv_id % 7 > 0 THEN sha256(text) END AS sha256, CASE WHEN conv_id % 7 = 0 THEN 'BAD_ARCHIVE' END AS error FROM conversations WHERE conv_id % 7 > 0 OR turn = 0".replace("OR turn = 0", "QUALIFY conv_id % 7 > 0 OR row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1").replace("WHERE conv_id % 7 > 0 QUALIFY", "QUALIFY"))
@@ -127,7 +136,7 @@ def udf3_register_rules(t):
 @query(f"WITH {GAT2} SELECT 1 AS run, code, severity, count(*) AS findings, count_if(NOT passed) AS failed FROM qf GROUP BY ALL UNION ALL SELECT 2, code, severity, count(*), count(*) FROM qf WHERE NOT passed GROUP BY ALL")
 def gat2_quality_history(t):
     path = place(t, "history")
-    found = quality.findings(t)
+    found = files.scratch_table(quality.findings(t), "findings")
     for run, snapshot in ((1, found.filter("passed")), (2, found.filter("not passed")), (1, found)):
         files.snapshot_run(snapshot, path, run)
     kept = t.spark.read.parquet(path)

@@ -34,7 +34,9 @@ class Rules:
         return rule
 
     def findings(self, t: Tables) -> DataFrame:
-        return I.union_all([rule(t) for rule in self.rules.values()])
+        """What all rules find; the tables that several of them derive are written once."""
+        shared = t.shared()
+        return I.union_all([rule(shared) for rule in self.rules.values()])
 
 
 policy, quality = Rules(), Rules()

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from proofline.sources.files import scratch_table
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -11,8 +15,20 @@ SQL: dict[str, str] = {}
 class Tables:
     """The driver's tables as attributes."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, kept: dict[str, DataFrame] | None = None) -> None:
+        self.spark, self.folder, self.kept = spark, folder, kept
+
+    def shared(self) -> Tables:
+        """The same tables for several queries that are run as one: what they derive alike is written once."""
+        return self if self.kept is not None else Tables(self.spark, self.folder, {})
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """make(), and for shared tables what it gave the first time, from the shared folder."""
+        if self.kept is None:
+            return make()
+        if name not in self.kept:
+            self.kept[name] = scratch_table(make(), name)
+        return self.kept[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -16,6 +16,10 @@ w AS (SELECT project_id, seg, word, """ + DISPLAY + r""" AS display, CAST(row_nu
 
 
 def shots(t):
+    return t.once("shots", lambda: _shots(t))
+
+
+def _shots(t):
     return t.events.selectExpr("user_id as project_id", "event_id", "ts", "cast(row_number() over (partition by user_id order by ts, event_id) as int) as pos", "event_type as mode", "value as dur", "cast(get_json_object(props, '$.k') as int) as asset")
 
 
@@ -24,6 +28,10 @@ def timeline(t, gap=0.0):
 
 
 def timed_words(t):
+    return t.once("words", lambda: _timed_words(t))
+
+
+def _timed_words(t):
     w = t.conversations.select(F.col("conv_id").alias("project_id"), F.col("turn").alias("seg"), F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("k", "word"))
     w = w.selectExpr("project_id", "seg", "word", "cast(row_number() over (partition by project_id order by seg, k) as int) as pos").withColumn("display", T.display_text(F.col("word")))
     return w.selectExpr("*", "cast(pos * 0.4D as double) as start_s", "pos * 0.4D + if(length(word) > 9, 0.45D, 0.3D) as end_s")
@@ -75,6 +83,10 @@ CUES = WORDS + ", cu AS (SELECT project_id, pos, word, display, start_s, least(C
 
 
 def cues(t):
+    return t.once("cues", lambda: _cues(t))
+
+
+def _cues(t):
     return O.build_cues(timed_words(t).select("project_id", "pos", "word", "display", "start_s", "end_s"), 0.38, 90.0)
 
 
@@ -362,6 +374,6 @@ def joi24_contained_in_one(t):
 
 
 @query(f"""WITH {CUES}, n AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY pos) AS n, CAST(round(start_s * 1000) AS BIGINT) AS a, CAST(round(end_s * 1000) AS BIGINT) AS b FROM cu WHERE trim(display) <> '')
-SELECT project_id, string_agg(n || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, (a // 60000) % 60, (a // 1000) % 60, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, (b // 60000) % 60, (b // 1000) % 60, b % 1000) || chr(10) || display, chr(10) || chr(10) ORDER BY n) AS srt FROM n GROUP BY project_id""")
+SELECT project_id, (n - 1) // 40 AS part, string_agg(n || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, (a // 60000) % 60, (a // 1000) % 60, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, (b // 60000) % 60, (b // 1000) % 60, b % 1000) || chr(10) || display, chr(10) || chr(10) ORDER BY n) AS srt FROM n GROUP BY project_id, part""")
 def src11_export_srt(t):
-    return O.export_srt(cues(t))
+    return O.export_srt(cues(t), 40)

@@ -43,9 +43,10 @@ def scan_media_folder(spark: SparkSession, root: str, suffixes: list[str] = IMAG
 
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text): UTF-8, else Latin-1; newlines and blanks are made normal."""
+    """(path, text, latin): UTF-8, else Latin-1 (latin tells which); newlines and blanks are made normal."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return raw.select("path", normalise_text(F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))).alias("text"))
+    told = raw.select("path", "content", F.try_validate_utf8(F.col("content").cast("string")).alias("_utf8"))
+    return told.select("path", normalise_text(F.coalesce("_utf8", F.decode("content", "ISO-8859-1"))).alias("text"), F.col("_utf8").isNull().alias("latin"))
 
 
 def expand_archives(files: DataFrame) -> DataFrame:

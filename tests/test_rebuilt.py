@@ -83,3 +83,36 @@ def test_output_checks(spark):
         5: {"render.ok", "duration.over_target"}, 6: {"render.ok", "duration.unknown"}, 7: {"render.ok", "duration.unknown"}, 8: {"render.missing", "duration.over_target"}, 9: {"render.ok", "duration.ok"}, 10: {"render.file_missing", "duration.unknown"},
     }
     assert R.OUTPUT_SIZE[0] / R.OUTPUT_SIZE[1] == 0.5625 and abs(1118 / 1920 - 0.5625) < 0.02 < abs(1119 / 1920 - 0.5625)  # 0.58229 and 0.58281
+
+
+def test_the_best_replacement_of_a_beat(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b"]), p % 25, rng.choice([0.1, 0.2, 0.2, 0.5, None]), rng.randint(0, 4)) for p in range(60)]
+    df = spark.createDataFrame(rows, "beat string, panel int, blank double, place int").repartition(3)
+    for order in (["blank", "place", "panel"], ["place", "panel"]):
+        key = lambda r: tuple(dict(blank=r[2], place=r[3], panel=r[1])[c] for c in order) + (r[1],)
+        top = {}
+        for beat, panel, blank, _ in rows:
+            if blank is not None:
+                top[beat, panel] = max(top.get((beat, panel), 0.0), blank)
+        best = {(b, p): min((key(r) for r in rows if r[0] == b and r[2] is not None and r[2] < t and r[1] != p), default=None) for (b, p), t in top.items()}
+        assert got(I.remap_best(df, df, "beat", "panel", "blank", order), "beat", "panel", "replacement") == sorted(((b, p, k[-1]) for (b, p), k in best.items() if k), key=repr)
+
+
+def test_a_project_of_many_captions_has_parts(spark):
+    from proofline.operators import sequences as S
+
+    cues = spark.createDataFrame([("p", i, f"L{i}" if i % 5 else " ", i * 1.0, i + 0.5) for i in range(12)], "project_id string, pos int, display string, start_s double, end_s double")
+    parts = sorted(tuple(r) for r in S.export_srt(cues, 4).collect())
+    assert [p for _, p, _ in parts] == [0, 1, 2]
+    whole = "\n\n".join(s for _, _, s in parts)
+    assert whole.startswith("1\n00:00:01,000 --> 00:00:01,500\nL1\n\n2\n") and whole.count(" --> ") == 9 and whole.endswith("9\n00:00:11,000 --> 00:00:11,500\nL11")
+
+
+def test_documents_in_either_encoding(spark, tmp_path):
+    from proofline.sources import files
+
+    (tmp_path / "a.txt").write_bytes("é\r\n  x".encode())
+    (tmp_path / "b.txt").write_bytes("é\r\n  x".encode("latin-1"))
+    found = sorted((r.latin, r.text) for r in files.read_text_documents(spark, str(tmp_path)).collect())
+    assert found == [(False, "é\nx"), (True, "é\nx")]
