@@ -79,9 +79,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, simila
 
     _d and _t name a row as keyed() does. A window has as many words as the item, in lower case (A-Z), and starts at any
     word. The similarity is the weight of common shingles over the weight of all, each weighing its occurrences. Every
-    window that can reach it gets a fingerprint, which is looked up in the item's index: each of BLOCKS blocks under all
-    values with the errors that RADIUS allows, so that every fingerprint within RADIUS is met. Shingle arrays are
-    compared for those alone. An item shorter than a shingle must occur whole. Texts and items without words match nothing.
+    window that can reach it with some item gets a fingerprint, and the index of all items of its size tells which items
+    are near: each of BLOCKS blocks stands there under all values with the errors that RADIUS allows, so that every
+    fingerprint within RADIUS is met. Shingle arrays are compared for those alone. An item shorter than a shingle must
+    occur whole. Texts and items without words match nothing.
     """
     items = benchmark.select("item_id", words(lower_ascii(F.col("text"))).alias("_ws")).filter("size(_ws) > 0")
     items = items.select("item_id", F.size("_ws").alias("_len"), _shingled("_ws", n).alias("_item")).withColumns({"_f": fingerprint("_item"), "_m": F.size("_item")})
@@ -90,15 +91,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, simila
     read = keyed(docs).select(*ROW, words(lower_ascii(F.col("text"))).alias("_ws"))
     wanted = written(candidate_starts(read, long, n), "starts")
     texts = read.join(wanted, ROW).dropDuplicates(ROW).select(*ROW, "_wanted", _shingled("_ws", n).alias("_all"))
-    each = texts.select(*ROW, "_all", F.explode("_wanted").alias("_w")).select(*ROW, "_all", "_w.item_id", "_w._m", F.explode("_w._starts").alias("start"))
-    windows = each.select(*ROW, "item_id", "start", F.expr("slice(_all, start + 1, _m)").alias("_win")).withColumn("_wf", fingerprint("_win"))
-    windows = written(windows, "windows")
-    index = long.select("item_id", "_f", F.posexplode(_blocks("_f")).alias("_block", "_own"))
-    index = index.select("item_id", "_f", "_block", F.explode(near_values("_own", 64 // BLOCKS, RADIUS // BLOCKS)).alias("_value"))
-    probes = windows.select(*ROW, "item_id", "start", "_wf", F.posexplode(_blocks("_wf")).alias("_block", "_value"))
-    met = probes.join(written(index, "index"), ["item_id", "_block", "_value"]).filter(F.bit_count(F.col("_wf").bitwiseXOR(F.col("_f"))) <= RADIUS)
-    met = met.select(*ROW, "item_id", "start").distinct()
-    met = windows.drop("_wf").join(met, [*ROW, "item_id", "start"]).join(long.select("item_id", "_len", "_item"), "item_id")
+    sizes = F.expr("array_distinct(flatten(transform(_wanted, w -> transform(w._starts, s -> named_struct('_m', w._m, 'start', s)))))")
+    each = texts.select(*ROW, "_all", F.explode(sizes).alias("_w")).select(*ROW, "_w._m", "_w.start", F.expr("slice(_all, _w.start + 1, _w._m)").alias("_win"))
+    windows = written(each.withColumn("_wf", fingerprint("_win")), "windows")
+    index = long.select("item_id", "_m", "_f", F.posexplode(_blocks("_f")).alias("_block", "_own"))
+    index = index.select("item_id", "_m", "_f", "_block", F.explode(near_values("_own", 64 // BLOCKS, RADIUS // BLOCKS)).alias("_value"))
+    probes = windows.select(*ROW, "_m", "start", "_wf", F.posexplode(_blocks("_wf")).alias("_block", "_value"))
+    met = probes.join(written(index, "index"), ["_m", "_block", "_value"]).filter(F.bit_count(F.col("_wf").bitwiseXOR(F.col("_f"))) <= RADIUS)
+    met = met.select(*ROW, "_m", "start", "item_id").distinct()
+    met = windows.drop("_wf").join(met, [*ROW, "_m", "start"]).join(long.select("item_id", "_len", "_item"), "item_id")
     count = "size(filter({0}, y -> y = x))"
     both = (
         "case when size(array_distinct(_win)) = size(_win) or size(array_distinct(_item)) = size(_item) then size(array_intersect(_win, _item)) "
