@@ -28,11 +28,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near-duplicates by five-word shingles, the one with the smallest doc_id.
 
     Rows are told apart by doc_id and text: other texts under the same doc_id are documents of their own, and so are
-    texts without a doc_id. Of rows equal in both one stays.
+    texts without a doc_id. Of rows equal in both one stays; two hashes tell whether they are.
     """
     first = minhash.near_duplicates(docs, shingle=5).filter("first").select(F.col("id").alias("_row")).distinct()
-    named = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    return named.join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    named = docs.withColumns({"_row": F.xxhash64("doc_id", "text"), "_own": F.xxhash64(F.lit("own"), "text", "doc_id")})
+    return named.join(first, "_row", "left_semi").dropDuplicates(["_row", "_own"]).drop("_row", "_own")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
