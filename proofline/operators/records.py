@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofline.sources.files import scratch_table
+
 
 def parse_untrusted(df: DataFrame, key: str, payload: str, kinds: list[str], default: str, most: int, longest: int) -> DataFrame:
     """(key, kind, tags, title) of model JSON: lists and strings capped, unknown kinds to default, malformed ones to nulls."""
@@ -96,23 +99,63 @@ def alias_fields(df: DataFrame, key: str, payload: str, names: list[str]) -> Dat
     return df.select(key, F.coalesce(*[F.get_json_object(payload, f"$.{n}") for n in names]).alias("value"))
 
 
+#: What a place ahead adds and at most, and what a place back takes and at most.
+AHEAD, AHEAD_MOST, BACK, BACK_MOST = 0.03, 0.18, 0.25, 2.0
+#: Blocks of positions that make a larger one.
+FAN = 16
+
+
 def score_candidates(spans: DataFrame, candidates: DataFrame, project: str, span: str, candidate: str, weights: dict[str, str], top: int = 3, nearby: int = 6, continuity: float = 0.35) -> DataFrame:
     """(project, span, candidate, score, place): the top candidates of each span of one project; ties go to the smaller candidate.
 
-    spans (project, span, tags array, previous position or null), candidates (project, candidate, quality, position, features).
-    A score is the quality, plus for each tag of the span the expression over features that weights gives it, plus continuity
-    times 1 - distance / nearby (0 at least) from the previous position, plus 0.03 a place ahead (0.18 at most), less 0.25 a
-    place back (2 at most); a span without a previous position counts as near. Spans of one project that share tags and
-    previous position are scored once, and pairs stay inside a project.
+    spans (project, span, tags array, previous position or null), candidates (project, candidate, quality, position, features),
+    positions being whole numbers. A candidate's own score is its quality, plus for each tag of the span that weights names
+    the expression over features, rounded; to that comes continuity times 1 - distance / nearby (0 at least) from the previous
+    position, plus 0.03 a place ahead (0.18 at most), less 0.25 a place back (2 at most); a span without a previous position, or a
+    candidate without one, counts as near. A null quality counts as 0.
+
+    Beyond a few places ahead or back of the previous position all candidates get the same for their place, so only the best
+    of their own score can win. The best of each position, of FAN positions, of FAN times as many, and so on, are kept, top of
+    each; a span looks up the positions around its own and the largest blocks that fill the rest, some dozens whatever the
+    project's size. A project with any share of the rows is spread by its blocks.
     """
-    asked = spans.select(project, F.array_sort(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>")))).alias("_tags"), F.col("previous").alias("_prev"), span)
-    ahead = F.col("position") - F.col("_prev")
-    gap = F.coalesce(F.abs(ahead), F.lit(0))
-    near = F.greatest(F.lit(0.0), 1.0 - gap / F.lit(float(max(1, nearby)))) * continuity
-    order = F.when(ahead < 0, -F.least(F.lit(2.0), -ahead * 0.25)).when(ahead >= 0, F.least(F.lit(0.18), ahead * 0.03)).otherwise(0.0)
+    known = F.array(*map(F.lit, weights)) if weights else F.array().cast("array<string>")
+    asked = spans.select(project, F.array_sort(F.array_intersect(F.coalesce("tags", F.array().cast("array<string>")), known)).alias("_tags"), F.col("previous").cast("long").alias("_prev"), span)
     semantic = sum((F.when(F.array_contains("_tags", tag), F.expr(f"({weight})")).otherwise(0.0) for tag, weight in weights.items()), F.lit(0.0))
-    score = F.round(F.col("quality") + F.round(semantic, 3) + near + order, 6)
-    pairs = asked.select(project, "_tags", "_prev").distinct().join(candidates, project).withColumn("score", score)
+    limits = candidates.agg(F.min("position").cast("long"), F.max("position").cast("long")).first()
+    low, most = (limits[0] or 0), (limits[1] or 0) - (limits[0] or 0)
+    widths = [1, FAN]
+    while widths[-1] <= most:
+        widths.append(widths[-1] * FAN)
+    nowhere = len(widths)
+
+    def best(rows: DataFrame, level: int, block: Column) -> DataFrame:
+        """The top rows of each block by their own score."""
+        told = rows.withColumns({"_level": F.lit(level), "_block": block})
+        return told.withColumn("_k", F.expr(f"row_number() over (partition by {project}, _tags, _block order by _base desc, {candidate})")).filter(F.col("_k") <= top).drop("_k")
+
+    kinds = asked.select(project, "_tags").distinct()
+    rows = kinds.join(candidates, project).select(project, "_tags", candidate, F.col("position").cast("long").alias("_at"), F.round(F.coalesce("quality", F.lit(0.0)) + F.round(semantic, 3), 6).alias("_base"))
+    levels = [scratch_table(best(rows.filter("_at is not null"), 0, F.col("_at") - low), "positions")]
+    for level, width in enumerate(widths[1:], 1):
+        levels.append(best(levels[-1], level, F.expr(f"(_at - {low}L) div {width}L")))
+    tops = reduce(lambda x, y: x.unionByName(y), [*levels, best(rows.filter("_at is null"), nowhere, F.lit(0).cast("long"))])
+
+    ahead, back = max(nearby, math.ceil(AHEAD_MOST / AHEAD)), max(nearby, math.ceil(BACK_MOST / BACK))
+    between = lambda level, first, last: f"if({first} <= {last}, transform(sequence({first}, {last}), b -> named_struct('l', {level}, 'b', b)), array())"
+    x, y = f"greatest(0L, _prev - {low}L + {ahead})", f"least({most}L, _prev - {low}L - {back})"
+    looked = [between(0, f"greatest(0L, _prev - {low}L - {back - 1})", f"least({most}L, _prev - {low}L + {ahead - 1})")]
+    for level, (width, wider) in enumerate(zip(widths, widths[1:])):
+        looked.append(between(level, x if level == 0 else f"{x} div {width} + 1", f"least(({x} div {wider} + 1) * {FAN} - 1, {most}L div {width})"))
+        looked.append(f"if({y} < 0, array(), {between(level, f'{y} div {wider} * {FAN}', y if level == 0 else f'{y} div {width} - 1')})")
+    all_of_it = f"array(named_struct('l', {len(widths) - 1}, 'b', 0L))"
+    places = F.expr(f"concat(if(_prev is null, {all_of_it}, concat({', '.join(looked)})), array(named_struct('l', {nowhere}, 'b', 0L)))")
+    wanted = asked.select(project, "_tags", "_prev").distinct().withColumn("_x", F.explode(places)).select(project, "_tags", "_prev", F.col("_x.l").alias("_level"), F.col("_x.b").alias("_block"))
+
+    step = F.col("_at") - F.col("_prev")
+    near = F.greatest(F.lit(0.0), 1.0 - F.coalesce(F.abs(step), F.lit(0)) / F.lit(float(max(1, nearby)))) * continuity
+    order = F.when(step < 0, -F.least(F.lit(BACK_MOST), -step * BACK)).when(step >= 0, F.least(F.lit(AHEAD_MOST), step * AHEAD)).otherwise(0.0)
+    pairs = wanted.join(tops, [project, "_tags", "_level", "_block"]).withColumn("score", F.round(F.col("_base") + near + order, 6))
     kept = pairs.withColumn("place", F.expr(f"row_number() over (partition by {project}, _tags, _prev order by score desc, {candidate})")).filter(F.col("place") <= top)
     found = kept.select(F.col(project).alias("_p"), F.col("_tags").alias("_t"), F.col("_prev").alias("_v"), candidate, "score", "place")
     return asked.join(found, F.expr(f"{project} = _p and _tags = _t and _prev <=> _v")).select(project, span, candidate, "score", "place")

@@ -265,7 +265,7 @@ def jsn6_alias_fields(t):
 
 
 @query("""SELECT conv_id, turn, doc, score, place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, doc) AS place FROM (SELECT s.conv_id, s.turn, c.turn AS doc,
-round(c.q + round(CASE WHEN s.role = 'user' THEN 3 * c.close ELSE 0 END + CASE WHEN s.role = 'assistant' THEN 2.5 * (c.close + c.q) ELSE 0 END + CASE WHEN s.turn % 3 = 0 THEN 1.5 * c.q ELSE 0 END, 3)
+round(round(c.q + round(CASE WHEN s.role = 'user' THEN 3 * c.close ELSE 0 END + CASE WHEN s.role = 'assistant' THEN 2.5 * (c.close + c.q) ELSE 0 END + CASE WHEN s.turn % 3 = 0 THEN 1.5 * c.q ELSE 0 END, 3), 6)
 + 0.35 * greatest(0, 1 - CASE WHEN s.turn > 0 THEN abs(c.turn - s.turn + 1) ELSE 0 END / 6.0::DOUBLE) + CASE WHEN s.turn = 0 THEN 0 WHEN c.turn < s.turn - 1 THEN -least(2.0, (s.turn - 1 - c.turn) * 0.25::DOUBLE) ELSE least(0.18, (c.turn - s.turn + 1) * 0.03::DOUBLE) END, 6) AS score
 FROM conversations s JOIN (SELECT conv_id, turn, length(text) % 97 / 100::DOUBLE AS q, length(text) % 11 / 10::DOUBLE AS close FROM conversations) c ON s.conv_id = c.conv_id)) WHERE place <= 3""")
 def joi21_score_candidates(t):

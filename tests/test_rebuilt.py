@@ -116,3 +116,27 @@ def test_documents_in_either_encoding(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes("é\r\n  x".encode("latin-1"))
     found = sorted((r.latin, r.text) for r in files.read_text_documents(spark, str(tmp_path)).collect())
     assert found == [(False, "é\nx"), (True, "é\nx")]
+
+
+def test_best_candidates_are_those_of_all_pairs(spark):
+    """Positions from few to thousands, so that spans look up blocks of all sizes; ties, nulls and a project without spans."""
+    rng = random.Random(6)
+    candidates, spans = [], []
+    for project, reach in ((1, 3), (2, 60), (3, 5000), (4, 1), (5, 40)):
+        n = 6 if reach < 5 else 150
+        candidates += [(project, 1000 * project + i, rng.choice([0.5, 1.0, 1.5, 2.0, 2.5, None]), rng.choice([rng.randint(0, reach), rng.randint(0, reach), None]) if i % 9 == 0 else rng.randint(0, reach), rng.choice([0.0, 0.2])) for i in range(n)]
+        if project != 5:
+            spans += [(project, i, rng.choice([["w"], [], None, ["w", "x"]]), rng.choice([None, rng.randint(-20, reach + 20), rng.randint(0, reach)])) for i in range(25)]
+    want = []
+    for project, span, tags, prev in spans:
+        scored = []
+        for p, c, quality, at, arms in candidates:
+            if p == project:
+                base = round((quality or 0.0) + round(2.5 * arms if "w" in (tags or []) else 0.0, 3), 6)
+                step = None if prev is None or at is None else at - prev
+                near = max(0.0, 1.0 - abs(step or 0) / 6.0) * 0.35
+                scored.append((-round(base + near + (0.0 if step is None else -min(2.0, -step * 0.25) if step < 0 else min(0.18, step * 0.03)), 6), c))
+        want += [(project, span, c, round(-s, 6), k) for k, (s, c) in enumerate(sorted(scored)[:3], 1)]
+    frame = spark.createDataFrame(spans, "p int, s int, tags array<string>, previous int"), spark.createDataFrame(candidates, "p int, c int, quality double, position int, arms double")
+    found = R.score_candidates(*frame, "p", "s", "c", {"w": "2.5 * arms"}).collect()
+    assert sorted((r.p, r.s, r.c, round(r.score, 5), r.place) for r in found) == sorted((p, s, c, round(v, 5), k) for p, s, c, v, k in want)
