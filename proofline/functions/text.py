@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from proofline.functions import lexicons as L
+
 # A narration word is ASCII alphanumeric with at most one inner apostrophe, straight or curled; a sentence
 # ends behind its mark or with its line.
 NARRATION_WORD = r"[A-Za-z0-9]+(?:['’][A-Za-z0-9]+)?"
@@ -119,6 +121,42 @@ def hits(text: Column, words: list[str]) -> Column:
     return F.size(F.array_intersect(F.array_distinct(tokens(text)), F.array(*map(F.lit, words))))
 
 
+def classify_event(text: Column) -> Column:
+    """twist, conflict or cliffhanger, whose cue a sentence has first in this order, else event."""
+    return first_kind(text, [("twist", L.TWIST_CUES), ("conflict", L.CONFLICT_CUES), ("cliffhanger", L.CLIFF_CUES)], "event")
+
+
+def _plain_words(text: Column) -> Column:
+    """The distinct runs of a-z of a text in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0)))
+
+
+def narration_tags(text: Column) -> Column:
+    """Sorted tags whose words a narration has; some words of action are an attack too."""
+    own = _plain_words(text)
+    listed = {**L.TAG_WORDS, "attack": L.ATTACK_WORDS}
+    return F.array_sort(F.array_compact(F.array(*[F.when(F.arrays_overlap(own, F.array(*map(F.lit, words))), F.lit(tag)) for tag, words in listed.items()])))
+
+
+def narration_language(text: Column) -> Column:
+    """en if a narration has more of the English words than of the Indonesian ones, else id."""
+    own = _plain_words(text)
+    many = lambda words: F.size(F.array_intersect(own, F.array(*map(F.lit, words))))
+    return F.when(many(L.ENGLISH) > many(L.INDONESIAN), "en").otherwise("id")
+
+
+def without_reveals(text: Column, level: Column, minimal: str = "minimal") -> Column:
+    """At the minimal level the sentences that give no outcome away, and a tease if none stays; the text itself at others."""
+    kept = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: ~s.rlike(f"(?iU){L.REVEAL}"))
+    cleaned = strip(F.array_join(kept, " "))
+    return F.when(level != minimal, text).when(cleaned == "", L.TEASE).otherwise(cleaned)
+
+
+def has_call(text: Column) -> Column:
+    """Whether a passage calls to the viewer, by any of the patterns."""
+    return folded(text).rlike("|".join(L.CALLS))
+
+
 def shorten(text: Column, n: int) -> Column:
     """The first n words and three dots; the text itself if it has no more."""
     words = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))

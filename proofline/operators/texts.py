@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofline.functions import lexicons as L
 from proofline.functions import text as T
 from proofline.sources.files import scratch_table
 
@@ -316,6 +317,18 @@ def promo_or_hype(df: DataFrame, key: str, calls: str, hype: list[str], text: st
     return df.select(key, F.col(text).rlike(calls).alias("promo"), T.cue_score(F.col(text), hype).alias("hype"))
 
 
+def viewer_calls(df: DataFrame, key: str, project: str, text: str = "text") -> DataFrame:
+    """(key, project, calls, markers, hype, project_hype, project_markers): calls of a passage by the fixed patterns, phrases of
+    calls and of hype that it holds, and how many different ones its project's passages hold together."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    holds = lambda words: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    rows = df.select(key, project, T.has_call(F.coalesce(text, F.lit(""))).alias("calls"), holds(L.CALL_MARKERS).alias("_m"), holds(L.HYPE_MARKERS).alias("_h"))
+    together = rows.select(project, F.explode(F.concat(F.transform("_m", lambda w: F.struct(F.lit("m").alias("k"), w.alias("w"))), F.transform("_h", lambda w: F.struct(F.lit("h").alias("k"), w.alias("w"))))).alias("_x")).distinct()
+    counted = together.groupBy(F.col(project).alias("_p")).agg(F.count_if(F.col("_x.k") == "h").alias("project_hype"), F.count_if(F.col("_x.k") == "m").alias("project_markers"))
+    told = rows.join(counted, F.col(project).eqNullSafe(F.col("_p")), "left")
+    return told.select(key, project, "calls", F.size("_m").alias("markers"), F.size("_h").alias("hype"), F.coalesce("project_hype", F.lit(0)).alias("project_hype"), F.coalesce("project_markers", F.lit(0)).alias("project_markers"))
+
+
 def draft_metadata(df: DataFrame, project: str, order: str, text: str, credit: str, title: int = 60, lead: int = 280, most: int = 15) -> DataFrame:
     """One row for each project: capped title and lead of its first text, sorted distinct credits, the first distinct tags."""
     first = F.min_by(text, order)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from proofline.functions import lexicons as L
 from proofline.functions import text as T
 from proofline.operators import integrity as I
 from proofline.operators import texts as O
@@ -34,10 +36,27 @@ scalar("txt1_normalise_text", T.normalise_text, NORM)
 scalar("txt2_unwrap_paragraphs", T.unwrap_paragraphs, UNWRAP)
 scalar("txt6_display_text", T.display_text, DISPLAY.format("text"))
 scalar("txt9_cue_score", lambda c: T.cue_score(c, ["there", "where", "que"]), "CAST(contains(lower(text), 'there') AS INT) + CAST(contains(lower(text), 'where') AS INT) + CAST(contains(lower(text), 'que') AS INT)")
-scalar("txt10_classify_event", lambda c: T.first_kind(c, [("twist", ["token"]), ("conflict", ["license", "licence"]), ("cliffhanger", ["queen"])], "event"), "CASE WHEN contains(lower(text), 'token') THEN 'twist' WHEN contains(lower(text), 'license') OR contains(lower(text), 'licence') THEN 'conflict' WHEN contains(lower(text), 'queen') THEN 'cliffhanger' ELSE 'event' END")
-scalar("txt12_topic_tags", lambda c: F.array_join(T.tags(c, {"time": ["was", "are"], "place": ["from", "at"], "romance": ["des", "del"]}, {"time": "story"}), ","), f"array_to_string(list_sort(list_filter([CASE WHEN list_has_any({TOKENS}, ['was', 'are']) THEN 'time' END, CASE WHEN list_has_any({TOKENS}, ['was', 'are']) THEN 'story' END, CASE WHEN list_has_any({TOKENS}, ['from', 'at']) THEN 'place' END, CASE WHEN list_has_any({TOKENS}, ['des', 'del']) THEN 'romance' END], lambda x: x IS NOT NULL)), ',')", "conversations", "conv_id, turn")
-scalar("txt15_guess_language", lambda c: F.when(T.hits(c, ["the", "of", "and", "is"]) > T.hits(c, ["de", "la", "les", "et"]), "en").when(T.hits(c, ["the", "of", "and", "is"]) < T.hits(c, ["de", "la", "les", "et"]), "fr").otherwise("unknown"), f"CASE WHEN len(list_intersect({TOKENS}, ['the', 'of', 'and', 'is'])) > len(list_intersect({TOKENS}, ['de', 'la', 'les', 'et'])) THEN 'en' WHEN len(list_intersect({TOKENS}, ['the', 'of', 'and', 'is'])) < len(list_intersect({TOKENS}, ['de', 'la', 'les', 'et'])) THEN 'fr' ELSE 'unknown' END")
-scalar("txt18_drop_reveal_sentences", lambda c: T.drop_reveals(c, "(?i)the", "More inside."), f"CASE WHEN len(list_filter({SENT0}, lambda s: NOT regexp_matches(s, '(?i)the'))) = 0 THEN 'More inside.' ELSE array_to_string(list_filter({SENT0}, lambda s: NOT regexp_matches(s, '(?i)the')), ' ') END")
+#: A phrase for each row by its number, behind its text, so that each branch of a rule has rows.
+PHRASES = ["It turns out so.", "They must go.", "Suddenly, he left.", "", "He ran with a sword and hit the dragon.", "Subscribe! An epic battle.", "Orang itu dan yang ini sudah pergi dari pada akan untuk karena."]
+SAID = "text || ' ' || " + repr(PHRASES) + "[{} % 7 + 1]"
+
+
+def said(key: str) -> Column:
+    return F.concat(F.col("text"), F.lit(" "), F.get(F.array(*map(F.lit, PHRASES)), (F.col(key) % 7).cast("int")))
+
+
+def _has(words: list[str], text: str) -> str:
+    return "(" + " OR ".join(f"contains(lower({text}), '{w}')" for w in words) + ")"
+
+
+_PLAIN = "list_distinct(regexp_extract_all(lower({}), '[a-z]+'))"
+_DOC, _TURN = SAID.format("doc_id"), SAID.format("conv_id")
+scalar("txt10_classify_event", lambda _: T.classify_event(said("doc_id")), f"CASE WHEN {_has(L.TWIST_CUES, _DOC)} THEN 'twist' WHEN {_has(L.CONFLICT_CUES, _DOC)} THEN 'conflict' WHEN {_has(L.CLIFF_CUES, _DOC)} THEN 'cliffhanger' ELSE 'event' END")
+_TAGGED = ", ".join(f"CASE WHEN list_has_any({_PLAIN.format(_TURN)}, {words!r}) THEN '{tag}' END" for tag, words in {**L.TAG_WORDS, "attack": L.ATTACK_WORDS}.items())
+scalar("txt12_topic_tags", lambda _: F.array_join(T.narration_tags(said("conv_id")), ","), f"array_to_string(list_sort(list_filter([{_TAGGED}], lambda x: x IS NOT NULL)), ',')", "conversations", "conv_id, turn")
+scalar("txt15_guess_language", lambda _: T.narration_language(said("doc_id")), f"CASE WHEN len(list_intersect({_PLAIN.format(_DOC)}, {L.ENGLISH!r})) > len(list_intersect({_PLAIN.format(_DOC)}, {L.INDONESIAN!r})) THEN 'en' ELSE 'id' END")
+_KEPT = rf"trim(array_to_string(list_filter(string_split_regex(regexp_replace({_DOC}, '([.!?])\s+', '\1' || chr(1), 'g'), '\x01'), lambda s: NOT regexp_matches(s, '(?i){L.REVEAL}')), ' '), chr(32) || chr(10))"
+scalar("txt18_drop_reveal_sentences", lambda _: T.without_reveals(said("doc_id"), F.expr("if(doc_id % 4 = 0, 'full', 'minimal')")), f"CASE WHEN doc_id % 4 = 0 THEN {_DOC} WHEN {_KEPT} = '' THEN '{L.TEASE}' ELSE {_KEPT} END")
 scalar("txt20_replace_terms", lambda c: T.replace_terms(c, [("the", "ze"), ("ze", "za"), ("and", "und")]), r"regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bthe\b', 'ze', 'g'), '(?i)\bze\b', 'za', 'g'), '(?i)\band\b', 'und', 'g')")
 scalar("txt22_redact_secrets", lambda c: T.redact(c, ['token = "[0-9a-f]+"', "[A-Za-z0-9.]+@[a-z0-9.]+"]), r"""substring(trim(regexp_replace(regexp_replace(regexp_replace(text, 'token = "[0-9a-f]+"', '[redacted]', 'g'), '[A-Za-z0-9.]+@[a-z0-9.]+', '[redacted]', 'g'), '\s+', ' ', 'g')), 1, 300)""")
 scalar("txt26_strip_code_fence", lambda c: T.strip_code_fence(F.concat(F.lit("```json\n"), c, F.lit("\n```"))), r"regexp_replace(regexp_replace(trim('```json' || chr(10) || text || chr(10) || '```'), '^```[A-Za-z]*\s*', ''), '\s*```$', '')")
@@ -247,3 +266,10 @@ def joi2_shingle_overlap(t):
 @query(f"""WITH a AS ({_grams(4, 'documents', 'doc_id', LEXICAL)}), b AS (SELECT DISTINCT s FROM ({_grams(4, 'benchmark', 'item_id', LEXICAL)})), c AS (SELECT DISTINCT doc_id FROM a JOIN b USING (s)) SELECT doc_id, c.doc_id IS NOT NULL AS copied FROM documents LEFT JOIN c USING (doc_id)""".replace("SELECT doc_id, c.doc_id", "SELECT documents.doc_id, c.doc_id"))
 def joi3_copied_ngram_exists(t):
     return O.copied_ngram_exists(t.documents, t.benchmark, "doc_id")
+
+
+@query(f"""WITH p AS (SELECT doc_id, source, lower({_DOC}) AS t FROM documents), m AS (SELECT *, list_filter({L.CALL_MARKERS!r}, lambda w: contains(t, w)) AS m, list_filter({L.HYPE_MARKERS!r}, lambda w: contains(t, w)) AS h FROM p),
+g AS (SELECT source, len(list_distinct(flatten(list(m)))) AS pm, len(list_distinct(flatten(list(h)))) AS ph FROM m GROUP BY source)
+SELECT doc_id, source, regexp_matches(t, '{"|".join(L.CALLS)}') AS calls, len(m) AS markers, len(h) AS hype, ph AS project_hype, pm AS project_markers FROM m JOIN g USING (source)""")
+def flt5_viewer_calls(t):
+    return O.viewer_calls(t.documents.withColumn("text", said("doc_id")), "doc_id", "source")
