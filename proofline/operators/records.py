@@ -69,6 +69,32 @@ def validate_continuity(chunks: DataFrame, project: str, position: str, chunk: s
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def validate_entities(entities: DataFrame, mentions: DataFrame, expected: DataFrame, project: str, key: str, entity: str = "entity_id", name: str = "name", texts: str = "texts", ids: str = "ids") -> DataFrame:
+    """(project, subject, code) of a continuity ledger's entities and of the motives and state changes that mention them.
+
+    entities: project, entity, name, array of ids; mentions: project, entity, array of texts (a motive's, or what a state
+    changes from and to), array of ids; expected: project, key. NO_ENTITIES for a project without any, BLANK_ENTITY for one
+    without an id or a name, REPEATED_ENTITY for an id used twice, UNKNOWN_ENTITY and BLANK_TEXT for a mention of an id that
+    is no entity's or with a blank text, NO_EVIDENCE for either without ids, UNKNOWN_PANEL for an id that is not expected.
+    """
+    told = lambda df, code, subject=entity: df.select(project, F.col(subject).cast("string").alias("subject"), F.lit(code).alias("code"))
+    blank = lambda c: F.coalesce(F.trim(c.cast("string")) == "", F.lit(True))
+    known = expected.select(project, F.col(key).alias("_id")).distinct()
+    named = entities.select(project, entity).filter(~blank(F.col(entity))).distinct()
+    both = entities.select(project, entity, ids).unionByName(mentions.select(project, entity, ids))
+    seen = both.select(project, F.explode(ids).alias("_id")).distinct()
+    parts = [
+        known.select(project).distinct().join(entities.select(project).distinct(), project, "left_anti").select(project, F.lit("").alias("subject"), F.lit("NO_ENTITIES").alias("code")),
+        told(entities.filter(blank(F.col(entity)) | blank(F.col(name))), "BLANK_ENTITY"),
+        told(entities.filter(~blank(F.col(entity))).groupBy(project, entity).count().filter("count > 1"), "REPEATED_ENTITY"),
+        told(mentions.select(project, entity).distinct().join(named, [project, entity], "left_anti"), "UNKNOWN_ENTITY"),
+        told(mentions.filter(F.coalesce(F.exists(texts, blank), F.lit(True))), "BLANK_TEXT"),
+        told(both.filter(F.coalesce(F.size(ids) < 1, F.lit(True))), "NO_EVIDENCE"),
+        told(seen.join(known, [project, "_id"], "left_anti"), "UNKNOWN_PANEL", "_id"),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def validate_passages(df: DataFrame, project: str, order: str, role: str, text: str, roles: list[tuple[str, int, int]], total: tuple[int, int], ending: str = "?") -> DataFrame:
     """(project, order, code) of passages that should follow roles (role, fewest words, most words) one by one.
 

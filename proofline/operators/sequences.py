@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofline.functions.text import wrap_lines
 from proofline.sources.files import scratch_table
 
 P, O = "project_id", "pos"
@@ -112,18 +113,25 @@ def sentence_groups(words: DataFrame) -> DataFrame:
     )
 
 
-def validate_groups(groups: DataFrame, words: DataFrame, media: float, charset: str, least: int = 1, slack: float = 0.01) -> DataFrame:
+#: Characters of a caption's line, and lines of a caption.
+LINE_WIDTH, LINES = 22, 2
+
+
+def validate_groups(groups: DataFrame, words: DataFrame, media: float, charset: str, least: int = 1, slack: float = 0.01, width: int = LINE_WIDTH, most: int = LINES) -> DataFrame:
     """(project_id, sentence, code) of groups and their words (project_id, sentence, display, start_s, end_s).
 
     FEW_WORDS below least (also for a group without words), OUT_OF_BOUNDS of the media, OVERLAP with the end of the group
     before or an end not after the start, UNCLOSED, WORD_OUTSIDE if a word is not inside its group, CHARSET if a displayed word
-    is not wholly of charset. Times may be off by slack.
+    is not wholly of charset, OVERFLOW if the displayed words, wrapped to lines of width, have more than most lines, or
+    several of which one has a single word. Times may be off by slack.
     """
-    inside = words.groupBy(P, "sentence").agg(F.count("*").alias("_n"), F.min("start_s").alias("_from"), F.max("end_s").alias("_to"), F.expr(f"bool_and(coalesce(display rlike '^(?:{charset})$', false))").alias("_fine"))
+    inside = words.groupBy(P, "sentence").agg(F.count("*").alias("_n"), F.min("start_s").alias("_from"), F.max("end_s").alias("_to"), F.expr(f"bool_and(coalesce(display rlike '^(?:{charset})$', false))").alias("_fine"), F.expr("array_join(transform(array_sort(collect_list(struct(start_s, end_s, display))), x -> x.display), ' ')").alias("_shown"))
+    inside = inside.withColumn("_lines", wrap_lines(F.coalesce("_shown", F.lit("")), width))
     before = f"coalesce(lag(end_s) {over(P, 'sentence')}, 0.0D)"
     rules = {
         "FEW_WORDS": f"coalesce(_n, 0) < {least}", "OUT_OF_BOUNDS": f"start_s < -{slack} or end_s > {media} + {slack}", "OVERLAP": f"start_s < {before} - {slack} or end_s <= start_s", "UNCLOSED": "not closed",
         "WORD_OUTSIDE": f"_from < start_s - {slack} or _to > end_s + {slack}", "CHARSET": "not _fine",
+        "OVERFLOW": f"size(_lines) > {most} or size(_lines) > 1 and exists(_lines, x -> instr(x, ' ') = 0)",
     }
     codes = ", ".join(f"if({rule}, '{code}', null)" for code, rule in rules.items())
     return groups.join(inside, [P, "sentence"], "left").withColumn("_c", F.expr(f"array_compact(array({codes}))")).selectExpr(P, "sentence", "explode(_c) as code")

@@ -245,6 +245,21 @@ def jsn4_validate_continuity(t):
     return R.validate_continuity(chunks, "user_id", "position", "chunk", "ids", e.filter("id <> user_id % 10"), "id", links, ("a", "b"))
 
 
+@query("""WITH e AS (SELECT user_id, event_id, event_type, value, CAST(json_extract(props, '$.k') AS INT) AS k FROM events), x AS (SELECT DISTINCT user_id, k FROM e WHERE k % 10 <> 3),
+n AS (SELECT user_id, CASE WHEN value > 190 THEN 'click' ELSE event_type END AS entity_id, event_type AS name, event_id, k FROM e WHERE event_id % 5 = 0 AND user_id % 11 > 0 AND (value < 100 OR event_type <> 'error')), m AS (SELECT user_id, event_type AS entity_id, k, event_id FROM e WHERE event_id % 5 = 1)
+SELECT DISTINCT user_id, '' AS subject, 'NO_ENTITIES' AS code FROM x WHERE user_id NOT IN (SELECT user_id FROM n)
+UNION ALL SELECT user_id, entity_id, 'BLANK_ENTITY' FROM n WHERE event_id % 7 = 0 UNION ALL SELECT user_id, entity_id, 'REPEATED_ENTITY' FROM n GROUP BY user_id, entity_id HAVING count(*) > 1
+UNION ALL SELECT DISTINCT user_id, entity_id, 'UNKNOWN_ENTITY' FROM m ANTI JOIN n USING (user_id, entity_id) UNION ALL SELECT user_id, entity_id, 'BLANK_TEXT' FROM m WHERE event_id % 9 = 0
+UNION ALL SELECT user_id, entity_id, 'NO_EVIDENCE' FROM (SELECT * FROM n UNION ALL SELECT user_id, entity_id, NULL, event_id, k FROM m) WHERE event_id % 8 = 0
+UNION ALL SELECT user_id, CAST(k AS VARCHAR), 'UNKNOWN_PANEL' FROM (SELECT DISTINCT user_id, k FROM (SELECT user_id, k, event_id FROM n UNION ALL SELECT user_id, k, event_id FROM m) WHERE event_id % 8 > 0) ANTI JOIN x USING (user_id, k)""")
+def jsn4_validate_entities(t):
+    e = t.events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    panels = "if(event_id % 8 = 0, array(), array(k)) as ids"
+    entities = e.filter("event_id % 5 = 0 and user_id % 11 > 0 and (value < 100 or event_type <> 'error')").selectExpr("user_id", "if(value > 190, 'click', event_type) as entity_id", "if(event_id % 7 = 0, ' ', event_type) as name", panels)
+    mentions = e.filter("event_id % 5 = 1").selectExpr("user_id", "event_type as entity_id", "if(event_id % 9 = 0, array('was', ''), array('was', 'is')) as texts", panels)
+    return R.validate_entities(entities, mentions, e.filter("k % 10 <> 3"), "user_id", "k")
+
+
 _ROLES = [("user", 20, 60), ("assistant", 20, 150), ("user", 10, 80), ("assistant", 20, 150)]
 _LEX = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
@@ -285,7 +300,10 @@ def win21_beat_score(t):
     return R.beat_score(t.orders.join(lines, "o_orderkey"), "c", "(o_custkey % 4)", "(o_custkey % 3)", "p").select("o_orderkey", "score")
 
 
-@query(name="win18_byte_bounded_chunks")
+@query("""WITH RECURSIVE d AS (SELECT source, doc_id, octet_length(encode(text)) AS size, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY source) AS n, sum(octet_length(encode(text))) OVER w AS upto FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+e AS (SELECT a.source, a.r, a.n, greatest(a.r + 1, coalesce(max(b.r + 1) FILTER (b.upto - a.upto + a.size <= 20000), 0)) AS ends FROM d a JOIN d b ON a.source = b.source AND b.r BETWEEN a.r AND a.r + 11 GROUP BY a.source, a.r, a.n),
+s AS (SELECT DISTINCT source, CAST(0 AS BIGINT) AS r, 0 AS chunk FROM d UNION ALL SELECT s.source, greatest(ends - 2, s.r + 1), chunk + 1 FROM s JOIN e ON e.source = s.source AND e.r = s.r WHERE ends < n)
+SELECT d.source, doc_id, size, chunk FROM s JOIN e ON e.source = s.source AND e.r = s.r JOIN d ON d.source = s.source AND d.r >= s.r AND d.r < ends""")
 def win18_byte_bounded_chunks(t):
     return C.byte_bounded_chunks(t.documents.select("source", "doc_id", F.octet_length("text").alias("size")), "source", "doc_id", "size", 12, 20000, 2)
 

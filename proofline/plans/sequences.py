@@ -112,8 +112,9 @@ def win9_sentence_groups(t):
 
 
 @query(f"""WITH {GROUPS}, x AS (SELECT *, coalesce(lag(end_s) OVER (PARTITION BY project_id ORDER BY sentence), 0) AS b FROM sg),
-k AS (SELECT project_id, pos, start_s, CASE WHEN pos % 50 = 0 THEN end_s + 1 ELSE end_s END AS end_s, regexp_full_match(display, '[A-Z0-9]+') AS fine FROM tw WHERE pos % 101 <> 0), n AS (SELECT x.project_id, sentence, count(k.pos) AS n, min(k.start_s) AS f, max(k.end_s) AS t, bool_and(fine) AS fine FROM x LEFT JOIN k ON k.project_id = x.project_id AND k.pos >= first_pos AND k.pos < first_pos + n_words GROUP BY ALL)
-SELECT project_id, CAST(sentence AS BIGINT) AS sentence, code FROM (SELECT x.project_id, x.sentence, unnest([CASE WHEN n < 2 THEN 'FEW_WORDS' END, CASE WHEN start_s < -0.01 OR end_s > 80.01 THEN 'OUT_OF_BOUNDS' END, CASE WHEN start_s < b - 0.01 OR end_s <= start_s THEN 'OVERLAP' END, CASE WHEN NOT closed THEN 'UNCLOSED' END, CASE WHEN f < start_s - 0.01 OR t > end_s + 0.01 THEN 'WORD_OUTSIDE' END, CASE WHEN NOT fine THEN 'CHARSET' END]) AS code
+k AS (SELECT project_id, pos, start_s, CASE WHEN pos % 50 = 0 THEN end_s + 1 ELSE end_s END AS end_s, regexp_full_match(display, '[A-Z0-9]+') AS fine, display FROM tw WHERE pos % 101 <> 0), n0 AS (SELECT x.project_id, sentence, count(k.pos) AS n, min(k.start_s) AS f, max(k.end_s) AS t, bool_and(fine) AS fine, list_filter(list(display ORDER BY k.pos), lambda d: d <> '') AS shown FROM x LEFT JOIN k ON k.project_id = x.project_id AND k.pos >= first_pos AND k.pos < first_pos + n_words GROUP BY x.project_id, sentence),
+n AS (SELECT *, CASE WHEN len(shown) > 0 THEN string_split(list_reduce(shown, lambda a, w: CASE WHEN length(string_split(a, chr(10))[-1]) + 1 + length(w) <= 22 THEN a || ' ' || w ELSE a || chr(10) || w END), chr(10)) ELSE [] END AS wrapped FROM n0)
+SELECT project_id, CAST(sentence AS BIGINT) AS sentence, code FROM (SELECT x.project_id, x.sentence, unnest([CASE WHEN n < 2 THEN 'FEW_WORDS' END, CASE WHEN start_s < -0.01 OR end_s > 80.01 THEN 'OUT_OF_BOUNDS' END, CASE WHEN start_s < b - 0.01 OR end_s <= start_s THEN 'OVERLAP' END, CASE WHEN NOT closed THEN 'UNCLOSED' END, CASE WHEN f < start_s - 0.01 OR t > end_s + 0.01 THEN 'WORD_OUTSIDE' END, CASE WHEN NOT fine THEN 'CHARSET' END, CASE WHEN len(wrapped) > 2 OR len(wrapped) > 1 AND len(list_filter(wrapped, lambda l: NOT contains(l, ' '))) > 0 THEN 'OVERFLOW' END]) AS code
 FROM x JOIN n ON n.project_id = x.project_id AND n.sentence = x.sentence) WHERE code IS NOT NULL""")
 def win10_validate_groups(t):
     words = O.sentence_of(timed_words(t))

@@ -113,7 +113,9 @@ def txt7_spoken_tokens(t):
     return O.spoken_tokens(t.conversations, ["conv_id", "turn"])
 
 
-@query(name="txt8_wrap_lines")
+@query(r"""WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '\S+') AS ws FROM conversations),
+l AS (SELECT conv_id, turn, CASE WHEN len(ws) > 0 THEN string_split(list_reduce(ws, lambda a, w: CASE WHEN length(string_split(a, chr(10))[-1]) + 1 + length(w) <= 42 THEN a || ' ' || w ELSE a || chr(10) || w END), chr(10)) ELSE [] END AS ls FROM w)
+SELECT conv_id, turn, len(ls) AS n_lines, list_max(list_transform(ls, lambda l: length(l))) AS longest, len(ls) <= 2 AS fits FROM l""")
 def txt8_wrap_lines(t):
     lines = T.wrap_lines(F.col("text"), 42)
     return t.conversations.select("conv_id", "turn", F.size(lines).alias("n_lines"), F.array_max(F.transform(lines, lambda x: F.length(x))).alias("longest"), (F.size(lines) <= 2).alias("fits"))

@@ -140,3 +140,25 @@ def test_best_candidates_are_those_of_all_pairs(spark):
     frame = spark.createDataFrame(spans, "p int, s int, tags array<string>, previous int"), spark.createDataFrame(candidates, "p int, c int, quality double, position int, arms double")
     found = R.score_candidates(*frame, "p", "s", "c", {"w": "2.5 * arms"}).collect()
     assert sorted((r.p, r.s, r.c, round(r.score, 5), r.place) for r in found) == sorted((p, s, c, round(v, 5), k) for p, s, c, v, k in want)
+
+
+def test_entities_of_a_ledger(spark):
+    entities = spark.createDataFrame([(1, "a", "Ann", [1]), (1, "a", "Al", [2]), (1, "b", " ", [9]), (1, None, "x", []), (3, "c", "Cy", None)], "p int, entity_id string, name string, ids array<int>")
+    mentions = spark.createDataFrame([(1, "a", ["w", "x"], [1]), (1, "z", ["w"], [1]), (1, "b", ["", "x"], [2]), (2, "a", ["w"], [5]), (1, "a", None, [])], "p int, entity_id string, texts array<string>, ids array<int>")
+    expected = spark.createDataFrame([(1, 1), (1, 2), (2, 5), (3, 6)], "p int, k int")
+    found = got(R.validate_entities(entities, mentions, expected, "p", "k"), "p", "subject", "code")
+    assert found == sorted([
+        (2, "", "NO_ENTITIES"), (1, "b", "BLANK_ENTITY"), (1, None, "BLANK_ENTITY"), (1, "a", "REPEATED_ENTITY"), (1, "z", "UNKNOWN_ENTITY"), (2, "a", "UNKNOWN_ENTITY"),
+        (1, "b", "BLANK_TEXT"), (1, "a", "BLANK_TEXT"), (1, None, "NO_EVIDENCE"), (3, "c", "NO_EVIDENCE"), (1, "a", "NO_EVIDENCE"), (1, "9", "UNKNOWN_PANEL"),
+    ], key=repr)
+
+
+def test_captions_that_overflow(spark):
+    from proofline.operators import sequences as S
+
+    texts = {0: "ONE TWO", 1: "ABCDEFGHIJ KLMNOPQRST UV", 2: "ABCDEFGHIJK LMNOPQRSTUVWXYZ", 3: " ".join(["ABCDEFGHI"] * 5), 4: "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    words = spark.createDataFrame([("p", s, w, i * 1.0, i + 0.5) for s, t in texts.items() for i, w in enumerate(t.split())], "project_id string, sentence int, display string, start_s double, end_s double")
+    groups = spark.createDataFrame([("p", s, s * 0.0, 90.0, True) for s in texts], "project_id string, sentence int, start_s double, end_s double, closed boolean")
+    # 22 characters fit two words of 10 and 10; the third stands alone on its line; words of 11 and 15 are alone both; five words need three lines
+    found = {r.sentence for r in S.validate_groups(groups, words, 100.0, "[A-Z]+").collect() if r.code == "OVERFLOW"}
+    assert found == {1, 2, 3}
