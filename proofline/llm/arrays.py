@@ -29,6 +29,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers whose bits all hang on all bits of x."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))

@@ -106,4 +106,5 @@ def secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def span_text(spans: Column) -> Column:
+    """Spans as kind:start:end, in their order, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -36,6 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
