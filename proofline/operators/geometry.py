@@ -163,6 +163,7 @@ def cells(df: DataFrame, pixels: str, side: int = 8) -> DataFrame:
 
 
 def grid_row_stats(grid: DataFrame) -> DataFrame:
+    """(asset_id, y, mean, variance) of each grid row, with population variance."""
     return grid.groupBy(A, "y").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.var_pop("value"), 6).alias("variance"))
 
 

@@ -272,6 +272,7 @@ def ledger_match(ledger: DataFrame, sources: DataFrame, project: str, order: str
 
 
 def check_summary(findings: DataFrame, project: str = "project_id") -> DataFrame:
+    """One row a project: its checks, how many failed by severity, and the failed codes, sorted."""
     failed = lambda s: F.array_join(F.array_sort(F.collect_set(F.when((F.col("severity") == s) & ~F.col("passed"), F.col("code")))), ",")
     return findings.groupBy(project).agg(F.count("*").alias("checks"), F.count_if((F.col("severity") == "error") & ~F.col("passed")).alias("errors"), F.count_if((F.col("severity") == "warning") & ~F.col("passed")).alias("warnings"), failed("error").alias("error_codes"), failed("warning").alias("warning_codes"), F.bool_and((F.col("severity") != "error") | F.col("passed")).alias("can_publish"))
 
@@ -312,6 +313,7 @@ def overlap_agreement(df: DataFrame, key: str, chunk: str, payload: str) -> Data
 
 
 def request_accounting(log: DataFrame, job: str, stage: str, price: float) -> DataFrame:
+    """(job, stage, requests, cost) at a price for each request."""
     return log.groupBy(job, stage).agg(F.count("*").alias("requests"), F.round(F.count("*") * price, 6).alias("cost"))
 
 

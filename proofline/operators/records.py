@@ -195,6 +195,7 @@ def selection_reasons(chosen: DataFrame, project: str, order: str, position: str
 
 
 def beat_score(df: DataFrame, claims: str, changes: str, turns: str, panels: str) -> DataFrame:
+    """df with score: 100 for each claim, 5 for each state change, 3 for each turn, and its panels, 16 at most."""
     return df.withColumn("score", F.expr(f"100 * {claims} + 5 * {changes} + 3 * {turns} + least({panels}, 16)"))
 
 

@@ -12,6 +12,7 @@ P, O = "project_id", "pos"
 
 
 def over(project: str = P, order: str = O, frame: str = "") -> str:
+    """An SQL window over the ordered rows of a project."""
     return f"over (partition by {project} order by {order} {frame})"
 
 
@@ -193,6 +194,7 @@ def boundary_gap(df: DataFrame, low: float = -0.01, high: float = 0.5) -> DataFr
 
 
 def shot_metrics(df: DataFrame, crop: list[str], length: str = "dur") -> DataFrame:
+    """(project_id, mean_s, total_s, crops): lengths, and the different values of the crop columns, rounded to 2 places."""
     return df.groupBy(P).agg(F.round(F.avg(length), 4).alias("mean_s"), F.round(F.sum(length), 4).alias("total_s"), F.count_distinct(F.struct(*[F.round(c, 2) for c in crop])).alias("crops"))
 
 
@@ -211,6 +213,7 @@ def reuse_cap(df: DataFrame, asset: str, share: float = 0.12) -> DataFrame:
 
 
 def static_ratio(df: DataFrame, hold: str, length: str = "dur") -> DataFrame:
+    """(project_id, static_ratio): the share of time of the rows for which hold is true."""
     return df.groupBy(P).agg(F.round(F.sum(F.expr(f"if({hold}, {length}, 0.0D)")) / F.sum(length), 6).alias("static_ratio"))
 
 
@@ -222,6 +225,7 @@ def mode_diversity(df: DataFrame, mode: str, justified: str) -> DataFrame:
 
 
 def caption_stats(cues: DataFrame, media: float) -> DataFrame:
+    """(project_id, single_word, least_words, most_words, overflow_s): words of cues, and how far they run over the media."""
     n = F.regexp_count("display", F.lit(r"\S+"))
     return cues.groupBy(P).agg(F.round(F.avg((n == 1).cast("double")), 6).alias("single_word"), F.min(n).alias("least_words"), F.max(n).alias("most_words"), F.round(F.greatest(F.lit(0.0), F.max("end_s") - media), 6).alias("overflow_s"))
 
