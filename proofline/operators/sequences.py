@@ -252,7 +252,7 @@ def cadence_bands(df: DataFrame, profiles: DataFrame, length: str = "dur", trans
     return m.select(P, "profile_id", "total_s", "shots", "normal_share", "emphasis_share", "mean_s", "hard_cut_share", F.expr(f"array_join(array_sort(array_compact(array({codes}))), ',')").alias("codes"))
 
 
-def placed(df: DataFrame, project: str, order: str) -> DataFrame:
+def placed(df: DataFrame, project: str, order: str, ranges: int | None = None) -> DataFrame:
     """df with _r, a row's place in its project from 0 on, and _n, the project's rows; _id tells rows apart, _g projects.
 
     Rows are dealt to ranges of project and order, ordered in them and written with the number that Spark gives them there; a
@@ -262,7 +262,8 @@ def placed(df: DataFrame, project: str, order: str) -> DataFrame:
     """
     rest = [f.name for f in df.schema.fields if f.name != project and "map<" not in f.dataType.simpleString()]
     keys = [project, *[o.strip() for o in order.split(",")], "_h", "_m"]
-    sorted_rows = df.withColumns({"_h": F.xxhash64(*rest), "_m": F.monotonically_increasing_id()}).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    keyed = df.withColumns({"_h": F.xxhash64(*rest), "_m": F.monotonically_increasing_id()})
+    sorted_rows = (keyed.repartitionByRange(ranges, *keys) if ranges else keyed.repartitionByRange(*keys)).sortWithinPartitions(*keys)
     rows = scratch_table(sorted_rows.drop("_h", "_m").withColumn("_id", F.monotonically_increasing_id()), "placed").withColumn("_b", F.shiftright("_id", 33))
     counts = rows.groupBy(F.col(project).alias("_p"), F.col("_b").alias("_q")).agg(F.count("*").alias("_c"), F.min("_id").alias("_f"))
     counts = counts.selectExpr("_p", "_q", f"_f - coalesce(sum(_c) over (partition by _p order by _q {BEFORE}), 0) as _o", "sum(_c) over (partition by _p) as _n", "min(_f) over (partition by _p) as _g")
