@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from proofline.plans.files import _LATEST, place
 from proofline.plans.registry import query
+from proofline.sources.files import scratch_table
 from proofline.streaming import leases, streams
 
 #: Slices that a table is written in; each is a batch, so that the watermark moves between them.
 SLICES = 4
 
 
-def write_slices(df: DataFrame, at: str, path: str, slices: int = SLICES) -> None:
-    """df in files by slices of at, in its order."""
-    ends = df.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
+def by_slices(df: DataFrame, at: str, path: str, run: Callable[[], StreamingQuery], slices: int = SLICES) -> None:
+    """Writes df to path by slices of at, in its order, and after each one runs a stream on path up to its end.
+
+    The files of a slice are one batch, however many tasks write and read them.
+    """
+    rows = scratch_table(df, "slices")
+    ends = rows.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
     for i in range(slices):
         low, high = (ends.low + (ends.high - ends.low) * k / slices for k in (i, i + 1))
-        df.filter((F.col(at) >= low) & ((F.col(at) < high) | F.lit(i == slices - 1))).coalesce(1).write.mode("append").parquet(path)
+        rows.filter((F.col(at) >= low) & ((F.col(at) < high) | F.lit(i == slices - 1))).write.mode("append").parquet(path)
+        run().awaitTermination()
 
 
 @query(_LATEST.format(""))
@@ -40,20 +49,27 @@ SELECT user_id, last_beat, last_beat + {_LEASE} AS due, row_number() OVER (PARTI
 def str2_lease_expiry_stream(t):
     path, out = place(t, "beats"), place(t, "expiries")
     beats = t.events.select("user_id", F.col("ts").cast("timestamp").alias("at"))
-    write_slices(beats, "at", path)
-    stream = t.spark.readStream.schema(beats.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    with streams.state_store(t.spark):
-        found = leases.lease_stream(stream, "user_id", "at", _LEASE, "1 hour")
-        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-offsets").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(found.schema).parquet(out)
+
+    def found():
+        return leases.lease_stream(t.spark.readStream.schema(beats.schema).parquet(path), "user_id", "at", _LEASE, "1 hour")
+
+    def run():
+        with streams.state_store(t.spark):
+            return found().writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-offsets").trigger(availableNow=True).start()
+
+    by_slices(beats, "at", path, run)
+    return t.spark.read.schema(found().schema).parquet(out)
 
 
 def _stored(t, blobs: DataFrame) -> DataFrame:
     """What content_dedup_stream leaves in its store after blobs (checksum, size, at) have come in slices of time."""
     path, store = place(t, "blobs"), place(t, "store")
-    write_slices(blobs, "at", path)
-    stream = t.spark.readStream.schema(blobs.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    streams.content_dedup_stream(stream, "checksum", "at", "1 hour", store, f"{store}-sketch", f"{store}-offsets").awaitTermination()
+
+    def run():
+        stream = t.spark.readStream.schema(blobs.schema).parquet(path)
+        return streams.content_dedup_stream(stream, "checksum", "at", "1 hour", store, f"{store}-sketch", f"{store}-offsets")
+
+    by_slices(blobs, "at", path, run)
     return t.spark.read.parquet(f"{store}/blobs").select("checksum", "size")
 
 
